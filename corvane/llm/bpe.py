@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from corvane.llm.common import by_size, strings
 
 #: Characters handled at once; a longer document is handled alone.
-BATCH_CHARS = 1_000_000
-#: Pieces kept per worker, and the longest piece that is kept.
-CACHE_ENTRIES, CACHE_BYTES = 400_000, 128
+BATCH_CHARS = 500_000
+#: Pieces kept per worker in each of two generations, and the longest piece that is kept.
+CACHE_ENTRIES, CACHE_BYTES = 300_000, 64
 
 # Classes of characters, and states after a character.
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE2, QUOTE3, END = range(8)
@@ -185,6 +185,12 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[piece[i : after[i]]] for i in range(n) if alive[i])
 
 
+@lru_cache(2)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker: tasks that follow find the pieces of earlier ones."""
+    return Encoder(read_ranks(path))
+
+
 @lru_cache(2)
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file's table: a Base64 token and its id on each line."""
@@ -196,16 +202,16 @@ class Encoder:
     """Encodes lists of texts; keeps merged pieces."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.cache = ranks, {}
+        self.ranks, self.cache, self.older = ranks, {}, {}
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int32)
         for token, i in ranks.items():
             self.lengths[i] = len(token)
 
     def _miss(self, piece: bytes) -> tuple[int, ...]:
-        ids = merged(piece, self.ranks)
+        ids = self.older.get(piece) or merged(piece, self.ranks)
         if len(piece) <= CACHE_BYTES:
             if len(self.cache) >= CACHE_ENTRIES:
-                self.cache.clear()
+                self.cache, self.older = {}, self.cache
             self.cache[piece] = ids
         return ids
 
@@ -222,8 +228,9 @@ class Encoder:
             at = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))[at]
         cuts = at.tolist()
         pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        get, miss = self.cache.get, self._miss
-        found = [get(p) or miss(p) for p in pieces]
+        found = list(map(self.cache.get, pieces))
+        for i in [i for i, x in enumerate(found) if x is None]:
+            found[i] = self.cache.get(pieces[i]) or self._miss(pieces[i])
         per_piece = np.fromiter(map(len, found), np.int64, len(found))
         first = np.concatenate(([0], np.cumsum(per_piece)))
         ids = np.fromiter(chain.from_iterable(found), np.int32, first[-1])
@@ -253,7 +260,7 @@ def encoder(path: str):
 
     @F.arrow_udf(ENCODED)
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Encoder(read_ranks(path))
+        own = worker_encoder(path)
         for column in columns:
             texts = strings(column)
             parts = [own.encode(texts[a:b]) for a, b in by_size([len(t) + 1 for t in texts], BATCH_CHARS)]
@@ -274,9 +281,8 @@ def decoder(path: str):
         for t, i in ranks.items():
             token[i] = t
         for column in columns:
-            ends = column.offsets.to_numpy()
-            values = column.values.to_pylist() if len(column) else []
-            yield pa.array([b"".join([token[i] for i in values[a:b]]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            ends, values = column.offsets.to_pylist(), column.values.to_numpy()
+            yield pa.array([b"".join(map(token.__getitem__, values[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
     return decode
 
