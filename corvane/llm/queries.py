@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, langid, secrets, simhash, tokencount, topk, warc
+from corvane.llm import bpe, decontam, langid, pii, secrets, simhash, tokencount, topk, warc
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
+#: A stand-in: in use, the key comes from where secrets are kept.
+PII_KEY = "a key for tests"
 
 
 #: Rows of an Arrow batch: texts are long, and a batch with what is made of it must fit a worker's memory.
@@ -24,6 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_texts(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
@@ -59,6 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
