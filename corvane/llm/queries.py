@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, langid, pii, secrets, simhash, tokencount, topk, warc
+from corvane.llm import bpe, decontam, langid, pii, secrets, simhash, tokencount, topk, urlfilter, warc
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
 #: A stand-in: in use, the key comes from where secrets are kept.
 PII_KEY = "a key for tests"
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 #: Rows of an Arrow batch: texts are long, and a batch with what is made of it must fit a worker's memory.
@@ -34,6 +35,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), MULTI_RANKS)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.judged(pages, URL_RULES, urlfilter.listed_labels(pages, URL_RULES))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
     "op5_simhash": op5_simhash,
     "op6_top_k": op6_top_k,
