@@ -9,6 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: texts are long, and a batch with what is made of it must fit a worker's memory.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches to BATCH_ROWS rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
