@@ -1,10 +1,37 @@
-"""Every registered query and its SQL."""
+"""Registered queries and the SQL each is held against."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+MODULES = ("metrics",)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function of (spark, sf_dir) under its name, with SQL for the same rows where there is such."""
+
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Imports every module that registers queries."""
+    for name in MODULES:
+        importlib.import_module(f"corvane.plans.{name}")
