@@ -189,3 +189,15 @@ def binary_focal_loss(y: Column, p: Column, gamma: float = 2.0, floor: float = 1
 
 def smoothed(y: Column, by: float, classes: int) -> Column:
     return (1.0 - by) * y + by / classes
+
+
+def input_shape(frontend: Column, samples: Column, mels: int, width: int, fft: int) -> Column:
+    """The shape of a model's input by its frontend, as text: bands or bins by frames, or samples."""
+    return F.when(frontend == "raw", F.concat(samples.cast("string"), F.lit("x1"))).when(frontend == "hybrid", F.lit(f"{fft // 2 + 1}x{width}x1")).otherwise(F.lit(f"{mels}x{width}x1"))
+
+
+def reservoir_limits(samples: Column, classes: int, batch: int, megabytes: int) -> Column:
+    """(high, low): float samples and labels that a buffer holds, 1024 and two batches at the limits, and half of that."""
+    size = samples * 4 + classes * 4
+    high = F.least(F.lit(1024), F.greatest(F.lit(2 * batch), F.floor(F.lit(megabytes * 1024 * 1024) / size).cast("int")))
+    return F.struct(high.cast("int").alias("high"), F.greatest(F.lit(batch), F.floor(high / 2)).cast("int").alias("low"))
