@@ -23,14 +23,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates."""
+    """Keeps the document of the smallest id of each group of near-duplicates.
+
+    The kept ids are as many as the input, so they are merged with the documents at every size, never sent whole to each task.
+    """
     bounded_batches(spark)
     found = simhash.near_duplicates(docs)
     kept = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "kept-ids")
-    out = docs.join(kept.where("count = 1").select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(kept.where("count = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     repeated = kept.where("count > 1").select("doc_id")
     if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        out = out.unionByName(docs.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
 
 
