@@ -1,0 +1,443 @@
+"""The registered corpus queries on the hard cases, against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import sentencepiece
+import tiktoken
+import xxhash
+
+import corpus_pipeline
+from corvane.llm import bpe, decontam, langid, pii, queries, secrets, simhash, tokencount, topk, urlfilter, warc
+
+RANKS = bpe.read_ranks(queries.MULTI_RANKS)
+ENCODING = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+
+
+def sha(data):
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def run(spark, name, folder):
+    return queries.QUERIES[name](spark, folder).collect()
+
+
+def same(found, wanted):
+    assert Counter(map(tuple, found)) == Counter(wanted)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert run(spark, name, empty) == []
+
+
+def test_empty_pipeline(spark, empty):
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+# Byte-level BPE.
+
+
+def test_bpe(spark, tables, rows):
+    wanted = [(i, len(ids), sha(",".join(map(str, ids))), sha(t or "")) for i, t, *_ in rows for ids in [ENCODING.encode_ordinary(t or "")]]
+    same(run(spark, "op2_byte_bpe", tables), wanted)
+
+
+def test_bpe_keeps_other_columns_and_offsets(spark):
+    df = spark.createDataFrame([(1, "it's  12 é"), (2, None)], "tokens int, text string").withColumnRenamed("tokens", "decoded")
+    found = bpe.decode(bpe.encode(df, queries.MULTI_RANKS), queries.MULTI_RANKS).collect()
+    assert [bytes(r["decoded"]).decode() for r in found] == ["it's  12 é", ""]
+    tokens = found[0]["tokens"]
+    data, cuts = "it's  12 é".encode(), [*tokens["offsets"], len("it's  12 é".encode())]
+    back = {v: k for k, v in RANKS.items()}
+    assert [data[a:b] for a, b in zip(cuts, cuts[1:])] == [back[i] for i in tokens["ids"]]
+
+
+def test_classes_are_those_of_the_library():
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    table = bpe.classes()
+    for pattern, kinds in ((r"\p{L}", [bpe.LETTER]), (r"\p{N}", [bpe.NUMBER]), (r"\s", [bpe.SPACE, bpe.BLANK])):
+        only = tiktoken.Encoding("x", pat_str=pattern, mergeable_ranks=RANKS, special_tokens={})
+        assert {c for c in points if only.encode_ordinary(chr(c))} == {c for c in points if table[c] in kinds}
+
+
+def test_pieces_are_the_pattern_s():
+    draw = np.random.default_rng(4)
+    alphabet = ["a", "s", "'", "'re", "'ll", "'t", " ", "  ", "\n", "1", "!", "é", "漢", "\u3000", "\r\n"]
+    texts = ["".join(draw.choice(alphabet, draw.integers(0, 25))) for _ in range(3000)]
+    for text in texts:
+        codes = np.frombuffer((text + "\n").encode("utf-32-le"), "<u4")
+        starts = bpe.piece_starts(codes, np.array([len(text)]))
+        assert [text[a:b] for a, b in zip(starts[:-1], starts[1:])] == regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_merging_of_long_pieces():
+    for piece in (b"ab" * 400, b"the" * 100, b"\xff" * 70, b"a"):
+        assert list(bpe.merged(piece, RANKS)) == ENCODING._encode_single_piece(piece)
+
+
+# Token counts.
+
+
+def test_token_counts(spark, tables, rows):
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    wanted = [(i, len((t or "").encode()), n, n > queries.TOKEN_LIMIT) for i, t, *_ in rows for n in [len(model.encode(t or ""))]]
+    same([(r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in run(spark, "op7_token_counts", tables)], wanted)
+
+
+def test_parts_add_up():
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
+    assert tokencount.splits_at_spaces(model)
+    draw = np.random.default_rng(5)
+    pieces = ["ab", " ", "  ", "▁", "\n", "é", "漢", "word", "12", "\t", "▁▁", "<s>"]
+    for _ in range(400):
+        text = "".join(draw.choice(pieces, draw.integers(0, 60)))
+        parts = tokencount.safe_parts(text, 5)
+        assert sum(len(model.encode(p)) for p in parts) == len(model.encode(text)), text
+
+
+# SimHash.
+
+
+def brute_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(words, most):
+    up = list(range(len(words)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(words)):
+        for j in range(i):
+            if (words[i] ^ words[j]).bit_count() <= most:
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return [top(i) for i in range(len(words))]
+
+
+def test_simhash(spark, tables, rows):
+    prints = [brute_fingerprint(t) for _, t, *_ in rows]
+    sets = brute_components(prints, 4)
+    least = {s: min((rows[i][0] for i in range(len(rows)) if sets[i] == s and rows[i][0] is not None), default=None) for s in set(sets)}
+    same(run(spark, "op5_simhash", tables), [(r[0], f"{p:016x}", least[s]) for r, p, s in zip(rows, prints, sets)])
+
+
+@pytest.mark.parametrize("spread", [1, 3, 20])
+def test_index_links_what_brute_force_links(spark, spread, monkeypatch):
+    """Random words and balls of near ones, with groups so small that they are dealt out anew."""
+    draw = np.random.default_rng(spread)
+    centres = draw.integers(0, 1 << 64, 30, np.uint64)
+    words = {int(c) ^ sum(1 << int(b) for b in draw.choice(64, draw.integers(0, spread + 1), replace=False)) for c in np.repeat(centres, 20)}
+    words = sorted(words)
+    df = spark.createDataFrame([(int(np.uint64(w).view(np.int64)),) for w in words], "fp long")
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 10)
+    pairs = simhash.components(simhash.links(simhash.groups(df, 4), 4, 3)).collect()
+    roots = {np.int64(r["node"]).view(np.uint64).item(): np.int64(r["root"]).view(np.uint64).item() for r in pairs}
+    found, wanted = defaultdict(set), defaultdict(set)
+    for w, s in zip(words, brute_components(words, 4)):
+        found[roots.get(w, w)].add(w)
+        wanted[s].add(w)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
+
+
+# Benchmark items.
+
+
+def brute_shingles(text):
+    words = regex.findall(r"[\p{L}\p{N}]+", (text or ""))
+    words = [w.lower() for w in words]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_decontamination(spark, tables, rows):
+    items = {(1, brute_key): brute_shingles(brute_key) for brute_key in [spark.read.parquet(f"{tables}/benchmark.parquet").where("item_id = 1").first()["text"]]}
+    others = {(r["item_id"], r["text"]): brute_shingles(r["text"]) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()}
+    wanted = [(i, k[0], len(s & d), len(s)) for i, t, *_ in rows for d in [brute_shingles(t)] for k, s in (others | items).items() if s and len(s & d) >= 0.8 * len(s)]
+    assert wanted
+    same([tuple(r)[:4] for r in run(spark, "op8_decontamination", tables)], wanted)
+
+
+def test_items_of_all_sizes_are_found(spark):
+    """Items of 1 to 200 words in long texts, cut up to a fifth, in several blocks."""
+    draw = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in draw.integers(0, 5000, n)]
+    texts, items = [], []
+    for k in range(60):
+        n = int(draw.integers(5, 200))
+        item = word(n)
+        kept = item[: max(5, int(n * draw.choice([1.0, 0.95, 0.7])))]
+        items.append((k, " ".join(item)))
+        texts.append((k, " ".join(word(int(draw.integers(0, 3000))) + kept + word(int(draw.integers(0, 3000))))))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    wanted = {(i, k) for i, t in texts for d in [brute_shingles(t)] for k, s in ((k, brute_shingles(x)) for k, x in items) if len(s & d) >= 0.8 * len(s)}
+    decontam.BLOCK_ITEMS, kept = 25, decontam.BLOCK_ITEMS
+    try:
+        found = {(r["doc_id"], r["item_id"]) for r in decontam.contamination(docs, bench).collect()}
+    finally:
+        decontam.BLOCK_ITEMS = kept
+    assert wanted and found == wanted
+
+
+# Secrets.
+
+
+def test_secrets(spark, tables, rows):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    wanted = []
+    for i, t, *_ in rows:
+        t = t or ""
+        spans = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        kinds, text = Counter(s[2] for s in spans), ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(spans))
+        wanted.append((i, kinds["assign"], kinds["access"], kinds["hex"], sha(text)))
+    found = run(spark, "op4_secrets", tables)
+    same([tuple(r)[:5] for r in found], wanted)
+    assert any(r["n_access"] and r["n_assign"] and r["n_hex"] for r in found)
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
+    assert secrets.trigram_query("[0-9a-f]{16,}") is None and secrets.trigram_query("ab|cdef") is None
+    assert secrets.trigram_query("(abc|xyz)+d") == {frozenset({"abc"}), frozenset({"xyz"})}
+    assert secrets.trigram_query("x?abcd") == {frozenset({"abc", "bcd"})}
+
+
+def test_masking_and_positions_beyond_the_first_plane(spark):
+    text = "\U0001f642 secret=abcdefghijkl\U0001f642 xoxb-1234567890abcdef tail"
+    df = spark.createDataFrame([(text,), (None,), ("clean",)], "text string")
+    found = secrets.masked(secrets.scan(df)).collect()
+    assert [r["text"] for r in found] == ["\U0001f642 [SECRET]\U0001f642 [SECRET] tail", None, "clean"]
+    assert [(s["start"], s["end"]) for s in found[0]["secrets"]][0] == (2, 21)
+
+
+# Pseudonyms.
+
+
+def test_pseudonyms(spark, tables, rows):
+    found = run(spark, "op1_pii", tables)
+    assert len(found) == len(rows)
+    texts = Counter((i, t) for i, t, *_ in rows)
+    clean = [(r["doc_id"], r["text"]) for r in found if not r["n_pii"]]
+    assert not Counter(clean) - texts
+    r = next(r for r in found if r["doc_id"] == 114)
+    original = dict((i, t) for i, t, *_ in rows)[114]
+    values = [original[int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",")]
+    assert values == ["joe.doe@example.com", "4539578763621486", "+1 (743) 555-3824", "10.0.0.1", "2023-02-28", "GB82 WEST 1234 5698 7654 32"]
+    assert not any(v in r["text"] for v in values) and "4539578763621487" in r["text"] and "2023-02-30" in r["text"] and "999.1.1.1" in r["text"]
+
+
+def test_pseudonyms_are_linked_valid_and_reversible(spark):
+    values = ["4539 5787 6362 1486", "4539-5787-6362-1486", "4539578763621486", "DE89 3704 0044 0532 0130 00", "1999-12-31", "31.12.1999", "31/12/1999", "219-09-9999", "a@b.co", "Jo.X-9@mail.example.org", "+44 20 7946 0958", "(415) 555-2671", "8.8.8.8"]
+    df = spark.createDataFrame([(i, f"see {v} now") for i, v in enumerate(values)], "doc_id long, text string")
+    done = pii.pseudonymised(df, "k1")
+    out = [r["text"][4:-4] for r in done.orderBy("doc_id").collect()]
+    assert all(a != b and len(a) == len(b) or "." in a for a, b in zip(out, values))
+    digits = [re.sub("[^0-9]", "", x) for x in out]
+    assert digits[0] == digits[1] == digits[2] and out[0][4] == " " and out[1][4] == "-"
+    luhn = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits[0])))
+    assert luhn % 10 == 0
+    bare = out[3].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and bare[:2] == "DE"
+    day = out[4].split("-")
+    assert out[5].split(".") == day[::-1] and out[6].split("/") == day[::-1]
+    back = pii.pseudonymised(done.drop("pii"), "k1", back=True).orderBy("doc_id").collect()
+    assert [r["text"][4:-4] for r in back] == values
+    assert [r["text"] for r in pii.pseudonymised(df, "k2").orderBy("doc_id").collect()] != [r["text"] for r in done.orderBy("doc_id").collect()]
+
+
+def test_digits_are_permuted(spark):
+    df = spark.range(1000).selectExpr("lpad(cast(id as string), 3, '0') AS d")
+    assert df.select(pii.permuted_digits(df["d"], "k", "t").alias("x")).distinct().count() == 1000
+
+
+# URL verdicts.
+
+
+def test_url_verdicts(spark, tables):
+    pages = spark.read.parquet(f"{tables}/pages.parquet").collect()
+    found = run(spark, "op3_url_filter", tables)
+    wanted = []
+    for r in pages:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r["url"] or "")
+        host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
+        rule = max((x for _, x in queries.URL_RULES for h, p in [x.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)), key=len, default=None)
+        wanted.append((r["page_id"], host, path, rule))
+    same([tuple(r)[:4] for r in found], wanted)
+    verdicts = {rule: v for v, rule in queries.URL_RULES}
+    assert all(r["verdict"] == verdicts[r["rule"]] for r in found if r["rule"]) and {r["verdict"] for r in found} <= {"allow", "block"}
+
+
+def test_mined_rules_match_brute_force(spark):
+    draw = np.random.default_rng(9)
+    urls = [f"http://{draw.choice(['a', 'b'])}.{draw.choice(['x', 'y'])}.org/{draw.choice(['p', 'q'])}/{draw.choice(['u', 'v'])}" for _ in range(200)]
+    labelled = [(u + str(i), "block" if ("//a." in u and "/p/" in u) else "allow") for i, u in enumerate(urls)]
+    rules = urlfilter.mined_rules(spark.createDataFrame(labelled, "url string, label string"), 0.05, 0.9).collect()
+    tokens = {r["url"]: set(r["t"]) for r in spark.createDataFrame(labelled, "url string, label string").select("url", urlfilter.tokens_of(urlfilter.F.col("url")).alias("t")).collect()}
+    for r in rules:
+        holds = [label for u, label in labelled if set(r["tokens"]) <= tokens[u]]
+        assert abs(holds.count(r["verdict"]) / len(holds) - r["confidence"]) < 1e-9 and r["confidence"] >= 0.9 and holds.count(r["verdict"]) / len(labelled) >= 0.05
+        assert sum(r["key"] in t for t in tokens.values()) == min(sum(k in t for t in tokens.values()) for k in r["tokens"])
+    assert {"host:a", "path:p"} in [set(r["tokens"]) for r in rules if r["verdict"] == "block"]
+    frame = spark.createDataFrame(rules, "tokens array<string>, verdict string, confidence double, support double, key string")
+    got = {r["url"]: r["mined"]["verdict"] for r in urlfilter.mined_verdicts(spark.createDataFrame(labelled, "url string, label string"), frame).collect()}
+    for u, _ in labelled:
+        fits = [r for r in rules if set(r["tokens"]) <= tokens[u]]
+        best = min(fits, key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"], r["verdict"]), default=None)
+        assert got.get(u) == (best and best["verdict"])
+
+
+# Top-k.
+
+
+def test_top_k(spark, tables):
+    rows = []
+    for r in spark.read.parquet(f"{tables}/embeddings.parquet").collect():
+        v = r["embedding"]
+        if r["vec_id"] is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
+            rows.append((r["vec_id"], np.pad(np.floor(256 * np.array(v, float)).astype(int), (0, 8 - len(v)))))
+    wanted = []
+    for q, v in {(i, tuple(v)) for i, v in rows if i % 50 == 0}:
+        best = sorted((-int(np.dot(v, w)), i) for i, w in rows if i != q)[:5]
+        wanted += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    same(run(spark, "op6_top_k", tables), wanted)
+
+
+def test_annuli_are_skipped():
+    """On clustered vectors the bounds leave most products out, and the result stays exact."""
+    draw = np.random.default_rng(11)
+    centres = draw.normal(0, 300, (20, 16))
+    v = np.floor(np.repeat(centres, 500, 0) + draw.normal(0, 3, (10_000, 16))).astype(np.int64)
+    v[:] = v * (300 / np.linalg.norm(v, axis=1))[:, None]
+    ids, square = np.arange(len(v)), float((v * v).sum(1).max())
+    pivots = topk.choose_pivots(topk.lifted(v[::25], square), 20)
+    apart = topk.distances(topk.lifted(v, square), pivots)
+    near = apart.argmin(1)
+    order = np.lexsort((apart[ids, near], near))
+    q = v[::500]
+    lift = np.concatenate((q.astype(float), np.zeros((len(q), 1))), 1)
+    best = topk.Best(np.full(len(q), np.iinfo(np.int64).min), 5)
+    made = topk.search_chunk(best, q, ids[::500], topk.distances(lift, pivots), (lift * lift).sum(1) + square, near[order], apart[ids, near][order], ids[order], v[order])
+    for j in range(len(q)):
+        wanted = sorted((-int(x), i) for i, x in enumerate(v @ q[j]) if i != ids[::500][j])[:5]
+        assert [(-s, i) for s, i in zip(best.score[best.query == j], best.id[best.query == j])] == wanted
+    assert made < 0.7 * len(v) * len(q)
+
+
+def test_products_beyond_doubles():
+    big = np.array([[2**40, 3]], np.int64)
+    assert topk.products(big, np.array([[2**20, 1]], np.int64))[0, 0] == 2**60 + 3
+
+
+# WARC.
+
+
+def test_warc(spark, tables):
+    pages = spark.read.parquet(f"{tables}/pages.parquet").collect()
+    least = {}
+    for r in pages:
+        data = (r["html"] or "").encode()
+        if len(data) >= 100 and r["page_id"] is not None:
+            least[data] = min(least.get(data, r["page_id"]), r["page_id"])
+    wanted = []
+    for r in pages:
+        data = (r["html"] or "").encode()
+        first = least.get(data)
+        again = first is not None and r["page_id"] != first
+        wanted.append((r["page_id"], len(data), sha(data), "revisit" if again else "response", first if again else None))
+    same(run(spark, "op9_warc", tables), wanted)
+
+
+def test_captures_are_looked_up(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    pages = spark.read.parquet(f"{tables}/pages.parquet")
+    folder = f"file://{tmp_path}"
+    directory = warc.write_index(warc.write_archives(pages, f"{folder}/a"), f"{folder}/i")
+    assert directory.count() > 8
+    rows = pages.withColumn("k", warc.url_key(pages["url"])).collect()
+    for r in rows[::9]:
+        hits = warc.lookup(directory, f"{folder}/i", [r["k"]])
+        assert {x["page_id"] for x in hits.collect()} == {x["page_id"] for x in rows if x["k"] == r["k"]}
+        got = {x["page_id"]: bytes(x["payload"]) for x in warc.read_records(hits, f"{folder}/a", payload=True).where("record_type = 'response'").collect()}
+        assert all(got[x["page_id"]] == (x["html"] or "").encode() for x in rows if x["page_id"] in got)
+    assert warc.lookup(directory, f"{folder}/i", ["com,nowhere)/"]).count() == 0
+    assert spark.range(1).select(warc.url_key(warc.F.lit("https://A.b.COM/x?y#z"))).first()[0] == "com,b,a)/x?y#z"
+
+
+# Language.
+
+
+def test_language(spark, tables, rows):
+    found = run(spark, "op10_language_id", tables)
+    assert len(found) == len(rows)
+    truth = {(i, t): lang for i, t, lang, *_ in rows}
+    for r in found:
+        held = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+        assert r["held_out"] == held and 0 <= r["score"] <= 1
+    by_id = {r["doc_id"]: r for r in found}
+    assert all(by_id[i]["lang_pred"] == "und" and by_id[i]["score"] == 0 for i in (100, 101, 102, 103))
+    prose = [(i, lang) for (i, _), lang in truth.items() if i is not None and i < 60]
+    assert all(by_id[i]["lang_pred"] == lang for i, lang in prose) and any(by_id[i]["held_out"] for i, _ in prose)
+    assert by_id[111]["n_spans"] == 2
+
+
+def test_paths_are_the_best_ones():
+    draw = np.random.default_rng(12)
+    for _ in range(30):
+        s = draw.normal(0, 5, (6, 3))
+        best = max((sum(s[i, p] for i, p in enumerate(path)) - 7 * sum(a != b for a, b in zip(path, path[1:])), path) for path in np.ndindex(*[3] * 6))
+        got = langid.best_path(s, 7)
+        assert abs(sum(s[np.arange(6), got]) - 7 * (np.diff(got) != 0).sum() - best[0]) < 1e-9
+
+
+def test_scripts_narrow(spark):
+    rows = [(i, "der und das", "de") for i in range(40)] + [(100 + i, "это и мир не", "ru") for i in range(40)] + [(200 + i, "не се или това", "bg") for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.label(["мир und"], model)[2][0][0][2] in ("ru", "bg") and langid.label(["漢字"], model)[0] == ["bg"]
+    written = dict(zip(langid.SCRIPT_NAMES, model.written_in.tolist()))
+    assert written["Latin"] == [False, True, False] and written["Cyrillic"] == [True, False, True]
+
+
+# The pipeline.
+
+
+def test_pipeline_against_brute_force(spark, tables, rows):
+    """Each stage by its rule: letters, one document per group, no item, masked secrets, ids."""
+    kept = [r for r in rows if regex.search(r"\p{L}", r[1] or "")]
+    prints = [brute_fingerprint(t) for _, t, *_ in kept]
+    sets = brute_components(prints, 4)
+    least = {s: min((kept[i][0] for i in range(len(kept)) if sets[i] == s and kept[i][0] is not None), default=None) for s in set(sets)}
+    firsts = {}
+    named = {r[0] for r, s in zip(kept, sets) if r[0] is not None and r[0] == least[s]}
+    for r in kept:
+        if r[0] in named:
+            firsts.setdefault(r[0], set()).add(r[1])
+    alone = [r[1] for r in kept if r[0] is None]
+    items = [brute_shingles(r["text"]) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    clean = lambda t: not any(s and len(s & brute_shingles(t)) >= 0.8 * len(s) for s in items)
+    found = corpus_pipeline.run(spark, tables).collect()
+    wanted_ids = [i for i, texts in firsts.items() if any(map(clean, texts))] + [None for t in alone if clean(t)]
+    assert Counter(r["doc_id"] for r in found) == Counter(wanted_ids)
+    mask = spark.createDataFrame([(i, t) for i, texts in firsts.items() for t in texts], "doc_id long, text string")
+    allowed = {(r["doc_id"], sha(r["text"])) for r in secrets.masked(secrets.scan(mask)).collect()}
+    assert all((r["doc_id"], r["decoded_sha256"]) in allowed for r in found if r["doc_id"] is not None)
+    assert next(r for r in found if r["doc_id"] == 113)["decoded_sha256"] != sha(dict((r[0], r[1]) for r in rows)[113])
+
+
+def test_stages_return_the_columns_of_documents(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, tables).columns == docs.columns
