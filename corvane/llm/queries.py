@@ -80,7 +80,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+
+
+def _secret_spans() -> str:
+    """All rules' spans, the pieces between matches giving their places, in SQL."""
+    parts = []
+    for order, rule in enumerate(secrets.RULES):
+        pattern = (("(?i)" if rule.any_case else "") + rule.pattern).replace("'", "''")
+        parts.append(f"""
+        SELECT doc_id, '{rule.kind}' AS kind, {order} AS ord, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+            'start': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0), 'n': length(m[i]), 'own': length(g[i])}})) AS s
+        FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {rule.group}) AS g, string_split_regex(text, '{pattern}') AS p FROM documents WHERE regexp_matches(text, '{pattern}'))
+        """)
+    kept = f"spans AS (SELECT doc_id, kind, ord, s.start::BIGINT AS a, (s.start + s.n)::BIGINT AS b, s.own AS own FROM ({' UNION ALL '.join(parts)}))"
+    least = " AND ".join(f"(kind <> '{r.kind}' OR own >= {r.least})" for r in secrets.RULES if r.least)
+    return f"{kept}, found AS (SELECT doc_id, kind, ord, a, kind || ':' || a || ':' || b AS mark FROM spans WHERE {least})"
+
+
 ORACLES: dict[str, str] = {
+    "op4_secrets": f"""
+        WITH {_secret_spans()}
+        SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(mark, ',' ORDER BY a, ord) FILTER (ord < {len(secrets.BASE_RULES)}), '')) AS base_sha256, coalesce(string_agg(mark, ',' ORDER BY a, ord), '') AS spans
+        FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id GROUP BY d.doc_id
+    """,
+    "op8_decontamination": r"""
+        WITH w AS (SELECT doc_id AS id, 0 AS side, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents UNION ALL SELECT item_id, 1, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+        s AS (SELECT DISTINCT id, side, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+        n AS (SELECT id AS item_id, count(*) AS n FROM s WHERE side = 1 GROUP BY id),
+        j AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared FROM s d JOIN s i ON d.s = i.s AND d.side = 0 AND i.side = 1 GROUP BY ALL)
+        SELECT doc_id, item_id, n_shared, n AS n_item, n_shared / n AS containment FROM j JOIN n USING (item_id) WHERE n_shared >= 0.8 * n
+    """,
     "op6_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
