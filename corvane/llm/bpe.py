@@ -106,7 +106,7 @@ def prefix_compositions(functions: np.ndarray) -> np.ndarray:
     if n <= 64:
         out = functions.astype(np.uint16)
         for i in range(1, n):
-            out[i] = flat[out[i - 1] * m + out[i]]
+            out[i] = flat[int(out[i - 1]) * m + int(out[i])]
         return out
     width = max(8, int(n**0.5) // 4)
     blocks = -(-n // width)
