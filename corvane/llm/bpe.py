@@ -31,7 +31,7 @@ from corvane.llm.common import by_size, strings
 #: Characters handled at once; a longer document is handled alone.
 BATCH_CHARS = 500_000
 #: Pieces kept per worker in each of two generations, and the longest piece that is kept.
-CACHE_ENTRIES, CACHE_BYTES = 300_000, 64
+CACHE_ENTRIES, CACHE_BYTES = 150_000, 64
 
 # Classes of characters, and states after a character.
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE2, QUOTE3, END = range(8)
