@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("metrics", "catalog", "signals", "models", "telemetry", "evaluation")
+MODULES = ("metrics", "catalog", "signals", "models", "telemetry", "evaluation", "sinks")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
