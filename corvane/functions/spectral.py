@@ -119,7 +119,7 @@ def resampled(rate_in: int, rate_out: int, half: int = 10, beta: float = 5.0):
     def changed(samples: pd.Series) -> pd.Series:
         def one(x):
             x = np.asarray(x, float)
-            if up == down:
+            if up == down or not len(x):
                 return x
             wide = np.zeros(len(x) * up)
             wide[::up] = x

@@ -200,3 +200,73 @@ def test_spectra():
     x = np.sin(2 * np.pi * np.arange(512) * 8 / 64)
     m = spectral.magnitudes(x, 64, 32, spectral.hann(64, False), False, None)
     assert m.shape == (15, 33) and (m.argmax(1) == 8).all()
+
+
+def test_starts_keep_apart(spark):
+    draw = np.random.default_rng(6)
+    rows = [(i, draw.permutation(60)[:20].tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, s array<int>")
+    for i, s, got in df.select("id", "s", salience.apart(F.col("s"), 8, 4)).collect():
+        wanted = []
+        for x in s:
+            if len(wanted) < 4 and all(abs(x - y) >= 8 for y in wanted):
+                wanted.append(x)
+        assert got == wanted, i
+
+
+def test_resampling_keeps_a_tone(spark):
+    x = np.sin(2 * np.pi * np.arange(400) / 40)
+    df = spark.createDataFrame([(x.tolist(),), ([],)], "x array<double>")
+    y = np.array(df.select(spectral.resampled(4, 3)("x")).first()[0])
+    assert len(y) == 300 and np.allclose(y[30:-30], np.sin(2 * np.pi * np.arange(300) / 30)[30:-30], atol=0.01)
+
+
+def test_gain_control_flattens_levels():
+    loud = spectral.pcen().func(__import__("pandas").Series([np.full((50, 3), 0.5)]))[0]
+    quiet = spectral.pcen().func(__import__("pandas").Series([np.full((50, 3), 0.05)]))[0]
+    assert abs(loud[-1][0] - quiet[-1][0]) < 0.2 * loud[-1][0] and all(len(r) == 3 for r in loud)
+
+
+def test_backpressure(spark):
+    from corvane.streaming import device
+
+    series = [(1.0, 0.5), (2.0, 0.5), (1.5, 0.5), (1.8, 0.5), (2.0, 0.01)]
+    n, way, last = 1, 1, 0.0
+    for t, free in series:
+        way = -way if t < last else way
+        n = max(1, min(8, n - 1 if free < 0.1 else n + way))
+        last = t
+    df = spark.createDataFrame([(series,)], "s array<struct<throughput:double,memory_free:double>>")
+    assert df.select(device.backpressure(F.col("s"), 8)).first()[0] == n
+
+
+def test_running_sums_without_groups_use_no_single_window(spark):
+    """Scores of one range and of many give the sums of a plain sort."""
+    draw = np.random.default_rng(8)
+    for s in (np.full(50, 0.5), draw.random(3000)):
+        y = draw.integers(0, 2, len(s)).tolist()
+        found = {r["s"]: (r["ctp"], r["cn"]) for r in ranking.running(ranking.tie_groups(scores(spark, y, s.tolist()), []), []).collect()}
+        for t in list(found)[::97]:
+            assert found[t] == (sum(a for a, b in zip(y, s, strict=True) if b >= t), int((s >= t).sum()))
+
+
+def test_mixup_without_chances_changes_nothing(spark):
+    from corvane.operators import augment
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0], [1.0, 0.0]) for i in range(5)], "id long, samples array<double>, y array<double>")
+    done = augment.mixed(rows, augment.mix_partners(rows, 0.0))
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, rows.collect()))
+    pair = spark.createDataFrame([(0, 0, 0.75), (0, 1, 0.25)], "id long, partner long, gain double")
+    assert augment.mixed(rows, pair).where("id = 0").first()["samples"] == [0.25, 1.0]
+
+
+def test_training_samples(spark):
+    from corvane.operators import evaluation
+
+    draw = np.random.default_rng(9)
+    rows = [(i, label, draw.normal(0, 1, n).tolist()) for i, (label, n) in enumerate([("a", 100), ("b", 7), ("noise", 30), ("unknown", 50), ("a", 0)])]
+    df = spark.createDataFrame(rows, "file long, label string, samples array<double>")
+    classes = spark.createDataFrame([(0, "a"), (1, "b")], "class_idx int, class string")
+    found = evaluation.training_samples(df, classes, 10, most=3, threshold=0.9).collect()
+    assert {r["file"] for r in found} == {0, 1, 2} and all(len(r["samples"]) == 10 for r in found)
+    assert {r["file"]: r["class_idx"] for r in found}[2] is None
