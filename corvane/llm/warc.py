@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import shared_dir, written
 
 LEAST_BYTES, BLOCK_LINES = 100, 2_000
+#: Rows of the directory, about, at most: beyond as many blocks of BLOCK_LINES, blocks have more lines.
+DIRECTORY_ROWS = 100_000
 #: Index lines per index file, about.
 FILE_LINES = 1_000_000
 #: Ranges of an archive closer than this are read together.
@@ -165,6 +167,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 def write_index(entries: DataFrame, folder: str) -> DataFrame:
     """Writes the sorted lines in compressed blocks; returns the directory (DIRECTORY), a written table."""
     names = [x.split()[0] for x in DIRECTORY.split(", ")]
+    total = entries.count()
+    block = max(BLOCK_LINES, -(-total // DIRECTORY_ROWS))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, lines, found = None, [], []
@@ -180,7 +184,7 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
                 target = Target(folder, name)
             for row in batch.to_pylist():
                 lines.append(row)
-                if len(lines) == BLOCK_LINES:
+                if len(lines) == block:
                     flush()
         if target:
             if lines:
@@ -189,24 +193,10 @@ def write_index(entries: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], pa.string() if n in ("urlkey", "lasturlkey", "file") else pa.int64()) for n in names], names)
 
     order = ["urlkey", "file", "offset"]
-    files = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // FILE_LINES))
+    files = max(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_LINES))
     return written(entries.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(blocks, DIRECTORY), "directory")
 
 
-def captures(directory: DataFrame, folder: str) -> DataFrame:
-    """All index lines, from the blocks the directory lists."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in ENTRIES.split(", "))]
-        for batch in batches:
-            wanted = sorted(zip(batch.column("file").to_pylist(), batch.column("offset").to_pylist(), batch.column("length").to_pylist(), strict=True))
-            for data in ranges(folder, wanted):
-                rows = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in kinds], [n for n, _ in kinds])
-
-    return directory.mapInArrow(lines, ENTRIES)
-
-
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -226,33 +216,42 @@ def read_records(entries: DataFrame, folder: str, payload: bool = False) -> Data
     return places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, schema)
 
 
-def lookup(directory: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """Index lines of some URL keys: binary search in the directory, a range read per block, binary search in the block."""
+def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
+    """Index lines of the URL keys in column `urlkey`: binary search in the directory, a range read per block, binary search in the block.
+
+    The directory has DIRECTORY_ROWS rows, about, whatever the index holds. A key whose lines go on over
+    many blocks is looked up in each by itself.
+    """
+    names = ("urlkey", "lasturlkey", "file", "offset", "length")
+    blocks = directory.select(*names).orderBy("urlkey", "lasturlkey", "file", "offset").toArrow()
+    shared = keys.sparkSession.sparkContext.broadcast([blocks[n].to_pylist() for n in names])
     kinds = [(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in ENTRIES.split(", "))]
-    ordered = sorted(set(keys))
+
+    @F.arrow_udf("array<int>")
+    def holding(column: pa.Array) -> pa.Array:
+        firsts, lasts = shared.value[:2]
+        return pa.array([list(range(bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k))) for k in column.to_pylist()], pa.list_(pa.int32()))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, number, rows, at = list(zip(*shared.value[2:], strict=True)), None, [], []
         for batch in batches:
-            blocks = sorted(zip(*(batch.column(n).to_pylist() for n in ("urlkey", "lasturlkey", "file", "offset", "length")), strict=True))
-            firsts, wanted = [x[0] for x in blocks], set()
-            for k in ordered:  # a key's lines may go on over several blocks
-                i = bisect.bisect_right(firsts, k) - 1
-                while i >= 0 and blocks[i][1] >= k:
-                    wanted.add(blocks[i][2:])
-                    i -= 1
-            for data in ranges(folder, sorted(wanted)):
-                rows = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
-                at = [r["urlkey"] for r in rows]
-                hit = [r for k in ordered for r in rows[bisect.bisect_left(at, k) : bisect.bisect_right(at, k)]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in hit], k) for n, k in kinds], [n for n, _ in kinds])
-
-    if not ordered:
-        return directory.sparkSession.createDataFrame([], ENTRIES)
-    return directory.where(F.col("urlkey") <= ordered[-1]).where(F.col("lasturlkey") >= ordered[0]).mapInArrow(find, ENTRIES)
+            hit = []
+            for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != number:
+                    number, data = block, next(ranges(folder, [places[block]]))
+                    rows = [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
+                    at = [r["urlkey"] for r in rows]
+                hit += rows[bisect.bisect_left(at, key) : bisect.bisect_right(at, key)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in hit], k) for n, k in kinds], [n for n, _ in kinds])
+
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = keys.select("urlkey").where("urlkey IS NOT NULL").distinct().select("urlkey", F.explode(holding("urlkey")).alias("block"))
+    return wanted.repartition(tasks, "block").sortWithinPartitions("block", "urlkey").mapInArrow(find, ENTRIES)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes archives and index of `pages`, reads every record back through the index: READ."""
+    """Writes archives and index of `pages`, looks up every page's URL in the index and reads its records back: READ."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     directory = write_index(write_archives(pages, f"{folder}/archives"), f"{folder}/index")
-    return read_records(captures(directory, f"{folder}/index"), f"{folder}/archives")
+    found = lookup(pages.select(url_key(F.col("url")).alias("urlkey")), directory, f"{folder}/index")
+    return read_records(found, f"{folder}/archives")

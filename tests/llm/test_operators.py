@@ -259,6 +259,12 @@ def test_pseudonyms_are_linked_valid_and_reversible(spark):
     assert [r["text"] for r in pii.pseudonymised(df, "k2").orderBy("doc_id").collect()] != [r["text"] for r in done.orderBy("doc_id").collect()]
 
 
+def test_digits_within_words_are_no_cards(spark):
+    text = "key a4539578763621486 4539578763621486f but 4539578763621486 4539578763621486."
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [(s["start"], s["end"]) for s in pii.pseudonymised(df, "k").first()["pii"]] == [(44, 60), (61, 77)]
+
+
 def test_digits_are_permuted(spark):
     df = spark.range(1000).selectExpr("lpad(cast(id as string), 3, '0') AS d")
     assert df.select(pii.permuted_digits(df["d"], "k", "t").alias("x")).distinct().count() == 1000
@@ -369,11 +375,13 @@ def test_captures_are_looked_up(spark, tables, tmp_path, monkeypatch):
     assert directory.count() > 8
     rows = pages.withColumn("k", warc.url_key(pages["url"])).collect()
     for r in rows[::9]:
-        hits = warc.lookup(directory, f"{folder}/i", [r["k"]])
+        hits = warc.lookup(spark.createDataFrame([(r["k"],), (r["k"],), (None,)], "urlkey string"), directory, f"{folder}/i")
         assert {x["page_id"] for x in hits.collect()} == {x["page_id"] for x in rows if x["k"] == r["k"]}
         got = {x["page_id"]: bytes(x["payload"]) for x in warc.read_records(hits, f"{folder}/a", payload=True).where("record_type = 'response'").collect()}
         assert all(got[x["page_id"]] == (x["html"] or "").encode() for x in rows if x["page_id"] in got)
-    assert warc.lookup(directory, f"{folder}/i", ["com,nowhere)/"]).count() == 0
+    assert warc.lookup(spark.createDataFrame([("com,nowhere)/",)], "urlkey string"), directory, f"{folder}/i").count() == 0
+    every = warc.lookup(spark.createDataFrame([(r["k"],) for r in rows], "urlkey string"), directory, f"{folder}/i")
+    assert every.count() == len(rows)
     assert spark.range(1).select(warc.url_key(warc.F.lit("https://A.b.COM/x?y#z"))).first()[0] == "com,b,a)/x?y#z"
 
 
