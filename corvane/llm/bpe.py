@@ -31,7 +31,7 @@ from corvane.llm.common import by_size, strings
 #: Characters handled at once; a longer document is handled alone.
 BATCH_CHARS = 500_000
 #: Pieces kept per worker in each of two generations, and the longest piece that is kept.
-CACHE_ENTRIES, CACHE_BYTES = 150_000, 64
+CACHE_ENTRIES, CACHE_BYTES = 120_000, 64
 
 # Classes of characters, and states after a character.
 LETTER, NUMBER, OTHER, SPACE, BLANK, QUOTE2, QUOTE3, END = range(8)
@@ -152,21 +152,13 @@ def piece_starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The ids of one piece: the adjacent pair of lowest rank, leftmost first, is joined until none is left."""
+    """The ids of one piece: the adjacent pair of lowest rank, leftmost first, is joined until none is left.
+
+    A heap of pairs and links between parts: in proportion to the length, but for a logarithm.
+    """
     if (one := ranks.get(piece)) is not None:
         return (one,)
-    n = len(piece)
-    get = ranks.get
-    if n <= 48:
-        cuts = list(range(n + 1))
-        costs = [get(piece[i : i + 2], 1 << 30) for i in range(n - 1)]
-        while costs and (low := min(costs)) < 1 << 30:
-            i = costs.index(low)
-            del cuts[i + 1], costs[i]
-            for k in (i - 1, i):
-                if 0 <= k < len(costs):
-                    costs[k] = get(piece[cuts[k] : cuts[k + 2]], 1 << 30)
-        return tuple(ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False))
+    n, get = len(piece), ranks.get
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # start of the next and last part, by start
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -185,6 +177,78 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[piece[i : after[i]]] for i in range(n) if alive[i])
 
 
+class Pairs:
+    """Which pairs of ids join to which id, for whole arrays: tables by multiplied keys, each for those the one before had no place for."""
+
+    SLOT_BITS, NONE = 18, np.int32(1 << 30)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        joins = {a << 32 | b: i for t, i in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None}
+        keys, ids = np.array(list(joins), np.uint64), np.array(list(joins.values()), np.int32)
+        self.tables = []
+        while len(keys):
+            factor = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x51ED2701 * len(self.tables))
+            slot = self._slot(keys, factor)
+            first = np.unique(slot, return_index=True)[1]
+            table, value = np.full(1 << self.SLOT_BITS, 0xFFFFFFFFFFFFFFFF, np.uint64), np.full(1 << self.SLOT_BITS, self.NONE)
+            table[slot[first]], value[slot[first]] = keys[first], ids[first]
+            self.tables.append((factor, table, value))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ids = keys[rest], ids[rest]
+
+    def _slot(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return ((keys * factor) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The joined ids, NONE for pairs that do not join."""
+        keys = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint32)
+        out = np.full(keys.shape, self.NONE)
+        for factor, table, value in self.tables:
+            slot = self._slot(keys, factor)
+            hit = table[slot] == keys
+            out[hit] = value[slot[hit]]
+        return out
+
+    def merged(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of short pieces, all at once: each turn joins the best pair of every piece that has one, then all are a part shorter."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(sizes.max())
+        inside = np.arange(width) < sizes[:, None]
+        ids = np.full((len(pieces), width), -1, np.int32)
+        ids[inside] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        costs = np.full((len(pieces), max(1, width - 1)), self.NONE)
+        costs[:, : width - 1][inside[:, 1:]] = self.of(ids[:, :-1][inside[:, 1:]], ids[:, 1:][inside[:, 1:]])
+        done, rows = [()] * len(pieces), np.arange(len(pieces))
+        while True:
+            at = costs.argmin(1)
+            each = np.arange(len(rows))
+            best = costs[each, at]
+            ended = best == self.NONE
+            if ended.any():
+                counts = (ids[ended] >= 0).sum(1).tolist()
+                for r, own, n in zip(rows[ended].tolist(), ids[ended].tolist(), counts, strict=True):
+                    done[r] = tuple(own[:n])
+                going = ~ended
+                ids, costs, rows, at, best = ids[going], costs[going], rows[going], at[going], best[going]
+                each = np.arange(len(rows))
+            if not len(rows):
+                return done
+            place = np.arange(ids.shape[1] - 1)
+            ids = np.take_along_axis(ids, place + (place > at[:, None]), 1)
+            ids[each, at] = best
+            place = np.arange(max(1, costs.shape[1] - 1))
+            costs = np.take_along_axis(costs, np.minimum(place + (place >= at[:, None]), costs.shape[1] - 1), 1)
+            if ids.shape[1] == 1:
+                costs[:] = self.NONE
+                continue
+            left = np.flatnonzero(at > 0)
+            costs[left, at[left] - 1] = self.of(ids[left, at[left] - 1], best[left])
+            right = np.flatnonzero(at < ids.shape[1] - 1)
+            costs[right, at[right]] = np.where(ids[right, at[right] + 1] >= 0, self.of(best[right], ids[right, at[right] + 1]), self.NONE)
+
+
 @lru_cache(2)
 def worker_encoder(path: str) -> Encoder:
     """The encoder of this worker: tasks that follow find the pieces of earlier ones."""
@@ -202,18 +266,27 @@ class Encoder:
     """Encodes lists of texts; keeps merged pieces."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.cache, self.older = ranks, {}, {}
+        self.ranks, self.pairs, self.cache, self.older = ranks, Pairs(ranks), {}, {}
         self.lengths = np.zeros(max(ranks.values()) + 1, np.int32)
         for token, i in ranks.items():
             self.lengths[i] = len(token)
 
-    def _miss(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.older.get(piece) or merged(piece, self.ranks)
-        if len(piece) <= CACHE_BYTES:
-            if len(self.cache) >= CACHE_ENTRIES:
-                self.cache, self.older = {}, self.cache
-            self.cache[piece] = ids
-        return ids
+    def _fill(self, found: list, pieces: list[bytes]) -> None:
+        """Puts ids where `found` has none: from the older generation, or merged; both are kept."""
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = set(map(pieces.__getitem__, missing))
+        own = {p: x for p in new if (x := self.older.get(p)) is not None}
+        whole = [p for p in new if p not in own]
+        own.update({p: (i,) for p in whole if (i := self.ranks.get(p)) is not None})
+        for least, most in ((0, 8), (8, 16), (16, CACHE_BYTES)):
+            if some := [p for p in whole if least < len(p) <= most and p not in own]:
+                own.update(zip(some, self.pairs.merged(some), strict=True))
+        own.update({p: merged(p, self.ranks) for p in whole if p not in own})
+        for i in missing:
+            found[i] = own[pieces[i]]
+        if len(self.cache) + len(own) > CACHE_ENTRIES:
+            self.cache, self.older = {}, self.cache
+        self.cache.update((p, x) for p, x in own.items() if len(p) <= CACHE_BYTES)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, the byte in its text where each begins, and the number of ids of each text."""
@@ -229,8 +302,7 @@ class Encoder:
         cuts = at.tolist()
         pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         found = list(map(self.cache.get, pieces))
-        for i in [i for i, x in enumerate(found) if x is None]:
-            found[i] = self.cache.get(pieces[i]) or self._miss(pieces[i])
+        self._fill(found, pieces)
         per_piece = np.fromiter(map(len, found), np.int64, len(found))
         first = np.concatenate(([0], np.cumsum(per_piece)))
         ids = np.fromiter(chain.from_iterable(found), np.int32, first[-1])
@@ -271,22 +343,59 @@ def encoder(path: str):
     return encode
 
 
+class Decoder:
+    """Bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = [b""] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.token[i] = t
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each text whose ids end at `ends`; lists of ids are made for one text at a time."""
+        find, cuts = self.token.__getitem__, [0, *ends.tolist()]
+        return [b"".join(map(find, ids[a:b].tolist())) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+@lru_cache(2)
+def worker_decoder(path: str) -> Decoder:
+    return Decoder(read_ranks(path))
+
+
 def decoder(path: str):
     """An Arrow function: ids to the bytes they stand for."""
 
     @F.arrow_udf("binary")
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        ranks = read_ranks(path)
-        token = [b""] * (max(ranks.values()) + 1)
-        for t, i in ranks.items():
-            token[i] = t
+        own = worker_decoder(path)
         for column in columns:
-            ends, values = column.offsets.to_pylist(), column.values.to_numpy()
-            yield pa.array([b"".join(map(token.__getitem__, values[a:b].tolist())) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+            offsets = column.offsets.to_numpy()
+            yield pa.array(own.decode(column.values.to_numpy()[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]), pa.binary())
 
     return decode
 
 
+CHECKED = T.StructType([*ENCODED.fields, T.StructField("decoded", T.BinaryType())])
+
+
+def round_tripper(path: str):
+    """An Arrow function: text to ids, offsets, and the bytes that the ids decode to, by one worker."""
+
+    @F.arrow_udf(CHECKED)
+    def round_trip(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forth, back = worker_encoder(path), worker_decoder(path)
+        for column in columns:
+            texts, parts, decoded = strings(column), [], []
+            for a, b in by_size([len(t) + 1 for t in texts], BATCH_CHARS):
+                parts.append(forth.encode(texts[a:b]))
+                decoded += back.decode(parts[-1][0], np.cumsum(parts[-1][2]))
+            ids, offsets, counts = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
+            columns_out = [_list(ids, counts), _list(offsets, counts), pa.array(decoded, pa.binary())]
+            yield pa.StructArray.from_arrays(columns_out, fields=[pa.field(f.name, x.type) for f, x in zip(CHECKED.fields, columns_out, strict=True)])
+
+    return round_trip
+
+
 def encode(df: DataFrame, ranks: str, text: str = "text", into: str = "tokens") -> DataFrame:
     """`df` with column `into`, a structure of ids and byte offsets; a column of that name is replaced."""
     return df.withColumn(into, encoder(ranks)(F.coalesce(F.col(text), F.lit(""))))
@@ -297,13 +406,18 @@ def decode(df: DataFrame, ranks: str, ids: Column | str = "tokens.ids", into: st
     return df.withColumn(into, decoder(ranks)(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.array().cast("array<int>"))))
 
 
+def round_trip(df: DataFrame, ranks: str, text: str = "text", into: str = "tokens") -> DataFrame:
+    """`df` with column `into`: ids, offsets, and the bytes decoded from the ids. As encode and decode, with half the workers."""
+    return df.withColumn(into, round_tripper(ranks)(F.coalesce(F.col(text), F.lit(""))))
+
+
 def digests(df: DataFrame, ranks: str) -> DataFrame:
     """Per document: doc_id, n_tokens, and SHA-256 of the ids (decimal, joined by commas) and of the decoded bytes."""
-    both = decode(encode(df.select("doc_id", "text"), ranks).select("doc_id", "tokens"), ranks)
+    both = round_trip(df.select("doc_id", "text"), ranks).select("doc_id", "tokens")
     ids = F.col("tokens.ids")
     return both.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("tokens.decoded"), 256).alias("decoded_sha256"),
     )
