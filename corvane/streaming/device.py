@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corvane.operators import telemetry
+from corvane.operators.telemetry import DETECTION_LINE, FILE_LINE
 
 LINES = "device string, line_no long, line string"
 DETECTIONS = "device string, file_no int, file string, rank int, label string, score double"
@@ -22,11 +24,18 @@ def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
+# The stream's driver-side Python process does not have this package on its path unless its environment says so:
+# what is defined here travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class FileFollower(StatefulProcessor):
     """Keeps a device's current file and how many detections it has; puts a batch's lines in order first."""
 
     def __init__(self, threshold: float = 0.01, k: int = 5):
         self.threshold, self.k = threshold, k
+        self.file_line, self.detection_line, self.marker = FILE_LINE, DETECTION_LINE, MARKER
+        self.columns = [x.split()[0] for x in DETECTIONS.split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("current", "file_no int, file string, found int, done boolean")
@@ -37,16 +46,16 @@ class FileFollower(StatefulProcessor):
         for line in pd.concat(list(rows)).sort_values("line_no")["line"]:
             if done:
                 break
-            if head := re.match(telemetry.FILE_LINE, line):
+            if head := re.match(self.file_line, line):
                 number, name, found = int(head[1]), head[3], 0
-            elif name is not None and (hit := re.match(telemetry.DETECTION_LINE, line)):
+            elif name is not None and (hit := re.match(self.detection_line, line)):
                 score = float(hit[3]) / 100
                 if score >= self.threshold and found < self.k:
                     found += 1
                     out.append((key[0], number, name, found, hit[2], score))
-            done = line.startswith(MARKER)
+            done = line.startswith(self.marker)
         self.current.update((number, name, found, done))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in DETECTIONS.split(", ")])
+        yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
         pass
