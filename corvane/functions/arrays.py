@@ -191,6 +191,15 @@ def smoothed(y: Column, by: float, classes: int) -> Column:
     return (1.0 - by) * y + by / classes
 
 
+def samples_per_epoch(files: Column, most: int = 1) -> Column:
+    """About how many samples `files` files with 1 to `most` chunks each make; 1 at least."""
+    return F.greatest(F.lit(1), F.floor(files * (1 + most) / 2)).cast("long")
+
+
+def steps_per_epoch(samples: Column, batch: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(samples / batch)).cast("long")
+
+
 def input_shape(frontend: Column, samples: Column, mels: int, width: int, fft: int) -> Column:
     """The shape of a model's input by its frontend, as text: bands or bins by frames, or samples."""
     return F.when(frontend == "raw", F.concat(samples.cast("string"), F.lit("x1"))).when(frontend == "hybrid", F.lit(f"{fft // 2 + 1}x{width}x1")).otherwise(F.lit(f"{mels}x{width}x1"))

@@ -122,8 +122,8 @@ def a17_profile_totals(spark, sf_dir):
 def a19_steps_per_epoch(spark, sf_dir):
     """Samples and batches an epoch of n files with up to three chunks each makes."""
     n = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    samples = F.greatest(F.lit(1), F.floor(F.col("n") * (1 + 3) / 2)).cast("long")
-    return n.select("s_nationkey", samples.alias("samples"), F.greatest(F.lit(1), F.ceil(samples / 32)).cast("long").alias("steps"))
+    samples = arrays.samples_per_epoch(F.col("n"), 3)
+    return n.select("s_nationkey", samples.alias("samples"), arrays.steps_per_epoch(samples, 32).alias("steps"))
 
 
 @query(f"WITH {LAYERS} SELECT id, round({PARAMS} * 4 / greatest({PARAMS}, 1), 6) AS ratio FROM lay")

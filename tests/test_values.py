@@ -58,6 +58,16 @@ def test_arrays(spark):
     assert got["eights"] == [32, 32, 32, 8, 8, 32]
 
 
+def test_epochs_and_losses(spark):
+    got = one(
+        spark, a=arrays.samples_per_epoch(F.lit(100), 1), b=arrays.samples_per_epoch(F.lit(100), 3), c=arrays.samples_per_epoch(F.lit(0), 3), steps=arrays.steps_per_epoch(F.lit(100), 32),
+        plain=arrays.binary_focal_loss(F.lit(1.0), F.lit(0.3), 0.0), focal=arrays.binary_focal_loss(F.lit(1.0), F.lit(0.3), 2.0), held=arrays.binary_focal_loss(F.lit(1.0), F.lit(0.0), 0.0),
+        top=pooling.pool_matrix(F.array(arr(0.1, 0.9), arr(0.7, 0.3)), 2, "max"),
+    )
+    assert (got["a"], got["b"], got["c"], got["steps"]) == (100, 200, 1, 4) and got["top"] == [0.7, 0.9]
+    assert abs(got["plain"] + math.log(0.3)) < 1e-9 and abs(got["focal"] + 0.49 * math.log(0.3)) < 1e-9 and abs(got["held"] + math.log(1e-7)) < 1e-6
+
+
 def test_activity(spark):
     loud = [0.01] * 90 + [1.0] * 10
     got = one(spark, silence=salience.activity_ratio(arr(*[0] * 20)), constant=salience.activity_ratio(arr(*[0.5] * 20)), some=salience.activity_ratio(arr(*loud)), none=salience.activity_ratio(arr()))
