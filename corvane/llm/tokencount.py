@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import by_size, strings
 
-#: Characters encoded in one call, and the length beyond which a text is split.
-CALL_CHARS, PART_CHARS = 400_000, 4_000
+#: Bytes encoded in one call, about, and the characters beyond which a text is split.
+CALL_BYTES, PART_CHARS = 400_000, 4_000
 #: The model's mark for a space.
 MARK = "▁"
 
@@ -61,7 +61,7 @@ def counter(path: str, part: int = PART_CHARS):
                 parts += own
                 owner += [i] * len(own)
             total = np.zeros(len(column), np.int64)
-            for a, b in by_size([len(p) for p in parts], CALL_CHARS):
+            for a, b in by_size([len(p.encode("utf-8", "replace")) for p in parts], CALL_BYTES):
                 found = model.encode(parts[a:b], out_type=int, num_threads=1)
                 np.add.at(total, owner[a:b], [len(x) for x in found])
             yield pa.array(total)
