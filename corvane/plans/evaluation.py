@@ -63,7 +63,7 @@ def k10_epoch_order(spark, sf_dir):
 @query()
 def x5_training_samples(spark, sf_dir):
     """Signals to the most active chunks of known labels, in the shape the model takes."""
-    rows = signals(spark, sf_dir).select("file", F.concat(F.lit("c"), "label").alias("label"), F.col("x").alias("samples")).where("file % 3 <> 0")
+    rows = signals(spark, sf_dir).select("file", F.concat(F.lit("c"), "label").alias("label"), F.col("x").alias("samples"))
     classes = catalog.class_names(rows.where("label <> 'c9'"))
     done = evaluation.training_samples(rows, classes, 8, most=2, threshold=0.05)
     return done.select("file", "chunk_idx", "start", "class_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
