@@ -10,7 +10,12 @@ Defined results: null text stays null and has no findings; candidates that are n
 are; separators, letters' case and lengths stay (octets of addresses may differ in length); positions
 are code points of the original text; texts are treated whole; rows are independent; other columns
 stay, columns of the result's names are replaced; dates with slashes are read day first where that can
-be, and their pseudonyms are written so.
+be, and their pseudonyms are written so; of a card or account number's candidate that is not valid as a
+whole, the longest valid part from its start to a separator is taken, and what follows is looked through
+again; account numbers of known countries have their country's length; a candidate without such a part is
+passed by whole, so digits right before a number still hide it; where a card number is followed at once by
+another value that begins with digits, both change, and the key gives them back only if their pseudonyms
+do not happen to make one longer valid number.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS, WALK = 8, 24
+ROUNDS, WALK, CARD_WALK = 8, 24, 250
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 HALF_DAYS = 271
 
@@ -33,6 +38,16 @@ SHAPES = {
     "card": r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])",
 }
 ANY = "|".join(SHAPES.values())
+#: The places where a candidate begins, also within others, with the candidate as group 1.
+BEGINS = f"(?=({ANY}))"
+#: Kinds of which a part may be valid: the fewest characters of one, and the separators it may end at.
+PARTS = {"iban": (12, " "), "card": (13, " -")}
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: What every candidate holds: a quick first look.
 HINT = r"[0-9@]"
 
@@ -130,6 +145,11 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), value), F.lit(0), lambda s, d: s + d)
 
 
+def other_sum(digits: Column) -> Column:
+    """The last digit of the Luhn sum with the other digits doubled: what an odd number of further digits would find."""
+    return luhn_sum(F.concat(digits, F.lit("0"))) % 10
+
+
 def remainder_97(text: Column) -> Column:
     """Letters count as two digits from A = 10; the remainder of the number by 97."""
     def step(acc: Column, c: Column) -> Column:
@@ -139,10 +159,19 @@ def remainder_97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str, back: bool) -> Column:
-    digits = digits_of(m)
-    inner = F.substring(digits, F.lit(2), F.length(digits) - 2)
-    body = F.concat(F.substring(digits, 1, 1), permuted_digits(inner, key, "card", back))
-    new = _let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
+    """Walked on until `other_sum` is that of `m` too, so digits that follow make no longer number of the pseudonym than of `m`."""
+
+    def turn(digits: Column) -> Column:
+        inner = F.substring(digits, F.lit(2), F.length(digits) - 2)
+        body = F.concat(F.substring(digits, 1, 1), permuted_digits(inner, key, "card", back))
+        return _let(body, lambda x: F.concat(x, F.pmod(-luhn_sum(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")))
+
+    def walk(given: Column) -> Column:
+        state = lambda d, done: F.struct(d.alias("d"), done.alias("done"))
+        step = lambda acc, _: F.when(acc["done"], acc).otherwise(_let(turn(acc["d"]), lambda d: state(d, other_sum(d) == given["sum"])))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(CARD_WALK)), state(given["d"], F.lit(False)), step, lambda acc: acc["d"])
+
+    new = _let(_let(digits_of(m), lambda d: F.struct(d.alias("d"), other_sum(d).alias("sum"))), walk)
     return _let(new, lambda x: refilled(m, x))
 
 
@@ -206,9 +235,20 @@ def _email(m: Column, key: str, back: bool) -> Column:
     return F.concat(permuted_text(F.substring_index(m, "@", 1), key, "email", back), F.lit("@"), F.substring_index(m, "@", -1))
 
 
+def _account(m: Column) -> Column:
+    """Whether the length is the country's, where that is known, and the remainder 1."""
+    def fits(x: Column) -> Column:
+        wanted = F.lit(None).cast("int")
+        for n, countries in IBAN_LENGTHS.items():
+            wanted = F.when(F.substring(x, 1, 2).isin(countries.split()), n).otherwise(wanted)
+        return F.coalesce(wanted == F.length(x), F.lit(True)) & (remainder_97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1)
+
+    return _let(F.replace(m, F.lit(" "), F.lit("")), fits)
+
+
 VALID = {
     "email": lambda m: F.lit(True),
-    "iban": lambda m: _let(F.replace(m, F.lit(" "), F.lit("")), lambda x: remainder_97(F.concat(F.substring(x, F.lit(5), F.length(x)), F.substring(x, 1, 4))) == 1),
+    "iban": _account,
     "ip": lambda m: F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255),
     "date": lambda m: F.coalesce(_day(m).between(FIRST_DAY, "2099-12-31"), F.lit(False)),
     "ssn": lambda m: _social(digits_of(m)),
@@ -218,6 +258,15 @@ VALID = {
 PSEUDONYM = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def _part(m: Column, kind: str) -> Column:
+    """The length of the longest valid part of `m` from its start to a separator; null if there is none."""
+    least, marks = PARTS[kind]
+    own = lambda n: F.substring(m, F.lit(1), n)
+    fits = lambda n: F.when(F.substring(m, n + 1, F.lit(1)).isin(*marks), F.when(F.regexp_like(own(n), F.lit(f"^(?:{SHAPES[kind]})$")), VALID[kind](own(n)))).otherwise(F.lit(False))
+    ends = F.when(F.length(m) > least, F.sequence(F.length(m) - 1, F.lit(least), F.lit(-1)))
+    return F.get(F.filter(ends, fits), F.lit(0))
+
+
 def pseudonymised(df: DataFrame, key: str, text: str = "text", into: str = "pii", back: bool = False) -> DataFrame:
     """`df` with personal data in `text` replaced by pseudonyms (or, with `back`, pseudonyms by what they stand for), and column
     `into`: an array of kind, start and end of what was replaced, in code points of the given text."""
@@ -227,34 +276,47 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", into: str = "pii"
         kind_of_, shape = kind_of, SHAPES[kind]
         kind_of = (lambda k, s, other: lambda m: F.when(F.regexp_like(m, F.lit(f"^(?:{s})$")), F.when(VALID[k](m), F.lit(k))).otherwise(other(m) if callable(other) else other))(kind, shape, kind_of_)
 
-    def new(x: Column) -> Column:
-        out = x["m"]
-        for kind in SHAPES:
-            out = F.when(x["kind"] == kind, PSEUDONYM[kind](x["m"], key, back)).otherwise(out)
-        return F.struct(x["m"].alias("m"), x["kind"].alias("kind"), out.alias("out"))
+    def named(m: Column) -> Column:
+        """Kind and length of what counts of a candidate: all of it, else a part; no kind if neither."""
+        whole_of = lambda k: F.struct(k.alias("kind"), F.length(m).alias("n"))
+        out = whole_of(F.lit(None).cast("string"))
+        for kind in reversed(PARTS):
+            out = (lambda k, other: _let(_part(m, k), lambda n: F.when(n.isNotNull(), F.struct(F.lit(k).alias("kind"), n.alias("n"))).otherwise(other)))(kind, out)
+        return _let(kind_of(m), lambda k: F.when(k.isNotNull(), whole_of(k)).otherwise(out))
 
-    matches = F.regexp_extract_all(whole, F.lit(ANY), F.lit(0))
-    named = F.transform(matches, lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
     some = F.regexp_like(whole, F.lit(HINT)) & F.regexp_like(whole, F.lit(ANY))
-    work = df.withColumn("__found", F.when(some, F.transform(named, new)))
-    parts = F.split(whole, ANY, -1)
-    text_out = F.concat(
-        F.array_join(F.transform("__found", lambda x, i: F.concat(F.get(parts, i), x["out"])), ""),
-        F.element_at(parts, -1),
-    )
-    before = F.transform(parts, F.length)
+    candidates = F.transform(F.regexp_extract_all(whole, F.lit(BEGINS), F.lit(1)), lambda m: _let(named(m), lambda x: F.struct(F.substring(m, F.lit(1), x["n"]).alias("m"), x["kind"].alias("kind"), x["n"].alias("n"))))
+    # Pieces each begin with a candidate, but for the first where the text does not.
+    work = df.withColumn("__found", F.when(some, candidates)).withColumn("__parts", F.when(some, F.split(whole, BEGINS, -1)))
+    found, pieces = F.col("__found"), F.col("__parts")
+    head = F.when(F.size(pieces) > F.size(found), F.get(pieces, F.lit(0))).otherwise(F.lit(""))
+    own = F.slice(pieces, F.size(pieces) - F.size(found) + 1, F.size(found))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["before"]
-        end = start + F.length(x["found"]["m"])
-        span = F.struct(x["found"]["kind"].alias("kind"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["found"]["kind"].isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    zipped = F.arrays_zip(F.col("__found").alias("found"), F.slice(before, 1, F.size("__found")).alias("before"))
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    done = work.withColumns({"__text": F.when(F.col("__found").isNotNull(), text_out).otherwise(whole), into: F.when(F.col("__found").isNotNull(), spans).otherwise(none)})
-    return done.withColumn(text, F.col("__text")).drop("__found", "__text")
+        """Candidates count from the left; those that begin within one before are left out. cut: characters of the piece that a value has taken."""
+        at, f = acc["at"], x["found"]
+        free = at >= acc["shut"]
+        new = free & f["kind"].isNotNull()
+        taken = F.when(new, at + f["n"]).otherwise(acc["taken"])
+        piece = F.struct(F.when(new, f["kind"]).alias("kind"), F.when(new, f["m"]).alias("m"), at.alias("start"), F.greatest(taken - at, F.lit(0)).alias("cut"), x["piece"].alias("piece"))
+        return F.struct((at + F.length(x["piece"])).alias("at"), F.when(free, at + f["n"]).otherwise(acc["shut"]).alias("shut"), taken.alias("taken"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    none = F.array().cast("array<struct<kind:string,m:string,start:int,cut:int,piece:string>>")
+    start = F.struct(F.length(head).alias("at"), F.lit(0).alias("shut"), F.lit(0).alias("taken"), none.alias("out"))
+    work = work.withColumn("__read", F.aggregate(F.arrays_zip(found.alias("found"), own.alias("piece")), start, step, lambda acc: acc["out"]))
+
+    def new(x: Column) -> Column:
+        out = F.lit("")
+        for kind in SHAPES:
+            out = F.when(x["kind"] == kind, PSEUDONYM[kind](x["m"], key, back)).otherwise(out)
+        return F.concat(out, F.substring(x["piece"], x["cut"] + 1, F.length(x["piece"])))
+
+    text_out = F.concat(head, F.array_join(F.transform("__read", new), ""))
+    span = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["m"])).alias("end"))
+    spans = F.transform(F.filter("__read", lambda x: x["kind"].isNotNull()), span)
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    done = work.withColumns({"__text": F.when(found.isNotNull(), text_out).otherwise(whole), into: F.when(found.isNotNull(), spans).otherwise(empty)})
+    return done.withColumn(text, F.col("__text")).drop("__found", "__parts", "__read", "__text")
 
 
 def private_texts(documents: DataFrame, key: str) -> DataFrame:
