@@ -23,8 +23,6 @@ from corvane.llm.common import written
 
 MIN_SUPPORT, MIN_CONFIDENCE, MOST_TOKENS = 0.005, 0.8, 4
 DEFAULT = "allow"
-#: Labelled URLs the rules are mined from, about: a sample by hash, so that mining costs the same at any size.
-FIT_ROWS = 200_000
 #: Combinations of the index that are kept, the surest; a bound on what joins may broadcast.
 MOST_RULES = 10_000
 LABEL = "verdict="
@@ -68,17 +66,14 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))
 
 
-def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, rows: int = FIT_ROWS) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support, key) from rows (url, label): frequent token combinations that tell the label.
+def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Rules (tokens, verdict, confidence, support, key) from all rows (url, label): frequent token combinations that tell the label.
 
     A rule is dropped if one with fewer of its tokens is as sure. key: the token of the rule that fewest
     of the mined URLs have.
     """
-    total = labelled.count()
-    share = min(1.0, rows / max(1, total))
-    sample = labelled.where(F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * share))
     items = F.array_append(tokens_of(F.col("url")), F.concat(F.lit(LABEL), F.col("label")))
-    baskets = written(sample.where(F.col("label").isNotNull()).select(items.alias("items")), "baskets")
+    baskets = written(labelled.where(F.col("label").isNotNull()).select(items.alias("items")), "baskets")
     n = baskets.count()
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(baskets)
     sets = written(model.freqItemsets.withColumn("items", F.array_sort("items")), "frequent-sets")
