@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import written
 
-MIN_SUPPORT, MIN_CONFIDENCE, MOST_TOKENS = 0.005, 0.8, 4
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
 DEFAULT = "allow"
-#: Combinations of the index that are kept, the surest; a bound on what joins may broadcast.
-MOST_RULES = 10_000
 LABEL = "verdict="
 
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -66,6 +64,10 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))
 
 
+def _label_of(item: Column) -> Column:
+    return F.substring(item, F.lit(len(LABEL) + 1), F.length(item))
+
+
 def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, verdict, confidence, support, key) from all rows (url, label): frequent token combinations that tell the label.
 
@@ -80,9 +82,9 @@ def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: f
     is_label = lambda t: F.startswith(t, F.lit(LABEL))
     bare = sets.where(~F.exists("items", is_label)).select(F.col("items").alias("tokens"), F.col("freq").alias("whole"))
     labels = sets.where(F.exists("items", is_label)).select(
-        F.filter("items", lambda t: ~is_label(t)).alias("tokens"), F.substring(F.element_at(F.filter("items", is_label), 1), len(LABEL) + 1, 100).alias("verdict"), "freq"
+        F.filter("items", lambda t: ~is_label(t)).alias("tokens"), _label_of(F.get(F.filter("items", is_label), F.lit(0))).alias("verdict"), "freq"
     )
-    rules = labels.where(F.size("tokens").between(1, MOST_TOKENS)).join(bare, "tokens")
+    rules = labels.where(F.size("tokens") > 0).join(bare, "tokens")
     rules = rules.select("tokens", "verdict", (F.col("freq") / F.col("whole")).alias("confidence"), (F.col("freq") / max(1, n)).alias("support")).where(F.col("confidence") >= confidence)
     # Rules with one token fewer, looked up by what is left without each token.
     fewer = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token")).select(
@@ -90,7 +92,7 @@ def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: f
     )
     smaller = rules.select("tokens", "verdict", F.col("confidence").alias("own"))
     implied = fewer.join(smaller, ["tokens", "verdict"]).where("own >= confidence").select(F.col("of").alias("tokens"), "verdict").distinct()
-    kept = rules.join(implied, ["tokens", "verdict"], "left_anti").orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), "tokens", "verdict").limit(MOST_RULES)
+    kept = rules.join(implied, ["tokens", "verdict"], "left_anti")
     single = bare.where(F.size("tokens") == 1).select(F.element_at("tokens", 1).alias("token"), "whole")
     rarest = kept.select("tokens", "verdict", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "verdict").agg(F.min_by("token", F.struct("whole", "token")).alias("key"))
     return written(kept.join(rarest, ["tokens", "verdict"]), "url-rules")

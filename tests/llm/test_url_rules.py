@@ -13,3 +13,19 @@ def test_all_labelled_rows_count(spark):
     rule = found[("host:hot",)]
     assert rule["verdict"] == "block" and rule["confidence"] == 1.0 and rule["support"] == 100_000 / 300_000
     assert sum(found[(f"host:{c}",)]["support"] for c in "abcdefg") * 300_000 == 200_000
+
+
+def test_rules_of_many_tokens_and_long_labels_are_kept(spark):
+    words = [("a", "f"), ("b", "g"), ("c", "h"), ("d", "i"), ("e", "j")]
+    urls = ["?" + "&".join(p[i >> k & 1] for k, p in enumerate(words)) for i in range(32)]
+    label = "block" + "x" * 120
+    labelled = spark.createDataFrame([(u, label if u == urls[0] else "allow") for u in urls], "url string, label string")
+    found = {r["url"]: r["mined"]["verdict"] for r in urlfilter.mined_verdicts(labelled, urlfilter.mined_rules(labelled, 0.02, 0.8)).collect()}
+    assert found == {u: label if u == urls[0] else "allow" for u in urls}
+
+
+def test_more_than_ten_thousand_rules_are_kept(spark):
+    urls = ["?" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(10_100)]
+    labelled = spark.createDataFrame([(u, "block") for u in urls], "url string, label string")
+    rules = urlfilter.mined_rules(labelled, 1 / 20_000, 0.8)
+    assert rules.count() == len(urls) and urlfilter.mined_verdicts(labelled, rules).count() == len(urls)
