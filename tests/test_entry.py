@@ -1,5 +1,6 @@
 """The entry points, with and without the corpus subpackage, and the command line."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -24,12 +25,15 @@ def test_entry(spark):
     assert df.columns == ["class", "ap", "n_positive", "n_total"] and df.count() == 10
 
 
-def test_entry_without_the_corpus_subpackage(tmp_path):
-    for name in ("corvane", "__spark_entry__.py"):
-        (shutil.copytree if (REPO / name).is_dir() else shutil.copy)(REPO / name, tmp_path / name)
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)], ids=["all deleted", "pipeline left in place"])
+def test_entry_without_the_corpus_subpackage(tmp_path, left):
+    for name in ("corvane", "__spark_entry__.py", *left):
+        if (REPO / name).exists():
+            (shutil.copytree if (REPO / name).is_dir() else shutil.copy)(REPO / name, tmp_path / name)
     shutil.rmtree(tmp_path / "corvane/llm", ignore_errors=True)
-    code = "import __spark_entry__ as e; names = e.queries(); assert names and not any(n.startswith('op') or n == 'pipeline' for n in names) and e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    code = "import __spark_entry__ as e; names = e.queries(); assert len(names) > 100 and not any(n.startswith('op') or n == 'pipeline' for n in names) and e.oracle_sql(); assert e.__file__.startswith(%r)" % str(tmp_path)
+    clean = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, check=True, timeout=120)
 
 
 def test_nothing_else_imports_the_corpus_subpackage():
