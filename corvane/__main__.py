@@ -34,8 +34,11 @@ def report(spark: SparkSession, scores: DataFrame, out: str, method: str = "aver
 
 
 def board(spark: SparkSession, log: str, out: str, k: int = 5, threshold: float = 0.01, chunk_seconds: float = 3.0) -> dict[str, DataFrame]:
-    """Writes a device log's detections, timings and totals; a log is one file, read whole to keep its order."""
-    lines = spark.read.text(log, wholetext=True).select(F.lit("board").alias("device"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """Writes a device log's detections, timings and totals. A log is one file, read in splits: a line's number is where its split
+    begins plus its place there, which keeps the order."""
+    read = spark.read.text(log).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    firsts = read.groupBy("block").agg(F.min("id").alias("first"))
+    lines = read.join(firsts, "block").select(F.lit("board").alias("device"), (F.col("block") + F.col("id") - F.col("first")).alias("line_no"), "line")
     tables = {
         "detections": telemetry.detections(lines, threshold, k),
         "board": telemetry.board_rows(telemetry.results(lines, threshold, k)),

@@ -20,27 +20,37 @@ class ModelConfig:
     """What a model was trained with. Unknown keys of files are dropped, missing ones have these values."""
 
     sample_rate: int = 24_000
-    chunk_duration: float = 3.0
     num_mels: int = 64
     spec_width: int = 256
     fft_length: int = 512
+    chunk_duration: float = 3.0
+    hop_length: int = 281
     audio_frontend: str = "hybrid"
     mag_scale: str = "pwl"
+    n_mfcc: int = 20
+    embeddings_size: int = 256
+    alpha: float = 1.0
+    depth_multiplier: int = 1
+    use_se: bool = True
+    se_reduction: int = 8
+    use_inverted_residual: bool = True
+    expansion_factor: int = 2
+    use_attention_pooling: bool = False
+    dropout_rate: float = 0.5
+    frontend_trainable: bool = False
+    num_classes: int = 0
     class_names: list[str] = field(default_factory=list)
 
     def __post_init__(self):
         self.audio_frontend = ALIASES.get(self.audio_frontend, self.audio_frontend)
         checks = {
             "sample_rate": self.sample_rate > 0, "chunk_duration": self.chunk_duration > 0, "num_mels": self.num_mels > 0, "spec_width": self.spec_width > 0, "fft_length": self.fft_length > 0,
-            "audio_frontend": self.audio_frontend in FRONTENDS, "mag_scale": self.mag_scale in MAGNITUDES,
+            "audio_frontend": self.audio_frontend in FRONTENDS, "mag_scale": self.mag_scale in MAGNITUDES, "alpha": self.alpha > 0, "depth_multiplier": self.depth_multiplier >= 1,
+            "dropout_rate": 0 <= self.dropout_rate < 1, "num_classes": self.num_classes >= 0, "class_names": not self.class_names or len(self.class_names) == self.num_classes,
         }
         if wrong := [k for k, good in checks.items() if not good]:
             raise ValueError(f"not valid: {', '.join(wrong)}")
 
-    @property
-    def num_classes(self) -> int:
-        return len(self.class_names)
-
     @classmethod
     def from_dict(cls, given: dict) -> ModelConfig:
         return cls(**{f.name: given[f.name] for f in fields(cls) if f.name in given})
@@ -53,7 +63,8 @@ class ModelConfig:
         return json.dumps(asdict(self), indent=2)
 
 
-SCHEMA = "sample_rate int, chunk_duration double, num_mels int, spec_width int, fft_length int, audio_frontend string, mag_scale string, class_names array<string>"
+SQL_TYPES = {"int": "int", "float": "double", "str": "string", "bool": "boolean", "list[str]": "array<string>"}
+SCHEMA = ", ".join(f"{f.name} {SQL_TYPES[f.type]}" for f in fields(ModelConfig))
 
 
 def parsed(text: Column) -> Column:
@@ -79,21 +90,32 @@ class DeployConfig:
 
 
 def read_settings(path: str) -> dict:
-    """A TOML or JSON file, whichever it is, its tables `deploy` and `build` made one."""
-    with open(path, "rb") as f:
-        data = f.read()
+    """A TOML or JSON file, whichever it is; without one of that name, the one with the other ending; {} without either."""
+    stem, ending = os.path.splitext(path)
+    for name in (path, stem + {".json": ".toml", ".toml": ".json"}.get(ending, ending)):
+        if os.path.isfile(name):
+            with open(name, "rb") as f:
+                return parsed_settings(f.read().decode(), name.endswith(".json"))
+    return {}
+
+
+def parsed_settings(text: str, is_json: bool = False) -> dict:
+    """TOML or JSON, the other where the one does not fit; the tables `deploy` and `build` are made one."""
     try:
-        found = tomllib.loads(data.decode()) if not path.endswith(".json") else json.loads(data)
+        found = json.loads(text) if is_json else tomllib.loads(text)
     except (tomllib.TOMLDecodeError, json.JSONDecodeError):
-        found = json.loads(data) if not path.endswith(".json") else tomllib.loads(data.decode())
+        found = tomllib.loads(text) if is_json else json.loads(text)
     flat = {k: v for k, v in found.items() if not isinstance(v, dict)}
     return flat | found.get("deploy", {}) | found.get("build", {})
 
 
 def resolve(given: dict | None = None, path: str | None = None, prefix: str = "CORVANE_", environment: dict | None = None) -> DeployConfig:
     """Given values first, then the environment, then a file, then the defaults; empty values do not count."""
-    environment = dict(os.environ) if environment is None else environment
-    layers = [given or {}, {f.name: environment.get(prefix + f.name.upper()) for f in fields(DeployConfig)}, read_settings(path) if path else {}]
+    return layered(given or {}, dict(os.environ) if environment is None else environment, read_settings(path) if path else {}, prefix)
+
+
+def layered(given: dict, environment: dict, file: dict, prefix: str = "CORVANE_") -> DeployConfig:
+    layers = [given, {f.name: environment.get(prefix + f.name.upper()) for f in fields(DeployConfig)}, file]
     out = {}
     for f in fields(DeployConfig):
         for layer in layers:

@@ -179,8 +179,15 @@ def geometric_sweep(step: Column, low: float, high: float, n: int) -> Column:
     return low * F.pow(F.lit(high / low), step / float(n - 1))
 
 
-def binary_focal_loss(y: Column, p: Column, gamma: float = 2.0, floor: float = 1e-7) -> Column:
-    """(1 - p_t)^gamma times the cross-entropy of one probability, held off 0 and 1."""
+def binary_focal_loss(y: Column, p: Column, gamma: float = 2.0, floor: float = 1e-7, from_logits: bool = False) -> Column:
+    """(1 - p_t)^gamma times the cross-entropy of one probability, held off 0 and 1.
+
+    From a logit, the entropy is that of its logistic (max(x, 0) - x y + ln(1 + exp(-|x|)), never infinite),
+    and p_t is the logistic itself whatever the label, as the reference has it.
+    """
+    if from_logits:
+        entropy = F.greatest(p, F.lit(0.0)) - p * y + F.log1p(F.exp(-F.abs(p)))
+        return F.pow(1.0 - 1.0 / (1.0 + F.exp(-p)), F.lit(gamma)) * entropy
     held = F.least(F.greatest(p, F.lit(floor)), F.lit(1.0 - floor))
     entropy = -(y * F.ln(held) + (1.0 - y) * F.ln(1.0 - held))
     right = y * held + (1.0 - y) * (1.0 - held)
@@ -200,13 +207,22 @@ def steps_per_epoch(samples: Column, batch: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(samples / batch)).cast("long")
 
 
-def input_shape(frontend: Column, samples: Column, mels: int, width: int, fft: int) -> Column:
-    """The shape of a model's input by its frontend, as text: bands or bins by frames, or samples."""
-    return F.when(frontend == "raw", F.concat(samples.cast("string"), F.lit("x1"))).when(frontend == "hybrid", F.lit(f"{fft // 2 + 1}x{width}x1")).otherwise(F.lit(f"{mels}x{width}x1"))
+def input_shape(frontend: Column, samples: Column, mels: int, width: int, fft: int, cepstra: int = 20) -> Column:
+    """The shape of a model's input by its frontend, as text: bands, bins or coefficients by frames, or samples; an unknown frontend is an error."""
+    framed = lambda rows: F.lit(f"{rows}x{width}x1")
+    named = F.when(frontend == "raw", F.concat(samples.cast("string"), F.lit("x1"))).when(frontend == "hybrid", framed(fft // 2 + 1)).when(frontend == "mfcc", framed(cepstra))
+    return named.when(frontend.isin("librosa", "log_mel"), framed(mels)).otherwise(F.raise_error(F.concat(F.lit("unknown frontend: "), frontend)).cast("string"))
 
 
-def reservoir_limits(samples: Column, classes: int, batch: int, megabytes: int) -> Column:
-    """(high, low): float samples and labels that a buffer holds, 1024 and two batches at the limits, and half of that."""
-    size = samples * 4 + classes * 4
-    high = F.least(F.lit(1024), F.greatest(F.lit(2 * batch), F.floor(F.lit(megabytes * 1024 * 1024) / size).cast("int")))
-    return F.struct(high.cast("int").alias("high"), F.greatest(F.lit(batch), F.floor(high / 2)).cast("int").alias("low"))
+def reservoir_limits(elements: Column, classes: int, batch: int, megabytes: float) -> Column:
+    """(high, low) watermarks of a buffer of float samples of `elements` each and their labels.
+
+    high: what the megabytes (1 at least) hold, 1,024 at most, but four batches and 32 in any case. low: a
+    third of it, two batches at least, and a batch less than high where that would not be below it.
+    """
+    size = F.greatest((elements + classes) * 4, F.lit(1))
+    held = F.floor(F.lit(int(max(megabytes, 1.0) * 1024 * 1024)) / size)
+    high = F.greatest(F.lit(max(4 * batch, 32)), F.least(F.lit(1024), held))
+    third = F.greatest(F.lit(2 * batch), F.floor(high / 3))
+    low = F.when(third >= high, F.greatest(F.lit(batch), high - batch)).otherwise(third)
+    return F.struct(high.cast("int").alias("high"), low.cast("int").alias("low"))

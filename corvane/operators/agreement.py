@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from corvane.functions import arrays
 
 # Layer types by what runs on the device, those that need care, and those with weights to quantize.
-SUPPORTED = ["Conv2D", "DepthwiseConv2D", "Dense", "BatchNormalization", "ReLU", "Add", "GlobalAveragePooling2D", "Dropout", "Activation", "Reshape", "Flatten", "Multiply"]
-CAREFUL = ["Softmax", "LayerNormalization"]
+SUPPORTED = [
+    "Conv2D", "DepthwiseConv2D", "Dense", "BatchNormalization", "ReLU", "Add", "Multiply", "GlobalAveragePooling2D", "AveragePooling2D", "MaxPooling2D",
+    "Reshape", "Flatten", "Concatenate", "ZeroPadding2D", "Dropout", "SpatialDropout2D", "Activation", "Softmax", "Sigmoid", "InputLayer",
+]
+CAREFUL = ["Lambda", "LSTM", "GRU", "SimpleRNN", "Bidirectional", "MultiHeadAttention", "LayerNormalization", "GroupNormalization"]
 INPUTS = ["InputLayer"]
 QUANTIZABLE = ["Conv2D", "DepthwiseConv2D", "Dense"]
 
@@ -43,7 +46,7 @@ def quantization_gate(summary: DataFrame, least: float = 0.95) -> DataFrame:
 
 
 def unsupported_layers(layers: DataFrame) -> DataFrame:
-    """name, layer_type, status of layers that are not supported or need care; input layers do not count."""
+    """name, layer_type, status of layers that are not known to be supported; `care` for those known to need it; input layers do not count."""
     kind = F.col("layer_type")
     return layers.where(~kind.isin(INPUTS) & ~kind.isin(SUPPORTED)).select("name", "layer_type", F.when(kind.isin(CAREFUL), "care").otherwise("unsupported").alias("status"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import arrays
-from corvane.operators import catalog, pooling, ranking, salience, scoring
+from corvane.operators import augment, catalog, pooling, ranking, salience, scoring
 
 
 def chunk_limit(most: int) -> int:
@@ -19,12 +19,16 @@ def training_samples(signals: DataFrame, classes: DataFrame, size: int, most: in
 
     Unknown labels go before anything else is done. Long signals are cut around their loudest regions,
     others into all their chunks; each file keeps its best chunk and up to `most` above the threshold.
+    A signal without samples (or null: not decoded) becomes a chunk of uniform noise drawn from its file, without a class.
     """
     named = classes.select(F.col("class").alias("__c"), "class_idx")
-    known = signals.join(F.broadcast(named), F.col("label") == F.col("__c"), "left").where(F.col("class_idx").isNotNull() | catalog.is_noise(F.col("label")))
+    known = signals.join(named, F.col("label") == F.col("__c"), "left").where(F.col("class_idx").isNotNull() | catalog.is_noise(F.col("label")))
     x, limit = arrays.doubles(F.col("samples")), chunk_limit(most)
     starts = F.when(arrays.n_chunks(F.size("samples"), size, size) > limit, salience.crops(x, size, limit)).otherwise(arrays.chunk_starts(F.size("samples"), size, size))
-    cut = known.where(F.size("samples") > 0).select(file, "class_idx", F.col("samples").alias("__x"), F.posexplode(starts).alias("chunk_idx", "start"))
+    silent = F.coalesce(F.size("samples"), F.lit(0)) <= 0
+    noise = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: 2 * augment.uniform(F.col(file), "noise", i) - 1)
+    heard = known.withColumns({"samples": F.when(silent, noise).otherwise(x), "class_idx": F.when(~silent, F.col("class_idx"))})
+    cut = heard.select(file, "class_idx", F.col("samples").alias("__x"), F.posexplode(starts).alias("chunk_idx", "start"))
     own = arrays.fitted(F.slice(arrays.doubles(F.col("__x")), F.col("start") + 1, F.lit(size)), size)
     rated = cut.select(file, "class_idx", "chunk_idx", "start", own.alias("samples")).withColumn("activity", salience.activity_ratio(F.col("samples")))
     kept = salience.ranked_chunks(rated, "activity", threshold, most, file)

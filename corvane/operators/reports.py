@@ -73,19 +73,30 @@ def species_report(scored: DataFrame, group: str, order: str, resamples: int = 1
     ).orderBy(F.desc("ap"), group)
 
 
-def benchmark_json(scored: DataFrame, classes: int) -> DataFrame:
-    """One row of JSON: the overall metrics with six places."""
+def benchmark_json(scored: DataFrame, classes: int, model: str = "", species: DataFrame | None = None, config: str | None = None) -> DataFrame:
+    """One row of JSON: the model's path, the number of classes and files, the overall metrics with six places, and where they are
+    given the species report and the model's settings (JSON text)."""
     all_of = ranking.micro_scores(scored).join(F.broadcast(ranking.roc_auc(scored))).join(F.broadcast(ranking.average_precision(scored).select(F.col("ap").alias("map"))))
     names = {"f1": "f1", "map": "map", "precision": "precision", "recall": "recall", "roc_auc": "auc"}
     inner = F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), F.format_string("%.6f", F.col(c))) for n, c in names.items()))
-    return all_of.select(F.concat(F.lit('{"metrics":{'), inner, F.lit('},"num_classes":' + str(classes) + "}")).alias("json"))
-
-
-def html_report(title: str, tables: dict[str, DataFrame], most: int = 1000) -> str:
-    """A page with a table per report; reports are small by nature, and `most` rows of each are shown."""
+    head = F.to_json(F.struct(F.lit(model).alias("model_path"), F.lit(classes).alias("num_classes"), F.col("files").alias("num_files")))
+    parts = [F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"metrics":{'), inner, F.lit("}")]
+    rows = all_of.join(F.broadcast(scored.agg(F.countDistinct("file").alias("files")))).withColumn("head", head)
+    if species is not None:  # a row per class
+        one = F.concat(F.lit('{"class":'), F.to_json(F.struct(F.col("class").alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("class").alias("v")))) - 6), *(F.concat(F.lit(f',"{n}":'), F.format_string("%.6f", n)) for n in ("ap", "ci_lower", "ci_upper")), *(F.concat(F.lit(f',"{n}":'), F.col(n).cast("string")) for n in ("n_positive", "n_total")), F.lit("}"))
+        listed = species.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("ap")).alias("o"), "class", one.alias("j")))), lambda x: x["j"]), ",").alias("species"))
+        rows = rows.join(F.broadcast(listed))
+        parts += [F.lit(',"species":['), F.col("species"), F.lit("]")]
+    if config is not None:
+        parts.append(F.lit(',"config":' + config))
+    return rows.select(F.concat(*parts, F.lit("}")).alias("json"))
+
+
+def html_report(title: str, tables: dict[str, DataFrame]) -> str:
+    """A page with a table per report, all its rows: give it reports, which have a row per class or less, or one per pair of classes."""
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
-        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:.6f}' if isinstance(v, float) else str(v))}</td>" for v in row) + "</tr>" for row in df.limit(most).collect())
+        body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:.6f}' if isinstance(v, float) else str(v))}</td>" for v in row) + "</tr>" for row in df.toLocalIterator())
         out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
     return "".join([*out, "</body></html>"])

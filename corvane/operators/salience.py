@@ -10,6 +10,8 @@ from corvane.functions import arrays
 
 #: Points that the median of an activity ratio is taken over.
 SUBSAMPLE = 512
+#: A signal whose frames' energies are all below this is silent.
+SILENCE = 1e-10
 
 
 def median(values: Column) -> Column:
@@ -92,7 +94,8 @@ def apart(starts: Column, distance: float | Column, most: int) -> Column:
 
 def crops(samples: Column, size: int, most: int = 5, q: float = 0.75) -> Column:
     """Starts of at most `most` chunks around the loudest places: frames at or over the percentile of energy form regions; chunks centre
-    on the regions' peaks, by falling energy, not nearer than half a chunk. Short signals are one chunk at 0."""
+    on where the regions' peak frames begin, by falling energy, not nearer than half a chunk (in whole samples). A silent signal gives
+    its centre, a short one a single chunk at 0."""
     frame = max(1, min(1024, size // 4))
     hop = max(1, frame // 2)
     energy = arrays.short_time_energy(samples, frame, hop)
@@ -114,6 +117,8 @@ def crops(samples: Column, size: int, most: int = 5, q: float = 0.75) -> Column:
 
     centred = F.transform(
         F.array_sort(arrays.element_of(energy, regions)),
-        lambda r: F.least(F.greatest(r["at"] * hop + frame // 2 - size // 2, F.lit(0)), F.greatest(F.size(samples) - size, F.lit(0))),
+        lambda r: F.greatest(F.lit(0), F.least(r["at"] * hop - size // 2, F.size(samples) - size)),
     )
-    return F.when(F.size(samples) <= size, F.array(F.lit(0))).otherwise(apart(centred, size / 2, most))
+    middle = F.array(F.greatest(F.lit(0), F.floor(F.size(samples) / 2).cast("int") - size // 2))
+    silent = F.array_max(energy) < SILENCE
+    return F.when(F.size(samples) <= size, F.array(F.lit(0))).when(silent, middle).otherwise(apart(centred, size // 2, most))

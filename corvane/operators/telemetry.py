@@ -16,6 +16,11 @@ TIMING_LINE = r"^\s+\[BENCH\]\s+read=(\d+)ms\s+stft=(\d+)ms\s+npu=(\d+)ms\s+tota
 TOTALS_LINE = r"^Processed:\s+(\d+)\s*/\s*(\d+)\s+files\s+\((\d+)\s+errors\)"
 AVERAGES_LINE = r"^Benchmark:.*avg read=(\d+)ms\s+stft=(\d+)ms\s+npu=(\d+)ms\s+total=(\d+)ms\)$"
 TIMES = ("read_ms", "stft_ms", "npu_ms", "total_ms")
+# What a run ends with, and how many lines are read after that.
+MARKER, AFTER_MARKER = "=== DONE ===", 5
+
+#: Lines of one device that are looked through together; what they begin under comes from those before.
+RANGE_LINES = 50_000
 
 
 def part(pattern: str, group: int) -> Column:
@@ -27,10 +32,35 @@ def _is(pattern: str) -> Column:
 
 
 def with_files(lines: DataFrame) -> DataFrame:
-    """`lines` with file and file_no of the last file line so far; null before the first."""
-    so_far = Window.partitionBy("device").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    head = _is(FILE_LINE)
-    return lines.withColumns({"file": F.last(F.when(head, part(FILE_LINE, 3)), ignorenulls=True).over(so_far), "file_no": F.last(F.when(head, part(FILE_LINE, 1).cast("int")), ignorenulls=True).over(so_far)})
+    """`lines` with file and file_no of the last file line so far; null before the first.
+
+    A device's log is cut into ranges of line numbers: each is ordered on its own, and begins under the last
+    file line of the ranges before it (one row a range is ordered by device).
+    """
+    own = Window.partitionBy("device", "__range").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("device").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.when(_is(FILE_LINE), F.struct(part(FILE_LINE, 3).alias("file"), part(FILE_LINE, 1).cast("int").alias("file_no")))
+    cut = lines.withColumn("__range", F.floor(F.col("line_no") / RANGE_LINES))
+    ends = cut.groupBy("device", "__range").agg(F.max_by(head, F.when(head.isNotNull(), F.col("line_no"))).alias("__end"))
+    carried = ends.select("device", "__range", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    found = cut.withColumn("__head", F.last(head, ignorenulls=True).over(own)).join(carried, ["device", "__range"])
+    under = F.coalesce("__head", "__carried")
+    return found.select(*lines.columns, under["file"].alias("file"), under["file_no"].alias("file_no"))
+
+
+def captured(lines: DataFrame, timeout: float) -> DataFrame:
+    """The lines (device, line_no, at in seconds, line) of each device's run: from its first line until `timeout` seconds later or the
+    line with the marker, whichever comes first, and at most AFTER_MARKER lines after the marker, whenever they come."""
+    whole = Window.partitionBy("device")
+    starts = lines.groupBy("device").agg((F.min("at") + timeout).alias("__deadline"))
+    timed = lines.join(starts, "device")
+    marks = timed.where((F.col("at") < F.col("__deadline")) & F.contains("line", F.lit(MARKER))).groupBy("device").agg(F.min("line_no").alias("__mark"))
+    after = lines.join(marks, "device").where(F.col("line_no") > F.col("__mark"))
+    last = after.withColumn("__place", F.row_number().over(whole.orderBy("line_no"))).where(F.col("__place") <= AFTER_MARKER)
+    ends = last.groupBy("device").agg(F.max("line_no").alias("__last"))
+    kept = timed.join(marks, "device", "left").join(ends, "device", "left")
+    until = F.coalesce(F.col("line_no") <= F.coalesce("__last", "__mark"), F.col("at") < F.col("__deadline"))
+    return kept.where(until).select(*lines.columns)
 
 
 def detections(lines: DataFrame, threshold: float = 0.01, k: int = 5) -> DataFrame:
@@ -89,9 +119,38 @@ def escaped(label: Column) -> Column:
     return F.replace(F.replace(label, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
 
 
-def header_text(config: Column, labels: Column) -> Column:
-    """A C header from a structure of numbers and an array of labels."""
-    names = F.array_join(F.transform(labels, lambda x: F.concat(F.lit('    "'), escaped(x), F.lit('"'))), ",\n")
-    return F.concat(
-        F.lit("#pragma once\n"), F.format_string("#define APP_SAMPLE_RATE %d\n#define APP_NUM_CLASSES %d\n", config["sample_rate"].cast("long"), F.size(labels)), F.lit("static const char *const APP_LABELS[] = {\n"), names, F.lit("\n};\n")
-    )
+# The defines of a configuration header. Those of the board are only set where they are not yet.
+BOARD_DEFINES = {
+    "NUCLEO_N6_CONFIG": 0, "USE_MCU_DCACHE": 1, "USE_MCU_ICACHE": 1, "USE_EXTERNAL_MEMORY_DEVICES": 1, "USE_UART_BAUDRATE": 921600, "USE_USB_PACKET_SIZE": 512, "USE_OVERDRIVE": 0,
+}
+FRONTEND_DEFINES = {"APP_FRONTEND_HYBRID": 0, "APP_FRONTEND_RAW": 1, "APP_FRONTEND_PRECOMPUTED": 2}
+RUN_DEFINES = {"APP_AUDIO_DIR": '"audio"', "APP_RESULTS_FILE": '"results.txt"', "APP_TOP_K": "5", "APP_SCORE_THRESHOLD": "0.01f"}
+
+
+def config_header(config: Column, classes: Column) -> Column:
+    """A C header of a model's settings (sample_rate, chunk_duration, fft_length, hop_length, spec_width, num_mels, audio_frontend)."""
+    chunk = config["chunk_duration"]
+    whole = lambda c: c.cast("long").cast("string")
+    front = F.when(config["audio_frontend"].isin("raw", "tf"), "APP_FRONTEND_RAW").when(config["audio_frontend"].isin("librosa", "precomputed"), "APP_FRONTEND_PRECOMPUTED").otherwise("APP_FRONTEND_HYBRID")
+    values = {
+        "APP_SAMPLE_RATE": whole(config["sample_rate"]),
+        "APP_CHUNK_DURATION": F.when(chunk == F.floor(chunk), whole(chunk)).otherwise(chunk.cast("string")),
+        "APP_CHUNK_SAMPLES": whole(config["sample_rate"] * chunk),
+        "APP_FFT_LENGTH": whole(config["fft_length"]),
+        "APP_FFT_BINS": F.lit("(APP_FFT_LENGTH / 2 + 1)"),
+        "APP_HOP_LENGTH": whole(F.coalesce(config["hop_length"].cast("long"), F.floor(config["fft_length"] / 2) + 2)),
+        "APP_SPEC_WIDTH": whole(config["spec_width"]),
+        "APP_NUM_MELS": whole(config["num_mels"]),
+        "APP_NUM_CLASSES": whole(classes),
+        **{k: F.lit(str(v)) for k, v in FRONTEND_DEFINES.items()},
+        "APP_AUDIO_FRONTEND": front,
+        **{k: F.lit(v) for k, v in RUN_DEFINES.items()},
+    }
+    board = "".join(f"#ifndef {k}\n#define {k} {v}\n#endif\n" for k, v in BOARD_DEFINES.items())
+    return F.concat(F.lit("#ifndef APP_CONFIG_H\n#define APP_CONFIG_H\n" + board), *(x for k, v in values.items() for x in (F.lit(f"#define {k} "), v, F.lit("\n"))), F.lit("#endif\n"))
+
+
+def labels_header(labels: Column) -> Column:
+    """A C header of an array of labels."""
+    names = F.array_join(F.transform(labels, lambda x: F.concat(F.lit('    "'), escaped(x), F.lit('",\n'))), "")
+    return F.concat(F.lit("#ifndef APP_LABELS_H\n#define APP_LABELS_H\n#define APP_NUM_CLASSES_ACTUAL "), F.size(labels).cast("string"), F.lit("\nstatic const char * const APP_LABELS[] = {\n"), names, F.lit("};\n#endif\n"))

@@ -28,16 +28,16 @@ def exploded(history: DataFrame, factor: float = 4.0, after: int = 10, by: str =
 def suggested_rate(history: DataFrame, smoothing: int = 5, by: str = "run", step: str = "step", rate: str = "lr", loss: str = "loss") -> DataFrame:
     """by, lr: where the smoothed loss falls fastest along log10(lr); the middle rate of runs under smoothing + 2 steps.
 
+    The mean of `smoothing` losses from a step on goes with that step's rate.
+
     The slope between uneven points weighs both neighbours by the squares of the other's distance; at the
     ends it is the difference to the only neighbour.
     """
     order = Window.partitionBy(by).orderBy(step)
     size = Window.partitionBy(by)
     ahead = order.rowsBetween(0, smoothing - 1)
-    rows = history.select(by, step, rate, F.count("*").over(size).alias("n"), F.row_number().over(order).alias("i"), F.avg(loss).over(ahead).alias("y"))
-    smooth = rows.where(F.col("i") <= F.col("n") - smoothing + 1).join(
-        history.select(by, F.row_number().over(order).alias("j"), F.log10(rate).alias("x"), F.col(rate).alias("at")).withColumn("i", F.col("j") - smoothing // 2).drop("j"), [by, "i"]
-    )
+    rows = history.select(by, step, rate, F.count("*").over(size).alias("n"), F.row_number().over(order).alias("i"), F.avg(loss).over(ahead).alias("y"), F.log10(rate).alias("x"), F.col(rate).alias("at"))
+    smooth = rows.where(F.col("i") <= F.col("n") - smoothing + 1)
     x0, x1, x2 = F.lag("x").over(Window.partitionBy(by).orderBy("i")), F.col("x"), F.lead("x").over(Window.partitionBy(by).orderBy("i"))
     y0, y1, y2 = F.lag("y").over(Window.partitionBy(by).orderBy("i")), F.col("y"), F.lead("y").over(Window.partitionBy(by).orderBy("i"))
     a, b = x1 - x0, x2 - x1

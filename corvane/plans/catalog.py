@@ -93,12 +93,12 @@ def j1_label_index(spark, sf_dir):
     return catalog.label_index(rows, catalog.class_names(rows))
 
 
-@query(f"""WITH {CLASSES}, k AS (SELECT DISTINCT id FROM cat WHERE id % 10 = 0)
+@query(f"""WITH {CLASSES}, k AS (SELECT DISTINCT id FROM cat)
     SELECT k.id, class_idx::INT AS class_idx, coalesce(max(CASE WHEN cat.label = classes.class THEN 1 END), 0)::INT AS y FROM k CROSS JOIN classes LEFT JOIN cat ON cat.id = k.id GROUP BY ALL""")
 def j2_file_class_grid(spark, sf_dir):
-    """The grid of files in tens and classes: one side is the bounded list of classes."""
-    rows = full(spark, sf_dir).where("id % 10 = 0")
-    return catalog.one_hot(rows, catalog.class_names(full(spark, sf_dir)))
+    """The grid of files and classes: one side is the list of classes."""
+    rows = full(spark, sf_dir)
+    return catalog.one_hot(rows, catalog.class_names(rows))
 
 
 @query(f"WITH {CATALOG} SELECT label, count(*) AS n FROM cat WHERE label <> 'Noise' GROUP BY label ORDER BY n DESC, label LIMIT 25")

@@ -270,12 +270,16 @@ def s13_species_report(spark, sf_dir):
 
 @query(f"""
     WITH {SCORED}, {ALL}, c AS (SELECT sum(CASE WHEN s >= 0.5 THEN y ELSE 0 END) AS tp, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS pp, sum(y) AS p FROM scored),
-    q AS (SELECT tp / (pp + 1e-12) AS pr, tp / (p + 1e-12) AS re FROM c), u AS (SELECT {AUC} AS auc, {AP} AS ap FROM r)
-    SELECT '{{"metrics":{{"f1":' || printf('%.6f', CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END) || ',"map":' || printf('%.6f', ap) || ',"precision":' || printf('%.6f', pr)
-           || ',"recall":' || printf('%.6f', re) || ',"roc_auc":' || printf('%.6f', auc) || '}},"num_classes":10}}' AS json FROM q, u
+    q AS (SELECT tp / (pp + 1e-12) AS pr, tp / (p + 1e-12) AS re FROM c), u AS (SELECT {AUC} AS auc, {AP} AS ap FROM r),
+    {STEPS.format(fact='scored').replace("t AS (", "t3 AS (").replace("FROM t\n", "FROM t3\n").replace("r AS (", "r3 AS (")},
+    pc AS (SELECT class, {AP} AS ap, sum(tp)::BIGINT AS n_positive, sum(n)::BIGINT AS n_total FROM r3 GROUP BY class),
+    sp AS (SELECT string_agg('{{"class":' || class || ',"ap":' || printf('%.6f', ap) || ',"ci_lower":' || printf('%.6f', ap) || ',"ci_upper":' || printf('%.6f', ap) || ',"n_positive":' || n_positive || ',"n_total":' || n_total || '}}', ',' ORDER BY ap DESC, class) AS species FROM pc)
+    SELECT '{{"model_path":"models/m1","num_classes":10,"num_files":' || (SELECT count(DISTINCT file) FROM scored) || ',"metrics":{{"f1":' || printf('%.6f', CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END) || ',"map":' || printf('%.6f', ap) || ',"precision":' || printf('%.6f', pr)
+           || ',"recall":' || printf('%.6f', re) || ',"roc_auc":' || printf('%.6f', auc) || '}},"species":[' || sp.species || '],"config":{{"fft_length":512}}}}' AS json FROM q, u, sp
 """)
 def s14_benchmark_json(spark, sf_dir):
-    return reports.benchmark_json(scored(spark, sf_dir), CLASSES)
+    species = ranking.average_precision(scored(spark, sf_dir), ["class"]).withColumns({c: F.col("ap") for c in ("ci_lower", "ci_upper")})
+    return reports.benchmark_json(scored(spark, sf_dir), CLASSES, "models/m1", species, '{"fft_length":512}')
 
 
 @query(f"""

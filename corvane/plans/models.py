@@ -61,9 +61,9 @@ def a16_worst_of_runs(spark, sf_dir):
     return agreement.worst_of_runs(runs).select("metric", F.round("worst", 7).alias("worst"), F.round("mean", 7).alias("mean"))
 
 
-@query("""SELECT a.vec_id AS id, i::INT AS i, a.embedding[i + 1] AS left_value, b.embedding[i + 1] AS right_value FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id, (SELECT unnest(range(0, 4)) AS i) k""")
+@query("""SELECT a.vec_id AS id, i::INT AS i, a.embedding[i + 1] AS left_value, b.embedding[i + 1] AS right_value FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id, (SELECT unnest(range(0, 64)) AS i) k""")
 def j3_matched_outputs(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "v"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "v"))
     return rows.withColumnRenamed("v", "left_value").join(rows.withColumnRenamed("v", "right_value"), ["id", "i"])
 
 
@@ -74,15 +74,15 @@ def j4_frontend_metadata(spark, sf_dir):
     return scoring.frontends_of(table(spark, sf_dir, "documents").select("doc_id", name.alias("frontend"))).select("doc_id", "frontend", "precomputed", "device")
 
 
-KINDS = ["Conv2D", "DepthwiseConv2D", "Dense", "Softmax", "InputLayer", "Lambda", "ReLU"]
-LAYERS = f"""lay AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN 'audio_frontend_' ELSE 'layer_' END || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '/bias' ELSE '/kernel' END AS name, {KINDS!r}[p_partkey % 7 + 1] AS layer_type,
+KINDS = ["Conv2D", "DepthwiseConv2D", "Dense", "Softmax", "InputLayer", "Lambda", "ReLU", "MaxPooling2D", "LayerNormalization", "Concatenate", "LSTM", "Sigmoid", "UpSampling2D"]
+LAYERS = f"""lay AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 = 0 THEN 'audio_frontend_' ELSE 'layer_' END || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN '/bias' ELSE '/kernel' END AS name, {KINDS!r}[p_partkey % {len(KINDS)} + 1] AS layer_type,
     p_partkey % 3 <> 0 AS trainable, (p_size % 16 + 1)::BIGINT AS h, (p_size % 8 + 1)::BIGINT AS w, (p_size * 2)::BIGINT AS o, (p_partkey % 3 + 1)::BIGINT AS k, (p_size + 3)::BIGINT AS c FROM part)"""
 MACS = "CASE layer_type WHEN 'Conv2D' THEN h * w * o * k * k * c WHEN 'DepthwiseConv2D' THEN h * w * o * k * k WHEN 'Dense' THEN c * o ELSE 0 END::BIGINT"
 PARAMS = "CASE layer_type WHEN 'Conv2D' THEN k * k * c * o + o WHEN 'DepthwiseConv2D' THEN k * k * o + o WHEN 'Dense' THEN c * o + o ELSE 0 END::BIGINT"
 
 
 def layers(spark, sf_dir):
-    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % 7).cast("int"))
+    kind = F.get(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % len(KINDS)).cast("int"))
     name = F.concat(F.when(F.col("p_partkey") % 9 == 0, "audio_frontend_").otherwise("layer_"), "p_partkey", F.when(F.col("p_partkey") % 4 == 0, "/bias").otherwise("/kernel"))
     size = F.col("p_size").cast("long")
     return table(spark, sf_dir, "part").select(
@@ -96,7 +96,7 @@ def profiled(spark, sf_dir):
     )
 
 
-@query(f"WITH {LAYERS} SELECT name, layer_type, CASE WHEN layer_type = 'Softmax' THEN 'care' ELSE 'unsupported' END AS status FROM lay WHERE layer_type IN ('Softmax', 'Lambda')")
+@query(f"WITH {LAYERS} SELECT name, layer_type, CASE WHEN layer_type = 'UpSampling2D' THEN 'unsupported' ELSE 'care' END AS status FROM lay WHERE layer_type IN ('Lambda', 'LayerNormalization', 'LSTM', 'UpSampling2D')")
 def f11_unsupported_layers(spark, sf_dir):
     return agreement.unsupported_layers(layers(spark, sf_dir))
 
@@ -147,9 +147,9 @@ def m23_divisible(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", arrays.divisible(F.col("p_size")).alias("channels"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '64x256x1' WHEN 1 THEN '257x256x1' ELSE n_chars || 'x1' END AS shape FROM documents")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN '257x256x1' WHEN 2 THEN n_chars || 'x1' WHEN 3 THEN '20x256x1' ELSE '64x256x1' END AS shape FROM documents")
 def m29_input_shape(spark, sf_dir):
-    name = F.get(F.array(*map(F.lit, ["librosa", "hybrid", "raw"])), (F.col("doc_id") % 3).cast("int"))
+    name = F.get(F.array(*map(F.lit, ["librosa", "hybrid", "raw", "mfcc", "log_mel"])), (F.col("doc_id") % 5).cast("int"))
     rows = table(spark, sf_dir, "documents").select("doc_id", name.alias("frontend"), "n_chars")
     return rows.select("doc_id", arrays.input_shape(F.col("frontend"), F.col("n_chars"), 64, 256, 512).alias("shape"))
 
@@ -160,8 +160,8 @@ def m30_strided_padding(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", arrays.strided_padding(F.col("n_chars"), 128).alias("p")).select("doc_id", "p.*")
 
 
-@query("""WITH b AS (SELECT doc_id, n_chars * 4 + 40 AS size FROM documents), h AS (SELECT doc_id, least(1024, greatest(64, 4 * 1024 * 1024 // size)) AS high FROM b)
-    SELECT doc_id, high::INT AS high, greatest(32, high // 2)::INT AS low FROM h""")
+@query("""WITH h AS (SELECT doc_id, greatest(128, least(1024, (4 * 1024 * 1024) // greatest(1, (n_chars + 10) * 4))) AS high FROM documents), l AS (SELECT *, greatest(64, high // 3) AS low FROM h)
+    SELECT doc_id, high::INT AS high, CASE WHEN low >= high THEN greatest(32, high - 32) ELSE low END::INT AS low FROM l""")
 def m31_reservoir_limits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", arrays.reservoir_limits(F.col("n_chars"), 10, 32, 4).alias("r")).select("doc_id", "r.*")
 
@@ -177,11 +177,14 @@ def m33_rate_sweep(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT (vec_id % 10)::INT AS c, CASE WHEN label = vec_id % 10 THEN 1.0 ELSE 0.0 END AS y, (embedding[1]::DOUBLE + 1) / 2 AS p FROM embeddings),
-    h AS (SELECT y, least(greatest(p, 1e-7), 1 - 1e-7) AS p FROM r) SELECT round(avg(pow(1 - (y * p + (1 - y) * (1 - p)), 2) * -(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS focal, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS entropy FROM h""")
+    h AS (SELECT y, least(greatest(r.p, 1e-7), 1 - 1e-7) AS p, 8 * r.p - 4 AS z FROM r), e AS (SELECT *, 1 / (1 + exp(-z)) AS q FROM h)
+    SELECT round(avg(pow(1 - (y * p + (1 - y) * (1 - p)), 2) * -(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS focal, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS entropy,
+           round(avg(pow(1 - q, 2) * -(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS focal_of_logits FROM e""")
 def l1_focal_loss(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select((F.col("label") == F.col("vec_id") % 10).cast("double").alias("y"), ((F.get("embedding", F.lit(0)).cast("double") + 1) / 2).alias("p"))
     loss = lambda g: F.round(F.avg(arrays.binary_focal_loss(F.col("y"), F.col("p"), g)), 6)
-    return rows.agg(loss(2.0).alias("focal"), loss(0.0).alias("entropy"))
+    of_logits = F.round(F.avg(arrays.binary_focal_loss(F.col("y"), F.col("p") * 8 - 4, from_logits=True)), 6)
+    return rows.agg(loss(2.0).alias("focal"), loss(0.0).alias("entropy"), of_logits.alias("focal_of_logits"))
 
 
 @query(f"""WITH {LONG}, r AS (SELECT file AS id, i, CASE WHEN label = i THEN 1 ELSE 0 END AS y, v * 4 AS s, round_even(v * 8, 0) / 2 AS t FROM smp WHERE i < 10), m AS (SELECT id, max(s) AS ms, max(t) AS mt FROM r GROUP BY id),
@@ -214,15 +217,16 @@ def w16_loss_explosion(spark, sf_dir):
     return training.exploded(series(spark, sf_dir), loss="value")
 
 
-@query(f"""WITH {SERIES}, h AS (SELECT run, step, 1e-5 * pow(1.25, step) AS lr, value, count(*) OVER (PARTITION BY run) AS n FROM ser WHERE step < 40),
+@query(f"""WITH {SERIES}, h AS (SELECT run, step, 1e-7 * pow(1e7, step / 199) AS lr, value, count(*) OVER (PARTITION BY run) AS n FROM ser),
     y AS (SELECT run, n, step AS i, avg(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS y FROM h),
-    s AS (SELECT y.run, y.i, y.y, log10(h.lr) AS x, h.lr FROM y JOIN h ON h.run = y.run AND h.step = y.i + 2 WHERE y.i <= y.n - 5),
+    s AS (SELECT y.run, y.i, y.y, log10(h.lr) AS x, h.lr FROM y JOIN h ON h.run = y.run AND h.step = y.i WHERE y.i <= y.n - 5),
     d AS (SELECT *, x - lag(x) OVER w AS a, lead(x) OVER w - x AS b, lag(y) OVER w AS y0, lead(y) OVER w AS y2 FROM s WINDOW w AS (PARTITION BY run ORDER BY i)),
     g AS (SELECT run, i, lr, CASE WHEN a IS NULL THEN (y2 - y) / b WHEN b IS NULL THEN (y - y0) / a ELSE (a * a * y2 + (b * b - a * a) * y - b * b * y0) / (a * b * (a + b)) END AS g FROM d),
     t AS (SELECT run, lr, row_number() OVER (PARTITION BY run ORDER BY g, i) AS k FROM g), m AS (SELECT run, max(n) AS n, max(CASE WHEN step = n // 2 THEN lr END) AS middle FROM h GROUP BY run)
     SELECT m.run, round(log10(CASE WHEN n < 7 THEN middle ELSE t.lr END), 6) AS log_lr FROM m LEFT JOIN t ON t.run = m.run AND k = 1""")
 def w14_suggested_rate(spark, sf_dir):
-    rows = series(spark, sf_dir).where("step < 40").select("run", "step", (1e-5 * F.pow(F.lit(1.25), F.col("step"))).alias("lr"), F.col("value").alias("loss"))
+    """Each user's values as the losses of a sweep of rates."""
+    rows = series(spark, sf_dir).select("run", "step", arrays.geometric_sweep(F.col("step"), 1e-7, 1.0, 200).alias("lr"), F.col("value").alias("loss"))
     return training.suggested_rate(rows).select("run", F.round(F.log10("lr"), 6).alias("log_lr"))
 
 

@@ -41,11 +41,11 @@ def m3_chunks(spark, sf_dir):
     return rows.select("file", "c.start", F.round(arrays.total(F.col("c.samples")), 6).alias("total"), F.size("c.samples").alias("n"))
 
 
-@query(f"""WITH {SIGNALS}, s AS (SELECT file, x, unnest(list_concat(range(0, 64 - 15 + 1, 11), [49])) AS start FROM sig WHERE file % 5 = 1)
+@query(f"""WITH {SIGNALS}, s AS (SELECT file, x, unnest(list_concat(range(0, 64 - 15 + 1, 11), [49])) AS start FROM sig)
     SELECT file, start::INT AS start, round(list_sum(x[start + 1:start + 15]), 6) AS total FROM s""")
 def r4_overlapped_chunks(spark, sf_dir):
-    """Chunks of 15 samples that overlap by 4; every fifth recording stands for those of one source."""
-    rows = signals(spark, sf_dir).where("file % 5 = 1").select("file", F.explode(arrays.chunks(F.col("x"), 15, arrays.overlap_step(15, 4, 1))).alias("c"))
+    """Chunks of 15 samples that overlap by 4."""
+    rows = signals(spark, sf_dir).select("file", F.explode(arrays.chunks(F.col("x"), 15, arrays.overlap_step(15, 4, 1))).alias("c"))
     return rows.select("file", "c.start", F.round(arrays.total(F.col("c.samples")), 6).alias("total"))
 
 
@@ -69,30 +69,30 @@ FRAME = "f AS (SELECT file, j.t, i - j.t * 8 AS n, v FROM smp, (SELECT unnest(ra
 
 
 @query(f"""WITH {LONG}, {FRAME}, k AS (SELECT unnest(range(0, 9)) AS bin),
-    d AS (SELECT file, t, bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * cos(2 * pi() * n * bin / 16)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * sin(2 * pi() * n * bin / 16)) AS im FROM f, k WHERE file % 10 = 3 GROUP BY ALL)
+    d AS (SELECT file, t, bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * cos(2 * pi() * n * bin / 16)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 15)) * sin(2 * pi() * n * bin / 16)) AS im FROM f, k GROUP BY ALL)
     SELECT file, t::INT AS frame, bin::INT AS bin, round(sqrt(re * re + im * im), 5) AS magnitude FROM d""")
 def m8_stft_symmetric(spark, sf_dir):
     """Magnitudes of frames under a symmetric window, not centred."""
-    rows = signals(spark, sf_dir).where("file % 10 = 3").select("file", spectral.stft(16, 8, symmetric=True)(F.col("x")).alias("s"))
+    rows = signals(spark, sf_dir).select("file", spectral.stft(16, 8, symmetric=True)(F.col("x")).alias("s"))
     return spectral.long_form(rows, "s").select("file", "frame", "bin", F.round("magnitude", 5).alias("magnitude"))
 
 
-@query(f"""WITH {LONG}, c AS (SELECT s.file, j.t, m.n, coalesce(p.v, 0) AS v FROM (SELECT file FROM sig WHERE file % 10 = 4) s CROSS JOIN (SELECT unnest(range(0, 9)) AS t) j CROSS JOIN (SELECT unnest(range(0, 16)) AS n) m
+@query(f"""WITH {LONG}, c AS (SELECT s.file, j.t, m.n, coalesce(p.v, 0) AS v FROM (SELECT file FROM sig) s CROSS JOIN (SELECT unnest(range(0, 9)) AS t) j CROSS JOIN (SELECT unnest(range(0, 16)) AS n) m
         LEFT JOIN smp p ON p.file = s.file AND p.i = j.t * 8 + m.n - 8), k AS (SELECT unnest(range(0, 9)) AS bin),
     d AS (SELECT file, t, bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * n * bin / 16)) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * n * bin / 16)) AS im FROM c, k GROUP BY ALL)
     SELECT file, t::INT AS frame, bin::INT AS bin, round(sqrt(re * re + im * im), 5) AS magnitude FROM d WHERE t < 8""")
 def m7_stft_centred(spark, sf_dir):
     """Magnitudes of centred frames under a periodic window, as many frames as the hop gives."""
-    rows = signals(spark, sf_dir).where("file % 10 = 4").select("file", spectral.stft(16, 8, centred=True, frames=8)(F.col("x")).alias("s"))
+    rows = signals(spark, sf_dir).select("file", spectral.stft(16, 8, centred=True, frames=8)(F.col("x")).alias("s"))
     return spectral.long_form(rows, "s").select("file", "frame", "bin", F.round("magnitude", 5).alias("magnitude"))
 
 
 @query(f"""WITH {LONG}, {FRAME}, k AS (SELECT unnest(range(0, 9)) AS bin),
-    d AS (SELECT file, t, bin, sum(v * cos(2 * pi() * n * bin / 16)) AS re, sum(v * sin(2 * pi() * n * bin / 16)) AS im FROM f, k WHERE file % 10 = 5 GROUP BY ALL)
-    SELECT file, t::INT AS frame, bin::INT AS bin, round(sqrt(re * re + im * im), 5) AS magnitude FROM d""")
+    d AS (SELECT file, t, bin, sum(v * cos(2 * pi() * n * bin / 16)) AS re, sum(v * sin(2 * pi() * n * bin / 16)) AS im FROM f, k GROUP BY ALL)
+    SELECT file, t::INT AS frame, bin::INT AS bin, round(sqrt(re * re + im * im), 10) AS magnitude FROM d""")
 def m34_real_fft(spark, sf_dir):
-    rows = signals(spark, sf_dir).where("file % 10 = 5").select("file", spectral.stft(16, 8, window=False)(F.col("x")).alias("s"))
-    return spectral.long_form(rows, "s").select("file", "frame", "bin", F.round("magnitude", 5).alias("magnitude"))
+    rows = signals(spark, sf_dir).select("file", spectral.stft(16, 8, window=False)(F.col("x")).alias("s"))
+    return spectral.long_form(rows, "s").select("file", "frame", "bin", F.round("magnitude", 10).alias("magnitude"))
 
 
 MEL = """e AS (SELECT m, 15 + ln(m_hz / 1000) * 27 / ln(6.4) AS x FROM (SELECT 0 AS m, 12000.0::DOUBLE AS m_hz)),
@@ -124,13 +124,12 @@ def m13_log_mel(spark, sf_dir):
     return listed(signals(spark, sf_dir).withColumn("x", arrays.min_max(F.transform("x", lambda v: F.log1p(F.abs(v))))), "x")
 
 
-@query(f"""WITH {LONG}, s AS (SELECT file, i, 10 * log10(greatest(v * v, 1e-10)) - 10 * log10(greatest(max(v * v) OVER (PARTITION BY file), 1e-10)) AS b FROM smp WHERE file % 5 = 2),
+@query(f"""WITH {LONG}, s AS (SELECT file, i, 10 * log10(greatest(v * v, 1e-10)) - 10 * log10(greatest(max(v * v) OVER (PARTITION BY file), 1e-10)) AS b FROM smp),
     b AS (SELECT file, i, greatest(b, max(b) OVER (PARTITION BY file) - 80) AS b FROM s), c AS (SELECT unnest(range(0, 12)) AS c),
     d AS (SELECT file, c, sum(b * cos(pi() * c * (2 * i + 1) / 128)) * sqrt(CASE WHEN c = 0 THEN 1.0 ELSE 2.0 END / 64) AS v FROM b, c GROUP BY file, c), r AS (SELECT file, min(v) AS lo, max(v) AS hi FROM d GROUP BY file)
     SELECT file, c::INT AS i, round((v - lo) / (hi - lo + 1e-10), 6) AS v FROM d JOIN r USING (file)""")
 def m12_cepstra(spark, sf_dir):
-    rows = signals(spark, sf_dir).where("file % 5 = 2")
-    return listed(rows.select("file", spectral.cepstra(12)(F.transform("x", lambda v: v * v)).alias("x")), "x")
+    return listed(signals(spark, sf_dir).select("file", spectral.cepstra(12)(F.transform("x", lambda v: v * v)).alias("x")), "x")
 
 
 PWL = "0.40 * {x} + 0.25 * greatest({x} - 0.10, 0) + 0.15 * greatest({x} - 0.35, 0) + 0.08 * greatest({x} - 0.65, 0)"
@@ -177,9 +176,20 @@ def m20_activity_ratio(spark, sf_dir):
     return signals(spark, sf_dir).select("file", F.round(salience.activity_ratio(F.col("x")), 6).alias("activity"))
 
 
-@query()
+# Starts taken greedily from ranked candidates c (file, k, start), as many as {most} and {apart} apart.
+GREEDY = """g AS (SELECT DISTINCT file, 0::BIGINT AS k, []::BIGINT[] AS taken FROM c UNION ALL
+        SELECT g.file, c.k, CASE WHEN len(taken) >= {most} OR len(list_filter(taken, lambda t: abs(t - c.start) < {apart})) > 0 THEN taken ELSE list_append(taken, c.start::BIGINT) END FROM g JOIN c ON c.file = g.file AND c.k = g.k + 1),
+    done AS (SELECT file, arg_max(taken, k) AS taken FROM g GROUP BY file)"""
+
+
+@query(f"""WITH RECURSIVE {LONG}, e AS (SELECT file, j.t, sum(v * v) / 4 AS e FROM smp, (SELECT unnest(range(0, 31)) AS t) j WHERE i >= j.t * 2 AND i < j.t * 2 + 4 GROUP BY ALL),
+    l AS (SELECT file, quantile_cont(e, 0.75) AS q, max(e) AS top FROM e GROUP BY file),
+    a AS (SELECT e.file, t, e, t - row_number() OVER (PARTITION BY e.file ORDER BY t) AS island FROM e JOIN l USING (file) WHERE e >= q AND top >= 1e-10),
+    p AS (SELECT file, island, arg_max(t, (e, -t)) AS pk, max(e) AS e FROM a GROUP BY ALL),
+    c AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY e DESC, pk) AS k, greatest(0, least(pk * 2 - 8, 48)) AS start FROM p UNION ALL SELECT file, 1, 24 FROM l WHERE top < 1e-10),
+    {GREEDY.format(most=3, apart=8)} SELECT file, array_to_string(taken, ',') AS starts FROM done""")
 def m21_smart_crop(spark, sf_dir):
-    """Starts of chunks around the loudest regions of each signal."""
+    """Starts of chunks of 16 around the loudest regions of each signal."""
     return signals(spark, sf_dir).select("file", F.array_join(salience.crops(F.col("x"), 16, 3), ",").alias("starts"))
 
 
@@ -235,7 +245,8 @@ def k4_picked_samples(spark, sf_dir):
     return salience.picked(rows, 4, F.struct(order_key(F.col("file")), F.col("file")), F.col("file") % 100 < 10, "label")
 
 
-@query()
+@query(f"""WITH RECURSIVE {LONG}, c AS (SELECT file, i AS start, row_number() OVER (PARTITION BY file ORDER BY abs(v) DESC, i) AS k FROM smp),
+    {GREEDY.format(most=4, apart=8)} SELECT file, array_to_string(taken, ',') AS starts FROM done""")
 def k9_greedy_non_overlap(spark, sf_dir):
     """Starts of samples by falling size, none nearer than 8 to one taken before."""
     order = F.transform(F.array_sort(F.transform("x", lambda v, i: F.struct((-F.abs(v)).alias("k"), i.alias("i")))), lambda s: s["i"])
@@ -252,14 +263,32 @@ def f7_centre(spark, sf_dir):
     return signals(spark, sf_dir).select("file", arrays.centre(F.col("x")).alias("middle"))
 
 
-@query(f"""WITH {LONG}, n AS (SELECT max(file) AS n FROM sig), o AS (SELECT file, {PICK} AS o, (((file + 1) * 1103515245 + 43 * 12345) % 2147483647) * 48271 % 2147483647 % (n + 1) AS partner FROM sig, n),
-    c AS (SELECT file, partner, (o // 1000) % 512 / 1024 + 0.5 AS g FROM o WHERE o % 1000 < 250), p AS (SELECT file, file AS partner, g FROM c UNION ALL SELECT file, partner, 1 - g FROM c),
-    u AS (SELECT file, partner, sum(g) AS g FROM p GROUP BY ALL)
-    SELECT u.file, s.i::INT AS i, round(sum(u.g * s.v), 6) AS v FROM u JOIN smp s ON s.file = u.partner GROUP BY u.file, s.i UNION ALL SELECT file, i::INT, round(v, 6) FROM smp WHERE file NOT IN (SELECT file FROM u)""")
+def drawn(tag: str, key: str = "file") -> str:
+    """`augment.uniform` in SQL; the tag is an SQL text."""
+    return f"((('0x' || substr(md5('42:' || {tag} || ':' || {key}), 1, 8))::BIGINT + 0.5) / 4294967296)"
+
+
+# Batches of about 256, a quarter of each mixed with one or two of its rows, gains of a Dirichlet distribution of 0.2.
+MIXED = f"""nb AS (SELECT greatest(1, ceil(count(*) / 256)) AS b FROM sig), bt AS (SELECT file, floor({drawn("'batch'")} * b) AS batch FROM sig, nb),
+    pl AS (SELECT file, batch, row_number() OVER (PARTITION BY batch ORDER BY {drawn("'order'")}, file) AS place, count(*) OVER (PARTITION BY batch) AS m FROM bt),
+    ch AS (SELECT file, batch, place, m, least(CASE WHEN {drawn("'sources'")} < 0.5 THEN 2 ELSE 3 END, m + 1) AS n, floor({drawn("'first'")} * m)::BIGINT AS p, {drawn("'second'")} AS u FROM pl WHERE place <= floor(m * 0.25)),
+    sc AS (SELECT file, batch, j, n, CASE j WHEN 1 THEN place WHEN 2 THEN p + 1 ELSE (p + 1 + floor(u * (m - 1))::BIGINT) % m + 1 END AS place FROM ch, (SELECT unnest(range(1, 4)) AS j) q WHERE j <= n),
+    tr AS (SELECT file, j, a, pow({drawn("'gain:' || a || ':' || j")}, 5) AS x FROM sc, (SELECT unnest(range(1, 12)) AS a) q), su AS (SELECT file, a, sum(x) AS t FROM tr GROUP BY ALL HAVING sum(x) <= 1),
+    ok AS (SELECT file, min(a) AS a, arg_min(t, a) AS t FROM su GROUP BY file), ga AS (SELECT tr.file, j, x / t AS g FROM tr JOIN ok ON ok.file = tr.file AND ok.a = tr.a),
+    pr AS (SELECT sc.file, pl.file AS partner, sum(coalesce(g, 1 / n)) AS g FROM sc JOIN pl ON pl.batch = sc.batch AND pl.place = sc.place LEFT JOIN ga ON ga.file = sc.file AND ga.j = sc.j GROUP BY ALL)"""
+
+
+@query(f"""WITH {LONG}, {MIXED}, lab AS (SELECT file, c.c, CASE WHEN label = c.c THEN 1.0 ELSE 0.0 END AS y FROM sig, (SELECT unnest(range(0, 10)) AS c) c)
+    SELECT pr.file, 'sample' AS part, s.i::INT AS i, round(sum(pr.g * s.v), 6) AS v FROM pr JOIN smp s ON s.file = pr.partner GROUP BY pr.file, s.i
+    UNION ALL SELECT file, 'sample', i::INT, round(v, 6) FROM smp WHERE file NOT IN (SELECT file FROM pr)
+    UNION ALL SELECT pr.file, 'label', c::INT, max(0.9 * y + 0.01) FROM pr JOIN lab ON lab.file = pr.partner GROUP BY pr.file, c
+    UNION ALL SELECT file, 'label', c::INT, 0.9 * y + 0.01 FROM lab WHERE file NOT IN (SELECT file FROM pr)""")
 def g1_mixup(spark, sf_dir):
+    """A quarter of each batch mixed with one or two others of it; samples and smoothed labels."""
     rows = signals(spark, sf_dir).select(F.col("file").alias("id"), F.col("x").alias("samples"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: (c == F.col("label")).cast("double")).alias("y"))
-    done = augment.mixed(rows, augment.mix_partners(rows, 0.25))
-    return listed(done.select(F.col("id").alias("file"), "samples"), "samples")
+    done = augment.mixed(rows, augment.mix_partners(rows, 0.25, 0.2), smoothing=0.1)
+    samples, labels = (done.select(F.col("id").alias("file"), F.lit(part).alias("part"), F.posexplode(rounded(F.col(c))).alias("i", "v")) for part, c in (("sample", "samples"), ("label", "y")))
+    return samples.unionByName(labels)
 
 
 @query(f"""WITH {LONG}, m AS (SELECT file, j, ((((file * 31 + j + 1) * 1103515245 + 42 * 12345) % 2147483647) * 48271 % 2147483647) % 3 AS w FROM sig, (SELECT unnest(range(0, 2)) AS j) q),

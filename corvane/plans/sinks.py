@@ -22,31 +22,31 @@ def s9_species_sink(spark, sf_dir):
     return texts.open_species(spark, f"{folder}/species.txt")
 
 
-@query("""SELECT s_suppkey AS id, (16000 + s_suppkey)::INT AS sample_rate, 'raw' AS audio_frontend, 256 AS spec_width FROM supplier WHERE s_suppkey <= 5""")
+@query("""SELECT s_suppkey AS id, (16000 + s_suppkey)::INT AS sample_rate, 'raw' AS audio_frontend, 256 AS spec_width FROM supplier""")
 def s10_config_files(spark, sf_dir):
-    """JSON documents over several lines, a file each; what they lack has defaults."""
+    """JSON documents over several lines, divided by form feeds; what they lack has defaults."""
     folder = _scratch(spark)
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey <= 5").select("s_suppkey", F.format_string('{\n "sample_rate": %d,\n "audio_frontend": "tf",\n "id": %d}', F.col("s_suppkey") + 16_000, F.col("s_suppkey")).alias("value"))
-    rows.repartition(5, "s_suppkey").write.partitionBy("s_suppkey").text(f"{folder}/configs")
-    found = texts.load_config(spark, f"{folder}/configs").select(F.col("s_suppkey").cast("long").alias("id"), config.parsed(F.col("value")).alias("c"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string('{\n "sample_rate": %d,\n "audio_frontend": "tf",\n "id": %d}', F.col("s_suppkey") + 16_000, F.col("s_suppkey")).alias("value"))
+    rows.select("value").write.option("lineSep", texts.DOCUMENT_END).text(f"{folder}/configs")
+    found = texts.load_config(spark, f"{folder}/configs", texts.DOCUMENT_END).select(F.get_json_object("value", "$.id").cast("long").alias("id"), config.parsed(F.col("value")).alias("c"))
     return found.select("id", "c.sample_rate", "c.audio_frontend", "c.spec_width")
 
 
-@query(f"WITH {SERIES} SELECT run, step::INT AS step, value FROM ser WHERE run < 5")
+@query(f"WITH {SERIES} SELECT run, step::INT AS step, value FROM ser")
 def s17_history_sink(spark, sf_dir):
     """Training histories appended in two turns, with a header."""
     folder = _scratch(spark)
-    rows = series(spark, sf_dir).where("run < 5")
+    rows = series(spark, sf_dir)
     for turn in ("step < 10", "step >= 10"):
         texts.save_csv(rows.where(turn), f"{folder}/history", append=True)
     return texts.load_history(spark, f"{folder}/history").select(F.col("run").cast("long"), F.col("step").cast("int"), F.col("value").cast("double"))
 
 
-@query(f"WITH {SCORED} SELECT file, class, printf('%.4f', floor(s * 10000) / 10000) AS score FROM scored WHERE class < 3")
+@query(f"WITH {SCORED} SELECT file, class, printf('%.4f', floor(s * 10000) / 10000) AS score FROM scored")
 def s18_device_table_sink(spark, sf_dir):
     """Scores separated by tabs, cut off after four places."""
     folder = _scratch(spark)
-    rows = scored(spark, sf_dir).where("class < 3").select("file", "class", F.format_string("%.4f", F.floor(F.col("s") * 10_000) / 10_000).alias("score"))
+    rows = scored(spark, sf_dir).select("file", "class", F.format_string("%.4f", F.floor(F.col("s") * 10_000) / 10_000).alias("score"))
     texts.save_csv(rows, f"{folder}/scores", "\t")
     return spark.read.option("header", True).option("sep", "\t").csv(f"{folder}/scores").select(F.col("file").cast("long"), F.col("class").cast("int"), "score")
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane import config
-from corvane.operators import telemetry
+from corvane import config, session
+from corvane.operators import epochs, telemetry
 from corvane.plans.registry import query, table
 from corvane.streaming import device
 
@@ -81,33 +81,83 @@ def s20_board_table(spark, sf_dir):
     return telemetry.board_rows(telemetry.results(lines(spark, sf_dir), 0.3, 2))
 
 
-@query("""SELECT source, '#pragma once' || chr(10) || '#define APP_SAMPLE_RATE 24000' || chr(10) || '#define APP_NUM_CLASSES ' || count(DISTINCT lang) || chr(10) || 'static const char *const APP_LABELS[] = {' || chr(10)
-    || string_agg(DISTINCT '    "' || lang || '\\"x\\\\y"', ',' || chr(10) ORDER BY '    "' || lang || '\\"x\\\\y"') || chr(10) || '};' || chr(10) AS text FROM documents GROUP BY source""".replace("\\\\y", "\\\\y"))
+SETTINGS = """st AS (SELECT source, count(DISTINCT lang) AS n, CASE WHEN count(*) % 2 = 0 THEN 3.0 ELSE 2.5 END::DOUBLE AS chunk, CASE WHEN count(*) % 3 = 0 THEN 'raw' WHEN count(*) % 3 = 1 THEN 'librosa' ELSE 'hybrid' END AS front,
+    string_agg(DISTINCT '    "' || lang || '\\"x\\\\y",' || chr(10), '' ORDER BY '    "' || lang || '\\"x\\\\y",' || chr(10)) AS names FROM documents GROUP BY source)"""
+
+
+@query(f"""WITH {SETTINGS.replace(chr(92) * 4, chr(92) * 4)} SELECT source, array_to_string([
+    '#ifndef APP_CONFIG_H', '#define APP_CONFIG_H',
+    '#ifndef NUCLEO_N6_CONFIG', '#define NUCLEO_N6_CONFIG 0', '#endif', '#ifndef USE_MCU_DCACHE', '#define USE_MCU_DCACHE 1', '#endif', '#ifndef USE_MCU_ICACHE', '#define USE_MCU_ICACHE 1', '#endif',
+    '#ifndef USE_EXTERNAL_MEMORY_DEVICES', '#define USE_EXTERNAL_MEMORY_DEVICES 1', '#endif', '#ifndef USE_UART_BAUDRATE', '#define USE_UART_BAUDRATE 921600', '#endif',
+    '#ifndef USE_USB_PACKET_SIZE', '#define USE_USB_PACKET_SIZE 512', '#endif', '#ifndef USE_OVERDRIVE', '#define USE_OVERDRIVE 0', '#endif',
+    '#define APP_SAMPLE_RATE 24000', '#define APP_CHUNK_DURATION ' || CASE WHEN chunk = 3 THEN '3' ELSE '2.5' END, '#define APP_CHUNK_SAMPLES ' || CASE WHEN chunk = 3 THEN 72000 ELSE 60000 END,
+    '#define APP_FFT_LENGTH 512', '#define APP_FFT_BINS (APP_FFT_LENGTH / 2 + 1)', '#define APP_HOP_LENGTH 258', '#define APP_SPEC_WIDTH 256', '#define APP_NUM_MELS 64', '#define APP_NUM_CLASSES ' || n,
+    '#define APP_FRONTEND_HYBRID 0', '#define APP_FRONTEND_RAW 1', '#define APP_FRONTEND_PRECOMPUTED 2', '#define APP_AUDIO_FRONTEND APP_FRONTEND_' || CASE front WHEN 'raw' THEN 'RAW' WHEN 'librosa' THEN 'PRECOMPUTED' ELSE 'HYBRID' END,
+    '#define APP_AUDIO_DIR "audio"', '#define APP_RESULTS_FILE "results.txt"', '#define APP_TOP_K 5', '#define APP_SCORE_THRESHOLD 0.01f', '#endif', ''], chr(10)) AS config,
+    '#ifndef APP_LABELS_H' || chr(10) || '#define APP_LABELS_H' || chr(10) || '#define APP_NUM_CLASSES_ACTUAL ' || n || chr(10) || 'static const char * const APP_LABELS[] = {{' || chr(10) || names || '}};' || chr(10) || '#endif' || chr(10) AS labels FROM st""")
 def t2_header_text(spark, sf_dir):
-    labels = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_set(F.concat("lang", F.lit('"x\\y')))).alias("labels"))
-    return labels.select("source", telemetry.header_text(F.struct(F.lit(24_000).alias("sample_rate")), F.col("labels")).alias("text"))
+    """Headers of settings and of labels, one pair per source; labels have marks to escape."""
+    names = F.array_sort(F.collect_set(F.concat("lang", F.lit('"x\\y'))))
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(names.alias("labels"), F.count("*").alias("n"))
+    front = F.when(F.col("n") % 3 == 0, "raw").when(F.col("n") % 3 == 1, "librosa").otherwise("hybrid")
+    chunk = F.when(F.col("n") % 2 == 0, 3.0).otherwise(2.5)
+    settings = F.struct(
+        F.lit(24_000).alias("sample_rate"), chunk.alias("chunk_duration"), F.lit(512).alias("fft_length"), F.lit(None).cast("int").alias("hop_length"), F.lit(256).alias("spec_width"), F.lit(64).alias("num_mels"), front.alias("audio_frontend")
+    )
+    return rows.select("source", telemetry.config_header(settings, F.size("labels")).alias("config"), telemetry.labels_header(F.col("labels")).alias("labels"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN n_chars::INT ELSE 24000 END AS sample_rate, 3.0::DOUBLE AS chunk_duration, CASE doc_id % 3 WHEN 0 THEN 'librosa' WHEN 1 THEN 'raw' ELSE 'hybrid' END AS audio_frontend, 'pwl' AS mag_scale FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN n_chars::INT ELSE 24000 END AS sample_rate, 3.0::DOUBLE AS chunk_duration, CASE doc_id % 3 WHEN 0 THEN 'librosa' WHEN 1 THEN 'raw' ELSE 'hybrid' END AS audio_frontend, 'pwl' AS mag_scale, 281 AS hop_length, 20 AS n_mfcc, 256 AS embeddings_size, true AS use_se, 0.5::DOUBLE AS dropout_rate, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS depth_multiplier, 0 AS num_classes FROM documents""")
 def t3_model_config(spark, sf_dir):
     """Settings as JSON and back: unknown keys go, missing ones have defaults, aliases are resolved."""
     name = F.get(F.array(*map(F.lit, ["precomputed", "tf"])), (F.col("doc_id") % 3).cast("int"))
-    text = F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).alias("sample_rate"), name.alias("audio_frontend"), F.col("source").alias("no_such_key")))
+    text = F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars")).alias("sample_rate"), name.alias("audio_frontend"), F.when(F.col("doc_id") % 2 == 0, 2).alias("depth_multiplier"), F.col("source").alias("no_such_key")))
     done = table(spark, sf_dir, "documents").select("doc_id", config.parsed(text).alias("c"))
-    return done.select("doc_id", "c.sample_rate", "c.chunk_duration", "c.audio_frontend", "c.mag_scale")
+    return done.select("doc_id", *(f"c.{k}" for k in ("sample_rate", "chunk_duration", "audio_frontend", "mag_scale", "hop_length", "n_mfcc", "embeddings_size", "use_se", "dropout_rate", "depth_multiplier", "num_classes")))
 
 
-@query(f"WITH {EVENTS}, {DETECTED} SELECT device, no::INT AS file_no, file, rank::INT AS rank, label, round(tenths / 1000, 4) AS score FROM hit WHERE rank <= 2 AND device IN ('d0', 'd1')")
+@query(f"WITH {EVENTS}, {DETECTED} SELECT device, no::INT AS file_no, file, rank::INT AS rank, label, round(tenths / 1000, 4) AS score FROM hit WHERE rank <= 2")
 def r2_streamed_detections(spark, sf_dir):
-    """Lines of two devices through the stateful stream."""
-    state = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(state, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """All devices' lines through the stateful stream."""
     folder = _scratch(spark)
-    lines(spark, sf_dir).where("device IN ('d0', 'd1')").write.json(f"{folder}/lines")
+    lines(spark, sf_dir).write.json(f"{folder}/lines")
     found = device.detections(device.read_lines(spark, f"{folder}/lines"), 0.3, 2)
     return device.drained(found, "streamed_detections", f"{folder}/checkpoint").withColumn("score", F.round("score", 4))
 
 
+# A line every hundredth of a second, a run of at most four seconds; some devices end with the marker before that.
+MARKS = {"d0": 200, "d1": 402, "d2": 200, "d3": 500}
+CAPTURED = f"""tl AS (SELECT device, no * 4 + i AS line_no FROM ev, (SELECT unnest(range(0, 4)) AS i) k), mk AS (SELECT device, line_no AS mark FROM tl JOIN (VALUES {", ".join(map(str, MARKS.items()))}) m(device, mark) USING (device) WHERE line_no = mark AND line_no < 404)
+    SELECT device, line_no FROM tl LEFT JOIN mk USING (device) WHERE CASE WHEN mark IS NULL THEN line_no < 404 ELSE line_no <= mark + 5 END"""
+
+
+def timed_lines(spark, sf_dir):
+    place = F.col("line_no")
+    mark = F.lit(False)
+    for name, at in MARKS.items():
+        mark = mark | ((F.col("device") == name) & (place == at))
+    return lines(spark, sf_dir).select("device", "line_no", (place / 100).alias("at"), F.when(mark, F.concat(F.lit("  "), F.lit(telemetry.MARKER))).otherwise(F.col("line")).alias("line"))
+
+
+@query(f"WITH {EVENTS}, {CAPTURED}")
+def s19_serial_capture(spark, sf_dir):
+    """What belongs to each device's run: until the deadline, or the marker and five lines more."""
+    return telemetry.captured(timed_lines(spark, sf_dir), 4.0).select("device", "line_no")
+
+
+@query(f"WITH {EVENTS}, {CAPTURED}")
+def r1_serial_capture(spark, sf_dir):
+    """The same as a stream, stopped after half the lines and started again on its checkpoint."""
+    folder = _scratch(spark)
+    rows = timed_lines(spark, sf_dir)
+    for part, those in enumerate(("line_no < 150", "line_no >= 150")):
+        rows.where(those).coalesce(1).write.mode("append").json(f"{folder}/lines")
+        stream = device.captured(device.read_lines(spark, f"{folder}/lines", schema=device.TIMED_LINES), 4.0)
+        with device.stateful(spark):
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/captured").awaitTermination()
+    return spark.read.schema(device.TIMED_LINES).parquet(f"{folder}/captured").select("device", "line_no")
+
+
 @query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL '12 hours', ts - INTERVAL (k * 12) HOURS) AS start, value, ts FROM events, (SELECT unnest(range(0, 2)) AS k) q)
     SELECT event_type, start::TIMESTAMP AS start, round(avg(value), 6) AS mean, max(value) AS best FROM w WHERE ts >= start AND ts < start + INTERVAL 24 HOURS GROUP BY ALL""")
 def r1_streamed_windows(spark, sf_dir):
@@ -121,16 +171,38 @@ def r1_streamed_windows(spark, sf_dir):
     return found.select("event_type", "start", F.round("mean", 6).alias("mean"), "best")
 
 
-@query()
+# Hill climbing by a recursive query: values as throughput, memory free of 0 (not known) to 16 by turns.
+CLIMB = """WITH RECURSIVE ser AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value FROM events), x AS (SELECT run, step, value, step % 5 * 4 AS free FROM ser),
+    r AS (SELECT DISTINCT run, -1::BIGINT AS step, 128::BIGINT AS n, 1 AS way, 64::BIGINT AS "by", NULL::DOUBLE AS last FROM ser UNION ALL
+        SELECT r.run, x.step, CASE WHEN free > 0 AND free < 8 THEN greatest(128, floor(n * 0.8)) WHEN last IS NULL THEN least(4096, n + "by")
+                WHEN value >= last * 1.01 THEN CASE WHEN way >= 0 THEN least(4096, n + "by") ELSE greatest(128, n - "by") END
+                WHEN way >= 0 THEN greatest(128, n - greatest(16, "by" // 2)) ELSE least(4096, n + greatest(16, "by" // 2)) END::BIGINT,
+            CASE WHEN free > 0 AND free < 8 THEN -1 WHEN last IS NULL THEN 1 WHEN value >= last * 1.01 THEN way WHEN way >= 0 THEN -1 ELSE 1 END,
+            CASE WHEN (free > 0 AND free < 8) OR (last IS NOT NULL AND value < last * 1.01) THEN greatest(16, "by" // 2) ELSE "by" END, value
+        FROM r JOIN x ON x.run = r.run AND x.step = r.step + 1)
+    SELECT run AS user_id, arg_max(n, step)::INT AS in_flight FROM r GROUP BY run"""
+
+
+@query(CLIMB)
 def r5_backpressure(spark, sf_dir):
     """Items in flight after each user's series of throughputs."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: F.struct(x["value"].alias("throughput"), (x["value"] % 7 / 7).alias("memory_free")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(series.alias("s")).select("user_id", device.backpressure(F.col("s"), 64).alias("in_flight"))
+    series = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x, i: F.struct(x["value"].alias("throughput"), (i % 5 * 4).cast("double").alias("memory_free")))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(series.alias("s")).select("user_id", device.backpressure(F.col("s")).alias("in_flight"))
+
+
+@query()
+def r3_reservoir_order(spark, sf_dir):
+    """The order in which eight loaders give the documents in an epoch, through a buffer of 128 drained to 64."""
+    return epochs.epoch(table(spark, sf_dir, "documents").select("doc_id"), 3, 128, 64, key="doc_id").select("doc_id", "shard", "place")
+
+
+@query("SELECT * FROM (VALUES ('model_path', 'given'), ('port', 'from file'), ('baud', '9600'), ('timeout', '5.0'), ('top_k', '3'), ('score_threshold', '0.01')) t(setting, value)")
+def t5_deploy_settings(spark, sf_dir):
+    """Settings in layers: given ones, the environment, a file's tables made one, defaults; empty values do not count."""
+    found = config.layered({"model_path": "given", "port": ""}, {"CORVANE_TIMEOUT": "5"}, config.parsed_settings('[deploy]\nport = "from file"\ntimeout = 9\n[build]\ntop_k = 3\nbaud = 9600\n', is_json=True))
+    return spark.createDataFrame([(k, str(v)) for k, v in vars(found).items()], "setting string, value string")
 
 
 def _scratch(spark) -> str:
     """A folder of its own where all executors can write."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{session.shared_dir(spark)}/stream-{uuid.uuid4().hex}"

@@ -1,7 +1,11 @@
-"""A session with the settings this package is written for."""
+"""A session with the settings this package is written for, and what queries take from theirs."""
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 #: UTC as in the SQL the queries are held against; adaptive plans size and split shuffles at run time.
@@ -21,3 +25,34 @@ def local(cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str
     spark = builder.config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_LOCAL_DIRS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a local session has a folder of
+    its machine, as in tests; on a cluster that is an error. The session's settings stay as they are."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL_DIRS:
+            _LOCAL_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        found = _LOCAL_DIRS[context.applicationId]
+    return found.rstrip("/")
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings for the queries run inside (dots are written as two underscores); those before are put back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

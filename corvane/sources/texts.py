@@ -37,9 +37,13 @@ def load_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def load_config(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document as one row of text, for config.parsed."""
-    return spark.read.text(path, wholetext=True)
+#: Divides documents of several lines in one file.
+DOCUMENT_END = "\n\f\n"
+
+
+def load_config(spark: SparkSession, path: str, end: str | None = None) -> DataFrame:
+    """JSON documents as rows of text, for config.parsed: a file each, or divided by `end`."""
+    return spark.read.text(path, lineSep=end) if end else spark.read.text(path, wholetext=True)
 
 
 def random_calibration(spark: SparkSession, n: int, width: int, normal: bool = False, seed: int = 42) -> DataFrame:

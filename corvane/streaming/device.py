@@ -8,20 +8,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corvane.operators.telemetry import DETECTION_LINE, FILE_LINE
+from corvane.session import settings
+from corvane.operators.telemetry import AFTER_MARKER, DETECTION_LINE, FILE_LINE, MARKER
 
 LINES = "device string, line_no long, line string"
 DETECTIONS = "device string, file_no int, file string, rank int, label string, score double"
-MARKER = "=== DONE ==="
+TIMED_LINES = "device string, line_no long, at double, line string"
 
 
-def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100, schema: str = LINES) -> DataFrame:
     """JSON rows of LINES from files that appear in a folder."""
-    return spark.readStream.schema(LINES).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
 # The stream's driver-side Python process does not have this package on its path unless its environment says so:
@@ -53,7 +54,7 @@ class FileFollower(StatefulProcessor):
                 if score >= self.threshold and found < self.k:
                     found += 1
                     out.append((key[0], number, name, found, hit[2], score))
-            done = line.startswith(self.marker)
+            done = self.marker in line
         self.current.update((number, name, found, done))
         yield pd.DataFrame(out, columns=self.columns)
 
@@ -61,6 +62,43 @@ class FileFollower(StatefulProcessor):
         pass
 
 
+class Capture(StatefulProcessor):
+    """Passes a device's lines on until its deadline or the marker, and the few lines after that."""
+
+    def __init__(self, timeout: float):
+        self.timeout, self.marker, self.after = timeout, MARKER, AFTER_MARKER
+        self.columns = [x.split()[0] for x in TIMED_LINES.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.current = handle.getValueState("current", "deadline double, left int, done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        deadline, left, done = self.current.get() if self.current.exists() else (None, -1, False)
+        out = []
+        for number, at, line in pd.concat(list(rows)).sort_values("line_no")[self.columns[1:]].itertuples(index=False):
+            deadline = at + self.timeout if deadline is None else deadline
+            if done or (left < 0 and at >= deadline):
+                done = True
+                break
+            out.append((key[0], number, at, line))
+            if left >= 0:
+                left -= 1
+            elif self.marker in line:
+                left = self.after
+            done = left == 0
+        self.current.update((deadline, left, done))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def captured(lines: DataFrame, timeout: float) -> DataFrame:
+    """TIMED_LINES of a stream of them that belong to each device's run: see `telemetry.captured`. A query that is started again
+    on its checkpoint goes on where a lost connection left it. Needs the RocksDB state store."""
+    return lines.groupBy("device").transformWithStateInPandas(Capture(timeout), outputStructType=TIMED_LINES, outputMode="Append", timeMode="none")
+
+
 def detections(lines: DataFrame, threshold: float = 0.01, k: int = 5) -> DataFrame:
     """DETECTIONS of a stream of LINES; a device's lines end with the marker. Needs the RocksDB state store."""
     return lines.groupBy("device").transformWithStateInPandas(FileFollower(threshold, k), outputStructType=DETECTIONS, outputMode="Append", timeMode="none")
@@ -72,19 +110,41 @@ def windowed_scores(events: DataFrame, time: str, value: str, by: str, width: st
     return held.agg(F.avg(value).alias("mean"), F.max(value).alias("best")).select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "mean", "best")
 
 
+def stateful(spark: SparkSession):
+    """The RocksDB state store for the streams started inside."""
+    return settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now; its rows from a memory table of that name."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with stateful(stream.sparkSession):
+        stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
 
 
-def backpressure(series: F.Column, most: int, least: int = 1, step: int = 1) -> F.Column:
-    """Items in flight after a series of (throughput, memory_free): one step up while throughput rises, back when it falls, down when memory is short."""
-    def turn(acc, x):
-        way = F.when(x["throughput"] < acc["last"], -acc["way"]).otherwise(acc["way"])
-        moved = F.when(x["memory_free"] < 0.1, acc["n"] - step).otherwise(acc["n"] + way * step)
-        return F.struct(F.greatest(F.lit(least), F.least(F.lit(most), moved)).cast("int").alias("n"), way.cast("int").alias("way"), x["throughput"].cast("double").alias("last"))
-
-    start = F.struct(F.lit(least).alias("n"), F.lit(1).alias("way"), F.lit(0.0).alias("last"))
+def backpressure(series: Column, least: int = 128, most: int = 4096, target_free: float = 8.0) -> Column:
+    """Items in flight after a series of (throughput, memory_free), from `least` on: hill climbing.
+
+    Memory free under the target (0: not known): a fifth less. The first turn probes upwards. Throughput at
+    least 1 % over the turn before: on in the same direction, else back. Memory and turning back halve the step.
+    """
+    first = max(32, min(512, least // 2))
+
+    def turn(acc: Column, x: Column) -> Column:
+        n, way, by = acc["n"], acc["way"], acc["by"]
+        half = F.greatest(F.lit(16), F.floor(by / 2).cast("int"))
+        short = (x["memory_free"] > 0) & (x["memory_free"] < target_free)
+        probe, rising = acc["last"].isNull(), x["throughput"] >= acc["last"] * 1.01
+        keep = probe | rising
+        onward = F.when(probe | (way >= 0), n + by).otherwise(n - by)
+        turned = F.when(way >= 0, n - half).otherwise(n + half)
+        moved = F.when(short, F.floor(n * 0.8).cast("int")).when(keep, onward).otherwise(turned)
+        return F.struct(
+            F.greatest(F.lit(least), F.least(F.lit(most), moved)).cast("int").alias("n"),
+            F.when(short, -1).when(probe, 1).when(rising, way).otherwise(-way).cast("int").alias("way"),
+            F.when(short | ~keep, half).otherwise(by).cast("int").alias("by"),
+            x["throughput"].cast("double").alias("last"),
+        )
+
+    start = F.struct(F.lit(least).alias("n"), F.lit(1).alias("way"), F.lit(first).alias("by"), F.lit(None).cast("double").alias("last"))
     return F.aggregate(series, start, turn, lambda acc: acc["n"])

@@ -49,7 +49,7 @@ def test_report_command(spark, tmp_path):
     back = spark.read.option("header", True).csv(f"{tmp_path}/species")
     assert back.columns == ["class", "ap", "ci_lower", "ci_upper", "n_positive", "n_total"] and back.count() == 3
     assert [float(r["ap"]) for r in back.collect()] == sorted((float(r["ap"]) for r in back.collect()), reverse=True)
-    assert spark.read.text(f"{tmp_path}/benchmark").first()[0].startswith('{"metrics":{') and "<table>" in spark.read.text(f"{tmp_path}/page").first()[0]
+    assert spark.read.text(f"{tmp_path}/benchmark").first()[0].startswith('{"model_path":"","num_classes":3,"num_files":12,"metrics":{') and "<table>" in spark.read.text(f"{tmp_path}/page").first()[0]
     assert tables["predictions"].count() == 12
 
 

@@ -208,7 +208,7 @@ def test_registries():
 
 def test_spectra():
     x = np.sin(2 * np.pi * np.arange(512) * 8 / 64)
-    m = spectral.magnitudes(x, 64, 32, spectral.hann(64, False), False, None)
+    m = spectral.magnitudes(x[None], 64, 32, spectral.hann(64, False), False, None)[0]
     assert m.shape == (15, 33) and (m.argmax(1) == 8).all()
 
 
@@ -224,32 +224,6 @@ def test_starts_keep_apart(spark):
         assert got == wanted, i
 
 
-def test_resampling_keeps_a_tone(spark):
-    x = np.sin(2 * np.pi * np.arange(400) / 40)
-    df = spark.createDataFrame([(x.tolist(),), ([],)], "x array<double>")
-    y = np.array(df.select(spectral.resampled(4, 3)("x")).first()[0])
-    assert len(y) == 300 and np.allclose(y[30:-30], np.sin(2 * np.pi * np.arange(300) / 30)[30:-30], atol=0.01)
-
-
-def test_gain_control_flattens_levels():
-    loud = spectral.pcen().func(__import__("pandas").Series([np.full((50, 3), 0.5)]))[0]
-    quiet = spectral.pcen().func(__import__("pandas").Series([np.full((50, 3), 0.05)]))[0]
-    assert abs(loud[-1][0] - quiet[-1][0]) < 0.2 * loud[-1][0] and all(len(r) == 3 for r in loud)
-
-
-def test_backpressure(spark):
-    from corvane.streaming import device
-
-    series = [(1.0, 0.5), (2.0, 0.5), (1.5, 0.5), (1.8, 0.5), (2.0, 0.01)]
-    n, way, last = 1, 1, 0.0
-    for t, free in series:
-        way = -way if t < last else way
-        n = max(1, min(8, n - 1 if free < 0.1 else n + way))
-        last = t
-    df = spark.createDataFrame([(series,)], "s array<struct<throughput:double,memory_free:double>>")
-    assert df.select(device.backpressure(F.col("s"), 8)).first()[0] == n
-
-
 def test_running_sums_without_groups_use_no_single_window(spark):
     """Scores of one range and of many give the sums of a plain sort."""
     draw = np.random.default_rng(8)
@@ -278,5 +252,16 @@ def test_training_samples(spark):
     df = spark.createDataFrame(rows, "file long, label string, samples array<double>")
     classes = spark.createDataFrame([(0, "a"), (1, "b")], "class_idx int, class string")
     found = evaluation.training_samples(df, classes, 10, most=3, threshold=0.9).collect()
-    assert {r["file"] for r in found} == {0, 1, 2} and all(len(r["samples"]) == 10 for r in found)
+    assert {r["file"] for r in found} == {0, 1, 2, 4} and all(len(r["samples"]) == 10 for r in found)
     assert {r["file"]: r["class_idx"] for r in found}[2] is None
+
+
+def test_resampling_keeps_a_tone():
+    x = np.sin(2 * np.pi * np.arange(400) / 40)
+    y = spectral.resample(x[None], *spectral.polyphase(4, 3))[0]
+    assert len(y) == 300 and np.allclose(y[30:-30], np.sin(2 * np.pi * np.arange(300) / 30)[30:-30], atol=0.01)
+
+
+def test_gain_control_flattens_levels():
+    loud, quiet = (spectral.gain_controlled(np.full((1, 50, 3), v * 2.0**31), spectral.smoothing(0.4, 22_050, 512), 0.98, 2.0, 0.5, 1e-6)[0] for v in (0.5, 0.05))
+    assert abs(loud[-1][0] - quiet[-1][0]) < 0.2 * loud[-1][0] and all(len(r) == 3 for r in loud)
