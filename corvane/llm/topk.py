@@ -1,25 +1,30 @@
 """Exact top-k by integer inner product through a pivot-distance index.
 
 Vectors become integers, floor(256 x). A further component lifts all of them to one length, so a larger
-inner product is a smaller distance. Pivots come from a bounded sample; each row is keyed by its nearest
-pivot and its distance to it, and rows are laid out in that order. A query's sample rows give a first
-bound on its k-th score. A task looks at runs of rows of one pivot (annuli) from the nearest outward and
-skips every query whose distance to the pivot differs from the annulus by more than its radius: by the
-triangle inequality no row there can enter its result. Queries go to the tasks in blocks.
+inner product is a smaller distance. Pivots come from a bounded sample. Each row is keyed by its nearest
+pivot and its distance to it; rows are laid out in that order and cut into cells, annuli of one pivot. A
+directory keeps each cell's pivot and least and largest distance.
+
+A query's sample rows give a first bound on its k-th score, so a radius. By the triangle inequality a cell
+whose distances differ from the query's own by more than the radius cannot hold a result. Queries are rows
+all along: in rounds, each is dealt to the next of its cells in the order of these differences, as far as
+the radius reaches, and met there by a shuffle: a task holds one cell and streams the queries past it. The
+best of each round tighten the radius for the next; the third takes all cells that are left within reach.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; a query's candidates are rows of other ids; rows of one id and
-vector are one query, but each is a candidate; fewer candidates than k give fewer rows; ties go to the
-smaller id; an empty table gives no rows.
+vector are one query, but each is a candidate; rows of one id and different vectors are queries of
+their own; fewer candidates than k give fewer rows; ties go to the smaller id; components and scores
+beyond 64 bits are held to its ends; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,9 +32,14 @@ from pyspark.sql.window import Window
 from corvane.llm.common import written
 
 SCALE = 256
-#: Rows that pivots and first bounds come from; pivots; queries sent to the tasks at once; bytes of vectors looked at together.
-SAMPLE_ROWS, PIVOTS, BLOCK_QUERIES, CHUNK_BYTES = 4_096, 64, 4_096, 32_000_000
-ANNULUS_ROWS = 512
+#: Rows that pivots and first bounds come from; pivots.
+SAMPLE_ROWS, PIVOTS = 4_096, 64
+#: Rows of a cell at least, and cells at about most: the directory goes to all tasks.
+CELL_ROWS, CELLS = 2_048, 200_000
+#: Cells that a query is dealt to in each round; the last takes all others within reach.
+ROUNDS = (4, 60, None)
+#: Numbers worked on at once, and bytes of dealt queries a task.
+BATCH_NUMBERS, TASK_BYTES = 4_000_000, 64_000_000
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -86,107 +96,177 @@ def choose_pivots(points: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
     return pivots
 
 
-class Best:
-    """The k best candidates of each query so far; scores below `floor` are of no use."""
-
-    def __init__(self, floor: np.ndarray, k: int):
-        self.floor, self.k = floor.copy(), k
-        self.query, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
-
-    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        query, ids, score = (np.concatenate(x) for x in ((self.query, query), (self.id, ids), (self.score, score)))
-        order = np.lexsort((ids, -score, query))
-        query, ids, score = query[order], ids[order], score[order]
-        head = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, np.int64)
-        rank = np.arange(len(query)) - np.repeat(head, np.diff(np.append(head, len(query))))
-        last = rank == self.k - 1
-        np.maximum.at(self.floor, query[last], score[last])
-        keep = rank < self.k
-        self.query, self.id, self.score = query[keep], ids[keep], score[keep]
-
+def reached(far: np.ndarray, radius: np.ndarray, pivot: np.ndarray, low: np.ndarray, high: np.ndarray, slack: float, first: int, count: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of numbers (query, cell): of each query's cells by rising gap those from place `first` on, `count` at most, that its radius reaches.
 
-def search_chunk(best: Best, queries: np.ndarray, query_ids: np.ndarray, far: np.ndarray, squares: np.ndarray, pivot: np.ndarray, dist: np.ndarray, ids: np.ndarray, v: np.ndarray) -> int:
-    """Looks through rows sorted by pivot and distance; returns how many products it made.
-
-    far: each query's distance to each pivot; squares: |q|² plus the squared length all rows were lifted to.
+    far: distances of queries to pivots; a gap is how much a cell's distances differ from the query's at least.
     """
-    turn = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
-    cuts = np.unique(np.concatenate((turn, *(np.arange(a, b, ANNULUS_ROWS) for a, b in zip(turn, np.append(turn[1:], len(pivot)), strict=True)))))
-    ends = np.append(cuts[1:], len(pivot))
-    own = pivot[cuts]
-    gaps = np.maximum(0, np.maximum(far[:, own] - dist[ends - 1][None, :], dist[cuts][None, :] - far[:, own]))
-    made = 0
-    for i in np.argsort(gaps.min(0), kind="stable"):
-        radius = np.sqrt(np.maximum(0, squares - 2.0 * best.floor))
-        active = np.flatnonzero(gaps[:, i] <= radius * (1 + 1e-9) + 1e-6)
-        if not len(active):
-            continue
-        a, b = cuts[i], ends[i]
-        score = products(queries[active], v[a:b])
-        made += score.size
-        row, col = np.nonzero((score >= best.floor[active][:, None]) & (ids[a:b][None, :] != query_ids[active][:, None]))
-        best.add(active[row], ids[a:b][col], score[row, col])
-    return made
-
+    gaps = np.maximum(0, np.maximum(far[:, pivot] - high[None, :], low[None, :] - far[:, pivot]))
+    near = gaps <= (radius + slack)[:, None]
+    if first == 0 and count is None:
+        return np.nonzero(near)
+    order = np.argsort(gaps, axis=1, kind="stable")[:, first : None if count is None else first + count]
+    query, place = np.nonzero(np.take_along_axis(near, order, 1))
+    return query, order[query, place]
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best scores that are not under its floor, of other ids than its own; smaller ids first in ties."""
+    row, col = np.nonzero((score >= floor[:, None]) & (ids[None, :] != query_ids[:, None]))
+    order = np.lexsort((ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    rank = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
+    return row[rank < k], col[rank < k]
+
+
+class Search:
+    """An index and what a search in it needs; see the module."""
+
+    def __init__(self, vectors: DataFrame, key: str, vector: str):
+        self.spark = vectors.sparkSession
+        self.rows = integer_vectors(vectors, key, vector)
+        square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        self.n, self.width, self.length = self.rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(square), F.lit(0.0))).first()
+        # Lengths and distances come from differences of squares: errors are of the order of the root of a double's step.
+        self.slack = 1e-6 * (1 + self.length**0.5)
+        taken = self.rows.orderBy(F.xxhash64("id", F.lit(6)), "id", F.xxhash64("v")).limit(SAMPLE_ROWS).toArrow()
+        self.sample_ids, self.sample = taken["id"].to_numpy(), self.dense(taken["v"].combine_chunks()) if len(taken) else np.zeros((0, self.width), np.int64)
+        self.pivots = choose_pivots(lifted(self.sample, self.length), PIVOTS)
+
+    def dense(self, column: pa.Array) -> np.ndarray:
+        return matrix(column, self.width)
+
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """(cell, id, v) of all rows, and (cell, pivot, low, high) of all cells, both written."""
+        width, length, pivots = self.width, self.length, self.pivots
+        cell_rows = max(CELL_ROWS, -(-self.n // CELLS))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                apart = distances(lifted(matrix(batch.column(1), width), length), pivots)
+                near = apart.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(apart[np.arange(len(near)), near]), *batch.columns], ["pivot", "dist", "id", "v", "row"])
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): for each row that `is_query` (over `key`), the k best of all others."""
-    spark = vectors.sparkSession
-    rows = integer_vectors(vectors, key, vector)
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n, width, length = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(square), F.lit(0.0))).first()
-    order = [F.xxhash64("id", F.lit(6)), "id"]
-    taken = rows.orderBy(*order).limit(SAMPLE_ROWS).toArrow()
-    sample_ids, sample = taken["id"].to_numpy(), matrix(taken["v"].combine_chunks(), width) if len(taken) else np.zeros((0, width), np.int64)
-    pivots = choose_pivots(lifted(sample, length), PIVOTS)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            apart = distances(lifted(matrix(batch.column(1), width), length), pivots)
-            near = apart.argmin(1)
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(apart[np.arange(len(near)), near]), *batch.columns], ["pivot", "dist", "id", "v"])
-
-    chunk = max(ANNULUS_ROWS, CHUNK_BYTES // (8 * max(1, width)))
-    files = max(1, -(-n // chunk))
-    layout = ["pivot", "dist", "id"]
-    index = rows.mapInArrow(keyed, "pivot int, dist double, id long, v array<long>").repartitionByRange(files, *layout).sortWithinPartitions(*layout)
-    index = written(index, "pivot-index")
-
-    queries = rows.where(is_query).distinct()
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-
-    def block(number: int) -> DataFrame:
-        own = queries.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)) == number).toArrow()
-        ids, q = own["id"].to_numpy(), matrix(own["v"].combine_chunks(), width) if len(own) else np.zeros((0, width), np.int64)
-        first = np.full((len(ids), max(k, len(sample))), np.iinfo(np.int64).min)
-        first[:, : len(sample)] = np.where(ids[:, None] != sample_ids[None, :], products(q, sample), first[:, : len(sample)])
-        floor = np.partition(first, first.shape[1] - k, axis=1)[:, first.shape[1] - k] if len(ids) else np.zeros(0, np.int64)
-        shared = spark.sparkContext.broadcast((ids, q, floor))
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Runs of one pivot in their order, `cell_rows` at most, with a number no other task gives."""
+            cell, held, last = TaskContext.get().partitionId() << 32, 0, None
+            for batch in batches:
+                pivot = batch.column(0).to_numpy()
+                own = np.empty(len(pivot), np.int64)
+                turn = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1])) if len(pivot) else []
+                for a, b in zip(turn, np.append(turn[1:], len(pivot)), strict=True):
+                    if pivot[a] != last:
+                        cell, held, last = cell + 1, 0, pivot[a]
+                    number = (held + np.arange(b - a)) // cell_rows
+                    own[a:b] = cell + number
+                    cell, held = cell + int(number[-1]), held + (b - a) - int(number[-1]) * cell_rows
+                yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns[:4]], ["cell", "pivot", "dist", "id", "v"])
+
+        layout = ["pivot", "dist", "id", "row"]
+        files = max(1, -(-self.n * 8 * max(1, width) // TASK_BYTES))
+        # Equal rows are told apart by where they were read, so that none of their ranges grows beyond a file.
+        placed = self.rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(keyed, "pivot int, dist double, id long, v array<long>, row long")
+        rows = written(placed.repartitionByRange(files, *layout).sortWithinPartitions(*layout).mapInArrow(cut, "cell long, pivot int, dist double, id long, v array<long>"), "pivot-index")
+        directory = rows.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("dist").alias("low"), F.max("dist").alias("high"))
+        return rows.select("cell", "id", "v"), written(directory, "pivot-directory")
+
+    def bounded(self, queries: DataFrame, k: int) -> DataFrame:
+        """Queries (q, id, v) with floor: the k-th best score among the sample's rows of other ids."""
+        sample, sample_ids, width, least = self.sample, self.sample_ids, self.width, np.iinfo(np.int64).min
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, v = batch.column(1).to_numpy(), matrix(batch.column(2), width)
+                floor = np.full(len(ids), least)
+                if len(sample) >= k:
+                    score = np.where(ids[:, None] != sample_ids[None, :], products(v, sample), least)
+                    floor = np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], ["q", "id", "v", "floor"])
+
+        return queries.mapInArrow(bound, "q long, id long, v array<long>, floor long")
+
+    def dealt(self, queries: DataFrame, directory: DataFrame, first: int, count: int | None) -> DataFrame:
+        """(cell, q, id, v, floor): queries to those cells of a round that they reach. The directory has CELLS rows or a few more."""
+        cells = directory.orderBy("cell").toArrow()
+        shared = self.spark.sparkContext.broadcast(tuple(cells[c].to_numpy() for c in ("cell", "pivot", "low", "high")))
+        width, length, pivots, slack = self.width, self.length, self.pivots, self.slack
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell, pivot, low, high = shared.value
+            step = max(1, BATCH_NUMBERS // max(1, len(cell), 64 * width))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    v, floor = matrix(part.column(2), width).astype(np.float64), part.column(3).to_numpy()
+                    lift = np.concatenate((v, np.zeros((len(v), 1))), 1)
+                    radius = np.sqrt(np.maximum(0, (v * v).sum(1) + length - 2.0 * floor))
+                    query, place = reached(distances(lift, pivots), radius, pivot, low, high, slack, first, count)
+                    for a in range(0, len(query), 4_096):
+                        took = part.take(pa.array(query[a : a + 4_096]))
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[place[a : a + 4_096]]), *took.columns], ["cell", "q", "id", "v", "floor"])
+
+        return queries.mapInArrow(deal, "cell long, q long, id long, v array<long>, floor long")
+
+    def met(self, index: DataFrame, dealt: DataFrame, n_dealt: int, k: int) -> DataFrame:
+        """(q, query_id, vec_id, score): the k best of each dealt query's cell, not under the query's floor."""
+        width = self.width
+        cells = dealt.select("cell").distinct()  # no more than the directory has
+        held = index.join(F.broadcast(cells), "cell", "left_semi").select("cell", F.lit(0).alias("side"), F.lit(None).cast("long").alias("q"), "id", "v", F.lit(None).cast("long").alias("floor"))
+        both = held.unionByName(dealt.select("cell", F.lit(1).alias("side"), "q", "id", "v", "floor"))
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_dealt + self.n) * 8 * max(1, width) // TASK_BYTES))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q, floor = shared.value
-            lift = np.concatenate((q.astype(np.float64), np.zeros((len(q), 1))), 1)
-            far, squares = distances(lift, pivots) if len(pivots) else np.zeros((len(q), 0)), (lift * lift).sum(1) + length
-            best, waiting, size = Best(floor, k), [], 0
+            """A cell's rows come before the queries that are dealt to it."""
+            current, waiting, rows = None, [], None
+            for batch in batches:
+                cell, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                turn = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (side[1:] != side[:-1]))) if len(cell) else []
+                for a, b in zip(turn, np.append(turn[1:], len(cell)), strict=True):
+                    if cell[a] != current:
+                        current, waiting, rows = cell[a], [], None
+                    part = batch.slice(a, b - a)
+                    if side[a] == 0:
+                        waiting.append((part.column(3).to_numpy(), matrix(part.column(4), width)))
+                        continue
+                    if rows is None:
+                        rows = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+                        waiting = []
+                    ids, v = rows
+                    step = max(1, BATCH_NUMBERS // max(1, len(ids)))
+                    for at in range(0, part.num_rows, step):
+                        own = part.slice(at, step)
+                        q, own_ids, floor = (own.column(i).to_numpy() for i in (2, 3, 5))
+                        score = products(matrix(own.column(4), width), v)
+                        row, col = best_of(score, ids, own_ids, floor, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q[row], own_ids[row], ids[col], score[row, col])], ["q", "query_id", "vec_id", "score"])
+
+        return both.repartition(tasks, "cell").sortWithinPartitions("cell", "side").mapInArrow(look, "q long, query_id long, vec_id long, score long")
+
+
+def best_rows(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
 
-            def flush() -> None:
-                parts = [np.concatenate([x.column(i).to_numpy() for x in waiting]) for i in range(3)]
-                v = np.concatenate([matrix(x.column(3), width) for x in waiting])
-                at = np.lexsort((parts[1], parts[0]))
-                search_chunk(best, q, ids, far, squares, *(p[at] for p in parts), v[at])
 
-            for batch in batches:
-                waiting.append(batch)
-                size += batch.num_rows
-                if size >= chunk:
-                    flush()
-                    waiting, size = [], 0
-            if size:
-                flush()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[best.query], best.id, best.score)], ["query_id", "vec_id", "score"])
-
-        return index.mapInArrow(look, "query_id long, vec_id long, score long")
-
-    found = reduce(DataFrame.unionByName, [block(b) for b in range(blocks)])
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): for each row that `is_query` (over `id`, the key), the k best of all others."""
+    search = Search(vectors, key, vector)
+    index, directory = search.index()
+    queries = search.rows.where(is_query).distinct().select(F.xxhash64("id", "v").alias("q"), "id", "v")
+    state = written(search.bounded(queries, k), "pivot-queries")
+    best, first = None, 0
+    for count in ROUNDS:
+        dealt = written(search.dealt(state, directory, first, count), "pivot-dealt")
+        n_dealt = dealt.count()
+        if not n_dealt:
+            break  # cells further on are further away
+        found = search.met(index, dealt, n_dealt, k)
+        best = written(best_rows(found if best is None else found.unionByName(best.drop("rank")), k), "pivot-best")
+        if count is not None:
+            first += count
+            floors = best.where(F.col("rank") == k).select("q", F.col("score").alias("better"))
+            state = written(state.join(floors, "q", "left").select("q", "id", "v", F.greatest("floor", F.coalesce("better", "floor")).alias("floor")), "pivot-queries")
+    if best is None:
+        return state.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("floor").alias("score")).limit(0)
+    return best.select("query_id", "rank", "vec_id", "score")

@@ -322,25 +322,51 @@ def test_top_k(spark, tables):
     same(run(spark, "op6_top_k", tables), wanted)
 
 
-def test_annuli_are_skipped():
+def test_annuli_are_skipped(spark, monkeypatch):
     """On clustered vectors the bounds leave most products out, and the result stays exact."""
     draw = np.random.default_rng(11)
     centres = draw.normal(0, 300, (20, 16))
     v = np.floor(np.repeat(centres, 500, 0) + draw.normal(0, 3, (10_000, 16))).astype(np.int64)
     v[:] = v * (300 / np.linalg.norm(v, axis=1))[:, None]
-    ids, square = np.arange(len(v)), float((v * v).sum(1).max())
-    pivots = topk.choose_pivots(topk.lifted(v[::25], square), 20)
-    apart = topk.distances(topk.lifted(v, square), pivots)
-    near = apart.argmin(1)
-    order = np.lexsort((apart[ids, near], near))
-    q = v[::500]
-    lift = np.concatenate((q.astype(float), np.zeros((len(q), 1))), 1)
-    best = topk.Best(np.full(len(q), np.iinfo(np.int64).min), 5)
-    made = topk.search_chunk(best, q, ids[::500], topk.distances(lift, pivots), (lift * lift).sum(1) + square, near[order], apart[ids, near][order], ids[order], v[order])
-    for j in range(len(q)):
-        wanted = sorted((-int(x), i) for i, x in enumerate(v @ q[j]) if i != ids[::500][j])[:5]
-        assert [(-s, i) for s, i in zip(best.score[best.query == j], best.id[best.query == j])] == wanted
-    assert made < 0.7 * len(v) * len(q)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate((v / 256).tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "CELL_ROWS", 100)
+    looked = []
+    met = topk.Search.met
+    monkeypatch.setattr(topk.Search, "met", lambda self, index, dealt, n, k: looked.append(dealt.join(index.groupBy("cell").count(), "cell").agg(topk.F.sum("count")).first()[0]) or met(self, index, dealt, n, k))
+    found = topk.top_k(rows, topk.F.col("id") % 500 == 0).collect()
+    for j in range(0, len(v), 500):
+        wanted = sorted((-int(x), i) for i, x in enumerate(v @ v[j]) if i != j)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in found if r["query_id"] == j), key=lambda r: r["rank"])] == wanted
+    # Rows that queries met, in all rounds, against all pairs.
+    assert 0 < sum(looked) < 0.3 * len(v) * (len(v) // 500)
+
+
+@pytest.mark.parametrize("size", [1, 100, 10_000, 1_000_000])
+def test_reach_is_exact(size):
+    """Over many draws no cell that holds a row within a query's radius is left out, whatever the rounds."""
+    draw = np.random.default_rng(size)
+    for _ in range(20):
+        v = np.floor(draw.normal(0, size, (300, 6)) * draw.choice([1, 30], (300, 1))).astype(np.int64)
+        square = float((v * v).sum(1).max())
+        points = topk.lifted(v, square)
+        pivots = topk.choose_pivots(points[::10], 5)
+        apart = topk.distances(points, pivots)
+        near = apart.argmin(1)
+        order = np.lexsort((apart[np.arange(300), near], near))
+        cells = [c for p in range(5) for own in [order[near[order] == p]] for c in np.array_split(own, max(1, len(own) // 20)) if len(c)]
+        pivot, low, high = np.array([near[c[0]] for c in cells]), *(np.array([f(apart[c, near[c[0]]]) for c in cells]) for f in (min, max))
+        q = v[:20]
+        score = topk.products(q, v)
+        floor = np.sort(score, 1)[:, -5]
+        lift = np.concatenate((q.astype(float), np.zeros((20, 1))), 1)
+        radius = np.sqrt(np.maximum(0, (lift * lift).sum(1) + square - 2.0 * floor))
+        found, first = set(), 0
+        for count in (1, 3, None):
+            pairs = topk.reached(topk.distances(lift, pivots), radius, pivot, low, high, 1e-6 * (1 + square**0.5), first, count)
+            assert not found & set(zip(*map(list, pairs)))
+            found, first = found | set(zip(*map(list, pairs))), first + (count or 0)
+        home = {int(i): c for c, rows in enumerate(cells) for i in rows}
+        assert all((i, home[j]) in found for i in range(20) for j in np.flatnonzero(score[i] >= floor[i]).tolist())
 
 
 def test_products_beyond_doubles():
