@@ -9,17 +9,19 @@ share of the item's shingles it has, first by hash, then by the words themselves
 
 Words are runs of letters and digits in lower case; shingles have five; a text with fewer words is one
 shingle, which only an equally short text has. Items are sent to the tasks in blocks of bounded size,
-each block searching all documents.
+one block after the other, each searching all documents; there is one index in a worker at a time.
 
 Defined results: null and wordless documents or items match nothing; repeated items (same id and text)
 count once, repeated documents each give their rows; items with the same text all match; documents are
-searched whole; columns of other names do not matter.
+searched whole, however long they are; without items or documents there are no rows; columns of other
+names do not matter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.llm.bpe import LETTER, NUMBER, classes
-from corvane.llm.common import by_size, strings
+from corvane.llm.common import by_size, strings, written
 from corvane.llm.langid import lower_table
 
 SHINGLE_WORDS, CONTAINED, HASHES = 5, 0.8, 64
@@ -185,20 +187,23 @@ class Index:
         return out
 
 
-def contained(documents: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = CONTAINED) -> Column:
-    """A column of `documents`: the items each contains, an array of (item, n_shared, n_item, containment)."""
-    spark, kind = documents.sparkSession, items.schema[item].dataType
-    result = T.ArrayType(T.StructType([T.StructField("item", kind), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType()), T.StructField("containment", T.DoubleType())]))
-    names, arrow = result.elementType.names, to_arrow_type(result)
-    rows = items.select(item, F.coalesce(item_text, F.lit("")).alias("text")).distinct()
-    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+class Items:
+    """Benchmark items in blocks of bounded size, for columns that search documents for them."""
 
-    def searcher(block: int):
-        own = rows.where(F.pmod(F.xxhash64(item, "text"), F.lit(blocks)) == block).collect()
-        index = spark.sparkContext.broadcast(Index([r[0] for r in own], [r[1] for r in own]))
+    def __init__(self, items: DataFrame, item: str = "item_id", text: str = "text", least: float = CONTAINED):
+        self.least, kind = least, items.schema[item].dataType
+        self.result = T.ArrayType(T.StructType([T.StructField("item", kind), T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType()), T.StructField("containment", T.DoubleType())]))
+        self.rows = items.select(F.col(item).alias("item"), F.coalesce(text, F.lit("")).alias("text")).distinct()
+        count, size = self.rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        self.blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
 
-        @F.arrow_udf(result)
+    def found(self, block: int, text: str) -> Column:
+        """A column: the items of a block that each text contains, an array of (item, n_shared, n_item, containment)."""
+        own = self.rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.blocks)) == block).collect()  # a block is bounded
+        index = self.rows.sparkSession.sparkContext.broadcast(Index([r[0] for r in own], [r[1] for r in own]))
+        names, arrow, least = self.result.elementType.names, to_arrow_type(self.result), self.least
+
+        @F.arrow_udf(self.result)
         def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for column in columns:
                 texts, out = strings(column), []
@@ -208,11 +213,21 @@ def contained(documents: DataFrame, items: DataFrame, text: str = "text", item:
 
         return search(F.coalesce(F.col(text), F.lit("")))
 
-    found = [searcher(b) for b in range(blocks)]
-    return found[0] if blocks == 1 else F.concat(*found)
-
 
 def contamination(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, n_shared, n_item, containment) for each item that a document contains."""
-    found = documents.select("doc_id", F.explode(contained(documents, items)).alias("x"))
-    return found.select("doc_id", F.col("x.item").alias("item_id"), "x.n_shared", "x.n_item", "x.containment")
+    sought = Items(items)
+    each = []
+    for block in range(sought.blocks):
+        rows = documents.select("doc_id", F.explode(sought.found(block, "text")).alias("x"))
+        each.append(rows if sought.blocks == 1 else written(rows, "contained-items"))
+    return reduce(DataFrame.unionByName, each).select("doc_id", F.col("x.item").alias("item_id"), "x.n_shared", "x.n_item", "x.containment")
+
+
+def clean(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """`documents` without those that contain an item; with several blocks what a block leaves is written for the next."""
+    sought = Items(items)
+    for block in range(sought.blocks):
+        left = documents.where(F.size(sought.found(block, "text")) == 0)
+        documents = left if block == sought.blocks - 1 else written(left, "clean-so-far")
+    return documents

@@ -6,7 +6,9 @@ text's language is that of most letters. Counts of trigrams are learned from lab
 
 Defined results: null text and text without a letter are `und` with score 0 and no spans; bad UTF-8 is
 read with replacement marks; ties go to the language that sorts first; with no labelled rows, all is
-`und`; whole texts count, whatever their length; rows do not affect each other; other columns stay.
+`und` with score 0, and texts with letters are one span of it; whole texts count, whatever their length;
+rows do not affect each other; other columns stay; an empty table gives no rows. Rows without an id are not
+held out, but not learned from either: what their remainder is, is not known.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import types as T
 from corvane.llm.bpe import LETTER, classes
 from corvane.llm.common import by_size, strings
 
-#: Bounds of the fit: labelled rows read per language, about, and languages (the most frequent).
-FIT_ROWS, FIT_LANGUAGES = 8_000, 256
+#: The bound of the fit: labelled rows read per language, about. Languages have no bound.
+FIT_ROWS = 8_000
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 SWITCH_PENALTY, OTHER_SCRIPT, PRIOR = 12.0, -20.0, 0.5
@@ -104,14 +106,15 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
-    """Learns from about `rows` rows of each of the FIT_LANGUAGES most frequent languages, picked by a hash of `key`."""
+    """Learns from about `rows` rows of each language, picked by a hash of `key`. The model has a number for each language and bucket."""
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(FIT_LANGUAGES).collect()}
+    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}  # a row per language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
-    share = F.create_map(*(F.lit(x) for l in languages for x in (l, int(1_000_000 * min(1, rows / sizes[l])))))
-    sample = known.where(F.pmod(F.xxhash64(key, F.lit(10)), F.lit(1_000_000)) < F.try_element_at(share, F.col(lang)))
+    shares = labelled.sparkSession.createDataFrame([(l, -(-1_000_000_000 * rows // max(rows, sizes[l]))) for l in languages], "__lang string, __share long")
+    chosen = F.pmod(F.xxhash64(key, F.lit(10)), F.lit(1_000_000_000)) < F.col("__share")
+    sample = known.select(key, text, lang).join(F.broadcast(shares), F.col(lang) == F.col("__lang")).where(chosen)
     number = {l: i for i, l in enumerate(languages)}
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,12 @@ def label(texts: list[str], model: Model) -> tuple[list, list, list]:
     """Of each text: the language, its score, and the spans (start, end, language) in code points."""
     langs, sure, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
     words = words_of(texts)
-    if not len(words.start) or not model.languages:
+    if not len(words.start):
+        return langs, sure, spans
+    if not model.languages:
+        for t in np.unique(words.text):
+            a, b = np.searchsorted(words.text, [t, t + 1])
+            spans[t] = [(int(words.start[a] - words.base[t]), int(words.end[b - 1] - words.base[t]), UNKNOWN)]
         return langs, sure, spans
     scores = word_scores(words, model)
     cuts = np.searchsorted(words.text, np.arange(len(texts) + 1))
@@ -231,8 +239,8 @@ def identify(df: DataFrame, model: Model, text: str = "text", into: str = "langu
 
 
 def labelled_documents(documents: DataFrame) -> DataFrame:
-    """The rows to learn from: with text and language, and not held out."""
-    return documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    """The rows to learn from: with an id that is not held out."""
+    return documents.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
 
 
 def predictions(documents: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Equal fingerprints are one row from the start. Fingerprints within `most` differing bits agree on one
 of `most + 1` blocks of bits, so each is dealt out once per block, by the block's bits; groups that
-are still large are dealt out again by blocks of the bits that are left. Within a group, fingerprints
+are still large are dealt out again by blocks of the bits that are left, and what is large after that
+is cut into parts that meet in pairs, so no task holds more than a bounded group. Within a group, fingerprints
 are sorted by Gray rank; runs of them are nodes that keep the bits all members share; pairs of nodes
 whose shared bits already differ in too many places are dropped with all their members; pairs whose
 members are all near, or are linked already, need no further look. Each group gives a star of links,
@@ -12,7 +13,8 @@ star contractions on written tables.
 Defined results: null or blank text has fingerprint zero and is linked like any other; a text with
 fewer words than a shingle is one shingle; repeated rows have equal fingerprints and so one component;
 a null doc_id takes part, and its component is the smallest id that is not null; an empty table
-gives an empty result; only doc_id and text are read.
+gives an empty result; very long texts are hashed whole, in bounded stretches of shingles; only doc_id
+and text are read.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import written
+from corvane.llm.common import FREQUENT, free_name, joined, written
 
 SHINGLE_WORDS, MOST_BITS, SEED = 4, 4, 42
 #: Rows of a group beyond which it is dealt out anew, how often that is done, and rows of a task.
 GROUP_ROWS, DEALS, TASK_ROWS = 20_000, 3, 400_000
-FANOUT, PAIRS_AT_ONCE = 8, 1 << 15
+FANOUT, PAIRS_AT_ONCE, AT_ONCE = 8, 1 << 15, 100_000
 
 
 def fingerprint_of(text: bytes, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -85,26 +87,36 @@ def _dealt(df: DataFrame, widths: list[int], most: int) -> tuple[DataFrame, list
 
 
 def groups(fingerprints: DataFrame, most: int) -> DataFrame:
-    """Rows (fp, key) so that any two fingerprints within `most` bits share a key; large groups are dealt out anew.
+    """Rows (fp, key) so that any two fingerprints within `most` bits share a key, GROUP_ROWS or a little more a key.
 
-    The groups of the first deal are a few ten thousand whatever the input, those of later ones are
-    counted among rows of large groups only.
+    Large groups are dealt out anew, DEALS times in all; the parts of those still large meet in pairs. The
+    groups of the first deal are a few ten thousand whatever the input, those of later ones are counted
+    among rows of large groups only.
     """
     start = fingerprints.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), F.lit(64).alias("width"))
     rows, widths = _dealt(start, [64], most)
     done = None
-    for _ in range(DEALS - 1):
-        large = rows.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key")
-        large = written(large, "large-groups")
+    for turn in range(DEALS):
+        large = written(rows.groupBy("key").count().where(F.col("count") > GROUP_ROWS), "large-groups")
         if large.isEmpty():
             break
-        small = rows.join(large, "key", "left_anti").select("fp", "key")
+        small = rows.join(large.select("key"), "key", "left_anti").select("fp", "key")
         done = small if done is None else done.unionByName(small)
-        rows, widths = _dealt(rows.join(large, "key", "left_semi").select("fp", "key", "rest", "width"), widths, most)
+        if turn == DEALS - 1:
+            return done.unionByName(_in_pairs(rows.join(large, "key").select("fp", "key", "count")))
+        rows, widths = _dealt(rows.join(large.select("key"), "key", "left_semi").select("fp", "key", "rest", "width"), widths, most)
     rest = rows.select("fp", "key")
     return rest if done is None else done.unionByName(rest)
 
 
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Groups of `count` rows in parts of about GROUP_ROWS / 2: (fp, key) with a key for each two parts of a group."""
+    parts = F.ceil(F.col("count") * 2 / GROUP_ROWS)
+    own = rows.select("fp", "key", parts.alias("parts"), F.pmod(F.xxhash64("fp", F.lit(5)), parts).alias("part"))
+    met = own.select("fp", "key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    return met.select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """The place of each word in Gray order."""
     out = x.copy()
@@ -204,13 +216,28 @@ def links(grouped: DataFrame, most: int, tasks: int) -> DataFrame:
     """Links (u, v) that connect all fingerprints of a group that are within `most` bits, directly or through others."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if parts:
+        """Whole groups at a time, as many as make up AT_ONCE rows; the last of what has come may go on."""
+        waiting, n = [], 0
+
+        def look(parts: list) -> pa.RecordBatch:
             words, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
             u, v = linked(keys, words.view(np.uint64), most)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            if n >= AT_ONCE and (last or keys[0] != waiting[-1][1][-1]):
+                yield look([*waiting, (words[:last], keys[:last])])
+                waiting, n, words, keys = [], 0, words[last:], keys[last:]
+            waiting.append((words, keys))
+            n += len(words)
+        if waiting:
+            yield look(waiting)
 
-    return grouped.repartition(tasks, "key").select("fp", "key").mapInArrow(search, "u long, v long").distinct()
+    return grouped.repartition(tasks, "key").sortWithinPartitions("key").select("fp", "key").mapInArrow(search, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,19 +257,41 @@ def components(edges: DataFrame) -> DataFrame:
         current = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def near_duplicates(documents: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Per document: doc_id, fp (the fingerprint as a long), component_id (the smallest doc_id reachable)."""
+def near_duplicates(documents: DataFrame, most: int = MOST_BITS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, fp (the fingerprint as a long), component_id (the smallest doc_id reachable), component (the least of the
+    fingerprints reachable, which tells components without any id apart), and the `carried` columns."""
     spark = documents.sparkSession
-    marked = written(documents.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    rows = distinct.count() * (most + 1)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
-    stars = written(components(links(groups(distinct, most), most, tasks)), "components")
+    marked = written(documents.select("doc_id", *carried, fingerprint(F.coalesce("text", F.lit(""))).alias("fp")), "fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    n = marked.count()
+    frequent = written(distinct.where(F.col("n") > max(1, n * FREQUENT)).select("fp"), "frequent-fingerprints")
+    grouped = written(groups(distinct, most), "fingerprint-groups")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grouped.count() // TASK_ROWS))
+    stars = written(components(links(grouped, most, tasks)), "components")
     member = stars.select(F.col("node").alias("fp"), "root").unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
     smallest = member.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    labels = member.join(smallest, "root").select("fp", "least")
-    component = distinct.join(labels, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    labels = member.join(smallest, "root").select("fp", "least", "root")
+    component = distinct.join(labels, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"), F.coalesce("root", "fp").alias("component"))
+    return joined(marked, written(component, "fingerprint-components"), "fp", frequent).select("doc_id", "fp", "component_id", "component", *carried)
+
+
+def representatives(documents: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """One row of `documents` of each component: that of the smallest id, null last; rows of one id are told apart by a digest of all
+    their columns that can be hashed, and of rows equal in all of these one stays."""
+    row, other = free_name(documents, "row"), free_name(documents, "row_digest")
+    plain = [f.name for f in documents.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    digests = {row: F.xxhash64(F.lit(1), *plain), other: F.xxhash64(F.lit(2), *plain)}
+    named = documents.withColumns(digests)
+    found = written(near_duplicates(named, most, (row, other)), "near-duplicates")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row), F.col(other))).alias("k"))
+    kept = written(least.select(F.col(f"k.{row}").alias(row), F.col(f"k.{other}").alias(other)), "kept-rows")
+    # As many rows are kept as the input has, so they are merged with the documents at every size, never sent whole to each task.
+    out = named.join(kept.hint("merge"), [row, other], "left_semi")
+    repeated = written(found.groupBy(row, other).count().where("count > 1").join(kept.hint("merge"), [row, other], "left_semi").select(row, other), "repeated-rows")
+    if not repeated.isEmpty():
+        again = out.join(repeated.hint("merge"), [row, other], "left_semi").dropDuplicates([row, other])
+        out = out.join(repeated.hint("merge"), [row, other], "left_anti").unionByName(again)
+    return out.select(*documents.columns)
 
 
 def hex_digits(fp: Column) -> Column:
