@@ -1,8 +1,11 @@
 """The corpus pipeline: language, near-duplicates, benchmark passages, secrets, tokens.
 
 Each stage takes what the one before kept and returns the columns of documents (the last: ids' digests).
-Defined results: ids identify documents, so rows of one id are one document and one of them stays; rows
-with a null id stay; extra columns are passed through; an empty table gives an empty result.
+Defined results: a row is a document, whatever its id, and of each group of near-duplicates exactly one row
+stays: that of the smallest id, null last; rows of one id are ordered by a digest of all their columns, so
+the choice does not depend on partitions or lost executors. Null, blank and letterless texts go in the first
+stage. Where no document has a language to learn from, texts with letters stay. Extra columns are passed
+through with their values, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,43 +14,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, decontam, langid, queries, secrets, simhash
-from corvane.llm.common import bounded_batches, written
+from corvane.llm.common import bounded_batches, free_name, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found: null texts and texts without a letter."""
+    """Drops documents in which nothing can be labelled: null texts and texts without a letter have no span."""
     bounded_batches(spark)
-    model = langid.fit(langid.labelled_documents(docs))
-    found = langid.identify(docs, model, into="__language")
-    return found.where(F.col("__language.lang_pred") != langid.UNKNOWN).select(docs.columns)
+    language = free_name(docs, "language")
+    found = langid.identify(docs, langid.fit(langid.labelled_documents(docs)), into=language)
+    return found.where(F.size(f"{language}.spans") > 0).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates.
-
-    The kept ids are as many as the input, so they are merged with the documents at every size, never sent whole to each task.
-    """
+    """Keeps one document of each group of near-duplicates."""
     bounded_batches(spark)
-    found = simhash.near_duplicates(docs)
-    kept = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "kept-ids")
-    out = docs.join(kept.where("count = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    repeated = kept.where("count > 1").select("doc_id")
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    return simhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a benchmark item."""
     bounded_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.where(F.size(decontam.contained(docs, items)) == 0)
+    return decontam.clean(docs, items)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars follows."""
-    found = secrets.masked(secrets.scan(docs, into="__secrets"), spans="__secrets")
-    changed = F.size("__secrets") > 0
+    spans = free_name(docs, "secrets")
+    found = secrets.masked(secrets.scan(docs, into=spans), spans=spans)
+    changed = F.size(spans) > 0
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
