@@ -3,14 +3,17 @@
 The list's rules are a host and a path prefix; a rule fits its host and all subdomains, and the longest
 that fits decides. URLs that no rule fits are judged by what FP-growth finds in labelled URLs: frequent
 combinations of tokens (host labels, path words, query names and values, scheme) with a label, kept by
-support and confidence. A combination is indexed under its rarest token; a URL looks up its tokens, and
+support and confidence. All labelled rows are mined; the confidence must hold on its own in the fifth of
+the URLs that a digest holds out and in the others, wherever a combination occurs there, so one that owes
+it to a few URLs goes. A combination is indexed under its rarest token; a URL looks up its tokens, and
 of the combinations it holds the surest decides. Columns and joins only; token sets of equal URLs are
-judged once.
+judged once, and the verdicts of frequent URLs meet their rows by broadcast, all others by shuffle.
 
 Defined results: a null url or one without `://` has an empty host and path and no token but `none`;
 verdicts depend on the url alone, so repeated rows agree; with no labelled URLs, or none that fits, the
 verdict is `allow`; among equally sure combinations the larger support, then the shorter, then the
-first by its tokens decides; only the id and the url are read.
+first by its tokens decides; very long URLs count whole; an empty table gives no rows; only the id and the
+url are read.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import FREQUENT, joined, written
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
+#: One in so many URLs is held out.
+HELD_OUT = 5
 DEFAULT = "allow"
 LABEL = "verdict="
 
@@ -71,8 +76,8 @@ def _label_of(item: Column) -> Column:
 def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules (tokens, verdict, confidence, support, key) from all rows (url, label): frequent token combinations that tell the label.
 
-    A rule is dropped if one with fewer of its tokens is as sure. key: the token of the rule that fewest
-    of the mined URLs have.
+    A rule is dropped if its confidence does not hold among the held-out URLs or among the others, or if one
+    with fewer of its tokens is as sure. key: the token of the rule that fewest of the mined URLs have.
     """
     items = F.array_append(tokens_of(F.col("url")), F.concat(F.lit(LABEL), F.col("label")))
     baskets = written(labelled.where(F.col("label").isNotNull()).select(items.alias("items")), "baskets")
@@ -86,6 +91,7 @@ def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: f
     )
     rules = labels.where(F.size("tokens") > 0).join(bare, "tokens")
     rules = rules.select("tokens", "verdict", (F.col("freq") / F.col("whole")).alias("confidence"), (F.col("freq") / max(1, n)).alias("support")).where(F.col("confidence") >= confidence)
+    rules = written(_holding(rules, bare, labelled, confidence), "held-rules")
     # Rules with one token fewer, looked up by what is left without each token.
     fewer = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("token")).select(
         F.col("tokens").alias("of"), "verdict", "confidence", F.array_remove("tokens", F.col("token")).alias("tokens")
@@ -93,9 +99,39 @@ def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: f
     smaller = rules.select("tokens", "verdict", F.col("confidence").alias("own"))
     implied = fewer.join(smaller, ["tokens", "verdict"]).where("own >= confidence").select(F.col("of").alias("tokens"), "verdict").distinct()
     kept = rules.join(implied, ["tokens", "verdict"], "left_anti")
-    single = bare.where(F.size("tokens") == 1).select(F.element_at("tokens", 1).alias("token"), "whole")
-    rarest = kept.select("tokens", "verdict", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "verdict").agg(F.min_by("token", F.struct("whole", "token")).alias("key"))
-    return written(kept.join(rarest, ["tokens", "verdict"]), "url-rules")
+    return written(_keyed(kept, bare), "url-rules")
+
+
+def _keyed(rules: DataFrame, sets: DataFrame) -> DataFrame:
+    """`rules` with key: the token of each that is in the fewest rows; sets: frequent combinations (tokens, whole)."""
+    single = sets.where(F.size("tokens") == 1).select(F.element_at("tokens", 1).alias("token"), "whole")
+    rarest = rules.select("tokens", "verdict", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens", "verdict").agg(F.min_by("token", F.struct("whole", "token")).alias("key"))
+    return rules.join(rarest, ["tokens", "verdict"])
+
+
+def is_held_out(url: Column) -> Column:
+    return F.pmod(F.xxhash64("url", F.lit(3)), F.lit(HELD_OUT)) == 0
+
+
+def _holding(rules: DataFrame, sets: DataFrame, labelled: DataFrame, confidence: float) -> DataFrame:
+    """Those of `rules` whose confidence holds in both parts of the labelled rows, wherever there is a row to tell."""
+    urls = labelled.where(F.col("label").isNotNull()).groupBy("url", "label").count()
+    has = urls.select(is_held_out(F.col("url")).alias("held"), "label", "count", tokens_of(F.col("url")).alias("has"))
+    lists = _keyed(rules.select("tokens", "verdict"), sets)
+    hits = has.select("held", "label", "count", "has", F.explode("has").alias("key")).join(lists, "key").where(F.size(F.array_except("tokens", "has")) == 0)
+    part = hits.groupBy("tokens", "verdict", "held").agg((F.sum(F.when(F.col("label") == F.col("verdict"), F.col("count")).otherwise(0)) / F.sum("count")).alias("own"))
+    unsure = part.where(F.col("own") < confidence).select("tokens", "verdict").distinct()
+    return rules.join(unsure, ["tokens", "verdict"], "left_anti")
+
+
+def held_out_score(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """One row: how many of the held-out URLs the rules of the others decide (decided, of urls), and rightly (right); a URL with several
+    labels counts once for each."""
+    rows = labelled.where(F.col("url").isNotNull() & F.col("label").isNotNull())
+    kept = rows.where(is_held_out(F.col("url"))).distinct()
+    told = mined_verdicts(kept, mined_rules(rows.where(~is_held_out(F.col("url"))), support, confidence))
+    both = kept.join(told, "url", "left")
+    return both.agg(F.count("*").alias("urls"), F.count("mined").alias("decided"), F.count(F.when(F.col("mined.verdict") == F.col("label"), 1)).alias("right"))
 
 
 def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -111,9 +147,14 @@ def judged(pages: DataFrame, listed: list[tuple[str, str]], labelled: DataFrame,
     """Per page: page_id, host, path, rule, verdict, and the mined combination and its confidence where that decided."""
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("listed", listed_rule(F.col("host"), F.col("path"), listed))
-    open_urls = rows.where(F.col("listed").isNull() & F.col("url").isNotNull()).select("url")
-    found = mined_verdicts(open_urls, mined_rules(labelled)).withColumnRenamed("url", "__url")
-    known = rows.join(found, rows["url"] == found["__url"], "left")
+    is_open = F.col("listed").isNull() & F.col("url").isNotNull()
+    undecided = rows.where(is_open)
+    found = written(mined_verdicts(undecided.select("url"), mined_rules(labelled)), "mined-verdicts")
+    counts = written(undecided.groupBy("url").count(), "open-urls")
+    n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    frequent = written(counts.where(F.col("count") > max(1, n * FREQUENT)).select("url"), "frequent-urls")
+    none = F.lit(None).cast(found.schema["mined"].dataType)
+    known = joined(undecided, found, "url", frequent, "left").unionByName(rows.where(~is_open).withColumn("mined", none))
     return known.select(
         "page_id", "host", "path", F.col("listed.rule").alias("rule"),
         F.coalesce("listed.verdict", "mined.verdict", F.lit(default)).alias("verdict"),
