@@ -18,9 +18,11 @@ CASES = [
 
 
 @pytest.fixture(scope="module")
-def done(spark):
+def done(spark, tmp_path_factory):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "doc_id long, text string")
-    return pii.pseudonymised(df, "k").localCheckpoint()
+    folder = str(tmp_path_factory.mktemp("done"))
+    pii.pseudonymised(df, "k").write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def test_numbers_before_other_digits_and_words(done):
