@@ -11,6 +11,7 @@ counts; other columns stay as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +46,21 @@ def safe_parts(text: str, most: int) -> list[str]:
     return [*parts, text[start:]]
 
 
+@lru_cache(2)
+def loaded(path: str):
+    """A worker's model, and whether texts may be cut at spaces: loaded and checked once a worker, not once a task."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return model, splits_at_spaces(model)
+
+
 def counter(path: str, part: int = PART_CHARS):
     """An Arrow function: text to its number of tokens."""
 
     @F.arrow_udf("long")
     def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        cuts = splits_at_spaces(model)
+        model, cuts = loaded(path)
         for column in columns:
             parts, owner = [], []
             for i, text in enumerate(strings(column)):

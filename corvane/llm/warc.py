@@ -9,8 +9,8 @@ range. Every attempt of a task writes files of its own, complete before they get
 and directory name the files of attempts that counted. The folder is in storage all executors share.
 
 Defined results: null html is an empty payload; a null url has an empty key; equal ids with equal
-payloads are all responses (none can refer to itself); a null id never is the response of others; an
-empty table makes no files and an empty result; columns other than the id, url and html do not matter.
+payloads are all responses (none can refer to itself); a null id never is the response of others; very long
+URLs and payloads are written and read whole; an empty table makes no files and an empty result; columns other than the id, url and html do not matter.
 """
 
 from __future__ import annotations
@@ -29,9 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import shared_dir, written
+from corvane.llm.common import FREQUENT, joined, shared_dir, written
 
 LEAST_BYTES, BLOCK_LINES = 100, 2_000
+#: Payloads with copies (a digest and an id each) that are sent to all tasks; beyond, pages are merged with them by shuffle.
+COPIES = 500_000
 #: Rows of the directory, about, at most: beyond as many blocks of BLOCK_LINES, blocks have more lines.
 DIRECTORY_ROWS = 100_000
 #: Index lines per index file, about.
@@ -56,7 +58,14 @@ def planned(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("payload_digest"), F.octet_length(html).cast("long").alias("payload_bytes"))
     copies = rows.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(copies.select("payload_digest", "first"), "payload_digest", "left").select(
+    copies = written(copies, "page-copies")
+    n, most = copies.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    firsts = copies.select("payload_digest", "first")
+    if n <= COPIES:  # few enough for all tasks: no page is moved
+        found = rows.join(F.broadcast(firsts), "payload_digest", "left")
+    else:
+        found = joined(rows, firsts, "payload_digest", written(copies.where(F.col("n") > most * FREQUENT).select("payload_digest"), "frequent-pages"), "left")
+    return found.select(
         "page_id", "url", "html", "payload_digest", "payload_bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
     )
 

@@ -443,6 +443,33 @@ def test_warc(spark, tables):
     same(run(spark, "op9_warc", tables), wanted)
 
 
+def test_copies_that_are_many_are_merged(spark, tables, monkeypatch):
+    wanted = Counter(map(tuple, run(spark, "op9_warc", tables)))
+    monkeypatch.setattr(warc, "COPIES", 0)
+    assert Counter(map(tuple, run(spark, "op9_warc", tables))) == wanted
+
+
+def test_long_and_clashing_pages(spark):
+    """A url and a payload of a megabyte, and columns with the names that the operator makes."""
+    rows = [(1, "http://a.org/" + "x" * 1_000_000, "p" * 1_000_000), (2, "http://a.org/y", "p" * 1_000_000), (3, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: warc.F.lit("own") for c in ("payload_digest", "payload_bytes", "refers_to", "first", "n", "urlkey", "file", "block")})
+    found = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect()}
+    assert found == {1: (1_000_000, "response", None), 2: (1_000_000, "revisit", 1), 3: (0, "response", None)}
+
+
+def test_clashing_columns_of_other_tables(spark, tables):
+    """Vectors, pages and items with columns named like those that operators make."""
+    clash = ("id", "v", "q", "cell", "floor", "score", "rank", "tokens", "verdict", "mined", "listed", "has", "key", "item", "x", "n_shared", "gram")
+    for name, columns, call in (
+        ("embeddings", ("vec_id", "embedding"), lambda t: topk.top_k(t, topk.F.col("id") % 50 == 0)),
+        ("pages", ("page_id", "url", "html"), lambda t: urlfilter.judged(t, queries.URL_RULES, urlfilter.listed_labels(t, queries.URL_RULES))),
+        ("benchmark", ("item_id", "text"), lambda t: decontam.contamination(spark.read.parquet(f"{tables}/documents.parquet"), t)),
+    ):
+        plain = spark.read.parquet(f"{tables}/{name}.parquet").select(*columns)
+        extra = plain.withColumns({c: topk.F.lit("own") for c in clash})
+        assert Counter(map(str, call(extra).collect())) == Counter(map(str, call(plain).collect())), name
+
+
 def test_captures_are_looked_up(spark, tables, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     pages = spark.read.parquet(f"{tables}/pages.parquet")
