@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from corvane.operators import ranking
+
+#: The modulus of draws, and from which draw on a row's weight is 1, 2 and so on: a Poisson distribution of mean 1, to the last of these draws.
+MODULUS = 2147483647
+WEIGHTS = [math.floor(MODULUS * sum(math.exp(-1) / math.factorial(i) for i in range(k))) for k in range(1, 13)]
 
 
-def draw(row: Column, resample: Column, group: Column, n: Column) -> Column:
-    """The row that takes this place of this resample: integer arithmetic any engine repeats."""
-    mixed = (row + 1) * 1103515245 + (resample + 1) * 12345 + (group + 1) * 2654435761 + (row + 1) * (resample + 1) * 40503
-    return mixed % 2147483647 % n
+def with_draws(rows: DataFrame, row: Column, resample: Column) -> DataFrame:
+    """`rows` with __draw, a number below MODULUS from a row's and a resample's number: integer arithmetic that any engine repeats.
+    Squares keep the draws of neighbours apart; each is a column of its own, so that it is worked out once."""
+    d = F.col("__draw")
+    done = rows.withColumn("__draw", ((row % MODULUS + 1) * 1103515245 + (resample + 1) * 12345) % MODULUS)
+    for add in ((resample + 1) * 69621, row % MODULUS + 1, (resample + 1) * 40503):
+        done = done.withColumn("__draw", (d * d + add) % MODULUS)
+    return done
 
 
 def intervals(scored: DataFrame, group: str, order: str, resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
-    """ci_lower and ci_upper of average precision per `group` (an integer): percentiles over resamples of its rows with replacement.
+    """ci_lower and ci_upper of average precision per `group`: percentiles over resamples of its rows.
 
-    Resamples without positives or without negatives are left out; a group of one kind only has no row.
-    A resample needs how often each distinct score and truth was drawn, not the rows: draws are counted
-    by tie group before anything is ordered.
+    Each row (told by `order`, a number) has a weight in each resample, drawn from a Poisson distribution of mean
+    1: the bootstrap of rows that nobody has to count or number first. Weights are summed by score where the rows are,
+    before anything moves. Resamples without positives or without negatives are left out; a group of one kind only has
+    no row.
     """
-    place = Window.partitionBy(group).orderBy(order)
-    size = Window.partitionBy(group)
-    rows = scored.select(group, "y", "s", (F.row_number().over(place) - 1).cast("long").alias("i"), F.count("*").over(size).alias("m"))
-    draws = rows.select(group, "i", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
-    drawn = draws.select(group, "b", draw(F.col("i"), F.col("b"), F.col(group).cast("long"), F.col("m")).alias("i")).groupBy(group, "b", "i").count()
-    ties = drawn.join(rows.select(group, "i", "y", "s"), [group, "i"]).groupBy(group, "b", "s").agg(F.sum(F.col("y") * F.col("count")).alias("tp"), F.sum("count").alias("n"))
-    down = Window.partitionBy(group, "b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(group, "b")
-    steps = ties.select(group, "b", "tp", F.sum("tp").over(down).alias("ctp"), F.sum("n").over(down).alias("cn"), F.sum("tp").over(whole).alias("p"), F.sum("n").over(whole).alias("q"))
-    each = steps.where("p > 0 AND p < q").groupBy(group, "b").agg(F.sum(F.col("tp") / F.col("p") * F.col("ctp") / F.col("cn")).alias("ap"))
+    weight = sum(((F.col("__draw") >= w).cast("long") for w in WEIGHTS[1:]), (F.col("__draw") >= WEIGHTS[0]).cast("long"))
+    each = scored.select(group, "y", "s", F.col(order).cast("long").alias("__row"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))).alias("b"))
+    drawn = with_draws(each, F.col("__row"), F.col("b")).withColumn("w", weight)
+    ties = drawn.groupBy(group, "b", "s").agg(F.sum(F.col("y") * F.col("w")).alias("tp"), F.sum("w").alias("n")).where("n > 0")  # not before: the filter would repeat the draws
+    steps = ranking.running(ties, [group, "b"])
+    step = F.col("tp") / F.col("tp_all") * F.col("ctp") / F.col("cn")
+    points = steps.where("tp_all > 0 AND tp_all < n_all").groupBy(group, "b").agg(F.sum(step).alias("ap"))
     tail = (1 - confidence) / 2
-    return each.groupBy(group).agg(F.percentile("ap", tail).alias("ci_lower"), F.percentile("ap", 1 - tail).alias("ci_upper"))
+    # As many points a group as resamples.
+    return points.groupBy(group).agg(F.percentile("ap", tail).alias("ci_lower"), F.percentile("ap", 1 - tail).alias("ci_upper"))

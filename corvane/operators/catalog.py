@@ -68,17 +68,17 @@ def class_weights(catalog: DataFrame, classes: DataFrame) -> DataFrame:
 
 def upsample_deficits(catalog: DataFrame, classes: DataFrame, ratio: float = 0.25) -> DataFrame:
     """class, n, deficit: how many repeats bring each class to the ratio of the largest."""
-    counts = catalog.join(F.broadcast(classes), catalog["label"] == classes["class"]).groupBy("class").agg(F.count("*").alias("n"))
+    counts = catalog.join(classes, catalog["label"] == classes["class"]).groupBy("class").agg(F.count("*").alias("n"))
     top = counts.agg(F.max("n").alias("top"))
     return counts.join(F.broadcast(top)).select("class", "n", F.greatest(F.lit(0), F.floor(F.col("top") * ratio) - F.col("n")).cast("long").alias("deficit"))
 
 
 def upsampled(catalog: DataFrame, classes: DataFrame, ratio: float = 0.25, key: str = "id", seed: int = 42) -> DataFrame:
     """The classes' files (noise goes), with repeats up to the ratio of the largest class; `copy` is 0 for the files themselves."""
-    own = catalog.join(F.broadcast(classes), catalog["label"] == classes["class"], "left_semi")
+    own = catalog.join(classes, catalog["label"] == classes["class"], "left_semi")
     deficits = upsample_deficits(catalog, classes, ratio).where("deficit > 0")
     place = Window.partitionBy("label").orderBy(key)
-    numbered = own.join(F.broadcast(deficits), own["label"] == deficits["class"]).withColumn("place", F.row_number().over(place) - 1)
+    numbered = own.join(deficits, own["label"] == deficits["class"]).withColumn("place", F.row_number().over(place) - 1)
     draws = deficits.select("class", "n", F.explode(F.sequence(F.lit(1), F.col("deficit"))).alias("copy"))
     draws = draws.select("class", "copy", (order_key(F.col("copy"), seed) % F.col("n")).alias("place"))
     again = numbered.select(*own.columns, "place", "class").join(draws, ["class", "place"]).select(*own.columns, "copy")
@@ -93,6 +93,10 @@ def stratified(catalog: DataFrame, n: int, key: str = "id", seed: int = 42) -> D
     return kept.orderBy(order_key(F.col(key), seed + 1), key).limit(n)
 
 
+#: Rows of the range with the cut that are sorted.
+SPLIT_ROWS = 100_000
+
+
 def split(catalog: DataFrame, validation: float, key: str = "id", seed: int = 42) -> DataFrame:
     """`catalog` with `part`: train for exactly the first int(n (1 - validation)) files of the order, validation for the others.
 
@@ -102,15 +106,19 @@ def split(catalog: DataFrame, validation: float, key: str = "id", seed: int = 42
     n = catalog.count()
     wanted = int(n * (1 - validation))
     place = order_key(F.col(key), seed)
-    width = 2147483647 // 1024 + 1
-    counts = dict(catalog.groupBy(F.floor(place / width).alias("r")).count().collect())  # 1,024 rows at most
-    before, cut = 0, 0
-    for cut in range(1025):
-        if before + counts.get(cut, 0) > wanted:
+    low, width, before = 0, 2147483647 // 1024 + 1, 0
+    while True:  # the cut's range is cut again until it holds few rows, or one place
+        counts = dict(catalog.where(place.between(low, low + 1024 * width - 1)).groupBy(F.floor((place - low) / width).alias("r")).count().collect())  # 1,024 rows at most
+        cut = 0
+        while cut < 1024 and before + counts.get(cut, 0) <= wanted:
+            before += counts.get(cut, 0)
+            cut += 1
+        low += cut * width
+        if counts.get(cut, 0) <= SPLIT_ROWS or width == 1:
             break
-        before += counts.get(cut, 0)
-    edge = catalog.where(F.floor(place / width) == cut).orderBy(place, key).limit(wanted - before).agg(F.max(F.struct(place.alias("o"), F.col(key).alias("k"))).alias("m")).first()["m"]
-    train = F.floor(place / width) < cut
+        width = width // 1024 + 1
+    edge = catalog.where(place.between(low, low + width - 1)).orderBy(place, key).limit(wanted - before).agg(F.max(F.struct(place.alias("o"), F.col(key).alias("k"))).alias("m")).first()["m"]
+    train = place < low
     if edge is not None:
         train = train | (place < edge["o"]) | ((place == edge["o"]) & (F.col(key) <= edge["k"]))
     return catalog.withColumn("part", F.when(train, "train").otherwise("validation"))
@@ -118,7 +126,7 @@ def split(catalog: DataFrame, validation: float, key: str = "id", seed: int = 42
 
 def one_hot(labels: DataFrame, classes: DataFrame, key: str = "id") -> DataFrame:
     """key, class_idx, y for each file and class: all 0 for noise; files of other labels are dropped."""
-    known = labels.join(F.broadcast(classes.select(F.col("class").alias("__c"))), F.col("label") == F.col("__c"), "left").where(F.col("__c").isNotNull() | is_noise(F.col("label"))).drop("__c")
+    known = labels.join(classes.select(F.col("class").alias("__c")), F.col("label") == F.col("__c"), "left").where(F.col("__c").isNotNull() | is_noise(F.col("label"))).drop("__c")
     names = classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "class"))), lambda x: x["class"]).alias("names"))
     wide = known.join(F.broadcast(names))
     return wide.select(key, "label", F.posexplode("names").alias("class_idx", "class")).select(key, "class_idx", (F.col("class") == F.col("label")).cast("int").alias("y"))
@@ -126,7 +134,7 @@ def one_hot(labels: DataFrame, classes: DataFrame, key: str = "id") -> DataFrame
 
 def label_index(labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows whose label is a class, with class_idx."""
-    return labels.join(F.broadcast(classes), labels["label"] == classes["class"]).drop("class")
+    return labels.join(classes, labels["label"] == classes["class"]).drop("class")
 
 
 def species_list(lines: DataFrame, column: str = "value") -> DataFrame:

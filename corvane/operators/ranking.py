@@ -1,18 +1,20 @@
 """Ranking metrics over scored rows (group columns, y 0/1, s).
 
-Rows of one score are summed first, so ties count as one step. Running sums per group are windows over
-distinct scores; where there is no group, the scores are cut into ranges, summed per range, and the
-ranges' sums (a bounded table) give each range its start: no window holds all rows.
+Rows of one score are summed first, so ties count as one step. The distinct scores are cut into ranges,
+summed per group and range, and the ranges' sums give each its start: a window holds one range of one
+group, never all rows or all of a group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of scores for running sums without a group, and the accuracy of their edges.
+#: Ranges of scores for running sums, and the accuracy of their edges.
 RANGES, ACCURACY = 256, 10_000
 
 
@@ -30,20 +32,32 @@ def _ranged(ties: DataFrame) -> DataFrame:
 
 def running(ties: DataFrame, by: list[str]) -> DataFrame:
     """`ties` with ctp and cn (sums over this score and all above), tp_all and n_all (of the group)."""
-    if by:
-        down = Window.partitionBy(*by).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*by)
-        return ties.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down), "tp_all": F.sum("tp").over(whole), "n_all": F.sum("n").over(whole)})
+    by = list(by)
+    keys = [*by, "range"]
     parts = _ranged(ties)
-    down = Window.partitionBy("range").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows at most
-    sums = parts.groupBy("range").agg(F.sum("tp").alias("p"), F.sum("n").alias("q"))
-    whole = Window.partitionBy(F.lit(0))
+    down = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    above = group.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows of a group at most
+    sums = parts.groupBy(*keys).agg(F.sum("tp").alias("p"), F.sum("n").alias("q"))
     starts = sums.select(
-        "range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("q0"), F.sum("p").over(whole).alias("tp_all"), F.sum("q").over(whole).alias("n_all")
+        *(F.col(k).alias(f"__{k}") for k in keys), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("q0"), F.sum("p").over(group).alias("tp_all"), F.sum("q").over(group).alias("n_all")
     )
     own = parts.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
-    return own.join(F.broadcast(starts), "range").withColumns({"ctp": F.col("ctp") + F.col("p0"), "cn": F.col("cn") + F.col("q0")}).drop("range", "p0", "q0")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    found = own.join(starts if by else F.broadcast(starts), same)
+    return found.withColumns({"ctp": F.col("ctp") + F.col("p0"), "cn": F.col("cn") + F.col("q0")}).drop("range", "p0", "q0", *(f"__{k}" for k in keys))
+
+
+def percentiles(rows: DataFrame, value: str, qs: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """A column per name of `qs` for each group: the percentile with linear interpolation between the sorted values, from running
+    counts of distinct values: no group is held whole."""
+    by = list(by)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, (-F.col(value).cast("double")).alias("s")).agg(F.lit(0).cast("long").alias("tp"), F.count("*").alias("n"))
+    steps = running(counts, by)
+    place = {name: (F.col("n_all") - 1) * q for name, q in qs.items()}
+    at = lambda rank: F.min(F.when(F.col("cn") > rank, -F.col("s")))
+    marks = [x for name, p in place.items() for x in (at(F.floor(p)).alias(f"{name}_low"), at(F.ceil(p)).alias(f"{name}_high"), F.first(p - F.floor(p)).alias(f"{name}_part"))]
+    return _grouped(steps, by, *marks).select(*by, *((F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n) for n in qs))
 
 
 def _grouped(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:

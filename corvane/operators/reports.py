@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,11 @@ def det_bands(points: DataFrame, bands: int = 10) -> DataFrame:
 
 def latency(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """mean, median, p95, p99 (interpolated) and n per group."""
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), *(F.percentile(value, q).alias(n) for n, q in (("median", 0.5), ("p95", 0.95), ("p99", 0.99))), F.count("*").alias("n"))
+    by = list(by)
+    sums = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    marks = ranking.percentiles(rows, value, {"median": 0.5, "p95": 0.95, "p99": 0.99}, by)
+    both = sums.join(marks.withColumnsRenamed({k: f"__{k}" for k in by}), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by)), "left") if by else sums.join(F.broadcast(marks))
+    return both.select(*by, "mean", "median", "p95", "p99", "n")
 
 
 def device_lines(scored: DataFrame, k: int = 5, threshold: float = 0.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import arrays
+from corvane.operators import ranking
 
 #: Points that the median of an activity ratio is taken over.
 SUBSAMPLE = 512
@@ -76,7 +77,7 @@ def picked(chunks: DataFrame, n: int, order: Column, first: Column | None = None
 
 def active_regions(frames: DataFrame, value: str, by: str, place: str, q: float = 0.75) -> DataFrame:
     """by, first, last, peak, peak_value: runs of frames at or over the group's percentile of `value`; the first peak counts."""
-    limit = frames.groupBy(by).agg(F.percentile(value, q).alias("__limit"))
+    limit = ranking.percentiles(frames, value, {"__limit": q}, [by])
     active = frames.join(limit, by).where(F.col(value) >= F.col("__limit"))
     island = F.col(place) - F.row_number().over(Window.partitionBy(by).orderBy(place))
     return active.withColumn("__island", island).groupBy(by, "__island").agg(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.operators import bootstrap, pooling, ranking, reports
 from corvane.plans.facts import CHUNKED, CLASSES, LARGE, SCORED, chunked, large, scored
@@ -27,8 +26,7 @@ BY_CLASS, ALL = STEPS.format(fact="scored"), MICRO.format(fact="scored")
     x AS (SELECT vec_id, label, j.i, embedding[j.i]::DOUBLE AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i) j),
     d AS (SELECT vec_id, x.label, train.label AS class, sum(v * m) AS dot, sqrt(sum(v * v)) AS nv, sqrt(sum(m * m)) AS nm FROM x JOIN train USING (i) GROUP BY ALL),
     c AS (SELECT vec_id, label, class, round((1 + dot / (nv * nm)) / 2, 6) AS score FROM d),
-    f AS (SELECT vec_id, label, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 3 AS part FROM embeddings),
-    g AS (SELECT c.label, part, class, score * 10 AS b FROM c JOIN f USING (vec_id)),
+    g AS (SELECT label, vec_id // 3 AS part, class, score * 10 AS b FROM c),
     m AS (SELECT label, part, class, max(b) AS top FROM g GROUP BY ALL),
     pooled AS (SELECT label, part, class, round((any_value(top) + ln(avg(exp(b - top)) + 1e-12)) / 10, 5) AS s FROM g JOIN m USING (label, part, class) GROUP BY ALL),
     fact AS (SELECT class, CASE WHEN class = label THEN 1 ELSE 0 END AS y, s FROM pooled),
@@ -36,7 +34,7 @@ BY_CLASS, ALL = STEPS.format(fact="scored"), MICRO.format(fact="scored")
     SELECT class, round({AP}, 6) AS ap, sum(tp)::BIGINT AS n_positive, sum(n)::BIGINT AS n_total FROM r GROUP BY class
 """)
 def flagship_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores by likeness to class centroids, pooled over recordings of three vectors, to average precision per class."""
+    """Scores by likeness to class centroids, pooled over recordings (the vectors of a label among three ids), to average precision per class."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     long = vectors.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select("vec_id", "label", "i", F.col("x").cast("double").alias("v"))
     centroids = long.where("vec_id % 5 <> 0").groupBy("label", "i").agg(F.avg("v").alias("m"))
@@ -45,9 +43,7 @@ def flagship_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     v = F.col("embedding").cast("array<double>")
     scores = vectors.join(F.broadcast(packed)).select("vec_id", "label", "class", F.round((1 + dot(v, F.col("m")) / (F.sqrt(dot(v, v)) * F.sqrt(dot(F.col("m"), F.col("m"))))) / 2, 6).alias("score"))
-    order = Window.partitionBy("label").orderBy("vec_id")
-    parts = vectors.select("vec_id", F.floor((F.row_number().over(order) - 1) / 3).alias("part"))
-    pooled = pooling.pool(scores.join(parts, "vec_id"), ["label", "part", "class"], "lme")
+    pooled = pooling.pool(scores.withColumn("part", F.floor(F.col("vec_id") / 3)), ["label", "part", "class"], "lme")
     fact = pooled.select("class", (F.col("class") == F.col("label")).cast("int").alias("y"), F.round("score", 5).alias("s"))
     return ranking.average_precision(fact, ["class"]).withColumn("ap", F.round("ap", 6))
 
@@ -139,11 +135,12 @@ def w5_det_curve(spark, sf_dir):
     return ranking.det_curve(scored(spark, sf_dir)).select("threshold", F.round("far", 6).alias("far"), F.round("frr", 6).alias("frr"))
 
 
-# 20 resamples of each class by integer arithmetic both engines share; ids of rows by rank.
-DRAWN = """k AS (SELECT class, y, s, row_number() OVER (PARTITION BY class ORDER BY file) - 1 AS i, count(*) OVER (PARTITION BY class) AS m FROM scored),
-d AS (SELECT class, b, ((i + 1) * 1103515245 + (b + 1) * 12345 + (class + 1) * 2654435761 + (i + 1) * (b + 1) * 40503) % 2147483647 % m AS j FROM k, (SELECT unnest(range(0, 20)) AS b) q),
-z AS (SELECT d.class, d.b, k.y, k.s FROM d JOIN k ON d.class = k.class AND d.j = k.i),
-t AS (SELECT class, b, s, sum(y)::BIGINT AS tp, count(*) AS n FROM z GROUP BY ALL),
+# 20 resamples by integer arithmetic both engines share: a row's weight is a Poisson number of mean 1, by where its draw falls among sums of exp(-1) / k!.
+DRAWN = """k AS (SELECT class, file, y, s, b, ((file % 2147483647 + 1) * 1103515245 + (b + 1) * 12345) % 2147483647 AS d FROM scored, (SELECT unnest(range(0, 20)) AS b) q),
+d1 AS (SELECT *, (d * d + (b + 1) * 69621) % 2147483647 AS e FROM k), d2 AS (SELECT *, (e * e + file % 2147483647 + 1) % 2147483647 AS f FROM d1), d3 AS (SELECT *, (f * f + (b + 1) * 40503) % 2147483647 AS g FROM d2),
+pw AS (SELECT j, floor(2147483647 * sum(exp(-1.0::DOUBLE) / factorial(j)) OVER (ORDER BY j)) AS edge FROM (SELECT unnest(range(0, 12))::INT AS j) q),
+z AS (SELECT class, b, y, s, (SELECT count(*) FROM pw WHERE g >= edge) AS w FROM d3),
+t AS (SELECT class, b, s, sum(y * w)::BIGINT AS tp, sum(w)::BIGINT AS n FROM z WHERE w > 0 GROUP BY ALL),
 r AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER p AS tp_all, sum(n) OVER p AS n_all FROM t
       WINDOW w AS (PARTITION BY class, b ORDER BY s DESC ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY class, b)),
 a AS (SELECT class, b, sum(tp / tp_all * (ctp / cn)) AS ap FROM r WHERE tp_all > 0 AND tp_all < n_all GROUP BY ALL)"""
