@@ -7,6 +7,7 @@ group, never all rows or all of a group.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
@@ -26,8 +27,9 @@ def tie_groups(scored: DataFrame, by: list[str]) -> DataFrame:
 def _ranged(ties: DataFrame) -> DataFrame:
     """Column `range`: where a score falls among RANGES parts of about equal numbers of distinct scores."""
     marks = ties.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], ACCURACY)).first()[0]
-    edges = [float("-inf"), *sorted(set(marks or [])), float("inf")]
-    return Bucketizer(splits=edges, inputCol="s", outputCol="range").transform(ties).withColumn("range", F.col("range").cast("int"))
+    edges = [float("-inf"), *sorted({m for m in marks or [0.0] if math.isfinite(m)} or {0.0}), float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="s", outputCol="range", handleInvalid="keep")  # NaN comes last, as in an order by score
+    return cut.transform(ties).withColumn("range", F.col("range").cast("int"))
 
 
 def running(ties: DataFrame, by: list[str]) -> DataFrame:
