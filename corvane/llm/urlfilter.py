@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import FREQUENT, joined, written
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.8
+#: Rules that are sent to all tasks at most.
+RULES = 100_000
 #: One in so many URLs is held out.
 HELD_OUT = 5
 DEFAULT = "allow"
@@ -109,6 +111,11 @@ def _keyed(rules: DataFrame, sets: DataFrame) -> DataFrame:
     return rules.join(rarest, ["tokens", "verdict"])
 
 
+def _to_all(rules: DataFrame) -> DataFrame:
+    """Written `rules`, sent to all tasks while they are few; beyond that they are joined by shuffle."""
+    return F.broadcast(rules) if rules.count() <= RULES else rules
+
+
 def is_held_out(url: Column) -> Column:
     return F.pmod(F.xxhash64("url", F.lit(3)), F.lit(HELD_OUT)) == 0
 
@@ -117,7 +124,7 @@ def _holding(rules: DataFrame, sets: DataFrame, labelled: DataFrame, confidence:
     """Those of `rules` whose confidence holds in both parts of the labelled rows, wherever there is a row to tell."""
     urls = labelled.where(F.col("label").isNotNull()).groupBy("url", "label").count()
     has = urls.select(is_held_out(F.col("url")).alias("held"), "label", "count", tokens_of(F.col("url")).alias("has"))
-    lists = _keyed(rules.select("tokens", "verdict"), sets)
+    lists = _to_all(written(_keyed(rules.select("tokens", "verdict"), sets), "rule-keys"))
     hits = has.select("held", "label", "count", "has", F.explode("has").alias("key")).join(lists, "key").where(F.size(F.array_except("tokens", "has")) == 0)
     part = hits.groupBy("tokens", "verdict", "held").agg((F.sum(F.when(F.col("label") == F.col("verdict"), F.col("count")).otherwise(0)) / F.sum("count")).alias("own"))
     unsure = part.where(F.col("own") < confidence).select("tokens", "verdict").distinct()
@@ -137,7 +144,7 @@ def held_out_score(labelled: DataFrame, support: float = MIN_SUPPORT, confidence
 def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows (url, mined: structure of verdict, confidence, tokens) for the distinct urls that hold a rule's tokens."""
     sets = urls.select("url").distinct().select("url", tokens_of(F.col("url")).alias("has"))
-    postings = rules.select(F.col("key"), "tokens", "verdict", "confidence", "support")
+    postings = _to_all(rules.select(F.col("key"), "tokens", "verdict", "confidence", "support"))
     hits = sets.select("url", "has", F.explode("has").alias("key")).join(postings, "key").where(F.size(F.array_except("tokens", "has")) == 0)
     order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("tokens").alias("n"), F.col("tokens").alias("t"), F.col("verdict").alias("v"))
     return hits.groupBy("url").agg(F.min_by(F.struct("verdict", "confidence", "tokens"), order).alias("mined"))

@@ -26,7 +26,8 @@ def test_rules_of_many_tokens_and_long_labels_are_kept(spark):
     assert found == {u: label if u == urls[0] else "allow" for u in urls}
 
 
-def test_more_than_ten_thousand_rules_are_kept(spark):
+def test_more_than_ten_thousand_rules_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "RULES", 9_000)  # the way beyond the bound of a broadcast
     urls = ["?" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(10_100)]
     labelled = spark.createDataFrame([(u, "block") for u in urls], "url string, label string")
     rules = urlfilter.mined_rules(labelled, 1 / 20_000, 0.8)
