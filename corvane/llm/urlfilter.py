@@ -6,8 +6,8 @@ combinations of tokens (host labels, path words, query names and values, scheme)
 support and confidence. All labelled rows are mined; the confidence must hold on its own in the fifth of
 the URLs that a digest holds out and in the others, wherever a combination occurs there, so one that owes
 it to a few URLs goes. A combination is indexed under its rarest token; a URL looks up its tokens, and
-of the combinations it holds the surest decides. Columns and joins only; token sets of equal URLs are
-judged once, and the verdicts of frequent URLs meet their rows by broadcast, all others by shuffle.
+of the combinations it holds the surest decides. Columns and joins only; URLs of equal tokens are counted and
+judged once, and the verdicts of frequent token sets meet their rows by broadcast, all others by shuffle.
 
 Defined results: a null url or one without `://` has an empty host and path and no token but `none`;
 verdicts depend on the url alone, so repeated rows agree; with no labelled URLs, or none that fits, the
@@ -60,14 +60,14 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Col
 
 
 def tokens_of(url: Column) -> Column:
-    """The set of a URL's tokens, each with the part it comes from; numbers are one token per part."""
+    """The sorted set of a URL's tokens, each with the part it comes from; numbers are one token per part."""
     host, path = host_of(url), path_of(url)
     text = F.coalesce(url, F.lit(""))
     words = lambda part, s, by: F.transform(F.filter(F.split(s, by), lambda w: w != ""), lambda w: F.concat(F.lit(part + ":"), F.regexp_replace(w, "[0-9]+", "#")))
     scheme = F.regexp_extract(text, r"(?s)^(.*?)://", 1)
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     fragment = F.regexp_extract(text, r"(?s)#(.*)$", 1)
-    found = F.array_distinct(F.concat(words("host", host, r"\."), words("path", lower_ascii(path), r"[/._-]"), words("query", lower_ascii(query), "[&=]"), words("part", lower_ascii(fragment), r"[^\w]"), words("scheme", lower_ascii(scheme), "[^a-z]")))
+    found = F.array_sort(F.array_distinct(F.concat(words("host", host, r"\."), words("path", lower_ascii(path), r"[/._-]"), words("query", lower_ascii(query), "[&=]"), words("part", lower_ascii(fragment), r"[^\w]"), words("scheme", lower_ascii(scheme), "[^a-z]"))))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("none")))
 
 
@@ -85,7 +85,7 @@ def mined_rules(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: f
     baskets = written(labelled.where(F.col("label").isNotNull()).select(items.alias("items")), "baskets")
     n = baskets.count()
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(baskets)
-    sets = written(model.freqItemsets.withColumn("items", F.array_sort("items")), "frequent-sets")
+    sets = written(model.freqItemsets.withColumn("items", F.array_sort("items")), "frequent-items")
     is_label = lambda t: F.startswith(t, F.lit(LABEL))
     bare = sets.where(~F.exists("items", is_label)).select(F.col("items").alias("tokens"), F.col("freq").alias("whole"))
     labels = sets.where(F.exists("items", is_label)).select(
@@ -116,14 +116,19 @@ def _to_all(rules: DataFrame) -> DataFrame:
     return F.broadcast(rules) if rules.count() <= RULES else rules
 
 
+def _spread(sets: DataFrame) -> DataFrame:
+    """Token sets dealt to as many tasks as a shuffle has: looking rules up is work far beyond what the sets' bytes suggest."""
+    return sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "has")
+
+
 def is_held_out(url: Column) -> Column:
     return F.pmod(F.xxhash64("url", F.lit(3)), F.lit(HELD_OUT)) == 0
 
 
 def _holding(rules: DataFrame, sets: DataFrame, labelled: DataFrame, confidence: float) -> DataFrame:
     """Those of `rules` whose confidence holds in both parts of the labelled rows, wherever there is a row to tell."""
-    urls = labelled.where(F.col("label").isNotNull()).groupBy("url", "label").count()
-    has = urls.select(is_held_out(F.col("url")).alias("held"), "label", "count", tokens_of(F.col("url")).alias("has"))
+    told = labelled.where(F.col("label").isNotNull()).select(is_held_out(F.col("url")).alias("held"), "label", tokens_of(F.col("url")).alias("has"))
+    has = _spread(told.groupBy("held", "label", "has").count())
     lists = _to_all(written(_keyed(rules.select("tokens", "verdict"), sets), "rule-keys"))
     hits = has.select("held", "label", "count", "has", F.explode("has").alias("key")).join(lists, "key").where(F.size(F.array_except("tokens", "has")) == 0)
     part = hits.groupBy("tokens", "verdict", "held").agg((F.sum(F.when(F.col("label") == F.col("verdict"), F.col("count")).otherwise(0)) / F.sum("count")).alias("own"))
@@ -141,13 +146,17 @@ def held_out_score(labelled: DataFrame, support: float = MIN_SUPPORT, confidence
     return both.agg(F.count("*").alias("urls"), F.count("mined").alias("decided"), F.count(F.when(F.col("mined.verdict") == F.col("label"), 1)).alias("right"))
 
 
-def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows (url, mined: structure of verdict, confidence, tokens) for the distinct urls that hold a rule's tokens."""
-    sets = urls.select("url").distinct().select("url", tokens_of(F.col("url")).alias("has"))
+def _surest(sets: DataFrame, rules: DataFrame, by: str) -> DataFrame:
+    """Rows (by, mined) for the `sets` (has, and `by` where that is another column, which tells them apart) that hold a rule's tokens."""
     postings = _to_all(rules.select(F.col("key"), "tokens", "verdict", "confidence", "support"))
-    hits = sets.select("url", "has", F.explode("has").alias("key")).join(postings, "key").where(F.size(F.array_except("tokens", "has")) == 0)
+    hits = _spread(sets).withColumn("key", F.explode("has")).join(postings, "key").where(F.size(F.array_except("tokens", "has")) == 0)
     order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("tokens").alias("n"), F.col("tokens").alias("t"), F.col("verdict").alias("v"))
-    return hits.groupBy("url").agg(F.min_by(F.struct("verdict", "confidence", "tokens"), order).alias("mined"))
+    return hits.groupBy(by).agg(F.min_by(F.struct("verdict", "confidence", "tokens"), order).alias("mined"))
+
+
+def mined_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows (url, mined: structure of verdict, confidence, tokens) for the distinct urls that hold a rule's tokens."""
+    return _surest(urls.select("url").distinct().select("url", tokens_of(F.col("url")).alias("has")), rules, "url")
 
 
 def judged(pages: DataFrame, listed: list[tuple[str, str]], labelled: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -155,13 +164,14 @@ def judged(pages: DataFrame, listed: list[tuple[str, str]], labelled: DataFrame,
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("listed", listed_rule(F.col("host"), F.col("path"), listed))
     is_open = F.col("listed").isNull() & F.col("url").isNotNull()
-    undecided = rows.where(is_open)
-    found = written(mined_verdicts(undecided.select("url"), mined_rules(labelled)), "mined-verdicts")
-    counts = written(undecided.groupBy("url").count(), "open-urls")
+    undecided = rows.where(is_open).withColumn("has", tokens_of(F.col("url"))).drop("url")
+    counts = written(undecided.groupBy("has").count(), "open-sets")
+    found = written(_surest(counts.select("has"), mined_rules(labelled), "has"), "mined-verdicts")
     n = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    frequent = written(counts.where(F.col("count") > max(1, n * FREQUENT)).select("url"), "frequent-urls")
+    frequent = written(counts.where(F.col("count") > max(1, n * FREQUENT)).select("has"), "frequent-sets")
     none = F.lit(None).cast(found.schema["mined"].dataType)
-    known = joined(undecided, found, "url", frequent, "left").unionByName(rows.where(~is_open).withColumn("mined", none))
+    rest = rows.where(~is_open).drop("url").withColumn("mined", none)
+    known = joined(undecided, found, "has", frequent, "left").drop("has").unionByName(rest)
     return known.select(
         "page_id", "host", "path", F.col("listed.rule").alias("rule"),
         F.coalesce("listed.verdict", "mined.verdict", F.lit(default)).alias("verdict"),
