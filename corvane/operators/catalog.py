@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.numbering import numbered
+
 # The extensions of recordings, and the labels that stand for noise.
 EXTENSIONS = [".wav", ".mp3", ".flac", ".ogg", ".m4a"]
 NOISE = ["noise", "silence", "background", "other"]
@@ -77,11 +79,11 @@ def upsampled(catalog: DataFrame, classes: DataFrame, ratio: float = 0.25, key:
     """The classes' files (noise goes), with repeats up to the ratio of the largest class; `copy` is 0 for the files themselves."""
     own = catalog.join(classes, catalog["label"] == classes["class"], "left_semi")
     deficits = upsample_deficits(catalog, classes, ratio).where("deficit > 0")
-    place = Window.partitionBy("label").orderBy(key)
-    numbered = own.join(deficits, own["label"] == deficits["class"]).withColumn("place", F.row_number().over(place) - 1)
+    short = own.join(deficits.select("class"), own["label"] == deficits["class"])
+    places = numbered(short, ["label"], [F.col(key)]).withColumn("place", F.col("place") - 1)
     draws = deficits.select("class", "n", F.explode(F.sequence(F.lit(1), F.col("deficit"))).alias("copy"))
     draws = draws.select("class", "copy", (order_key(F.col("copy"), seed) % F.col("n")).alias("place"))
-    again = numbered.select(*own.columns, "place", "class").join(draws, ["class", "place"]).select(*own.columns, "copy")
+    again = places.join(draws, ["class", "place"]).select(*own.columns, "copy")
     return own.withColumn("copy", F.lit(0).cast("long")).unionByName(again)
 
 

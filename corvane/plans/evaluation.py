@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import spectral
 from corvane.operators import catalog, evaluation, ranking, scoring
+from corvane.operators.numbering import numbered
 from corvane.plans.metrics import AP, STEPS
 from corvane.plans.registry import query, table
 from corvane.plans.signals import LONG, SIGNALS, signals
@@ -54,10 +55,8 @@ def f10_magnitude_scales(spark, sf_dir):
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY (((doc_id + 1) * 1103515245 + 3 * 12345) % 2147483647) * 48271 % 2147483647, doc_id))::INT AS place FROM documents")
 def k10_epoch_order(spark, sf_dir):
     """The places of files in an epoch's order, by source: a seeded order, not a buffer."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("source").orderBy(catalog.order_key(F.col("doc_id"), 3), "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", F.row_number().over(order).alias("place"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return numbered(rows, ["source"], [catalog.order_key(F.col("doc_id"), 3), F.col("doc_id")]).select("doc_id", F.col("place").cast("int").alias("place"))
 
 
 @query()
@@ -85,9 +84,10 @@ def e1_evaluate(spark, sf_dir):
     return found.withColumn("ap", F.round("ap", 5))
 
 
-@query()
+@query(f"""WITH {LONG}, m AS (SELECT file, sqrt(avg(v * v)) AS rms FROM smp WHERE i >= 32 AND i < 48 GROUP BY file)
+    SELECT file, round(rms, 6) AS rms FROM m WHERE rms >= 0.1 ORDER BY (((file + 1) * 1103515245 + 42 * 12345) % 2147483647) * 48271 % 2147483647, file LIMIT 100""")
 def c1_calibration_samples(spark, sf_dir):
-    """Middle chunks that can be heard, to calibrate a quantized model with."""
+    """Middle chunks that can be heard, to calibrate a quantized model with: 100 files, a number that is the feature."""
     from corvane.functions import arrays
 
     cut = signals(spark, sf_dir).select("file", F.posexplode(arrays.chunks(F.col("x"), 16, 16)).alias("chunk_idx", "c")).select("file", "chunk_idx", F.col("c.samples").alias("samples"))

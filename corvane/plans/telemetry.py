@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane import config, session
 from corvane.operators import epochs, telemetry
+from corvane.operators.numbering import numbered
 from corvane.plans.registry import query, table
 from corvane.streaming import device
 
@@ -19,10 +19,11 @@ EVENTS = """ev AS (SELECT 'd' || user_id % 7 AS device, row_number() OVER (PARTI
 
 def lines(spark, sf_dir):
     """Four lines an event: the file, its timing, two detections."""
-    order = Window.partitionBy(F.col("user_id") % 7).orderBy("ts", "event_id")
+    hours = F.unix_date(F.to_date("ts")) * 24 + F.hour("ts")
+    rows = numbered(table(spark, sf_dir, "events").withColumn("device", F.col("user_id") % 7), ["device"], [hours, F.col("ts"), F.col("event_id")], "no")
     tenths = F.floor(F.col("value") * 10).cast("int") % 1000
-    events = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("d"), F.col("user_id") % 7).alias("device"), F.row_number().over(order).alias("no"), "event_id", "event_type", tenths.alias("tenths"), (F.col("event_id") % 40).alias("r"), (F.col("event_id") % 25).alias("s"), (F.col("event_id") % 9).alias("u")
+    events = rows.select(
+        F.concat(F.lit("d"), "device").alias("device"), F.col("no").cast("int").alias("no"), "event_id", "event_type", tenths.alias("tenths"), (F.col("event_id") % 40).alias("r"), (F.col("event_id") % 25).alias("s"), (F.col("event_id") % 9).alias("u")
     )
     percent = lambda t: F.concat(F.floor(t / 10), F.lit("."), t % 10)
     texts = F.array(

@@ -265,3 +265,21 @@ def test_resampling_keeps_a_tone():
 def test_gain_control_flattens_levels():
     loud, quiet = (spectral.gain_controlled(np.full((1, 50, 3), v * 2.0**31), spectral.smoothing(0.4, 22_050, 512), 0.98, 2.0, 0.5, 1e-6)[0] for v in (0.5, 0.05))
     assert abs(loud[-1][0] - quiet[-1][0]) < 0.2 * loud[-1][0] and all(len(r) == 3 for r in loud)
+
+
+def test_places_by_ranges_are_those_of_one_window(spark):
+    """A hot group, ties and nulls of the first key, a null group, an order that runs down, and no rows."""
+    from corvane.operators.numbering import numbered
+
+    draw = np.random.default_rng(3)
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 4}", None if i % 17 == 0 else int(draw.integers(0, 300))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, g string, v long").repartition(5)
+    found = {r["id"]: r["place"] for r in numbered(df, ["g"], [F.col("v"), F.col("id")]).collect()}
+    wanted = {}
+    for g in {r[1] for r in rows}:
+        for place, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0])), 1):
+            wanted[r[0]] = place
+    assert found == wanted
+    down = {r["id"]: r["n"] for r in numbered(df, ["g"], [-F.col("id")], "n").collect()}
+    assert down == {r[0]: sum(o[1] == r[1] and o[0] >= r[0] for o in rows) for r in rows}
+    assert numbered(df.limit(0), ["g"], [F.col("v")]).count() == 0
