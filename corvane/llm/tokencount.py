@@ -5,7 +5,7 @@ where no token can span the cut, so the sum over the parts is the count of the w
 
 Defined results: null text counts as empty and has no bytes and no tokens; bad UTF-8 is read with
 replacement marks; texts are never truncated; rows are independent, so repeated rows get equal
-counts; other columns stay as they are.
+counts; other columns stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations

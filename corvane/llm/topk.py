@@ -8,7 +8,8 @@ directory keeps each cell's pivot and least and largest distance.
 A query's sample rows give a first bound on its k-th score, so a radius. By the triangle inequality a cell
 whose distances differ from the query's own by more than the radius cannot hold a result. Queries are rows
 all along: in rounds, each is dealt to the next of its cells in the order of these differences, as far as
-the radius reaches, and met there by a shuffle: a task holds one cell and streams the queries past it. The
+the radius reaches, and met there by a shuffle: a task holds one cell and streams the queries past it, those of a cell that many queries
+reach in parts. The
 best of each round tighten the radius for the next; the third takes all cells that are left within reach.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
@@ -38,6 +39,8 @@ SAMPLE_ROWS, PIVOTS = 4_096, 64
 CELL_ROWS, CELLS = 2_048, 200_000
 #: Cells that a query is dealt to in each round; the last takes all others within reach.
 ROUNDS = (4, 60, None)
+#: Queries that a task streams past a cell: more of them, as where many rows are copies, are split, each part with the cell's rows.
+PART_QUERIES = 20_000
 #: Numbers worked on at once, and bytes of dealt queries a task.
 BATCH_NUMBERS, TASK_BYTES = 4_000_000, 64_000_000
 
@@ -211,23 +214,24 @@ class Search:
     def met(self, index: DataFrame, dealt: DataFrame, n_dealt: int, k: int) -> DataFrame:
         """(q, query_id, vec_id, score): the k best of each dealt query's cell, not under the query's floor."""
         width = self.width
-        cells = dealt.select("cell").distinct()  # no more than the directory has
-        held = index.join(F.broadcast(cells), "cell", "left_semi").select("cell", F.lit(0).alias("side"), F.lit(None).cast("long").alias("q"), "id", "v", F.lit(None).cast("long").alias("floor"))
-        both = held.unionByName(dealt.select("cell", F.lit(1).alias("side"), "q", "id", "v", "floor"))
+        cells = F.broadcast(dealt.groupBy("cell").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("parts")))  # no more than the directory has
+        every, own = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.hash("q"), F.col("parts"))
+        held = index.join(cells, "cell").select("cell", every.alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("q"), "id", "v", F.lit(None).cast("long").alias("floor"))
+        both = held.unionByName(dealt.join(cells, "cell").select("cell", own.alias("part"), F.lit(1).alias("side"), "q", "id", "v", "floor"))
         tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_dealt + self.n) * 8 * max(1, width) // TASK_BYTES))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A cell's rows come before the queries that are dealt to it."""
+            """A cell's rows come before the queries that are dealt to this part of it."""
             current, waiting, rows = None, [], None
             for batch in batches:
-                cell, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                turn = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (side[1:] != side[:-1]))) if len(cell) else []
+                cell, number, side = (batch.column(i).to_numpy() for i in range(3))
+                turn = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (side[1:] != side[:-1]))) if len(cell) else []
                 for a, b in zip(turn, np.append(turn[1:], len(cell)), strict=True):
-                    if cell[a] != current:
-                        current, waiting, rows = cell[a], [], None
+                    if (cell[a], number[a]) != current:
+                        current, waiting, rows = (cell[a], number[a]), [], None
                     part = batch.slice(a, b - a)
                     if side[a] == 0:
-                        waiting.append((part.column(3).to_numpy(), matrix(part.column(4), width)))
+                        waiting.append((part.column(4).to_numpy(), matrix(part.column(5), width)))
                         continue
                     if rows is None:
                         rows = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
@@ -236,12 +240,12 @@ class Search:
                     step = max(1, BATCH_NUMBERS // max(1, len(ids)))
                     for at in range(0, part.num_rows, step):
                         own = part.slice(at, step)
-                        q, own_ids, floor = (own.column(i).to_numpy() for i in (2, 3, 5))
-                        score = products(matrix(own.column(4), width), v)
+                        q, own_ids, floor = (own.column(i).to_numpy() for i in (3, 4, 6))
+                        score = products(matrix(own.column(5), width), v)
                         row, col = best_of(score, ids, own_ids, floor, k)
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q[row], own_ids[row], ids[col], score[row, col])], ["q", "query_id", "vec_id", "score"])
 
-        return both.repartition(tasks, "cell").sortWithinPartitions("cell", "side").mapInArrow(look, "q long, query_id long, vec_id long, score long")
+        return both.repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", "side").mapInArrow(look, "q long, query_id long, vec_id long, score long")
 
 
 def best_rows(found: DataFrame, k: int) -> DataFrame:

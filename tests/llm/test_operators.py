@@ -372,6 +372,19 @@ def test_top_k(spark, tables):
     same(run(spark, "op6_top_k", tables), wanted)
 
 
+def test_queries_of_a_popular_cell_are_split(spark, tables, monkeypatch):
+    """A third of all rows are copies of one vector; parts of two queries give what whole cells give."""
+    draw = np.random.default_rng(15)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else draw.normal(0, 2, 3).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(int)
+    monkeypatch.setattr(topk, "CELL_ROWS", 50)
+    wanted = [(q, n + 1, i, -s) for q in range(0, 900, 5) for n, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in range(900) if i != q)[:5])]
+    for size in (20_000, 2):
+        monkeypatch.setattr(topk, "PART_QUERIES", size)
+        same(topk.top_k(df, topk.F.col("id") % 5 == 0).collect(), wanted)
+
+
 def test_annuli_are_skipped(spark, monkeypatch):
     """On clustered vectors the bounds leave most products out, and the result stays exact."""
     draw = np.random.default_rng(11)
