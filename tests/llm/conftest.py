@@ -60,7 +60,10 @@ def tables(spark, rows, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     vectors = [(i, [draw.gauss(0, 1) for _ in range(8)]) for i in range(300)]
     vectors += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (305, [1.0, 2.0]), (350, vectors[0][1]), (351, vectors[0][1]), (50, vectors[50][1]), (None, vectors[1][1]), (400, [0.0] * 8)]
-    spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    vectors = [(i, v, None if i is None or i % 41 == 0 else i % 3) for i, v in vectors] + [(100, vectors[100][1], 1), (14, None, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    labels = [(i, 1, draw.choice([0, 0, 1])) for i in range(50)] + [(3, 0, 1), (None, 1, 1), (104, 1, None), (115, 1, 1), (9999, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder
 
 
@@ -69,6 +72,6 @@ def empty(spark, tmp_path_factory):
     """The same tables without rows."""
     folder = str(tmp_path_factory.mktemp("empty"))
     write_documents(spark, folder, [])
-    for name, schema in (("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int")):
+    for name, schema in (("benchmark", "item_id long, text string"), ("pages", "page_id long, url string, html string"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return folder
