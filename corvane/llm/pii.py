@@ -11,12 +11,13 @@ are; separators, letters' case and lengths stay (octets of addresses may differ
 are code points of the original text; texts are treated whole; rows are independent; other columns
 stay, columns of the result's names are replaced; an empty table gives no rows; dates with slashes are read
 day first where that can be, else month first, and their pseudonyms are read and written in the same order;
+dates of 1900 to 2099 change among each other, and so do those of all other years from 1 to 9999;
 telephone numbers keep their country code; of a card or account number's candidate that is not valid as a
-whole, the longest valid part from its start to a separator is taken, and what follows is looked through
-again; account numbers of known countries have their country's length; a candidate without such a part is
-passed by whole, so digits right before a number still hide it; where a card number is followed at once by
-another value that begins with digits, both change, and the key gives them back only if their pseudonyms
-do not happen to make one longer valid number.
+whole, the longest valid part from its start to a separator is taken; after a candidate without one, the
+next that begins within it is tried, so digits or words right before a number do not hide it; account numbers
+of known countries have their country's length. `restored` gives all values back from the recorded places.
+`back=True` finds them anew: where digits stand right before or after a card number, its pseudonym may happen
+to make a valid number with them, and is then not given back.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ ROUNDS = 8
 WALK, CARD_WALK = 500, 1_000
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 HALF_DAYS = 271
+#: The days of all other years: those from FAR_DAY on before FIRST_DAY, and all of them, to 9999-12-31.
+FAR_DAY, EARLY_DAYS, FAR_DAYS = "0001-01-01", 693_595, 3_579_010
+HALF_FAR_DAYS = 1_893
 
 #: Shapes by kind, in the order in which they are tried at a place.
 SHAPES = {
@@ -211,21 +215,30 @@ def _day(m: Column) -> Column:
 
 
 def _date(m: Column, key: str, back: bool) -> Column:
-    base = F.lit(FIRST_DAY).cast("date")
-    first, second = F.lit(HALF_DAYS).cast("long"), F.lit(HALF_DAYS - 1).cast("long")
-
-    def turn(n: Column) -> Column:
-        pair = feistel(F.floor(n / (HALF_DAYS - 1)), n % (HALF_DAYS - 1), first, second, key, "date", back)
-        return _let(pair, lambda p: p["a"] * (HALF_DAYS - 1) + p["b"])
-
+    base, far = F.lit(FIRST_DAY).cast("date"), F.lit(FAR_DAY).cast("date")
     # Month first is how dates are read whose day is over 12: these change among each other.
     month_first = F.contains(m, F.lit("/")) & F.try_to_date(m, "dd/MM/yyyy").isNull()
-    start = F.struct(F.date_diff(_day(m), base).cast("long").alias("n"), month_first.alias("own"))
-    inside = lambda s: (s["n"] < DAYS) & (~s["own"] | (F.dayofmonth(F.date_add(base, s["n"].cast("int"))) > 12))
-    day = walked(start, lambda s: F.struct(turn(s["n"]).cast("long").alias("n"), s["own"].alias("own")), inside)["n"]
+
+    def moved(n: Column, days: int, half: int, tweak: str, date_of) -> Column:
+        """Day number `n` of `days` walked to another; a network has `half` times (half less one) places."""
+        first, second = F.lit(half).cast("long"), F.lit(half - 1).cast("long")
+
+        def turn(n: Column) -> Column:
+            pair = feistel(F.floor(n / (half - 1)), n % (half - 1), first, second, key, tweak, back)
+            return _let(pair, lambda p: p["a"] * (half - 1) + p["b"])
+
+        inside = lambda s: (s["n"] < days) & (~s["own"] | (F.dayofmonth(date_of(s["n"])) > 12))
+        start = F.struct(n.cast("long").alias("n"), month_first.alias("own"))
+        return date_of(walked(start, lambda s: F.struct(turn(s["n"]).cast("long").alias("n"), s["own"].alias("own")), inside)["n"])
+
+    near_date = lambda n: F.date_add(base, n.cast("int"))
+    far_date = lambda n: F.date_add(far, (n + F.when(n < EARLY_DAYS, 0).otherwise(DAYS)).cast("int"))
+    far_day = lambda d: F.date_diff(d, far) - F.when(d < base, 0).otherwise(DAYS)
+    near = _day(m).between(FIRST_DAY, "2099-12-31")
+    new = F.when(near, moved(F.date_diff(_day(m), base), DAYS, HALF_DAYS, "date", near_date)).otherwise(moved(far_day(_day(m)), FAR_DAYS, HALF_FAR_DAYS, "far date", far_date))
     written = {"-": "yyyy-MM-dd", ".": "dd.MM.yyyy"}
     return _let(
-        F.date_add(base, day.cast("int")),
+        new,
         lambda d: F.when(F.contains(m, F.lit("-")), F.date_format(d, written["-"])).when(F.contains(m, F.lit(".")), F.date_format(d, written["."])).when(month_first, F.date_format(d, "MM/dd/yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy")),
     )
 
@@ -264,7 +277,7 @@ VALID = {
     "email": lambda m: F.lit(True),
     "iban": _account,
     "ip": lambda m: F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255),
-    "date": lambda m: F.coalesce(_day(m).between(FIRST_DAY, "2099-12-31"), F.lit(False)),
+    "date": lambda m: F.coalesce(_day(m).between(FAR_DAY, "9999-12-31"), F.lit(False)),
     "ssn": lambda m: _social(digits_of(m)),
     "phone": lambda m: F.length(digits_of(m)).between(10, 15),
     "card": lambda m: luhn_sum(digits_of(m)) % 10 == 0,
@@ -307,16 +320,15 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", into: str = "pii"
     own = F.slice(pieces, F.size(pieces) - F.size(found) + 1, F.size(found))
 
     def step(acc: Column, x: Column) -> Column:
-        """Candidates count from the left; those that begin within one before are left out. cut: characters of the piece that a value has taken."""
+        """Candidates count from the left; those that begin within a value before are left out. cut: characters of the piece that a value has taken."""
         at, f = acc["at"], x["found"]
-        free = at >= acc["shut"]
-        new = free & f["kind"].isNotNull()
+        new = (at >= acc["taken"]) & f["kind"].isNotNull()
         taken = F.when(new, at + f["n"]).otherwise(acc["taken"])
         piece = F.struct(F.when(new, f["kind"]).alias("kind"), F.when(new, f["m"]).alias("m"), at.alias("start"), F.greatest(taken - at, F.lit(0)).alias("cut"), x["piece"].alias("piece"))
-        return F.struct((at + F.length(x["piece"])).alias("at"), F.when(free, at + f["n"]).otherwise(acc["shut"]).alias("shut"), taken.alias("taken"), F.concat(acc["out"], F.array(piece)).alias("out"))
+        return F.struct((at + F.length(x["piece"])).alias("at"), taken.alias("taken"), F.concat(acc["out"], F.array(piece)).alias("out"))
 
     none = F.array().cast("array<struct<kind:string,m:string,start:int,cut:int,piece:string>>")
-    start = F.struct(F.length(head).alias("at"), F.lit(0).alias("shut"), F.lit(0).alias("taken"), none.alias("out"))
+    start = F.struct(F.length(head).alias("at"), F.lit(0).alias("taken"), none.alias("out"))
     work = work.withColumn("__read", F.aggregate(F.arrays_zip(found.alias("found"), own.alias("piece")), start, step, lambda acc: acc["out"]))
 
     def new(x: Column) -> Column:
@@ -333,6 +345,32 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", into: str = "pii"
     return done.withColumn(text, F.col("__text")).drop("__found", "__parts", "__read", "__text")
 
 
+def restored(df: DataFrame, key: str, text: str = "text", spans: str = "pii") -> DataFrame:
+    """`df`, made by `pseudonymised`, with the values that its places name put back into `text`, exactly; the places stay."""
+    whole = F.col(text)
+
+    def value(x: Column, start: Column) -> Column:
+        """The pseudonym at `start`: as long as what it stands for, but for addresses."""
+        return F.when(x["kind"] == "ip", F.regexp_extract(F.substring(whole, start + 1, F.lit(15)), r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}", 0)).otherwise(F.substring(whole, start + 1, x["end"] - x["start"]))
+
+    def step(acc: Column, x: Column) -> Column:
+        """at: where the text is read on; shift: by how much places in it are further than in the original."""
+
+        def put(v: Column) -> Column:
+            back = F.lit("")
+            for kind in SHAPES:
+                back = F.when(x["kind"] == kind, PSEUDONYM[kind](v, key, True)).otherwise(back)
+            start = x["start"] + acc["shift"]
+            out = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, start - acc["at"]), back)
+            return F.struct((start + F.length(v)).alias("at"), (acc["shift"] + F.length(v) - (x["end"] - x["start"])).alias("shift"), out.alias("out"))
+
+        return _let(value(x, x["start"] + acc["shift"]), put)
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("shift"), F.lit("").alias("out"))
+    put_back = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+    return df.withColumn(text, F.when(F.size(spans) > 0, put_back).otherwise(whole))
+
+
 def private_texts(documents: DataFrame, key: str) -> DataFrame:
     """Per document: doc_id, the text with pseudonyms, how many were put in, and their kinds and places in the original."""
     done = pseudonymised(documents.select("doc_id", "text"), key)

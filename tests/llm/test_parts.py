@@ -10,7 +10,7 @@ CASES = [
     ("4111111111111111 2 times", ["4111111111111111"]),
     ("ES9121000418450200051332 OK", ["ES9121000418450200051332"]),
     ("ES91 2100 0418 4502 0005 1332 CODE 12", ["ES91 2100 0418 4502 0005 1332"]),
-    ("é 4111111111111111 743 555-382-1234 \U0001f642", ["4111111111111111"]),
+    ("é 4111111111111111 743 555-382-1234 \U0001f642", ["4111111111111111", "555-382-1234"]),  # the digits before the telephone number do not hide it
     ("4111111111111111 415 555-2671 now", ["4111111111111111", "415 555-2671"]),
     ("ES9121000418450200051332 2024-01-31", ["ES9121000418450200051332", "2024-01-31"]),
     ("4111111111111112 123", []),
