@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.common import written
-from corvane.llm.scores import Best, Space, best_columns, integer_vectors, long_score, merged, nothing, space
+from corvane.llm.scores import Best, Space, best_columns, integer_vectors, long_score, merged, nothing, products, space
 
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score in hundredths of the positive's: at least, at most.
@@ -62,7 +62,7 @@ def kept(rows: DataFrame, where: Space, block: DataFrame | pa.Table, pick: Calla
         vectors = where.matrix(held["v"].combine_chunks())
         best: list[Best] = [nothing(len(q), k) for _ in range(lists)]
         for ids, v, of in blocks_of(batches, where, len(q)):
-            score = vectors @ v.T
+            score = products(vectors, v)
             for slot, counts in enumerate(pick(score, own, labels, ids, of)):
                 better = counts & (score >= best[slot][0][:, -1:])
                 some = np.flatnonzero(better.any(1))

@@ -63,6 +63,11 @@ class Space:
             return pa.array(scores.astype(np.int64))
         return pa.array([decimal.Decimal(int(x)) for x in scores], pa.decimal128(DIGITS, 0))
 
+    def nullable(self, scores: np.ndarray) -> pa.Array:
+        """As `array`, null where there is none (-inf)."""
+        known = np.array([x != -math.inf for x in scores], bool)
+        return self.array(np.where(known, scores, 0)).take(pa.array(np.arange(len(known)), mask=~known))
+
     def numbers(self, column: pa.Array) -> np.ndarray:
         """A column of `kind` as numbers that compare; null is below all."""
         return np.array([-math.inf if x is None else int(x) for x in column.to_pylist()], object if self.wide else np.float64)
@@ -73,6 +78,18 @@ def space(rows: DataFrame) -> Space:
     return Space(*rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(square), F.lit(0.0))).first())
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows: of a space's matrices as they are, of integers in doubles where all sums fit, else in Python's integers."""
+    if object in (a.dtype, b.dtype) or np.float64 in (a.dtype, b.dtype):
+        return a @ b.T
+    size = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    if size(a) * size(b) * max(1, a.shape[1]) < 2 * EXACT:
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    whole = a.astype(object) @ b.astype(object).T
+    fits = whole.size and -(2**63) <= whole.min() and whole.max() < 2**63
+    return whole.astype(np.int64) if fits else whole
+
+
 def long_score(column: str) -> Column:
     """A score held to 64 bits."""
     most = 2**63 - 1

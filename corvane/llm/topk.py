@@ -2,21 +2,24 @@
 
 Vectors become integers, floor(256 x). A further component lifts all of them to one length, so a larger
 inner product is a smaller distance. Pivots come from a bounded sample. Each row is keyed by its nearest
-pivot and its distance to it; rows are laid out in that order and cut into cells, annuli of one pivot. A
-directory keeps each cell's pivot and least and largest distance.
+pivot and its distance to it; rows are laid out in that order and cut into regions, each what a task can
+hold, and these into cells, annuli of one pivot. A directory keeps each cell's pivot and least and largest
+distance.
 
 A query's sample rows give a first bound on its k-th score, so a radius. By the triangle inequality a cell
 whose distances differ from the query's own by more than the radius cannot hold a result. Queries are rows
-all along: in rounds, each is dealt to the next of its cells in the order of these differences, as far as
-the radius reaches, and met there by a shuffle: a task holds one cell and streams the queries past it, those of a cell that many queries
-reach in parts. The
-best of each round tighten the radius for the next; the third takes all cells that are left within reach.
+all along, dealt to regions: first to the one with the nearest cell, whose best tighten the radius, then to
+all others that have a cell within reach. A vector so moves once a region at most, however little the bounds
+leave out. In a region, cells are met in the order of their distance, each by the queries it is still in
+reach of, and what they find tightens their radius for the next. Queries of a region that very many reach are met in
+parts. `Search.looked` counts the products that were worked out.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
 vectors count as padded with zeros; a query's candidates are rows of other ids; rows of one id and
 vector are one query, but each is a candidate; rows of one id and different vectors are queries of
-their own; fewer candidates than k give fewer rows; ties go to the smaller id; components and scores
-beyond 64 bits are held to its ends; an empty table gives no rows; other columns are not read.
+their own; fewer candidates than k give fewer rows; ties go to the smaller id; scores are ranked whole and
+held to 64 bits only in the result, components to 18 digits or so; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,45 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.llm.common import written
+from corvane.llm.scores import best_columns, integer_vectors, long_score, merged, nothing, products, space
 
-SCALE = 256
 #: Rows that pivots and first bounds come from; pivots.
 SAMPLE_ROWS, PIVOTS = 4_096, 64
 #: Rows of a cell at least, and cells at about most: the directory goes to all tasks.
 CELL_ROWS, CELLS = 2_048, 200_000
-#: Cells that a query is dealt to in each round; the last takes all others within reach.
-ROUNDS = (4, 60, None)
-#: Queries that a task streams past a cell: more of them, as where many rows are copies, are split, each part with the cell's rows.
+#: Queries that a task streams past a region: more of them, as where many rows are copies, are split, each part with the region's rows.
 PART_QUERIES = 20_000
-#: Numbers worked on at once, and bytes of dealt queries a task.
+#: Numbers worked on at once, and bytes of a region and of a task's queries.
 BATCH_NUMBERS, TASK_BYTES = 4_000_000, 64_000_000
-
-
-def integer_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows (id, v): ids and integer vectors of the rows that take part."""
-    good = F.col(vector).isNotNull() & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    ints = F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
-    return df.where(F.col(key).isNotNull() & good).select(F.col(key).cast("long").alias("id"), ints.alias("v"))
-
-
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists as the rows of a matrix, padded with zeros."""
-    offsets = column.offsets.to_numpy()
-    values, n = column.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)
-    if (n == width).all():
-        return values.reshape(len(n), width)
-    out = np.zeros((len(n), width), np.int64)
-    out[np.repeat(np.arange(len(n)), n), np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], n)] = values
-    return out
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows: in doubles where all sums fit, else in Python's integers (held to 64 bits)."""
-    size = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
-    if size(a) * size(b) * max(1, a.shape[1]) < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    whole = a.astype(object) @ b.astype(object).T
-    return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
+REGION_BITS = 32  # of a cell's number: above are the region's
 
 
 def lifted(v: np.ndarray, square: float) -> np.ndarray:
@@ -113,47 +88,38 @@ def reached(far: np.ndarray, radius: np.ndarray, pivot: np.ndarray, low: np.ndar
     return query, order[query, place]
 
 
-def best_of(score: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k best scores that are not under its floor, of other ids than its own; smaller ids first in ties."""
-    row, col = np.nonzero((score >= floor[:, None]) & (ids[None, :] != query_ids[:, None]))
-    order = np.lexsort((ids[col], -score[row, col], row))
-    row, col = row[order], col[order]
-    head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-    rank = np.arange(len(row)) - np.repeat(head, np.diff(np.append(head, len(row))))
-    return row[rank < k], col[rank < k]
-
-
 class Search:
     """An index and what a search in it needs; see the module."""
 
     def __init__(self, vectors: DataFrame, key: str, vector: str):
         self.spark = vectors.sparkSession
         self.rows = integer_vectors(vectors, key, vector)
-        square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-        self.n, self.width, self.length = self.rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(square), F.lit(0.0))).first()
+        self.space = space(self.rows)
         # Lengths and distances come from differences of squares: errors are of the order of the root of a double's step.
-        self.slack = 1e-6 * (1 + self.length**0.5)
+        self.slack = 1e-6 * (1 + self.space.length**0.5)
         taken = self.rows.orderBy(F.xxhash64("id", F.lit(6)), "id", F.xxhash64("v")).limit(SAMPLE_ROWS).toArrow()
-        self.sample_ids, self.sample = taken["id"].to_numpy(), self.dense(taken["v"].combine_chunks()) if len(taken) else np.zeros((0, self.width), np.int64)
-        self.pivots = choose_pivots(lifted(self.sample, self.length), PIVOTS)
+        self.sample_ids = taken["id"].to_numpy()
+        self.sample = self.space.matrix(taken["v"].combine_chunks()) if len(taken) else np.zeros((0, self.space.width))
+        self.pivots = choose_pivots(lifted(self.sample, self.space.length), PIVOTS)
+        self.looked = self.spark.sparkContext.accumulator(0)
 
-    def dense(self, column: pa.Array) -> np.ndarray:
-        return matrix(column, self.width)
+    def tasks(self, rows: int) -> int:
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * self.space.row_bytes // TASK_BYTES))
 
     def index(self) -> tuple[DataFrame, DataFrame]:
-        """(cell, id, v) of all rows, and (cell, pivot, low, high) of all cells, both written."""
-        width, length, pivots = self.width, self.length, self.pivots
-        cell_rows = max(CELL_ROWS, -(-self.n // CELLS))
+        """(cell, id, v) of all rows, and (cell, pivot, low, high) of all cells, both written. A file is a region."""
+        where, pivots = self.space, self.pivots
+        cell_rows = max(CELL_ROWS, -(-where.n // CELLS))
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                apart = distances(lifted(matrix(batch.column(1), width), length), pivots)
+                apart = distances(lifted(where.matrix(batch.column(1)), where.length), pivots)
                 near = apart.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), pa.array(apart[np.arange(len(near)), near]), *batch.columns], ["pivot", "dist", "id", "v", "row"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Runs of one pivot in their order, `cell_rows` at most, with a number no other task gives."""
-            cell, held, last = TaskContext.get().partitionId() << 32, 0, None
+            cell, held, last = TaskContext.get().partitionId() << REGION_BITS, 0, None
             for batch in batches:
                 pivot = batch.column(0).to_numpy()
                 own = np.empty(len(pivot), np.int64)
@@ -167,85 +133,127 @@ class Search:
                 yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns[:4]], ["cell", "pivot", "dist", "id", "v"])
 
         layout = ["pivot", "dist", "id", "row"]
-        files = max(1, -(-self.n * 8 * max(1, width) // TASK_BYTES))
         # Equal rows are told apart by where they were read, so that none of their ranges grows beyond a file.
         placed = self.rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(keyed, "pivot int, dist double, id long, v array<long>, row long")
-        rows = written(placed.repartitionByRange(files, *layout).sortWithinPartitions(*layout).mapInArrow(cut, "cell long, pivot int, dist double, id long, v array<long>"), "pivot-index")
-        directory = rows.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("dist").alias("low"), F.max("dist").alias("high"))
-        return rows.select("cell", "id", "v"), written(directory, "pivot-directory")
+        rows = written(placed.repartitionByRange(self.tasks(where.n), *layout).sortWithinPartitions(*layout).mapInArrow(cut, "cell long, pivot int, dist double, id long, v array<long>"), "pivot-index")
+        directory = written(rows.groupBy("cell").agg(F.first("pivot").alias("pivot"), F.min("dist").alias("low"), F.max("dist").alias("high")), "pivot-directory")
+        cells = directory.orderBy("cell").toArrow()  # CELLS rows or a few more
+        self.cells = self.spark.sparkContext.broadcast(tuple(cells[c].to_numpy() for c in ("cell", "pivot", "low", "high")))
+        return rows.select("cell", "id", "v"), directory
 
     def bounded(self, queries: DataFrame, k: int) -> DataFrame:
-        """Queries (q, id, v) with floor: the k-th best score among the sample's rows of other ids."""
-        sample, sample_ids, width, least = self.sample, self.sample_ids, self.width, np.iinfo(np.int64).min
+        """Queries (q, id, v) with floor: the k-th best score among the sample's rows of other ids; null if these are fewer."""
+        sample, sample_ids, where = self.sample, self.sample_ids, self.space
 
         def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, v = batch.column(1).to_numpy(), matrix(batch.column(2), width)
-                floor = np.full(len(ids), least)
+                ids, v = batch.column(1).to_numpy(), where.matrix(batch.column(2))
+                floor = np.full(len(ids), -np.inf)
                 if len(sample) >= k:
-                    score = np.where(ids[:, None] != sample_ids[None, :], products(v, sample), least)
+                    score = np.where(ids[:, None] != sample_ids[None, :], products(v, sample), -np.inf)
                     floor = np.partition(score, len(sample) - k, axis=1)[:, len(sample) - k]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], ["q", "id", "v", "floor"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, where.nullable(floor)], ["q", "id", "v", "floor"])
 
-        return queries.mapInArrow(bound, "q long, id long, v array<long>, floor long")
+        return queries.mapInArrow(bound, f"q long, id long, v array<long>, floor {where.kind}")
 
-    def dealt(self, queries: DataFrame, directory: DataFrame, first: int, count: int | None) -> DataFrame:
-        """(cell, q, id, v, floor): queries to those cells of a round that they reach. The directory has CELLS rows or a few more."""
-        cells = directory.orderBy("cell").toArrow()
-        shared = self.spark.sparkContext.broadcast(tuple(cells[c].to_numpy() for c in ("cell", "pivot", "low", "high")))
-        width, length, pivots, slack = self.width, self.length, self.pivots, self.slack
+    def dealt(self, queries: DataFrame, nearest: bool) -> DataFrame:
+        """(region, q, id, v, floor): queries (q, id, v, floor, seen) to the region of their nearest cell, or to all but the `seen` one with a cell in reach."""
+        shared, where, pivots, slack = self.cells, self.space, self.pivots, self.slack
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell, pivot, low, high = shared.value
-            step = max(1, BATCH_NUMBERS // max(1, len(cell), 64 * width))
+            region = cell >> REGION_BITS
+            step = max(1, BATCH_NUMBERS // max(1, len(cell), 64 * where.width))
             for batch in batches:
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    v, floor = matrix(part.column(2), width).astype(np.float64), part.column(3).to_numpy()
-                    lift = np.concatenate((v, np.zeros((len(v), 1))), 1)
-                    radius = np.sqrt(np.maximum(0, (v * v).sum(1) + length - 2.0 * floor))
-                    query, place = reached(distances(lift, pivots), radius, pivot, low, high, slack, first, count)
-                    for a in range(0, len(query), 4_096):
-                        took = part.take(pa.array(query[a : a + 4_096]))
-                        yield pa.RecordBatch.from_arrays([pa.array(cell[place[a : a + 4_096]]), *took.columns], ["cell", "q", "id", "v", "floor"])
+                    lift, radius = around(where.matrix(part.column(2)), where.numbers(part.column(3)), where.length)
+                    query, place = reached(distances(lift, pivots), np.full(len(radius), np.inf) if nearest else radius, pivot, low, high, slack, 0, 1 if nearest else None)
+                    both = np.unique(np.stack((query, region[place]), 1), axis=0)
+                    if not nearest:
+                        both = both[both[:, 1] != part.column(4).to_numpy()[both[:, 0]]]
+                    for a in range(0, len(both), 4_096):
+                        own = both[a : a + 4_096]
+                        yield pa.RecordBatch.from_arrays([pa.array(own[:, 1]), *part.take(pa.array(own[:, 0])).columns[:4]], ["region", "q", "id", "v", "floor"])
 
-        return queries.mapInArrow(deal, "cell long, q long, id long, v array<long>, floor long")
+        return queries.mapInArrow(deal, f"region long, q long, id long, v array<long>, floor {where.kind}")
 
     def met(self, index: DataFrame, dealt: DataFrame, n_dealt: int, k: int) -> DataFrame:
-        """(q, query_id, vec_id, score): the k best of each dealt query's cell, not under the query's floor."""
-        width = self.width
-        cells = F.broadcast(dealt.groupBy("cell").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("parts")))  # no more than the directory has
+        """(q, query_id, vec_id, score): the k best of each dealt query's region, not under the query's floor."""
+        shared, where, pivots, slack, looked = self.cells, self.space, self.pivots, self.slack, self.looked
+        regions = F.broadcast(dealt.groupBy("region").agg(F.ceil(F.count("*") / PART_QUERIES).cast("int").alias("parts")))  # no more than the index has files
         every, own = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.hash("q"), F.col("parts"))
-        held = index.join(cells, "cell").select("cell", every.alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("q"), "id", "v", F.lit(None).cast("long").alias("floor"))
-        both = held.unionByName(dealt.join(cells, "cell").select("cell", own.alias("part"), F.lit(1).alias("side"), "q", "id", "v", "floor"))
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-(n_dealt + self.n) * 8 * max(1, width) // TASK_BYTES))
+        none = F.lit(None).cast("long")
+        rows = index.withColumn("region", F.shiftright("cell", REGION_BITS)).join(regions, "region")
+        held = rows.select("region", every.alias("part"), F.lit(0).alias("side"), "cell", none.alias("q"), "id", "v", F.lit(None).cast(where.kind).alias("floor"))
+        both = held.unionByName(dealt.join(regions, "region").select("region", own.alias("part"), F.lit(1).alias("side"), none.alias("cell"), "q", "id", "v", "floor"))
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """A cell's rows come before the queries that are dealt to this part of it."""
-            current, waiting, rows = None, [], None
+            """A region's rows, by cell and id, come before the queries that are dealt to this part of it."""
+            current, waiting, cells = None, [], []
             for batch in batches:
-                cell, number, side = (batch.column(i).to_numpy() for i in range(3))
-                turn = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (number[1:] != number[:-1]) | (side[1:] != side[:-1]))) if len(cell) else []
-                for a, b in zip(turn, np.append(turn[1:], len(cell)), strict=True):
-                    if (cell[a], number[a]) != current:
-                        current, waiting, rows = (cell[a], number[a]), [], None
+                region, number, side = (batch.column(i).to_numpy() for i in range(3))
+                turn = np.flatnonzero(np.append(True, (region[1:] != region[:-1]) | (number[1:] != number[:-1]) | (side[1:] != side[:-1]))) if len(region) else []
+                for a, b in zip(turn, np.append(turn[1:], len(region)), strict=True):
+                    if (region[a], number[a]) != current:
+                        current, waiting, cells = (region[a], number[a]), [], []
                     part = batch.slice(a, b - a)
                     if side[a] == 0:
-                        waiting.append((part.column(4).to_numpy(), matrix(part.column(5), width)))
+                        waiting.append((part.column(3).to_numpy(), part.column(5).to_numpy(), where.matrix(part.column(6))))
                         continue
-                    if rows is None:
-                        rows = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
-                        waiting = []
-                    ids, v = rows
-                    step = max(1, BATCH_NUMBERS // max(1, len(ids)))
+                    if waiting:
+                        cell, ids, v = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                        cells, waiting = [(cell[i], ids[i:j], v[i:j]) for i, j in zip(first, np.append(first[1:], len(cell)), strict=True)], []
+                    step = max(1, BATCH_NUMBERS // max(len(ids) for _, ids, _ in cells))
                     for at in range(0, part.num_rows, step):
                         own = part.slice(at, step)
-                        q, own_ids, floor = (own.column(i).to_numpy() for i in (3, 4, 6))
-                        score = products(matrix(own.column(5), width), v)
-                        row, col = best_of(score, ids, own_ids, floor, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q[row], own_ids[row], ids[col], score[row, col])], ["q", "query_id", "vec_id", "score"])
+                        q, own_ids, v, floor = own.column(4).to_numpy(), own.column(5).to_numpy(), where.matrix(own.column(6)), where.numbers(own.column(7))
+                        (score, found, has), n = best_in(cells, shared.value, v, own_ids, floor, k, pivots, where.length, slack)
+                        looked.add(n)
+                        row, col = np.nonzero(has)
+                        yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(own_ids[row]), pa.array(found[row, col]), where.array(score[row, col])], ["q", "query_id", "vec_id", "score"])
+
+        tasks = self.tasks(n_dealt + where.n)
+        return both.repartition(tasks, "region", "part").sortWithinPartitions("region", "part", "side", "cell", "id").mapInArrow(look, f"q long, query_id long, vec_id long, score {where.kind}")
 
-        return both.repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", "side").mapInArrow(look, "q long, query_id long, vec_id long, score long")
+
+def around(v: np.ndarray, floor: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    """Queries in the lifted space, and the radii within which scores are at least `floor`."""
+    v = v.astype(np.float64)
+    lift = np.concatenate((v, np.zeros((len(v), 1))), 1)
+    return lift, np.sqrt(np.maximum(0, (v * v).sum(1) + length - 2.0 * floor.astype(np.float64)))
+
+
+def best_in(cells: list, directory: tuple, v: np.ndarray, own_ids: np.ndarray, floor: np.ndarray, k: int, pivots: np.ndarray, length: float, slack: float):
+    """The k best of each query in these cells (number, ids, vectors), not under its floor, and how many products were worked out."""
+    number, pivot, low, high = directory
+    at = np.searchsorted(number, [c[0] for c in cells])
+    lift, radius = around(v, floor, length)
+    far = distances(lift, pivots)
+    gaps = np.maximum(0, np.maximum(far[:, pivot[at]] - high[at][None, :], low[at][None, :] - far[:, pivot[at]]))
+    best, n = nothing(len(v), k), 0
+    if floor.dtype == object:
+        best = (best[0].astype(object), *best[1:])
+    for c in np.argsort(gaps.mean(0), kind="stable"):
+        near = np.flatnonzero(gaps[:, c] <= radius + slack)
+        if not len(near):
+            continue
+        _, ids, rows = cells[c]
+        score = products(v[near], rows)
+        n += score.size
+        counts = (score >= floor[near, None]) & (ids[None, :] != own_ids[near, None])
+        some = counts.any(1)
+        near, score, counts = near[some], score[some], counts[some]
+        if not len(near):
+            continue
+        new = merged(tuple(x[near] for x in best), best_columns(score, counts, ids, k), k)
+        for old, x in zip(best, new, strict=True):
+            old[near] = x
+        full = near[new[2][:, -1]]
+        floor[full] = np.maximum(floor[full], best[0][full, -1])
+        radius[full] = around(v[full], floor[full], length)[1]
+    return best, n
 
 
 def best_rows(found: DataFrame, k: int) -> DataFrame:
@@ -256,21 +264,13 @@ def best_rows(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row that `is_query` (over `id`, the key), the k best of all others."""
     search = Search(vectors, key, vector)
-    index, directory = search.index()
-    queries = search.rows.where(is_query).distinct().select(F.xxhash64("id", "v").alias("q"), "id", "v")
-    state = written(search.bounded(queries, k), "pivot-queries")
-    best, first = None, 0
-    for count in ROUNDS:
-        dealt = written(search.dealt(state, directory, first, count), "pivot-dealt")
-        n_dealt = dealt.count()
-        if not n_dealt:
-            break  # cells further on are further away
-        found = search.met(index, dealt, n_dealt, k)
-        best = written(best_rows(found if best is None else found.unionByName(best.drop("rank")), k), "pivot-best")
-        if count is not None:
-            first += count
-            floors = best.where(F.col("rank") == k).select("q", F.col("score").alias("better"))
-            state = written(state.join(floors, "q", "left").select("q", "id", "v", F.greatest("floor", F.coalesce("better", "floor")).alias("floor")), "pivot-queries")
-    if best is None:
-        return state.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("floor").alias("score")).limit(0)
-    return best.select("query_id", "rank", "vec_id", "score")
+    index, _ = search.index()
+    numbered = written(search.rows.where(is_query).distinct().select(F.monotonically_increasing_id().alias("q"), "id", "v"), "pivot-ids")
+    state = written(search.bounded(numbered, k), "pivot-queries")
+    first = written(search.dealt(state.withColumn("seen", F.lit(-1).cast("long")), nearest=True), "pivot-dealt")
+    best = written(best_rows(search.met(index, first, first.count(), k), k), "pivot-best")
+    floors = best.where(F.col("rank") == k).select("q", F.col("score").alias("better"))
+    tighter = first.join(floors, "q", "left").select("q", "id", "v", F.coalesce(F.greatest("floor", "better"), "floor", "better").alias("floor"), F.col("region").alias("seen"))
+    rest = written(search.dealt(written(tighter, "pivot-queries"), nearest=False), "pivot-dealt")
+    found = search.met(index, rest, rest.count(), k).unionByName(best.drop("rank"))
+    return best_rows(found, k).select("query_id", "rank", "vec_id", long_score("score").alias("score"))

@@ -393,15 +393,46 @@ def test_annuli_are_skipped(spark, monkeypatch):
     v[:] = v * (300 / np.linalg.norm(v, axis=1))[:, None]
     rows = spark.createDataFrame([(i, x) for i, x in enumerate((v / 256).tolist())], "vec_id long, embedding array<double>")
     monkeypatch.setattr(topk, "CELL_ROWS", 100)
-    looked = []
-    met = topk.Search.met
-    monkeypatch.setattr(topk.Search, "met", lambda self, index, dealt, n, k: looked.append(dealt.join(index.groupBy("cell").count(), "cell").agg(topk.F.sum("count")).first()[0]) or met(self, index, dealt, n, k))
+    searches = []
+    index = topk.Search.index
+    monkeypatch.setattr(topk.Search, "index", lambda self: searches.append(self) or index(self))
     found = topk.top_k(rows, topk.F.col("id") % 500 == 0).collect()
     for j in range(0, len(v), 500):
         wanted = sorted((-int(x), i) for i, x in enumerate(v @ v[j]) if i != j)[:5]
         assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in found if r["query_id"] == j), key=lambda r: r["rank"])] == wanted
-    # Rows that queries met, in all rounds, against all pairs.
-    assert 0 < sum(looked) < 0.3 * len(v) * (len(v) // 500)
+    # Products of queries and rows, in all rounds, against all pairs.
+    assert 0 < searches[0].looked.value < 0.3 * len(v) * (len(v) // 500)
+
+
+def test_queries_move_once_a_region(spark, monkeypatch):
+    """On vectors without clusters, where bounds leave out nothing, a query is dealt to each region once at most."""
+    draw = np.random.default_rng(12)
+    v = np.floor(256 * draw.normal(0, 1, (6_000, 24)))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate((v / 256).tolist())], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "CELL_ROWS", 50)
+    moved = []
+    dealt = topk.Search.dealt
+    monkeypatch.setattr(topk.Search, "dealt", lambda self, queries, nearest: moved.append((self, dealt(self, queries, nearest))) or moved[-1][1])
+    found = topk.top_k(rows, topk.F.col("id") % 100 == 0).collect()
+    search = moved[0][0]
+    regions = len(set((search.cells.value[0] >> topk.REGION_BITS).tolist()))
+    counts = [df.groupBy("q", "region").count() for _, df in moved]
+    assert all(c.where("count > 1").isEmpty() for c in counts)
+    assert regions <= search.tasks(6_000) and sum(c.count() for c in counts) <= 60 * regions < 60 * len(search.cells.value[0])
+    for j in range(0, 6_000, 1_000):
+        wanted = sorted((-int(x), i) for i, x in enumerate(v @ v[j]) if i != j)[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in found if r["query_id"] == j), key=lambda r: r["rank"])] == wanted
+
+
+def test_scores_beyond_longs_are_ranked_whole(spark):
+    draw = np.random.default_rng(13)
+    rows = [(i, (draw.normal(0, 1, 4) * 1e12).tolist()) for i in range(200)]
+    v = [[int(np.floor(256 * x)) for x in y] for _, y in rows]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), topk.F.col("id") % 20 == 0)
+    for q in range(0, 200, 20):
+        wanted = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in range(200) if i != q)[:5]
+        own = sorted((r for r in found.where(f"query_id = {q}").collect()), key=lambda r: r["rank"])
+        assert [(r["vec_id"], r["score"]) for r in own] == [(i, max(-(2**63), min(2**63 - 1, -s))) for s, i in wanted]
 
 
 @pytest.mark.parametrize("size", [1, 100, 10_000, 1_000_000])
