@@ -2,30 +2,28 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.operators.ranking import ACCURACY, RANGES
+from corvane.operators.ranking import in_ranges, n_ranges
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column], column: str = "place") -> DataFrame:
     """`rows` with `column`: places from 1 on in the order of each group, nulls first.
 
-    The first key of the order, a number, is cut into RANGES ranges with about equally many rows: a window holds
-    one range of one group, and the counts of the ranges before give its start. Rows with one first key are in one range.
+    Few rows (as the planner expects) are numbered by a window over the group. Beyond that the first key of the order, a
+    number, is cut into ranges with about equally many rows, as many as the rows' size asks for: a window holds one range of
+    one group, and the counts of the ranges before give its start. Rows with one first key are in one range.
     """
-    keyed = rows.withColumn("__key", order[0].cast("double"))
-    marks = keyed.agg(F.percentile_approx("__key", [i / RANGES for i in range(1, RANGES)], ACCURACY)).first()[0]
-    edges = [float("-inf"), *sorted({m for m in marks or [0.0] if math.isfinite(m)} or {0.0}), float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="__key", outputCol="__range", handleInvalid="keep").transform(keyed)
-    parts = cut.withColumn("__range", F.when(F.col("__key").isNull(), -1).otherwise(F.col("__range").cast("int"))).drop("__key")
+    n = n_ranges(rows)
+    if n == 1:
+        return rows.withColumn(column, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    parts = in_ranges(rows.withColumn("__key", order[0].cast("double")), "__key", "__range", n).drop("__key")
     keys = [*by, "__range"]
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows of a group at most
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
     starts = parts.groupBy(*keys).agg(F.count("*").alias("__n")).select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     own = parts.withColumn(column, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys))

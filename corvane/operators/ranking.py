@@ -1,22 +1,56 @@
 """Ranking metrics over scored rows (group columns, y 0/1, s).
 
-Rows of one score are summed first, so ties count as one step. The distinct scores are cut into ranges,
-summed per group and range, and the ranges' sums give each its start: a window holds one range of one
-group, never all rows or all of a group.
+Rows of one score are summed first, so ties count as one step. Where the planner expects the distinct scores
+to be few (by the sizes of the files read), running sums are windows over groups. Beyond that the scores
+are cut into ranges, as many as their size asks for, summed per group and range, and the ranges' sums give
+each its start: a window holds one range of one group, never all rows or all of a group. Both give the
+same numbers, and neither runs anything before its result is asked for.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges of scores for running sums, and the accuracy of their edges.
-RANGES, ACCURACY = 256, 10_000
+from corvane.session import estimated_bytes
+
+#: Bytes that a window may be expected to hold whole, and bytes of a range about.
+WINDOW_BYTES, RANGE_BYTES = 64_000_000, 64_000_000
+#: Ranges at least (and where there is no estimate) and at most, and the accuracy of their edges.
+RANGES, MOST_RANGES, ACCURACY = 256, 4_096, 20_000
+
+
+def n_ranges(df: DataFrame) -> int:
+    """How many ranges to cut the rows of `df` into; 1 where a window may hold them all."""
+    size = estimated_bytes(df)
+    if size <= WINDOW_BYTES:
+        return 1
+    return RANGES if size > 1 << 60 else min(MOST_RANGES, max(RANGES, size // RANGE_BYTES))
+
+
+def in_ranges(df: DataFrame, value: str, column: str, n: int, *kept: str) -> DataFrame:
+    """`df` with `column`: which of about `n` ranges of about equally many rows `value` falls into; nulls first, NaN last.
+
+    The edges are one row, worked out within the plan. `kept`: columns that this reading of `df` takes along, so that its
+    shuffles are the same as those of the other readings, and are made once."""
+    finite = F.when(F.abs(value) < float("inf"), F.col(value).cast("double"))  # not NaN either, which is above all
+    rest = [F.max(c).alias(f"__{i}") for i, c in enumerate(kept)]
+    marks = df.agg(F.percentile_approx(finite, [i / n for i in range(1, n)], ACCURACY).alias("__marks"), *rest)
+    marks = marks.select(F.array_sort(F.array_distinct(F.coalesce("__marks", F.array().cast("array<double>")))).alias("__marks"))
+    middle = lambda acc: F.floor((acc["a"] + acc["b"]) / 2).cast("int")
+
+    def halve(acc: Column, _: Column) -> Column:
+        """Marks before a are at or under the value, those from b on above it."""
+        under = F.get("__marks", middle(acc)) <= F.col(value)
+        moved = F.struct(F.when(under, middle(acc) + 1).otherwise(acc["a"]).alias("a"), F.when(under, acc["b"]).otherwise(middle(acc)).alias("b"))
+        return F.when(acc["a"] < acc["b"], moved).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("a"), F.size("__marks").alias("b"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length() + 1)), start, halve, lambda acc: acc["a"])
+    return df.crossJoin(F.broadcast(marks)).withColumn(column, F.when(F.col(value).isNull(), -1).otherwise(found)).drop("__marks")
 
 
 def tie_groups(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -24,22 +58,18 @@ def tie_groups(scored: DataFrame, by: list[str]) -> DataFrame:
     return scored.groupBy(*by, "s").agg(F.sum(F.col("y").cast("long")).alias("tp"), F.count("*").alias("n"))
 
 
-def _ranged(ties: DataFrame) -> DataFrame:
-    """Column `range`: where a score falls among RANGES parts of about equal numbers of distinct scores."""
-    marks = ties.agg(F.percentile_approx("s", [i / RANGES for i in range(1, RANGES)], ACCURACY)).first()[0]
-    edges = [float("-inf"), *sorted({m for m in marks or [0.0] if math.isfinite(m)} or {0.0}), float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="s", outputCol="range", handleInvalid="keep")  # NaN comes last, as in an order by score
-    return cut.transform(ties).withColumn("range", F.col("range").cast("int"))
-
-
 def running(ties: DataFrame, by: list[str]) -> DataFrame:
     """`ties` with ctp and cn (sums over this score and all above), tp_all and n_all (of the group)."""
     by = list(by)
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    n = n_ranges(ties)
+    if n == 1:
+        down = group.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+        return ties.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down), "tp_all": F.sum("tp").over(group), "n_all": F.sum("n").over(group)})
     keys = [*by, "range"]
-    parts = _ranged(ties)
+    parts = in_ranges(ties, "s", "range", n, *by, "tp", "n")
     down = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    above = group.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows of a group at most
+    above = group.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
     sums = parts.groupBy(*keys).agg(F.sum("tp").alias("p"), F.sum("n").alias("q"))
     starts = sums.select(
         *(F.col(k).alias(f"__{k}") for k in keys), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("q0"), F.sum("p").over(group).alias("tp_all"), F.sum("q").over(group).alias("n_all")

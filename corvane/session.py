@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC as in the SQL the queries are held against; adaptive plans size and split shuffles at run time.
 SETTINGS = {
@@ -27,6 +27,11 @@ def local(cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str
     return spark
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of `df`, from the sizes of the files that it reads: no job runs. Very large where it has none."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -36,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if context.applicationId not in _LOCAL_DIRS:
             _LOCAL_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="corvane-")
