@@ -114,6 +114,12 @@ def pcen_like(x: Column) -> Column:
     return F.greatest(0.15 * gained + 0.45 * F.greatest(gained - 0.2, F.lit(0.0)), F.lit(0.0))
 
 
+def decibels_below_top(values: Column, floor: float = 1e-5, range_db: float = 80.0) -> Column:
+    """Amplitudes to decibels against the largest, `range_db` below it at least."""
+    size = lambda x: F.greatest(F.abs(x), F.lit(floor))
+    return element_of(F.array_max(F.transform(values, size)), lambda top: F.transform(values, lambda x: F.greatest(20.0 * F.log10(size(x)) - 20.0 * F.log10(top), F.lit(-range_db))))
+
+
 def decibels(x: Column, floor: float = 1e-6) -> Column:
     return 10.0 * F.log10(F.greatest(x, F.lit(floor)))
 

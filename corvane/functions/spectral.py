@@ -94,18 +94,19 @@ def _hz(mel: float) -> float:
     return mel * 200 / 3 if mel < 15 else 1000 * math.exp((mel - 15) * math.log(6.4) / 27)
 
 
+def mel_matrix(filters: int, size: int, rate: int, low: float, high: float | None = None) -> np.ndarray:
+    """Filters by bins: triangles of unit area."""
+    a, b = _mel(low), _mel(high or rate / 2)
+    edges = np.array([_hz(a + (b - a) * i / (filters + 1)) for i in range(filters + 2)])
+    x, y, z = (edges[i : filters + i, None] for i in range(3))
+    hz = np.arange(size // 2 + 1)[None, :] * rate / size
+    return np.maximum(0.0, np.minimum((hz - x) / (y - x), (z - hz) / (z - y))) * 2 / (z - x)
+
+
 def mel_weights(spark: SparkSession, filters: int, size: int, rate: int, low: float, high: float | None = None) -> DataFrame:
     """mel, bin, weight: the nonzero weights of triangles of unit area. A small table: filters times bins at most."""
-    a, b = _mel(low), _mel(high or rate / 2)
-    edges = [_hz(a + (b - a) * i / (filters + 1)) for i in range(filters + 2)]
-    rows = []
-    for m in range(filters):
-        x, y, z = edges[m : m + 3]
-        for k in range(size // 2 + 1):
-            hz = k * rate / size
-            w = max(0.0, min((hz - x) / (y - x), (z - hz) / (z - y))) * 2 / (z - x)
-            if w > 0:
-                rows.append((m, k, w))
+    bank = mel_matrix(filters, size, rate, low, high)
+    rows = [(m, k, float(bank[m, k])) for m, k in np.argwhere(bank > 0).tolist()]
     return spark.createDataFrame(rows, "mel int, bin int, weight double")
 
 
@@ -142,8 +143,8 @@ def smoothing(seconds: float, rate: int, hop: int) -> float:
 
 
 def gain_controlled(s: np.ndarray, b: float, gain: float, bias: float, power: float, floor: float) -> np.ndarray:
-    """Magnitudes (signals, frames, bins) with gain control per bin; the filter starts as if at rest in the first frame."""
-    out, m = np.empty_like(s), s[:, 0] if s.shape[1] else None
+    """Magnitudes (signals, frames, bins) with gain control per bin; the filter starts in the state that a steady unit input leaves."""
+    out, m = np.empty_like(s), 1.0
     for t in range(s.shape[1]):
         m = (1 - b) * m + b * s[:, t]
         smooth = np.exp(-gain * (math.log(floor) + np.log1p(m / floor)))

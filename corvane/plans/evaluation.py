@@ -7,11 +7,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corvane.functions import spectral
+from corvane.functions.frontends import Feature, features
 from corvane.operators import catalog, evaluation, ranking, scoring
 from corvane.operators.numbering import numbered
 from corvane.plans.metrics import AP, STEPS
 from corvane.plans.registry import query, table
-from corvane.plans.signals import LONG, SIGNALS, signals
+from corvane.plans.signals import LONG, SIGNALS, bank_sql, gain_sql, signals, smoothing_sql, spectra_sql
 from corvane.sources import wav
 
 
@@ -68,6 +69,86 @@ def x5_training_samples(spark, sf_dir):
     return done.select("file", "chunk_idx", "start", "class_idx", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
+BANDS, SIZE, RATE, COEFFICIENTS = 4, 16, 8_000, 3
+KEYS = "file, label, c"
+
+
+def features_sql(chunk: int, width: int) -> str:
+    """feat (name, scale, file, label, c, m, t, v): every frontend's and scale's feature of chunks, rows m of frames t."""
+    hop = chunk // width
+    normal = lambda x: f"SELECT {KEYS}, m, t, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w + 1e-10) AS v FROM {x} WHERE t < {width} WINDOW w AS (PARTITION BY file, c)"
+    db = lambda x: f"SELECT {KEYS}, m, t, greatest(d, max(d) OVER (PARTITION BY file, c) - 80) AS v FROM (SELECT {KEYS}, m, t, 10 * log10(greatest(v, 1e-10)) - 10 * log10(greatest(max(v) OVER (PARTITION BY file, c), 1e-10)) AS d FROM {x})"
+    return f"""{spectra_sql(chunk, SIZE, hop)}, {bank_sql(BANDS, SIZE, RATE)},
+    lin AS (SELECT {KEYS}, bin AS m, t, v FROM mag), band AS (SELECT {KEYS}, m, t, sum(w * v) AS v FROM mag JOIN bank USING (bin) GROUP BY ALL), kept AS (SELECT * FROM band WHERE t < {width}),
+    pow AS (SELECT {KEYS}, m, t, sum(w * v * v) AS v FROM mag JOIN bank USING (bin) GROUP BY ALL), pdb AS ({db("pow")}),
+    cep AS (SELECT {KEYS}, k.k AS m, t, sum(v * cos(pi() * k.k * (2 * m + 1) / {2 * BANDS})) * sqrt(CASE WHEN any_value(k.k) = 0 THEN 1.0 ELSE 2.0 END / {BANDS}) AS v FROM pdb, (SELECT unnest(range(0, {COEFFICIENTS})) AS k) k GROUP BY ALL),
+    lg AS (SELECT {KEYS}, m, t, ln(1 + v) AS v FROM kept), n0 AS ({normal("kept")}), pw AS (SELECT {KEYS}, m, t, 0.40 * v + 0.25 * greatest(v - 0.10, 0) + 0.15 * greatest(v - 0.35, 0) + 0.08 * greatest(v - 0.65, 0) AS v FROM n0),
+    sq AS (SELECT {KEYS}, m, t, v * v AS v FROM kept), adb AS ({db("sq")}), gc AS ({gain_sql("kept", smoothing_sql(RATE, hop))}),
+    feat AS (SELECT 'librosa' AS name, 'none' AS scale, * FROM n0 UNION ALL SELECT 'librosa', 'pwl', * FROM ({normal("pw")}) UNION ALL SELECT 'librosa', 'db', * FROM ({normal("adb")}) UNION ALL SELECT 'librosa', 'pcen', * FROM ({normal("gc")})
+        UNION ALL SELECT 'log_mel', 'none', * FROM ({normal("lg")}) UNION ALL SELECT 'mfcc', 'none', * FROM ({normal("cep")}) UNION ALL SELECT 'hybrid', 'none', * FROM ({normal("lin")}))"""
+
+
+def small_features(width: int) -> list[Feature]:
+    """Every frontend and scale, in sizes for signals of 64 samples."""
+    make = lambda name, scale="none": Feature(name, RATE, scale, SIZE, width, BANDS, COEFFICIENTS)
+    return [*(make("librosa", s) for s in ("none", "pwl", "db", "pcen")), make("log_mel"), make("mfcc"), make("hybrid")]
+
+
+@query(f"""WITH {LONG}, {features_sql(64, 8)} SELECT name AS frontend, scale, file, m::INT AS row, t::INT AS frame, round(v, 5) AS v FROM feat
+    UNION ALL SELECT 'raw', 'none', file, 0, i::INT, round(v, 5) FROM smp""")
+def x5_features(spark, sf_dir):
+    """Signals to the features of all frontends and magnitude scales."""
+    rows = signals(spark, sf_dir).select("file", "x")
+    each = [F.struct(F.lit(f.frontend).alias("frontend"), F.lit(f.scale).alias("scale"), features(f)(F.col("x")).alias("f")) for f in [*small_features(8), Feature("raw", RATE)]]
+    long = rows.select("file", F.explode(F.array(*each)).alias("e")).select("e.frontend", "e.scale", "file", F.posexplode("e.f").alias("row", "r"))
+    return long.select("frontend", "scale", "file", "row", F.posexplode("r").alias("frame", "v")).withColumn("v", F.round("v", 5))
+
+
+ACTIVE = """q1 AS (SELECT name, scale, file, label, c, median(abs(v)) AS md FROM feat GROUP BY ALL),
+    q2 AS (SELECT f.name, f.scale, f.file, f.c, median(abs(abs(v) - md)) + 1e-10 AS dv FROM feat f JOIN q1 USING (name, scale, file, c) GROUP BY ALL),
+    q3 AS (SELECT f.name, f.scale, f.file, f.label, f.c, avg(CASE WHEN abs(v) > md + 2 * dv THEN 1.0 ELSE 0 END) AS r, sum(v) AS total FROM feat f JOIN q1 USING (name, scale, file, c) JOIN q2 USING (name, scale, file, c) GROUP BY ALL),
+    q4 AS (SELECT *, CASE WHEN r > 0.8 THEN 0 ELSE r END AS a FROM q3), q5 AS (SELECT *, row_number() OVER (PARTITION BY name, scale, file ORDER BY a DESC, c DESC) AS rank FROM q4)"""
+
+
+@query(f"""WITH {LONG}, {features_sql(16, 4)}, {ACTIVE} SELECT name AS frontend, scale, file, c::INT AS chunk_idx, label::INT AS class_idx, round(total, 4) AS total FROM q5 WHERE rank <= 2 AND (a >= 0.05 OR rank = 1) AND label <> 9""")
+def x5_training_features(spark, sf_dir):
+    """Signals of known labels to the features of their most active chunks, activity taken of the feature: all frontends and scales but the raw one."""
+    rows = signals(spark, sf_dir).select("file", F.concat(F.lit("c"), "label").alias("label"), F.col("x").alias("samples"))
+    classes = spark.createDataFrame([(i, f"c{i}") for i in range(9)], "class_idx int, class string")
+    out = None
+    for f in small_features(4):
+        done = evaluation.training_features(rows, classes, f, 16, most=2, threshold=0.05)
+        total = F.aggregate(F.flatten("feature"), F.lit(0.0), lambda a, v: a + v)
+        part = done.select(F.lit(f.frontend).alias("frontend"), F.lit(f.scale).alias("scale"), "file", "chunk_idx", "class_idx", F.round(total, 4).alias("total"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def probe(rows: int, frames: int):
+    """A linear model over a feature's numbers for ten classes."""
+    n, k = np.arange(rows * frames)[:, None], np.arange(10)[None, :]
+    return scoring.linear(((n * 5 + k * 3) % 11 - 5) / 8, np.zeros(10))
+
+
+@query(f"""WITH {LONG}, {features_sql(32, 4)},
+    s AS (SELECT name, scale, file, label, c, k.k, 1 / (1 + exp(-sum(v * (((m * 4 + t) * 5 + k.k * 3) % 11 - 5) / 8))) AS score FROM feat, (SELECT unnest(range(0, 10)) AS k) k GROUP BY ALL),
+    fact AS (SELECT name, scale, k AS class, CASE WHEN k = label THEN 1 ELSE 0 END AS y, round(avg(score), 4) AS s FROM s GROUP BY name, scale, file, label, k),
+    t AS (SELECT name, scale, class, s, sum(y)::BIGINT AS tp, count(*) AS n FROM fact GROUP BY ALL),
+    r AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER p AS tp_all FROM t WINDOW w AS (PARTITION BY name, scale, class ORDER BY s DESC ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY name, scale, class))
+    SELECT name AS frontend, scale, class::INT AS class, round({AP}, 5) AS ap, sum(tp)::BIGINT AS n_positive, sum(n)::BIGINT AS n_total FROM r GROUP BY ALL""")
+def e2_evaluate_spectra(spark, sf_dir):
+    """Signals to chunks, to the features of each frontend, to a model's scores, pooled to files, to average precision per class."""
+    rows = signals(spark, sf_dir).select("file", "label", F.col("x").alias("samples"))
+    out = None
+    for f in small_features(4):
+        name = "probe {}x{}".format(*f.shape(32))
+        scoring.MODELS[name] = probe(*f.shape(32))
+        scored = evaluation.truth(evaluation.file_scores(rows, name, 32, 10, feature=f).withColumn("s", F.round("s", 4)), F.col("label"))
+        part = scored.select(F.lit(f.frontend).alias("frontend"), F.lit(f.scale).alias("scale"), "class", "y", "s")
+        out = part if out is None else out.unionByName(part)
+    return ranking.average_precision(out, ["frontend", "scale", "class"]).withColumn("ap", F.round("ap", 5))
+
+
 @query(f"""WITH {LONG}, c AS (SELECT file, label, j.t, i - j.t * 16 AS n, v FROM smp, (SELECT unnest(range(0, 4)) AS t) j WHERE i >= j.t * 16 AND i < j.t * 16 + 16),
     w AS (SELECT k.k, n.n, ((n.n * 5 + k.k * 3) % 11 - 5) / 8 AS w FROM (SELECT unnest(range(0, 16)) AS n) n, (SELECT unnest(range(0, 10)) AS k) k),
     s AS (SELECT file, label, t, k, 1 / (1 + exp(-(sum(v * w)))) AS score FROM c JOIN w USING (n) GROUP BY file, label, t, k),

@@ -151,11 +151,52 @@ def m17_gain_control(spark, sf_dir):
     return listed(signals(spark, sf_dir).withColumn("x", F.transform("x", lambda v: arrays.pcen_like(F.abs(v)))), "x")
 
 
-@query()
+# Centred spectra of chunks of signals: `mag` has every frame's bins, `frames` of which a feature keeps.
+def spectra_sql(chunk: int, size: int, hop: int) -> str:
+    frames = chunk // hop + 1
+    return f"""ch AS (SELECT file, label, i // {chunk} AS c, i % {chunk} AS i, v FROM smp),
+    pad AS (SELECT s.file, s.label, s.c, t.t, n.n, coalesce(p.v, 0) AS v FROM (SELECT DISTINCT file, label, c FROM ch) s CROSS JOIN (SELECT unnest(range(0, {frames})) AS t) t
+        CROSS JOIN (SELECT unnest(range(0, {size})) AS n) n LEFT JOIN ch p ON p.file = s.file AND p.c = s.c AND p.i = t.t * {hop} + n.n - {size // 2}),
+    dft AS (SELECT file, label, c, t, bin, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / {size})) * cos(2 * pi() * n * bin / {size})) AS re, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / {size})) * sin(2 * pi() * n * bin / {size})) AS im
+        FROM pad, (SELECT unnest(range(0, {size // 2 + 1})) AS bin) k GROUP BY ALL),
+    mag AS (SELECT file, label, c, t, bin, sqrt(re * re + im * im) AS v FROM dft)"""
+
+
+def bank_sql(bands: int, size: int, rate: int) -> str:
+    """Weights of `bands` triangles from 150 Hz to half the rate: bank (m, bin, w)."""
+    return f"""mel AS (SELECT 150.0::DOUBLE * 3 / 200 AS lo, CASE WHEN {rate / 2} < 1000 THEN {rate / 2}::DOUBLE * 3 / 200 ELSE 15 + ln({rate / 2}::DOUBLE / 1000) * 27 / ln(6.4) END AS hi),
+    hz AS (SELECT i, CASE WHEN z < 15 THEN z * 200 / 3 ELSE 1000 * exp((z - 15) * ln(6.4) / 27) END AS hz FROM (SELECT i, lo + (hi - lo) * i / {bands + 1} AS z FROM mel, (SELECT unnest(range(0, {bands + 2})) AS i) q)),
+    bank AS (SELECT a.i AS m, b.bin, greatest(0, least((b.f - a.hz) / (d.hz - a.hz), (e.hz - b.f) / (e.hz - d.hz))) * 2 / (e.hz - a.hz) AS w
+        FROM hz a JOIN hz d ON d.i = a.i + 1 JOIN hz e ON e.i = a.i + 2, (SELECT unnest(range(0, {size // 2 + 1})) AS bin, unnest(range(0, {size // 2 + 1}))::DOUBLE * {rate} / {size} AS f) b)"""
+
+
+def gain_sql(source: str, b: str) -> str:
+    """Gain control of magnitudes (key columns, t, v): the filter's value is a weighted sum of all frames so far and its start."""
+    return f"""SELECT a.file, a.label, a.c, a.m, a.t, sqrt(2.0::DOUBLE) * (exp(0.5 * ln(1 + any_value(a.v) * 2147483648.0 * exp(-0.98 * (ln(1e-6::DOUBLE) + ln(1 + (power(1 - {b}, a.t + 1) + sum({b} * power(1 - {b}, a.t - p.t) * p.v * 2147483648.0)) / 1e-6::DOUBLE))) / 2)) - 1) AS v
+        FROM {source} a JOIN {source} p ON p.file = a.file AND p.c = a.c AND p.m = a.m AND p.t <= a.t GROUP BY a.file, a.label, a.c, a.m, a.t"""
+
+
+def smoothing_sql(rate: int, hop: int) -> str:
+    frames = 0.4 * rate / hop
+    return f"((sqrt(1 + 4 * {frames}::DOUBLE * {frames}::DOUBLE) - 1) / (2 * {frames}::DOUBLE * {frames}::DOUBLE))"
+
+
+@query(f"""WITH {LONG}, {spectra_sql(64, 16, 8)}, x AS (SELECT file, label, c, bin AS m, t, v FROM mag WHERE t < 8), g AS ({gain_sql("x", smoothing_sql(8_000, 8))}),
+    r AS (SELECT file, min(v) AS lo, max(v) AS hi FROM g GROUP BY file) SELECT file, t::INT AS frame, m::INT AS bin, round((v - lo) / (hi - lo + 1e-10), 6) AS magnitude FROM g JOIN r USING (file)""")
 def m16_pcen(spark, sf_dir):
-    """Per-channel energy normalization of spectrograms; an IIR filter along the frames."""
+    """Per-channel energy normalization of spectrograms at the signals' rate and hop, scaled to 0 to 1: an IIR filter along the frames."""
     rows = signals(spark, sf_dir).select("file", spectral.stft(16, 8, centred=True, frames=8)(F.col("x")).alias("s"))
-    return spectral.long_form(rows.select("file", spectral.pcen()(F.col("s")).alias("s")), "s").select("file", "frame", "bin", F.round("magnitude", 6).alias("magnitude"))
+    gained = rows.select("file", spectral.pcen(rate=8_000, hop=8)(F.col("s")).alias("s"))
+    ends = F.struct(F.array_min(F.flatten("s")).alias("lo"), F.array_max(F.flatten("s")).alias("hi"))
+    scaled = gained.select("file", arrays.element_of(ends, lambda r: F.transform("s", lambda f: F.transform(f, lambda v: (v - r["lo"]) / (r["hi"] - r["lo"] + 1e-10)))).alias("s"))
+    return spectral.long_form(scaled, "s").select("file", "frame", "bin", F.round("magnitude", 6).alias("magnitude"))
+
+
+@query(f"""WITH {LONG}, p AS (SELECT file, max(greatest(abs(v), 1e-5)) AS top FROM smp GROUP BY file)
+    SELECT file, i::INT AS i, round(greatest(20 * log10(greatest(abs(v), 1e-5)) - 20 * log10(top), -80), 6) AS v FROM smp JOIN p USING (file)""")
+def m18_decibels_below_top(spark, sf_dir):
+    """The host's form: against the loudest, over a range of 80 dB."""
+    return listed(signals(spark, sf_dir).withColumn("x", arrays.decibels_below_top(F.col("x"))), "x")
 
 
 @query(f"WITH {LONG} SELECT file, i::INT AS i, round(10 * log10(greatest(abs(v), 1e-6)), 6) AS v FROM smp")

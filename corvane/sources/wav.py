@@ -43,6 +43,20 @@ def header(content: bytes) -> tuple[int, int, int, int, int, int]:
     raise ValueError("no samples")
 
 
+def values(raw: bytes, bits: int) -> np.ndarray:
+    """Samples from -1 to 1 of little-endian integers."""
+    if bits == 16:
+        return np.frombuffer(raw, "<i2") / 32768.0
+    if bits == 8:
+        return (np.frombuffer(raw, np.uint8) - 128.0) / 128.0
+    if bits == 32:
+        return np.frombuffer(raw, "<i4") / 2147483648.0
+    if bits == 24:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 8388608.0
+    raise ValueError(f"{bits} bits")
+
+
 def decoded(content: bytes, first_channel: bool = False, start: float = 0.0, seconds: float | None = None) -> tuple[int, np.ndarray]:
     """Rate and samples from -1 to 1 of a window: the channels' mean, or the first channel as devices read it."""
     channels, rate, bits, at, _, frames = header(content)
@@ -50,18 +64,7 @@ def decoded(content: bytes, first_channel: bool = False, start: float = 0.0, sec
     count = frames - first if seconds is None else min(frames - first, int(seconds * rate))
     width = channels * bits // 8
     raw = content[at + first * width : at + (first + count) * width]
-    if bits == 16:
-        values = np.frombuffer(raw, "<i2") / 32768.0
-    elif bits == 8:
-        values = (np.frombuffer(raw, np.uint8) - 128.0) / 128.0
-    elif bits == 32:
-        values = np.frombuffer(raw, "<i4") / 2147483648.0
-    elif bits == 24:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        values = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / 8388608.0
-    else:
-        raise ValueError(f"{bits} bits")
-    table = values.reshape(-1, channels)
+    table = values(raw, bits).reshape(-1, channels)
     return rate, table[:, 0] if first_channel else table.mean(1)
 
 
