@@ -5,7 +5,8 @@ each of those; a Viterbi path over the words, with a penalty for each switch, la
 text's language is that of most letters. Counts of trigrams are learned from labelled documents.
 
 Defined results: null text and text without a letter are `und` with score 0 and no spans; bad UTF-8 is
-read with replacement marks; ties go to the language that sorts first; with no labelled rows, all is
+read with replacement marks; ties go to the language that sorts first; with many values of `lang` the
+trigrams share fewer buckets, so that the model keeps its size, and more than LANGUAGES of them are an error; with no labelled rows, all is
 `und` with score 0, and texts with letters are one span of it; whole texts count, whatever their length;
 rows do not affect each other; other columns stay; an empty table gives no rows. Rows without an id are not
 held out, but not learned from either: what their remainder is, is not known.
@@ -24,11 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm.bpe import LETTER, classes
-from corvane.llm.common import by_size, strings
+from corvane.llm.common import by_size, strings, written
 
-#: The bound of the fit: labelled rows read per language, about. Languages have no bound.
+#: The bound of the fit: labelled rows read per language, about.
 FIT_ROWS = 8_000
 BUCKET_BITS = 16
+#: Numbers of a model at most, which go to all tasks: with more languages there are fewer buckets, down to as few bits.
+MODEL_NUMBERS, LEAST_BITS = 1 << 24, 8
+LANGUAGES = MODEL_NUMBERS >> LEAST_BITS
 BUCKETS = 1 << BUCKET_BITS
 SWITCH_PENALTY, OTHER_SCRIPT, PRIOR = 12.0, -20.0, 0.5
 BATCH_CHARS = 500_000
@@ -103,42 +107,64 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # bucket, language: log probability less its mean over the languages
     written_in: np.ndarray  # script, language
+    merged_bits: int = 0  # of a trigram's bucket that are left out
+
+
+def merged_bits(languages: int) -> int:
+    """By how many bits buckets are shortened for so many languages."""
+    bits = BUCKET_BITS
+    while bits > LEAST_BITS and languages << bits > MODEL_NUMBERS:
+        bits -= 1
+    return BUCKET_BITS - bits
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = FIT_ROWS) -> Model:
     """Learns from about `rows` rows of each language, picked by a hash of `key`. The model has a number for each language and bucket."""
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}  # a row per language
+    by_language = written(known.groupBy(lang).count(), "languages")
+    if by_language.count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of {lang}")
+    sizes = {r[lang]: r["count"] for r in by_language.collect()}  # a row per language
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool))
     shares = labelled.sparkSession.createDataFrame([(l, -(-1_000_000_000 * rows // max(rows, sizes[l]))) for l in languages], "__lang string, __share long")
     chosen = F.pmod(F.xxhash64(key, F.lit(10)), F.lit(1_000_000_000)) < F.col("__share")
     sample = known.select(key, text, lang).join(F.broadcast(shares), F.col(lang) == F.col("__lang")).where(chosen)
-    number = {l: i for i, l in enumerate(languages)}
+    number, shift = {l: i for i, l in enumerate(languages)}, merged_bits(len(languages))
+    buckets = BUCKETS >> shift
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(number), BUCKETS + len(SCRIPT_NAMES)), np.int64)
+        held: dict[int, np.ndarray] = {}  # of the languages that the task meets
+
+        def counted() -> pa.RecordBatch:
+            at = [(i, np.flatnonzero(c), c) for i, c in sorted(held.items())]
+            out = [np.concatenate(x) if at else np.zeros(0, np.int64) for x in ([np.full(len(b), i) for i, b, _ in at], [b for _, b, _ in at], [c[b] for _, b, c in at])]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[0].astype(np.int32)), pa.array(out[1].astype(np.int32)), pa.array(out[2])], ["lang", "bucket", "n"])
+
         for batch in batches:
             texts, names = strings(batch.column(0)), np.array([number[x] for x in batch.column(1).to_pylist()])
             for a, b in by_size([len(t) + 1 for t in texts], BATCH_CHARS):
                 w = words_of(texts[a:b])
                 own = names[a:b][w.text]
                 letters = np.diff(np.append(w.first, len(w.bucket)))
-                for i in np.unique(own):
-                    counts[i, :BUCKETS] += np.bincount(w.bucket[np.repeat(own == i, letters)], minlength=BUCKETS)
-                    counts[i, BUCKETS:] += np.bincount(w.script[own == i], minlength=len(SCRIPT_NAMES))
-        i, bucket = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[i, bucket])], ["lang", "bucket", "n"])
-
-    found = sample.select(text, lang).mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(languages), BUCKETS + len(SCRIPT_NAMES)))
+                for i in np.unique(own).tolist():
+                    counts = held.setdefault(i, np.zeros(buckets + len(SCRIPT_NAMES), np.int64))
+                    counts[:buckets] += np.bincount(w.bucket[np.repeat(own == i, letters)] >> shift, minlength=buckets)
+                    counts[buckets:] += np.bincount(w.script[own == i], minlength=len(SCRIPT_NAMES))
+                if len(held) * buckets > MODEL_NUMBERS // 4:
+                    yield counted()
+        yield counted()
+
+    found = sample.select(text, lang).mapInArrow(tally, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # MODEL_NUMBERS rows at most, about
+    counts = np.zeros((len(languages), buckets + len(SCRIPT_NAMES)), np.float32 if len(languages) > 256 else np.float64)
     counts[found["lang"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
-    grams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
-    logs = np.log((grams + PRIOR) / (grams.sum(1, keepdims=True) + PRIOR * BUCKETS)).T
+    grams, scripts = counts[:, :buckets], counts[:, buckets:]
+    logs = np.log((grams + PRIOR) / (grams.sum(1, keepdims=True) + PRIOR * buckets)).T
     logs -= logs.mean(1, keepdims=True)
     logs[grams.sum(0) == 0] = 0
-    return Model(languages, logs.astype(np.float32), scripts.T >= np.maximum(1, 0.005 * scripts.sum(1)))
+    return Model(languages, logs.astype(np.float32), scripts.T >= np.maximum(1, 0.005 * scripts.sum(1)), shift)
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -160,7 +186,7 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def word_scores(words: Words, model: Model) -> np.ndarray:
-    scores = np.add.reduceat(model.scores[words.bucket], words.first, axis=0)
+    scores = np.add.reduceat(model.scores[words.bucket >> model.merged_bits], words.first, axis=0)
     allowed = model.written_in[words.script]
     some = allowed.any(1)
     if not allowed.all():

@@ -274,7 +274,7 @@ class TrigramIndex:
         return cls(written(postings.sortWithinPartitions("gram", "digest"), "trigram-postings"), grams)
 
     def candidates(self, rules: tuple[Rule, ...]) -> DataFrame:
-        """(digest, may): the texts that fulfil a rule's query, with a bit for each such rule. Rules without a query have none."""
+        """(digest, may): the texts that fulfil a rule's query, with the numbers of these rules. Rules without a query are in none."""
         sets = [(i, j, g, len(own)) for i, r in enumerate(rules) for j, own in enumerate(sorted(map(sorted, trigram_query(r.pattern) or ()))) for g in own]
         if missing := {g for _, _, g, _ in sets} - set(self.grams):
             raise ValueError(f"the index has no postings of {sorted(missing)}")
@@ -282,7 +282,7 @@ class TrigramIndex:
         lists = self.postings.join(F.broadcast(wanted), "gram")
         # Equal texts repeat a posting: the distinct trigrams of a set are counted.
         both = lists.groupBy("digest", "rule", "part").agg(F.count_distinct("gram").alias("n"), F.first("size").alias("size")).where("n = size")
-        return both.groupBy("digest").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("may"))
+        return both.groupBy("digest").agg(F.collect_set("rule").alias("may"))  # as many as there are rules at most
 
 
 SPAN = "array<struct<start:int,order:int,end:int,kind:string>>"
@@ -331,7 +331,7 @@ def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", int
     for i, rule in enumerate(rules):
         has = F.regexp_like(whole, F.lit(("(?i)" if rule.any_case else "") + rule.pattern))
         if trigram_query(rule.pattern) is not None:
-            has = F.coalesce(F.col(may), F.lit(0)).bitwiseAND(F.lit(1 << i).cast("long")).cast("boolean") & has
+            has = F.coalesce(F.array_contains(may, i), F.lit(False)) & has
         spans.append(F.when(has, spans_of(whole, rule, i)).otherwise(F.array().cast(SPAN)))
     return marked.withColumn(into, F.array_sort(F.concat(*spans))).select(*(c for c in df.columns if c != into), into)
 
