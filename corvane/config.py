@@ -63,6 +63,7 @@ class ModelConfig:
         return json.dumps(asdict(self), indent=2)
 
 
+# The fields' names and defaults above are the JSON interface.
 SQL_TYPES = {"int": "int", "float": "double", "str": "string", "bool": "boolean", "list[str]": "array<string>"}
 SCHEMA = ", ".join(f"{f.name} {SQL_TYPES[f.type]}" for f in fields(ModelConfig))
 
@@ -109,6 +110,15 @@ def parsed_settings(text: str, is_json: bool = False) -> dict:
     return flat | found.get("deploy", {}) | found.get("build", {})
 
 
+def layered_columns(*layers: dict[str, Column]) -> Column:
+    """A structure of settings from layers of text columns, the first that has a value for each: null and empty ones do not count."""
+    def value(f) -> Column:
+        found = [F.when(layer[f.name] != "", layer[f.name]) for layer in layers if f.name in layer]
+        return F.coalesce(*found, F.lit(str(f.default))).cast(SQL_TYPES[f.type]).alias(f.name)
+
+    return F.struct(*map(value, fields(DeployConfig)))
+
+
 def resolve(given: dict | None = None, path: str | None = None, prefix: str = "CORVANE_", environment: dict | None = None) -> DeployConfig:
     """Given values first, then the environment, then a file, then the defaults; empty values do not count."""
     return layered(given or {}, dict(os.environ) if environment is None else environment, read_settings(path) if path else {}, prefix)

@@ -61,10 +61,12 @@ def a16_worst_of_runs(spark, sf_dir):
     return agreement.worst_of_runs(runs).select("metric", F.round("worst", 7).alias("worst"), F.round("mean", 7).alias("mean"))
 
 
-@query("""SELECT a.vec_id AS id, i::INT AS i, a.embedding[i + 1] AS left_value, b.embedding[i + 1] AS right_value FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id, (SELECT unnest(range(0, 64)) AS i) k""")
+@query(f"WITH {QUANT} SELECT file AS id, i::INT AS i, v AS left_value, round(w, 12) AS right_value FROM q WHERE file % 3 <> 1")
 def j3_matched_outputs(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "v"))
-    return rows.withColumnRenamed("v", "left_value").join(rows.withColumnRenamed("v", "right_value"), ["id", "i"])
+    """The outputs of a model and of its quantized twin, which has given some files only, matched by file and place."""
+    long = lambda df, name: df.select("id", F.posexplode("values").alias("i", name))
+    left, right = pairs(spark, sf_dir)
+    return long(left, "left_value").join(long(right.where("id % 3 <> 1"), "right_value"), ["id", "i"]).withColumn("right_value", F.round("right_value", 12))
 
 
 @query("""WITH f(frontend, precomputed, device) AS (VALUES ('librosa', true, false), ('hybrid', false, true), ('raw', false, true), ('mfcc', true, false), ('log_mel', true, false)),
@@ -166,14 +168,16 @@ def m31_reservoir_limits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", arrays.reservoir_limits(F.col("n_chars"), 10, 32, 4).alias("r")).select("doc_id", "r.*")
 
 
-@query("SELECT i AS step, round(0.5 * (1 + cos(3.141592653589793 * i / 100)) * 0.001, 9) AS lr FROM range(0, 101) t(i)")
+@query("SELECT event_id, round(0.5 * (1 + cos(3.141592653589793 * (event_id % 101) / 100)) * 0.001, 9) AS lr FROM events")
 def m32_cosine_decay(spark, sf_dir):
-    return spark.range(101).select(F.col("id").alias("step"), F.round(arrays.cosine_decay(F.col("id"), 100, 0.001), 9).alias("lr"))
+    """The rate at each event's step of 101."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(arrays.cosine_decay(F.col("event_id") % 101, 100, 0.001), 9).alias("lr"))
 
 
-@query("SELECT i AS step, round(1e-7 * pow(1e7, i / 199), 10) AS lr FROM range(0, 200) t(i)")
+@query("SELECT event_id, round(1e-7 * pow(1e7, (event_id % 200) / 199), 10) AS lr FROM events")
 def m33_rate_sweep(spark, sf_dir):
-    return spark.range(200).select(F.col("id").alias("step"), F.round(arrays.geometric_sweep(F.col("id"), 1e-7, 1.0, 200), 10).alias("lr"))
+    """The rate at each event's step of 200."""
+    return table(spark, sf_dir, "events").select("event_id", F.round(arrays.geometric_sweep(F.col("event_id") % 200, 1e-7, 1.0, 200), 10).alias("lr"))
 
 
 @query("""WITH r AS (SELECT (vec_id % 10)::INT AS c, CASE WHEN label = vec_id % 10 THEN 1.0 ELSE 0.0 END AS y, (embedding[1]::DOUBLE + 1) / 2 AS p FROM embeddings),

@@ -102,10 +102,12 @@ w AS (SELECT a.i AS mel, b.bin, greatest(0, least((b.bin * 187.5 - a.hz) / (c.hz
       FROM edge a JOIN edge c ON c.i = a.i + 1 JOIN edge d ON d.i = a.i + 2, (SELECT unnest(range(0, 65)) AS bin) b)"""
 
 
-@query(f"WITH {MEL} SELECT mel::INT AS mel, bin::INT AS bin, round(w, 8) AS weight FROM w WHERE w > 0")
+@query(f"""WITH {LONG}, {MEL}, k AS (SELECT label, count(*) AS n FROM sig GROUP BY label) SELECT label, mel::INT AS mel, bin::INT AS bin, n, round(w, 8) AS weight FROM w, k WHERE w > 0""")
 def m9_mel_weights(spark, sf_dir):
-    """The nonzero weights of 16 filters from 150 Hz over 65 bins at 24 kHz."""
-    return spectral.mel_weights(spark, 16, 128, 24_000, 150.0).select("mel", "bin", F.round("weight", 8).alias("weight"))
+    """The nonzero weights of 16 filters from 150 Hz at 24 kHz over the bins of the signals' spectra, and how many frames of each label have them."""
+    rows = signals(spark, sf_dir).select("label", spectral.stft(128, 64)(F.col("x")).alias("s"))
+    bins = spectral.long_form(rows, "s").groupBy("label", "bin").agg(F.count("*").alias("n"))
+    return bins.join(F.broadcast(spectral.mel_weights(spark, 16, 128, 24_000, 150.0)), "bin").select("label", "mel", "bin", "n", F.round("weight", 8).alias("weight"))
 
 
 @query(f"WITH {LONG}, {MEL} SELECT file, mel::INT AS mel, round(sum(w * abs(v)), 8) AS energy FROM smp JOIN w ON bin = i WHERE w > 0 GROUP BY ALL")

@@ -10,8 +10,9 @@ from corvane.plans.evaluation import files
 from corvane.plans.facts import SCORED, scored
 from corvane.plans.models import SERIES, series
 from corvane.plans.registry import query, table
+from corvane.plans.signals import LONG, SIGNALS, signals
 from corvane.plans.telemetry import _scratch
-from corvane.sources import texts, wav
+from corvane.sources import archives, recordings, texts, wav
 
 
 @query("SELECT DISTINCT trim(source) AS species FROM documents")
@@ -59,16 +60,48 @@ def s15_html_report(spark, sf_dir):
     return spark.createDataFrame([(page,)], "page string")
 
 
-@query()
+@query("""WITH k AS (SELECT vec_id, embedding FROM embeddings ORDER BY (((vec_id + 1) * 1103515245 + 42 * 12345) % 2147483647) * 48271 % 2147483647, vec_id LIMIT 25)
+    SELECT vec_id, i::INT AS i, embedding[i + 1]::DOUBLE AS v FROM k, (SELECT unnest(range(0, 64)) AS i) q""")
 def s21_validation_sample(spark, sf_dir):
-    """25 random rows: a limit that is the feature."""
-    return texts.validation_sample(table(spark, sf_dir, "embeddings").select("vec_id"), 25)
+    """25 rows in a seeded order, a limit that is the feature, written as an NPZ archive and read back."""
+    folder = _scratch(spark)
+    spark.dataSource.register(archives.NpzArchives)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    texts.validation_sample(rows, "vec_id", 25).coalesce(1).write.format("npz").mode("append").save(folder)
+    return archives.load_npz(spark, folder, "vec_id long, v array<double>").select("vec_id", F.posexplode("v").alias("i", "v"))
 
 
-@query("SELECT i AS id, 4 AS n, true AS inside FROM range(0, 50) t(i)")
+@query("""SELECT vec_id AS id, i::INT AS i, (('0x' || substr(md5('42:calibration:' || i || ':' || vec_id), 1, 8))::BIGINT + 0.5) / 4294967296 AS v FROM embeddings, (SELECT unnest(range(0, 4)) AS i) q""")
 def s22_random_calibration(spark, sf_dir):
-    rows = texts.random_calibration(spark, 50, 4)
-    return rows.select("id", F.size("values").alias("n"), F.forall("values", lambda v: (v >= 0) & (v < 1)).alias("inside"))
+    """Uniform numbers to calibrate with, as many rows as there are vectors."""
+    rows = texts.noise_rows(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), "id", 4)
+    return rows.select("id", F.posexplode("values").alias("i", "v"))
+
+
+# A file's window of 4 ms at 8 kHz begins where a digest of its name draws.
+WINDOW = """d AS (SELECT file, label, x, floor((('0x' || substr(md5('42:window:' || file || '.wav'), 1, 8))::BIGINT + 0.5) / 4294967296 * 0.004 * 8000)::INT AS a FROM sig)"""
+
+
+@query(f"WITH {SIGNALS}, {WINDOW} SELECT file, (i - 1)::INT AS i, round_even(greatest(-1, least(1, x[a + i])) * 32767, 0) / 32768 AS v FROM d, (SELECT unnest(range(1, 33)) AS i) q")
+def s3_windows(spark, sf_dir):
+    """Signals as WAV files, a file a row, and a drawn window of each: read by ranges."""
+    folder = _scratch(spark)
+    spark.dataSource.register(archives.WavFiles)
+    rows = signals(spark, sf_dir).select(F.concat("label", F.lit("/"), "file", F.lit(".wav")).alias("path"), F.lit(8_000).alias("sample_rate"), F.col("x").alias("samples"))
+    rows.write.format("wavfiles").mode("append").save(folder)
+    found = recordings.load(spark, folder, seconds=0.004, offset="random", normalize=False)
+    return found.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("file"), F.posexplode("samples").alias("i", "v"))
+
+
+@query(f"WITH {LONG}, p AS (SELECT file, i // 16 AS w, max(abs(round_even(greatest(-1, least(1, v)) * 32767, 0))) AS top, sum(round_even(greatest(-1, least(1, v)) * 32767, 0)) AS total FROM smp WHERE i >= 32 GROUP BY ALL) SELECT file, round(w * 0.002, 6) AS start, round(total / top, 6) AS total, 16::BIGINT AS n FROM p")
+def s4_later_windows(spark, sf_dir):
+    """All windows of 2 ms from 4 ms on: the condition is taken over by the source, which reads no others."""
+    folder = _scratch(spark)
+    spark.dataSource.register(archives.WavFiles)
+    rows = signals(spark, sf_dir).select(F.concat("file", F.lit(".wav")).alias("path"), F.lit(8_000).alias("sample_rate"), F.col("x").alias("samples"))
+    rows.write.format("wavfiles").mode("append").save(folder)
+    found = recordings.load(spark, folder, seconds=0.002, offset="all").where("start >= 0.004")
+    return found.select(F.regexp_extract("path", r"(\d+)\.wav$", 1).cast("long").alias("file"), F.round("start", 6).alias("start"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.size("samples").cast("long").alias("n"))
 
 
 @query("SELECT count(*) FILTER (vec_id % 7 <> 0) AS processed, count(*) AS total, count(*) FILTER (vec_id % 7 = 0) AS errors FROM embeddings")

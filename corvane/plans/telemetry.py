@@ -70,11 +70,16 @@ def a14_real_time_factor(spark, sf_dir):
     return done.select("device", F.round("rtf", 6).alias("rtf"), F.round("speedup", 6).alias("speedup"))
 
 
-@query("""SELECT * FROM (VALUES ('board', 8, 8, 0, 12, 28, 4, 44)) t(device, processed, total, errors, avg_read_ms, avg_stft_ms, avg_npu_ms, avg_total_ms)""")
+@query(f"""WITH {EVENTS} SELECT device, count(*)::INT AS processed, (count(*) + 2)::INT AS total, 2 AS errors, (sum(r)::BIGINT // count(*))::INT AS avg_read_ms, (sum(s)::BIGINT // count(*))::INT AS avg_stft_ms,
+    (sum(u)::BIGINT // count(*))::INT AS avg_npu_ms, (sum(r + s + u)::BIGINT // count(*))::INT AS avg_total_ms FROM ev GROUP BY device""")
 def t1_parsed_totals(spark, sf_dir):
-    """The totals a run ends with."""
-    last = ["=== DONE ===", "Processed: 8 / 8 files (0 errors)", "Benchmark: read=96ms stft=224ms npu=32ms total=352ms (avg read=12ms stft=28ms npu=4ms total=44ms)"]
-    return telemetry.totals(spark.createDataFrame([("board", i, x) for i, x in enumerate(last)], device.LINES))
+    """The totals each device's run ends with, behind all its lines."""
+    rows = lines(spark, sf_dir)
+    each = telemetry.averages(telemetry.timings(rows))
+    average = F.format_string("(avg read=%dms stft=%dms npu=%dms total=%dms)", *(f"avg_{t}" for t in telemetry.TIMES))
+    last = F.array(F.lit(telemetry.MARKER), F.format_string("Processed: %d / %d files (2 errors)", "files", F.col("files") + 2), F.concat(F.lit("Benchmark: read=1ms stft=1ms npu=1ms total=3ms "), average))
+    ends = each.select("device", F.posexplode(last).alias("i", "line")).select("device", (F.lit(1 << 40) + F.col("i")).alias("line_no"), "line")
+    return telemetry.totals(rows.select("device", "line_no", "line").unionByName(ends))
 
 
 @query(f"WITH {EVENTS}, {DETECTED}, f AS (SELECT * FROM hit WHERE rank = 1) SELECT ev.file, coalesce(f.label, '') AS top_label, coalesce(printf('%.4f', f.tenths / 1000), '') AS top_score FROM ev LEFT JOIN f USING (device, no)")
@@ -121,9 +126,9 @@ def t3_model_config(spark, sf_dir):
 def r2_streamed_detections(spark, sf_dir):
     """All devices' lines through the stateful stream."""
     folder = _scratch(spark)
-    lines(spark, sf_dir).write.json(f"{folder}/lines")
+    device.write_lines(lines(spark, sf_dir), f"{folder}/lines")
     found = device.detections(device.read_lines(spark, f"{folder}/lines"), 0.3, 2)
-    return device.drained(found, "streamed_detections", f"{folder}/checkpoint").withColumn("score", F.round("score", 4))
+    return device.drained(found, folder).withColumn("score", F.round("score", 4))
 
 
 # A line every hundredth of a second, a run of at most four seconds; some devices end with the marker before that.
@@ -151,14 +156,22 @@ def r1_serial_capture(spark, sf_dir):
     """The same as a stream, stopped after half the lines and started again on its checkpoint."""
     folder = _scratch(spark)
     rows = timed_lines(spark, sf_dir)
-    for part, those in enumerate(("line_no < 150", "line_no >= 150")):
-        rows.where(those).coalesce(1).write.mode("append").json(f"{folder}/lines")
+    for those in ("line_no < 150", "line_no >= 150"):
+        device.write_lines(rows.where(those), f"{folder}/lines")
         stream = device.captured(device.read_lines(spark, f"{folder}/lines", schema=device.TIMED_LINES), 4.0)
         with device.stateful(spark):
             stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/captured").awaitTermination()
     return spark.read.schema(device.TIMED_LINES).parquet(f"{folder}/captured").select("device", "line_no")
 
 
+@query(f"WITH {EVENTS}, tl AS (SELECT device, no * 4 + i AS line_no FROM ev, (SELECT unnest(range(0, 4)) AS i) k) SELECT device, line_no FROM tl WHERE line_no <= CASE device WHEN 'd0' THEN 203 WHEN 'd1' THEN 407 WHEN 'd2' THEN 200 ELSE 403 END")
+def s19_capture_gaps(spark, sf_dir):
+    """Runs whose marker is followed by a silence: d0 after three more lines, d2 at once."""
+    late = F.when(F.col("device") == "d0", F.col("line_no") > 203).when(F.col("device") == "d2", F.col("line_no") > 200).otherwise(False)
+    rows = timed_lines(spark, sf_dir).withColumn("at", F.col("at") + F.when(late, 1.5).otherwise(0.0))
+    return telemetry.captured(rows, 4.0).select("device", "line_no")
+
+
 @query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL '12 hours', ts - INTERVAL (k * 12) HOURS) AS start, value, ts FROM events, (SELECT unnest(range(0, 2)) AS k) q)
     SELECT event_type, start::TIMESTAMP AS start, round(avg(value), 6) AS mean, max(value) AS best FROM w WHERE ts >= start AND ts < start + INTERVAL 24 HOURS GROUP BY ALL""")
 def r1_streamed_windows(spark, sf_dir):
@@ -168,7 +181,7 @@ def r1_streamed_windows(spark, sf_dir):
     events.select("ts", "event_type", "value").write.parquet(f"{folder}/events")
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{folder}/events")
     done = device.windowed_scores(stream, "ts", "value", "event_type", "24 hours", "12 hours", "1 day")
-    found = device.drained(done, "streamed_windows", f"{folder}/checkpoint", "complete")
+    found = device.updated(done, folder, ["event_type", "start", "end"])
     return found.select("event_type", "start", F.round("mean", 6).alias("mean"), "best")
 
 
@@ -197,11 +210,16 @@ def r3_reservoir_order(spark, sf_dir):
     return epochs.epoch(table(spark, sf_dir, "documents").select("doc_id"), 3, 128, 64, key="doc_id").select("doc_id", "shard", "place")
 
 
-@query("SELECT * FROM (VALUES ('model_path', 'given'), ('port', 'from file'), ('baud', '9600'), ('timeout', '5.0'), ('top_k', '3'), ('score_threshold', '0.01')) t(setting, value)")
+@query("""SELECT s_suppkey AS id, 'models/' || s_suppkey AS model_path, CASE WHEN s_suppkey % 2 = 0 THEN 'port ' || s_suppkey WHEN s_suppkey % 3 = 0 THEN 'from file' ELSE '/dev/ttyACM0' END AS port, CASE WHEN s_suppkey % 3 = 0 THEN 9600 ELSE 115200 END AS baud,
+    CASE WHEN s_suppkey % 5 = 0 THEN 7.5 WHEN s_suppkey % 3 = 0 THEN 9 ELSE 120 END::DOUBLE AS timeout, CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 5 END AS top_k, 0.01::DOUBLE AS score_threshold FROM supplier""")
 def t5_deploy_settings(spark, sf_dir):
-    """Settings in layers: given ones, the environment, a file's tables made one, defaults; empty values do not count."""
-    found = config.layered({"model_path": "given", "port": ""}, {"CORVANE_TIMEOUT": "5"}, config.parsed_settings('[deploy]\nport = "from file"\ntimeout = 9\n[build]\ntop_k = 3\nbaud = 9600\n', is_json=True))
-    return spark.createDataFrame([(k, str(v)) for k, v in vars(found).items()], "setting string, value string")
+    """Settings in layers, a board a supplier: given ones, the environment, a file's, defaults; null and empty values do not count."""
+    key = F.col("s_suppkey")
+    text = F.when(key % 3 == 0, F.lit('{"port": "from file", "timeout": 9, "top_k": 3, "baud": 9600}'))
+    of_file = {f: F.get_json_object(text, f"$.{f}") for f in ("port", "timeout", "top_k", "baud")}
+    given = {"model_path": F.concat(F.lit("models/"), key), "port": F.when(key % 2 == 0, F.concat(F.lit("port "), key)).otherwise("")}
+    found = config.layered_columns(given, {"timeout": F.when(key % 5 == 0, "7.5")}, of_file)
+    return table(spark, sf_dir, "supplier").select(key.alias("id"), found.alias("c")).select("id", "c.*")
 
 
 def _scratch(spark) -> str:

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from corvane.sources.wav import encoded
@@ -135,6 +136,19 @@ def _ragged(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def load_npz(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Rows of the archives below a folder, by the columns of `schema`; an archive is a task's rows."""
+    kinds = spark.createDataFrame([], schema).schema
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                held = np.load(io.BytesIO(content))
+                yield pa.RecordBatch.from_arrays([pa.array(held[f.name].tolist()) for f in kinds], [f.name for f in kinds])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(folder).select("content").mapInArrow(rows, kinds)
+
+
 class WavFiles(DataSource):
     """A WAV file a row."""
 

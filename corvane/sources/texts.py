@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators.catalog import species_list
+from corvane.operators.augment import uniform
+from corvane.operators.catalog import order_key, species_list
 
 
 def load_species(spark: SparkSession, path: str) -> DataFrame:
@@ -52,6 +53,11 @@ def random_calibration(spark: SparkSession, n: int, width: int, normal: bool = F
     return spark.range(n).select("id", F.array(*(draw(seed + i) for i in range(width))).alias("values"))
 
 
-def validation_sample(rows: DataFrame, n: int = 25, seed: int = 42) -> DataFrame:
-    """`n` rows in a random order."""
-    return rows.orderBy(F.rand(seed)).limit(n)
+def noise_rows(rows: DataFrame, key: str, width: int, seed: int = 42) -> DataFrame:
+    """`rows` with values: `width` uniform numbers a row, from digests of its key, so that they can be drawn again anywhere."""
+    return rows.withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: uniform(F.col(key), "calibration", i, seed=seed)))
+
+
+def validation_sample(rows: DataFrame, key: str, n: int = 25, seed: int = 42) -> DataFrame:
+    """`n` rows in a seeded order of their keys."""
+    return rows.orderBy(order_key(F.col(key), seed), key).limit(n)

@@ -10,14 +10,29 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corvane.session import settings
-from corvane.operators.telemetry import AFTER_MARKER, DETECTION_LINE, FILE_LINE, MARKER
+from corvane.operators.telemetry import AFTER_MARKER, DETECTION_LINE, FILE_LINE, GAP_SECONDS, MARKER
 
 LINES = "device string, line_no long, line string"
 DETECTIONS = "device string, file_no int, file string, rank int, label string, score double"
 TIMED_LINES = "device string, line_no long, at double, line string"
+CAPTURES = TIMED_LINES + ", ended string"
+
+#: Seconds that timers wait beyond their time.
+SLACK_SECONDS = 0.3
+#: Line numbers of a range: a device's lines of one range are one file, and ranges are written one after the other.
+RANGE_LINES = 1_000_000
+
+
+def write_lines(rows: DataFrame, folder: str) -> None:
+    """Rows of lines as JSON files that a stream may read in any cut: each device's lines are in order, within files and from file to file."""
+    least, most = rows.agg(F.min("line_no"), F.max("line_no")).first()
+    for part in range((least or 0) // RANGE_LINES, (most or 0) // RANGE_LINES + 1):
+        own = rows.where(F.floor(F.col("line_no") / RANGE_LINES) == part)
+        own.repartition("device").sortWithinPartitions("device", "line_no").write.mode("append").json(folder)
 
 
 def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100, schema: str = LINES) -> DataFrame:
@@ -63,30 +78,57 @@ class FileFollower(StatefulProcessor):
 
 
 class Capture(StatefulProcessor):
-    """Passes a device's lines on until its deadline or the marker, and the few lines after that."""
+    """Passes a device's lines on until its deadline or the marker, and after that the few lines that come without a gap.
+
+    With `live`, timers end a run whose deadline passes, or whose marker is followed by nothing for `gap` seconds, also when no
+    further line comes; how a run ended is a row of its own."""
 
-    def __init__(self, timeout: float):
-        self.timeout, self.marker, self.after = timeout, MARKER, AFTER_MARKER
-        self.columns = [x.split()[0] for x in TIMED_LINES.split(", ")]
+    def __init__(self, timeout: float, live: bool = False):
+        self.timeout, self.live, self.marker, self.after, self.gap, self.slack = timeout, live, MARKER, AFTER_MARKER, GAP_SECONDS, SLACK_SECONDS
+        self.columns = [x.split()[0] for x in (CAPTURES if live else TIMED_LINES).split(", ")]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "deadline double, left int, done boolean")
+        self.handle = handle
+        self.current = handle.getValueState("current", "deadline double, left int, last double, done boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        deadline, left, done = self.current.get() if self.current.exists() else (None, -1, False)
-        out = []
-        for number, at, line in pd.concat(list(rows)).sort_values("line_no")[self.columns[1:]].itertuples(index=False):
+        known = self.current.exists()
+        deadline, left, last, done = self.current.get() if known else (None, -1, None, False)
+        out, ended, were = [], None, done
+        for number, at, line in pd.concat(list(rows)).sort_values("line_no")[["line_no", "at", "line"]].itertuples(index=False):
             deadline = at + self.timeout if deadline is None else deadline
-            if done or (left < 0 and at >= deadline):
-                done = True
+            if done:
+                break
+            if left < 0 and at >= deadline or left >= 0 and at - last >= self.gap:
+                done, ended = True, "deadline" if left < 0 else "gap"
                 break
             out.append((key[0], number, at, line))
+            last = at
             if left >= 0:
                 left -= 1
             elif self.marker in line:
                 left = self.after
-            done = left == 0
-        self.current.update((deadline, left, done))
+            if left == 0:
+                done, ended = True, "marker"
+        self.current.update((deadline, left, last, done))
+        if not self.live:
+            yield pd.DataFrame(out, columns=self.columns)
+            return
+        out = [(*x, None) for x in out]
+        if done and not were:
+            out.append((key[0], None, None, None, ended))
+        if not done:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            # Lines that came before a turn began are handled before its timers; SLACK_SECONDS are for those that came as it did.
+            self.handle.registerTimer(max(now + 1, int(1000 * ((last + self.gap if left >= 0 else deadline) + self.slack))))
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        deadline, left, last, done = self.current.get()
+        self.current.update((deadline, left, last, True))
+        out = [] if done else [(key[0], None, None, None, "deadline" if left < 0 else "gap")]
         yield pd.DataFrame(out, columns=self.columns)
 
     def close(self) -> None:
@@ -94,11 +136,17 @@ class Capture(StatefulProcessor):
 
 
 def captured(lines: DataFrame, timeout: float) -> DataFrame:
-    """TIMED_LINES of a stream of them that belong to each device's run: see `telemetry.captured`. A query that is started again
-    on its checkpoint goes on where a lost connection left it. Needs the RocksDB state store."""
+    """TIMED_LINES of a stream of them that belong to each device's run, by the lines' own times: see `telemetry.captured`. A query
+    that is started again on its checkpoint goes on where a lost connection left it. Needs the RocksDB state store."""
     return lines.groupBy("device").transformWithStateInPandas(Capture(timeout), outputStructType=TIMED_LINES, outputMode="Append", timeMode="none")
 
 
+def live_captures(lines: DataFrame, timeout: float) -> DataFrame:
+    """CAPTURES of a stream of lines as they arrive (`at` is the clock): the lines of each device's run, and a row that says how it
+    ended, by the clock also where no further line comes. Needs the RocksDB state store."""
+    return lines.groupBy("device").transformWithStateInPandas(Capture(timeout, True), outputStructType=CAPTURES, outputMode="Append", timeMode="ProcessingTime")
+
+
 def detections(lines: DataFrame, threshold: float = 0.01, k: int = 5) -> DataFrame:
     """DETECTIONS of a stream of LINES; a device's lines end with the marker. Needs the RocksDB state store."""
     return lines.groupBy("device").transformWithStateInPandas(FileFollower(threshold, k), outputStructType=DETECTIONS, outputMode="Append", timeMode="none")
@@ -115,11 +163,23 @@ def stateful(spark: SparkSession):
     return settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now; its rows from a memory table of that name."""
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what is there now, into a Parquet table in `folder`, beside its checkpoint; its rows."""
+    with stateful(stream.sparkSession):
+        stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def updated(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """As `drained` for aggregates that are not over: each turn's changed rows are written, and the last of each key counts."""
+    def write(rows: DataFrame, turn: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/turn={turn}")  # a turn that is run again replaces its rows
+
     with stateful(stream.sparkSession):
-        stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("turn", T.IntegerType())])
+    last = F.max_by(F.struct(*stream.columns), "turn").alias("r")
+    return stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows").groupBy(*keys).agg(last).select("r.*")
 
 
 def backpressure(series: Column, least: int = 128, most: int = 4096, target_free: float = 8.0) -> Column:

@@ -44,3 +44,5 @@ def test_lists(spark, tmp_path):
     texts.save_lines(spark.createDataFrame([("x",)], "species string"), "species", str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == "x"
     assert texts.random_calibration(spark, 5, 3, True).count() == 5
+    noise = texts.noise_rows(spark.range(9), "id", 3).collect()
+    assert len({v for r in noise for v in r["values"]}) == 27 and noise == texts.noise_rows(spark.range(9), "id", 3).collect()
