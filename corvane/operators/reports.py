@@ -97,11 +97,14 @@ def benchmark_json(scored: DataFrame, classes: int, model: str = "", species: Da
     return rows.select(F.concat(*parts, F.lit("}")).alias("json"))
 
 
-def html_report(title: str, tables: dict[str, DataFrame]) -> str:
-    """A page with a table per report, all its rows: give it reports, which have a row per class or less, or one per pair of classes."""
+def html_report(title: str, tables: dict[str, DataFrame], drawings: dict[str, DataFrame] | None = None) -> str:
+    """A page with a table per report, all its rows (give it reports, which have a row per class or less), and drawings, frames of one
+    row with a column svg."""
     out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
         body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else f'{v:.6f}' if isinstance(v, float) else str(v))}</td>" for v in row) + "</tr>" for row in df.toLocalIterator())
         out.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+    for name, df in (drawings or {}).items():
+        out.append(f"<h2>{html.escape(name)}</h2><div>{df.first()['svg']}</div>")
     return "".join([*out, "</body></html>"])

@@ -12,7 +12,7 @@ from corvane.operators import catalog, evaluation, ranking, scoring
 from corvane.operators.numbering import numbered
 from corvane.plans.metrics import AP, STEPS
 from corvane.plans.registry import query, table
-from corvane.plans.signals import LONG, SIGNALS, bank_sql, gain_sql, signals, smoothing_sql, spectra_sql
+from corvane.plans.signals import GREEDY, LONG, SIGNALS, bank_sql, gain_sql, signals, smoothing_sql, spectra_sql
 from corvane.sources import wav
 
 
@@ -60,7 +60,20 @@ def k10_epoch_order(spark, sf_dir):
     return numbered(rows, ["source"], [catalog.order_key(F.col("doc_id"), 3), F.col("doc_id")]).select("doc_id", F.col("place").cast("int").alias("place"))
 
 
-@query()
+# Crops of 8 samples, four at most, then their activity.
+TRAINED = f"""e AS (SELECT file, j.t, sum(v * v) / 2 AS e FROM smp, (SELECT unnest(range(0, 63)) AS t) j WHERE i >= j.t AND i < j.t + 2 GROUP BY ALL),
+    l AS (SELECT file, quantile_cont(e, 0.75) AS q, max(e) AS top FROM e GROUP BY file),
+    a AS (SELECT e.file, t, e, t - row_number() OVER (PARTITION BY e.file ORDER BY t) AS island FROM e JOIN l USING (file) WHERE e >= q AND top >= 1e-10),
+    p AS (SELECT file, island, arg_max(t, (e, -t)) AS pk, max(e) AS e FROM a GROUP BY ALL),
+    c AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY e DESC, pk) AS k, greatest(0, least(pk - 4, 56)) AS start FROM p UNION ALL SELECT file, 1, 28 FROM l WHERE top < 1e-10),
+    {GREEDY.format(most=4, apart=4)}, k AS (SELECT file, unnest(range(0, len(taken))) AS idx, unnest(taken) AS start FROM done),
+    ch AS (SELECT k.file, idx, start, label, v FROM k JOIN smp ON smp.file = k.file AND i >= start AND i < start + 8), m AS (SELECT file, idx, median(abs(v)) AS md FROM ch GROUP BY ALL),
+    d AS (SELECT file, idx, median(abs(abs(v) - md)) + 1e-10 AS dv FROM ch JOIN m USING (file, idx) GROUP BY ALL),
+    r AS (SELECT file, idx, start, label, avg(CASE WHEN abs(v) > md + 2 * dv THEN 1.0 ELSE 0 END) AS r, sum(v) / (max(abs(v)) + 1e-6) AS total FROM ch JOIN m USING (file, idx) JOIN d USING (file, idx) GROUP BY ALL),
+    z AS (SELECT *, CASE WHEN r > 0.8 THEN 0 ELSE r END AS act FROM r), y AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY act DESC, idx DESC) AS rank FROM z)"""
+
+
+@query(f"WITH RECURSIVE {LONG}, {TRAINED} SELECT file, idx::INT AS chunk_idx, start::INT AS start, label::INT AS class_idx, round(total, 6) AS total FROM y WHERE rank <= 2 AND (act >= 0.05 OR rank = 1) AND label <> 9")
 def x5_training_samples(spark, sf_dir):
     """Signals to the most active chunks of known labels, in the shape the model takes."""
     rows = signals(spark, sf_dir).select("file", F.concat(F.lit("c"), "label").alias("label"), F.col("x").alias("samples"))
@@ -175,7 +188,9 @@ def c1_calibration_samples(spark, sf_dir):
     return evaluation.calibration_samples(cut, 0.1).select("file", F.round(arrays.rms(F.col("samples")), 6).alias("rms"))
 
 
-@query()
+@query(f"""WITH {LONG.replace("smp AS", "raw AS")}, wv AS (SELECT file, label, i, round_even(greatest(-1, least(1, v)) * 32767, 0) / 32768 AS v FROM raw), pk AS (SELECT file, max(abs(v)) AS top FROM wv GROUP BY file),
+    smp AS (SELECT file, label, i, v / top AS v FROM wv JOIN pk USING (file)), {spectra_sql(64, 16, 8)}, {bank_sql(4, 16, 8_000)}
+    SELECT 'set/' || label || '/' || file || '.wav' AS path, t::INT AS frame, m::INT AS mel, round(sum(w * v), 6) AS energy FROM mag JOIN bank USING (bin) WHERE t < 8 AND w > 0 GROUP BY ALL""")
 def m35_features_of_files(spark, sf_dir):
     """WAV files to mel energies: decoded, centred frames, filter bank by join."""
     rows = wav.signals(files(spark, sf_dir)).where("error is null").select("path", spectral.stft(16, 8, centred=True, frames=8)(F.col("samples")).alias("s"))

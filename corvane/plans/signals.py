@@ -358,7 +358,11 @@ def m35_hybrid_frontend(spark, sf_dir):
     return listed(signals(spark, sf_dir).withColumn("x", scaled), "x")
 
 
-@query()
+UP, DOWN, TAPS = spectral.polyphase(4, 3)
+
+
+@query(f"""WITH {LONG}, tp AS (SELECT {[float(t) for t in TAPS]}::DOUBLE[] AS taps), k AS (SELECT unnest(range(0, 48)) AS k)
+    SELECT file, k::INT AS i, round(sum(v * coalesce(taps[k * {DOWN} + {len(TAPS) // 2} - i * {UP} + 1], 0)), 6) AS v FROM smp, k, tp WHERE k * {DOWN} + {len(TAPS) // 2} - i * {UP} BETWEEN 0 AND {len(TAPS) - 1} GROUP BY ALL""")
 def m1_resampled(spark, sf_dir):
     """From 64 to 48 samples by a windowed sinc in polyphase."""
     return listed(signals(spark, sf_dir).select("file", spectral.resampled(4, 3)(F.col("x")).alias("x")), "x")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane import config
-from corvane.operators import ranking, reports
+from corvane.operators import drawings, ranking, reports
 from corvane.plans.evaluation import files
 from corvane.plans.facts import SCORED, scored
+from corvane.plans.metrics import AP, MICRO, STEPS
 from corvane.plans.models import SERIES, series
 from corvane.plans.registry import query, table
 from corvane.plans.signals import LONG, SIGNALS, signals
@@ -52,11 +53,48 @@ def s18_device_table_sink(spark, sf_dir):
     return spark.read.option("header", True).option("sep", "\t").csv(f"{folder}/scores").select(F.col("file").cast("long"), F.col("class").cast("int"), "score")
 
 
-@query()
+def polylines_sql(dots: str) -> str:
+    """Lines of dots (series, px, py), as one picture."""
+    return f"""cols AS (SELECT series, px, min(py) AS top, max(py) AS low FROM ({dots}) GROUP BY ALL), lns AS (SELECT series, '<polyline fill="none" stroke="black" points="' || string_agg(px || ',' || top || ' ' || px || ',' || low, ' ' ORDER BY px) || '"/>' AS line FROM cols GROUP BY series),
+    curve AS (SELECT '<svg xmlns="http://www.w3.org/2000/svg" width="400" height="300">' || string_agg(line, '' ORDER BY series) || '</svg>' AS svg FROM lns)"""
+
+
+# Ten classes: cells of 60 pixels.
+CELLS = """cel AS (SELECT "true" AS t, pred AS p, count(*) AS n FROM (SELECT file, arg_max(class, (y, -class)) AS "true", max(y) AS known, arg_max(class, (s, -class)) AS pred FROM scored GROUP BY file) WHERE known > 0 GROUP BY ALL),
+    heat AS (SELECT '<svg xmlns="http://www.w3.org/2000/svg" width="600" height="600">' || string_agg('<rect x="' || p * 60 || '" y="' || t * 60 || '" width="60" height="60" fill="navy" fill-opacity="' || printf('%.3f', floor(1000 * n / (SELECT max(n) FROM cel)) / 1000) || '"/>', '' ORDER BY t, p) || '</svg>' AS svg FROM cel)"""
+
+
+@query(f"WITH {SCORED}, {CELLS} SELECT svg FROM heat")
+def s16_confusion_drawing(spark, sf_dir):
+    """The heatmap of the confusion of top classes."""
+    return drawings.heatmap(ranking.confusion(scored(spark, sf_dir), None), 10)
+
+
+@query(f"""WITH {SCORED}, {MICRO.format(fact="scored")}, p AS (SELECT (cn - ctp) / (n_all - tp_all) AS x, (tp_all - ctp) / tp_all AS y FROM r), {polylines_sql("SELECT 0 AS series, floor(least(greatest(x, 0), 1) * 399)::INT AS px, (299 - floor(least(greatest(y, 0), 1) * 299))::INT AS py FROM p")}
+    SELECT svg FROM curve""")
+def s16_det_drawing(spark, sf_dir):
+    """The curve of false alarms and misses."""
+    return drawings.curve(ranking.det_curve(scored(spark, sf_dir)), "far", "frr", bounds=(0, 1, 0, 1))
+
+
+@query(f"""WITH {SERIES}, b AS (SELECT min(step)::DOUBLE AS x0, max(step)::DOUBLE AS x1, min(value)::DOUBLE AS y0, max(value)::DOUBLE AS y1 FROM ser),
+    {polylines_sql("SELECT run % 4 AS series, CASE WHEN x1 > x0 THEN floor(least(greatest((step - x0) / (x1 - x0), 0), 1) * 399) ELSE 0 END::INT AS px, (299 - CASE WHEN y1 > y0 THEN floor(least(greatest((value - y0) / (y1 - y0), 0), 1) * 299) ELSE 0 END)::INT AS py FROM ser, b")}
+    SELECT svg FROM curve""")
+def s16_history_drawing(spark, sf_dir):
+    """Training histories of four groups of runs: the span of values at each step."""
+    return drawings.curve(series(spark, sf_dir).withColumn("group", F.col("run") % 4), "step", "value", "group")
+
+
+@query(f"""WITH {SCORED}, {CELLS}, c AS (SELECT sum(CASE WHEN s >= 0.5 THEN y ELSE 0 END) AS tp, sum(CASE WHEN s >= 0.5 THEN 1 ELSE 0 END) AS pp, sum(y) AS p FROM scored), q AS (SELECT tp / (pp + 1e-12) AS pr, tp / (p + 1e-12) AS re FROM c),
+    {STEPS.format(fact="scored")}, k AS (SELECT class, {AP} AS ap, sum(tp)::BIGINT AS np, sum(n)::BIGINT AS nt FROM r GROUP BY class),
+    tab AS (SELECT string_agg('<tr><td>' || class || '</td><td>' || printf('%.6f', ap) || '</td><td>' || np || '</td><td>' || nt || '</td></tr>', '' ORDER BY class) AS body FROM k)
+    SELECT '<!DOCTYPE html><html><head><meta charset=''utf-8''><title>Evaluation</title></head><body><h1>Evaluation</h1><h2>Metrics</h2><table><tr><th>precision</th><th>recall</th><th>f1</th></tr><tr><td>' || printf('%.6f', pr) || '</td><td>' || printf('%.6f', re) || '</td><td>'
+        || printf('%.6f', CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END) || '</td></tr></table><h2>Classes</h2><table><tr><th>class</th><th>ap</th><th>n_positive</th><th>n_total</th></tr>' || body || '</table><h2>Confusion</h2><div>' || svg || '</div></body></html>' AS page FROM q, tab, heat""")
 def s15_html_report(spark, sf_dir):
-    """A page with the metrics, the classes and the confusion table of an evaluation."""
+    """A page with the metrics, the classes and the drawn confusion of an evaluation."""
     rows = scored(spark, sf_dir)
-    page = reports.html_report("Evaluation", {"Metrics": ranking.micro_scores(rows), "Classes": ranking.average_precision(rows, ["class"]).orderBy("class"), "Confusion": ranking.confusion(rows, None).orderBy("true", "pred")})
+    tables = {"Metrics": ranking.micro_scores(rows), "Classes": ranking.average_precision(rows, ["class"]).orderBy("class")}
+    page = reports.html_report("Evaluation", tables, {"Confusion": drawings.heatmap(ranking.confusion(rows, None), 10)})
     return spark.createDataFrame([(page,)], "page string")
 
 
