@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corvane import config, session
-from corvane.operators import epochs, telemetry
+from corvane.operators import epochs, passes, telemetry
 from corvane.operators.numbering import numbered
 from corvane.plans.registry import query, table
 from corvane.streaming import device
@@ -210,6 +210,20 @@ def r3_reservoir_order(spark, sf_dir):
     return epochs.epoch(table(spark, sf_dir, "documents").select("doc_id"), 3, 128, 64, key="doc_id").select("doc_id", "shard", "place")
 
 
+MIX = "(((({x} + 1) * 1103515245 + {k} * 12345) % 2147483647) * ((({x} + 1) * 1103515245 + {k} * 12345) % 2147483647) + {k}) % 2147483647 * 48271 % 2147483647"
+PASS = f"""num AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents), ab AS (SELECT *, ceil(sqrt(n))::BIGINT AS a FROM num), bb AS (SELECT *, (n + a - 1) // a AS b FROM ab),
+    r0 AS (SELECT *, i // b AS l, i % b AS r FROM bb), r1 AS (SELECT * REPLACE ((l + {MIX.format(x="r", k=54)}) % a AS l) FROM r0), r2 AS (SELECT * REPLACE ((r + {MIX.format(x="l", k=55)}) % b AS r) FROM r1),
+    r3 AS (SELECT * REPLACE ((l + {MIX.format(x="r", k=56)}) % a AS l) FROM r2), r4 AS (SELECT * REPLACE ((r + {MIX.format(x="l", k=57)}) % b AS r) FROM r3)"""
+
+
+@query(f"WITH {PASS}, s AS (SELECT doc_id, l * b + r AS slot, (a * b + (n + 299) // 300 - 1) // ((n + 299) // 300) AS size FROM r4) SELECT doc_id, slot, (slot // size)::INT AS shard FROM s")
+def r3_pass_order(spark, sf_dir):
+    """The slots of the documents in the fourth pass, given through a buffer of 128 drained to 64, shards of about 300."""
+    rows = table(spark, sf_dir, "documents").select("doc_id")
+    numbers = numbered(rows, [], [F.col("doc_id")], "number").withColumn("number", F.col("number") - 1)
+    return passes.in_order(numbers, rows.count(), 3, 128, 64, shard_rows=300).select("doc_id", "slot", "shard")
+
+
 @query("""SELECT s_suppkey AS id, 'models/' || s_suppkey AS model_path, CASE WHEN s_suppkey % 2 = 0 THEN 'port ' || s_suppkey WHEN s_suppkey % 3 = 0 THEN 'from file' ELSE '/dev/ttyACM0' END AS port, CASE WHEN s_suppkey % 3 = 0 THEN 9600 ELSE 115200 END AS baud,
     CASE WHEN s_suppkey % 5 = 0 THEN 7.5 WHEN s_suppkey % 3 = 0 THEN 9 ELSE 120 END::DOUBLE AS timeout, CASE WHEN s_suppkey % 3 = 0 THEN 3 ELSE 5 END AS top_k, 0.01::DOUBLE AS score_threshold FROM supplier""")
 def t5_deploy_settings(spark, sf_dir):
