@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.operators.numbering import numbered
+from corvane.session import estimated_bytes
 
 # The extensions of recordings, and the labels that stand for noise.
 EXTENSIONS = [".wav", ".mp3", ".flac", ".ogg", ".m4a"]
@@ -126,12 +127,24 @@ def split(catalog: DataFrame, validation: float, key: str = "id", seed: int = 42
     return catalog.withColumn("part", F.when(train, "train").otherwise("validation"))
 
 
+#: Bytes that class names may be expected to have to be sent to all tasks in one row, and classes of a block beyond that.
+NAMES_BYTES, BLOCK_CLASSES = 16_000_000, 10_000
+
+
 def one_hot(labels: DataFrame, classes: DataFrame, key: str = "id") -> DataFrame:
-    """key, class_idx, y for each file and class: all 0 for noise; files of other labels are dropped."""
+    """key, class_idx, y for each file and class: all 0 for noise; files of other labels are dropped.
+
+    The names go to all tasks while the planner expects them to be few; beyond that files meet blocks of names by a join."""
     known = labels.join(classes.select(F.col("class").alias("__c")), F.col("label") == F.col("__c"), "left").where(F.col("__c").isNotNull() | is_noise(F.col("label"))).drop("__c")
-    names = classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("class_idx", "class"))), lambda x: x["class"]).alias("names"))
-    wide = known.join(F.broadcast(names))
-    return wide.select(key, "label", F.posexplode("names").alias("class_idx", "class")).select(key, "class_idx", (F.col("class") == F.col("label")).cast("int").alias("y"))
+    few = estimated_bytes(classes) <= NAMES_BYTES
+    blocks = classes.withColumn("__block", F.lit(0) if few else F.floor(F.col("class_idx") / BLOCK_CLASSES).cast("int"))
+    names = blocks.groupBy("__block").agg(F.array_sort(F.collect_list(F.struct("class_idx", "class"))).alias("names"))
+    if few:
+        wide = known.crossJoin(F.broadcast(names))  # a row
+    else:
+        numbers = [r[0] for r in names.select("__block").distinct().collect()]  # a row a block
+        wide = known.withColumn("__block", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<int>"))).join(names, "__block")
+    return wide.select(key, "label", F.inline("names")).select(key, "class_idx", (F.col("class") == F.col("label")).cast("int").alias("y"))
 
 
 def label_index(labels: DataFrame, classes: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import arrays, spectral
-from corvane.operators import augment, salience
-from corvane.plans.registry import query, table
+from corvane.operators import augment, salience, segments
+from corvane.plans.registry import ORACLES, query, table
 
 # Samples on a grid of 1/1024, exact in both engines.
 SIGNALS = "sig AS (SELECT vec_id AS file, label, list_transform(embedding, lambda v: floor(v::DOUBLE * 1024) / 1024) AS x FROM embeddings)"
@@ -366,3 +366,36 @@ UP, DOWN, TAPS = spectral.polyphase(4, 3)
 def m1_resampled(spark, sf_dir):
     """From 64 to 48 samples by a windowed sinc in polyphase."""
     return listed(signals(spark, sf_dir).select("file", spectral.resampled(4, 3)(F.col("x")).alias("x")), "x")
+
+
+def in_segments(spark, sf_dir):
+    """Signals in segments of 20 samples."""
+    return segments.cut(signals(spark, sf_dir).withColumnRenamed("x", "samples"), 20)
+
+
+@query(ORACLES["w12_short_time_energy"])
+def w12_segment_energy(spark, sf_dir):
+    """Energies of frames that lie across segments."""
+    return segments.energies(in_segments(spark, sf_dir), 16, 8, 20).select("file", F.col("t").cast("int").alias("i"), F.round("energy", 6).alias("v"))
+
+
+@query(ORACLES["m20_activity_ratio"])
+def m20_segment_activity(spark, sf_dir):
+    """Activity of recordings in segments."""
+    return segments.activity(in_segments(spark, sf_dir), 20).select("file", F.round("activity", 6).alias("activity"))
+
+
+@query(ORACLES["m21_smart_crop"])
+def m21_segment_crops(spark, sf_dir):
+    """Crops of recordings in segments."""
+    return segments.crops(in_segments(spark, sf_dir), 20, 16, 3).select("file", F.array_join("starts", ",").alias("starts"))
+
+
+@query(ORACLES["m16_pcen"])
+def m16_segment_pcen(spark, sf_dir):
+    """Gain control of spectrograms in segments of three frames, each from the state the one before leaves."""
+    rows = signals(spark, sf_dir).select("file", spectral.stft(16, 8, centred=True, frames=8)(F.col("x")).alias("s"))
+    gained = segments.gain_controlled(segments.cut(rows, 3, samples="s").withColumnRenamed("samples", "frames"), 8_000, 8)
+    long = gained.select("file", "segment", F.posexplode("frames").alias("t", "bins")).select("file", (F.col("segment") * 3 + F.col("t")).alias("frame"), F.posexplode("bins").alias("bin", "v"))
+    ends = long.groupBy("file").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return long.join(ends, "file").select("file", "frame", "bin", F.round((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-10), 6).alias("magnitude"))
