@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane import config, session
 from corvane.operators import epochs, passes, telemetry
@@ -200,8 +201,9 @@ CLIMB = """WITH RECURSIVE ser AS (SELECT user_id AS run, row_number() OVER (PART
 @query(CLIMB)
 def r5_backpressure(spark, sf_dir):
     """Items in flight after each user's series of throughputs."""
-    series = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x, i: F.struct(x["value"].alias("throughput"), (i % 5 * 4).cast("double").alias("memory_free")))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(series.alias("s")).select("user_id", device.backpressure(F.col("s")).alias("in_flight"))
+    step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1  # a count along the rows: none are held
+    turns = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").alias("throughput"), (step % 5 * 4).alias("memory_free"))
+    return device.climbed(turns, "user_id", ["ts", "event_id"])
 
 
 @query()

@@ -7,10 +7,12 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corvane.session import settings
@@ -182,6 +184,41 @@ def updated(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     return stream.sparkSession.read.schema(schema).parquet(f"{folder}/rows").groupBy(*keys).agg(last).select("r.*")
 
 
+def climbed(turns: DataFrame, by: str, order: list[str], least: int = 128, most: int = 4096, target_free: float = 8.0) -> DataFrame:
+    """by, in_flight: what `backpressure` gives for each series of rows (by, throughput, memory_free) in their order, read as it
+    comes: a task holds a series' state, never a series."""
+    kind = turns.schema[by].dataType.simpleString()
+
+    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, started = None, False
+        n, way, step, last = 0, 1, 0, None
+        for batch in batches:
+            keys, done = [], []
+            for own, value, free in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not started or own != key:
+                    if started:
+                        keys.append(key)
+                        done.append(n)
+                    key, started = own, True
+                    n, way, step, last = least, 1, max(32, min(512, least // 2)), None
+                half = max(16, step // 2)
+                short, rising = 0 < free < target_free, last is not None and value >= last * 1.01
+                if short:
+                    n, way, step = int(n * 0.8), -1, half
+                elif last is None or rising:
+                    n, way = n + step if last is None or way >= 0 else n - step, 1 if last is None else way
+                else:
+                    n, way, step = n - half if way >= 0 else n + half, -way if way else -1, half
+                n, last = max(least, min(most, n)), float(value)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, turns_type), pa.array(done, pa.int32())], [by, "in_flight"])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([key], turns_type), pa.array([n], pa.int32())], [by, "in_flight"])
+
+    turns_type = to_arrow_type(turns.schema[by].dataType)
+    rows = turns.repartition(by).sortWithinPartitions(by, *order).select(by, F.col("throughput").cast("double").alias("throughput"), F.coalesce(F.col("memory_free").cast("double"), F.lit(0.0)).alias("memory_free"))
+    return rows.mapInArrow(climb, f"`{by}` {kind}, in_flight int")
+
+
 def backpressure(series: Column, least: int = 128, most: int = 4096, target_free: float = 8.0) -> Column:
     """Items in flight after a series of (throughput, memory_free), from `least` on: hill climbing.
 
