@@ -13,8 +13,8 @@ are never looked at. The neighbours vote with weights that fall with distance. V
 monotone map that is fitted on the examples themselves, each judged without itself, so a score of 0.3 is met
 by three toxic rows in ten.
 
-The fit takes FIT_ROWS labelled rows at most (by a hash of the key) and POSTINGS postings; what is
-broadcast is bounded by these. All documents count for document frequencies, and all are scored, by tasks
+The fit takes FIT_ROWS labelled rows at most (by a hash of the key) and POSTINGS postings, the map of scores the rows
+of JUDGED examples; what is broadcast is bounded by these. All documents count for document frequencies, and all are scored, by tasks
 that each hold the index; texts of one vector are looked up once a task.
 
 Defined results: null, empty and letterless texts have no terms and score as the examples without terms do; so
@@ -41,7 +41,7 @@ from corvane.llm.common import strings, written
 from corvane.llm.langid import held_out
 
 #: Labelled rows and postings that the examples come from at most, and terms.
-FIT_ROWS, POSTINGS, VOCABULARY = 200_000, 8_000_000, 4_096
+FIT_ROWS, POSTINGS, VOCABULARY = 200_000, 8_000_000, 1_024
 #: A term is found in so many labelled rows at least, and so many standard deviations more often in toxic ones.
 LEAST_ROWS, LEAST_Z = 5, 6.0
 #: Letters of beginnings; levels of use: times in the text, share of its words.
@@ -51,7 +51,8 @@ LEVELS = ((1, 0.0), (2, 0.0), (4, 0.0), (2, 1 / 300), (2, 1 / 100), (2, 1 / 33))
 BLOCK, FIRST, NEIGHBOURS = 128, 8, 16
 #: A vote falls by e at each WIDTH of distance; the share among all examples counts as PRIOR votes.
 WIDTH, PRIOR = 0.1, 0.05
-BINS, THRESHOLD = 40, 0.3
+#: Examples (of different vectors) that the map from votes to scores is fitted on, about, and bins of votes.
+JUDGED, BINS, THRESHOLD = 10_000, 40, 0.3
 #: Characters of a text looked at at once, terms that a task counts before it gives them on, and vectors it remembers.
 STRETCH, HELD_TERMS, REMEMBERED = 2_000_000, 400_000, 200_000
 WORD, GAP = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
@@ -69,27 +70,27 @@ def word_counts(text: str) -> Counter:
     return counts
 
 
-def uses(words: Counter, known=None) -> Counter:
-    """How often each word and beginning is used; with `known`, which has a set of first letters, only words that begin so."""
-    out = Counter()
+def uses(words: Counter) -> Counter:
+    """How often each word and beginning is used."""
+    once = [w for w, n in words.items() if n == 1]
+    out = Counter([w + WHOLE for w in once])  # lists are counted fast
+    for k in BEGINNINGS:
+        out.update([w[:k] for w in once if len(w) >= k])
     for word, n in words.items():
-        if known is not None and word[: BEGINNINGS[0]] not in known:
-            continue
-        out[word + WHOLE] += n
-        for k in BEGINNINGS:
-            if k > len(word):
-                break
-            out[word[:k]] += n
+        if n > 1:
+            for name in (word + WHOLE, *(word[:k] for k in BEGINNINGS if k <= len(word))):
+                out[name] += n
     return out
 
 
-def terms(words: Counter, known=None) -> Iterator[tuple[str, int]]:
-    """Terms: what is used, and the numbers of the levels that its use reaches."""
-    total = words.total()
-    for name, n in uses(words, known).items():
-        for level, (times, share) in enumerate(LEVELS):
-            if n >= times and n >= share * total:
-                yield name, level
+def terms(words: Counter, total: int) -> list[tuple[str, int]]:
+    """Terms: what is used, and the numbers of the levels that its use reaches in a text of `total` words."""
+    used = uses(words)
+    out = [(name, 0) for name in used]
+    for name, n in used.items():
+        if n > 1:
+            out += [(name, level) for level, (times, share) in enumerate(LEVELS) if level and n >= times and n >= share * total]
+    return out
 
 
 @dataclass
@@ -104,8 +105,11 @@ class Terms:
 
     def vector(self, text: str) -> tuple[int, ...]:
         """The numbers of a text's terms, rising."""
-        words = word_counts(text)
-        return tuple(sorted(i for x in terms(words, self.first) if (i := self.number.get(x)) is not None))
+        words, first, k = word_counts(text), self.first, BEGINNINGS[0]
+        own = Counter({w: n for w, n in words.items() if w[:k] in first})
+        if not own:
+            return ()
+        return tuple(sorted(i for x in terms(own, words.total()) if (i := self.number.get(x)) is not None))
 
 
 def labelled_rows(labels: DataFrame, key: str = "doc_id", label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
@@ -135,7 +139,8 @@ def learned_terms(examples: DataFrame, text: str = "text") -> Terms:
 
         for batch in batches:
             for value, rows, bad in zip(strings(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = list(terms(word_counts(value)))
+                words = word_counts(value)
+                found = terms(words, words.total())
                 if rows == 1:
                     n.update(found)
                 else:
@@ -191,16 +196,16 @@ class Index:
         bound = q @ self.top()[t] + 1e-9
         spans = [slice(self.start[i], self.start[i + 1]) for i in t]
         ids = np.concatenate([self.example[s] for s in spans])
-        part = np.concatenate([self.weight[s] * x for s, x in zip(spans, q, strict=True)])
+        part, block = np.concatenate([self.weight[s] * x for s, x in zip(spans, q, strict=True)]), ids // BLOCK
         first = np.argsort(-bound, kind="stable")[:FIRST]
         done = np.zeros(len(bound), bool)
         done[first] = True
-        found = _best(*_scored(ids, part, done), k)
+        found = _best(_scored(ids, part, done[block], len(self.n)), k)
         floor = found[1][-1] if len(found[0]) == k else 0.0
         more = (bound >= max(floor, 2e-9)) & ~done
         if more.any():
             done |= more
-            found = _best(*_scored(ids, part, done), k)
+            found = _best(_scored(ids, part, done[block], len(self.n)), k)
         return *found, int(done.sum())
 
     def votes(self, vector: tuple[int, ...]) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -224,16 +229,19 @@ class Index:
         return min(1.0, max(0.0, vote)), ",".join(shown)
 
 
-def _scored(ids: np.ndarray, part: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Examples of these blocks and their similarities, sums of their postings' parts."""
-    own = blocks[ids // BLOCK]
-    at, inverse = np.unique(ids[own], return_inverse=True)
-    return at, np.bincount(inverse, weights=part[own], minlength=len(at))
+def _scored(ids: np.ndarray, part: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """Similarities of all examples to the postings' parts that count; 0 for others."""
+    return np.bincount(ids[own], weights=part[own], minlength=n)
 
 
-def _best(ids: np.ndarray, alike: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -np.round(alike, 12)))[:k]
-    return ids[order], alike[order]
+def _best(alike: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k most alike, more than 0; ties to smaller numbers."""
+    ids = np.flatnonzero(alike)
+    if len(ids) > 4 * k:  # those that tie with the last of the best stay in
+        least = np.partition(alike[ids], len(ids) - k)[len(ids) - k]
+        ids = ids[alike[ids] >= least - 1e-11]
+    order = np.lexsort((ids, -np.round(alike[ids], 12)))[:k]
+    return ids[order], alike[ids[order]]
 
 
 def vectors_of(df: DataFrame, vocabulary: Terms, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,7 +291,10 @@ def rising(x: np.ndarray, n: np.ndarray, good: np.ndarray) -> tuple[np.ndarray,
 
 
 def calibrated(index: Index, examples: DataFrame) -> Index:
-    """The index with its map from votes to scores: each example's rows are judged by all others."""
+    """The index with its map from votes to scores: rows of JUDGED examples, about, are judged by all others."""
+    share = -(-1_000_000_000 * JUDGED // max(JUDGED, len(index.n)))
+    examples = examples.where(F.pmod(F.xxhash64("terms", F.lit(1)), F.lit(1_000_000_000)) < share)
+    spread = int(examples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = examples.sparkSession.sparkContext.broadcast(index)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +315,7 @@ def calibrated(index: Index, examples: DataFrame) -> Index:
                     add(shared.value.share_of(max(0.0, every - 1), toxic), rows - bad, False)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS), pa.int32()), pa.array(x), pa.array(n), pa.array(good)], ["bin", "x", "n", "good"])
 
-    found = examples.select("terms", "n", "n_toxic").mapInArrow(judge, "bin int, x double, n long, good long").groupBy("bin").agg(F.sum("x"), F.sum("n"), F.sum("good")).orderBy("bin").collect()
+    found = examples.select("terms", "n", "n_toxic").repartition(spread).mapInArrow(judge, "bin int, x double, n long, good long").groupBy("bin").agg(F.sum("x"), F.sum("n"), F.sum("good")).orderBy("bin").collect()
     bins = [tuple(r)[1:] for r in found if r[2]]  # BINS at most
     if index.none[0]:  # texts without terms are examples of their own share
         bins.append((index.share_of(*index.none) * index.none[0], *index.none))
