@@ -18,7 +18,7 @@ AVERAGES_LINE = r"^Benchmark:.*avg read=(\d+)ms\s+stft=(\d+)ms\s+npu=(\d+)ms\s+t
 TIMES = ("read_ms", "stft_ms", "npu_ms", "total_ms")
 # What a run ends with, and how many lines are read after that.
 MARKER, AFTER_MARKER = "=== DONE ===", 5
-# Fixed value: seconds without a line, after the marker, that end a run.
+# Fixed value: more seconds than these without a line, after the marker, end a run.
 GAP_SECONDS = 1.0
 
 #: Lines of one device that are looked through together; what they begin under comes from those before.
@@ -52,14 +52,14 @@ def with_files(lines: DataFrame) -> DataFrame:
 
 def captured(lines: DataFrame, timeout: float) -> DataFrame:
     """The lines (device, line_no, at in seconds, line) of each device's run: from its first line until `timeout` seconds later or the
-    line with the marker, whichever comes first, and at most AFTER_MARKER lines after the marker, up to the first gap of GAP_SECONDS."""
+    line with the marker, whichever comes first, and at most AFTER_MARKER lines after the marker, up to the first gap of more than GAP_SECONDS."""
     starts = lines.groupBy("device").agg((F.min("at") + timeout).alias("__deadline"))
     timed = lines.join(starts, "device")
     marks = timed.where((F.col("at") < F.col("__deadline")) & F.contains("line", F.lit(MARKER))).groupBy("device").agg(F.min("line_no").alias("__mark"))
     order = Window.partitionBy("device").orderBy("line_no")
     after = lines.join(marks, "device").where(F.col("line_no") >= F.col("__mark")).select("device", "line_no", "at")
     few = after.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= AFTER_MARKER + 1)  # the marker's line is the first
-    gap = F.coalesce(F.col("at") - F.lag("at").over(order), F.lit(0.0)) >= GAP_SECONDS
+    gap = F.coalesce(F.col("at") - F.lag("at").over(order), F.lit(0.0)) > GAP_SECONDS
     going = F.max(gap).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = few.withColumn("__over", going).where(~F.col("__over")).groupBy("device").agg(F.max("line_no").alias("__last"))
     kept = timed.join(ends, "device", "left")

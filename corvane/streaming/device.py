@@ -101,7 +101,7 @@ class Capture(StatefulProcessor):
             deadline = at + self.timeout if deadline is None else deadline
             if done:
                 break
-            if left < 0 and at >= deadline or left >= 0 and at - last >= self.gap:
+            if left < 0 and at >= deadline or left >= 0 and at - last > self.gap:
                 done, ended = True, "deadline" if left < 0 else "gap"
                 break
             out.append((key[0], number, at, line))
