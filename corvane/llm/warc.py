@@ -8,7 +8,7 @@ directory by binary search, reads that range, finds the line by binary search, a
 range. Every attempt of a task writes files of its own, complete before they get their name; lines
 and directory name the files of attempts that counted. The folder is in storage all executors share.
 
-Defined results: null html is an empty payload; a null url has an empty key; equal ids with equal
+Defined results: null html is an empty payload; a null url has the key `)`, an empty host before it; equal ids with equal
 payloads are all responses (none can refer to itself); a null id never is the response of others; very long
 URLs and payloads are written and read whole; an empty table makes no files and an empty result; columns other than the id, url and html do not matter.
 """
