@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corvane.session import settings
+from corvane.session import settings, shared_dir
 from corvane.operators.telemetry import AFTER_MARKER, DETECTION_LINE, FILE_LINE, GAP_SECONDS, MARKER
 
 LINES = "device string, line_no long, line string"
@@ -26,20 +27,29 @@ CAPTURES = TIMED_LINES + ", ended string"
 #: Seconds that timers wait beyond their time.
 SLACK_SECONDS = 0.3
 #: Line numbers of a range: a device's lines of one range are one file, and ranges are written one after the other.
-RANGE_LINES = 1_000_000
+RANGE_LINES = 200_000
+#: Bytes of files that a turn of a stream takes, or one file: what tasks put in order together, however long devices print.
+BATCH_BYTES = 128 << 20
+#: Rows that a task gives on together.
+GIVEN_ROWS = 10_000
 
 
 def write_lines(rows: DataFrame, folder: str) -> None:
-    """Rows of lines as JSON files that a stream may read in any cut: each device's lines are in order, within files and from file to file."""
-    least, most = rows.agg(F.min("line_no"), F.max("line_no")).first()
-    for part in range((least or 0) // RANGE_LINES, (most or 0) // RANGE_LINES + 1):
-        own = rows.where(F.floor(F.col("line_no") / RANGE_LINES) == part)
+    """Rows of lines as JSON files that a stream may read in any cut: each device's lines are in order, within files and from file to
+    file. `rows` are worked out once, into a table by range, of which each range is read once."""
+    staged = f"{shared_dir(rows.sparkSession)}/lines-{uuid.uuid4().hex}"
+    cut = rows.withColumn("__range", F.floor(F.col("line_no") / RANGE_LINES))
+    cut.hint("rebalance", "__range", "device").write.partitionBy("__range").parquet(staged)
+    kept = rows.sparkSession.read.schema(cut.schema).parquet(staged)
+    parts = sorted(r[0] for r in kept.where(F.col("__range").isNotNull()).select("__range").distinct().collect())
+    for part in parts or [0]:
+        own = kept.where(F.col("__range") == part).drop("__range")
         own.repartition("device").sortWithinPartitions("device", "line_no").write.mode("append").json(folder)
 
 
-def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100, schema: str = LINES) -> DataFrame:
-    """JSON rows of LINES from files that appear in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
+def read_lines(spark: SparkSession, folder: str, bytes_per_batch: int | None = None, schema: str = LINES) -> DataFrame:
+    """JSON rows of LINES from files that appear in a folder, about BATCH_BYTES a turn unless told otherwise."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch or BATCH_BYTES).json(folder)
 
 
 # The stream's driver-side Python process does not have this package on its path unless its environment says so:
@@ -47,8 +57,20 @@ def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100, sch
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def in_order(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
+    """These columns of a device's rows of one turn, by line number."""
+    held = pd.concat([x[["line_no", *columns]] for x in rows]).sort_values("line_no")
+    return held.itertuples(index=False, name=None)
+
+
+def frames(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """`rows` in frames of GIVEN_ROWS, one at least."""
+    for i in range(0, max(1, len(rows)), GIVEN_ROWS):
+        yield pd.DataFrame(rows[i : i + GIVEN_ROWS], columns=columns)
+
+
 class FileFollower(StatefulProcessor):
-    """Keeps a device's current file and how many detections it has; puts a batch's lines in order first."""
+    """Keeps a device's current file and how many detections it has; puts a turn's lines in order first."""
 
     def __init__(self, threshold: float = 0.01, k: int = 5):
         self.threshold, self.k = threshold, k
@@ -61,7 +83,7 @@ class FileFollower(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         number, name, found, done = self.current.get() if self.current.exists() else (None, None, 0, False)
         out = []
-        for line in pd.concat(list(rows)).sort_values("line_no")["line"]:
+        for _, line in () if done else in_order(rows, "line"):
             if done:
                 break
             if head := re.match(self.file_line, line):
@@ -73,7 +95,7 @@ class FileFollower(StatefulProcessor):
                     out.append((key[0], number, name, found, hit[2], score))
             done = self.marker in line
         self.current.update((number, name, found, done))
-        yield pd.DataFrame(out, columns=self.columns)
+        yield from frames(out, self.columns)
 
     def close(self) -> None:
         pass
