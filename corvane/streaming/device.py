@@ -119,7 +119,7 @@ class Capture(StatefulProcessor):
         known = self.current.exists()
         deadline, left, last, done = self.current.get() if known else (None, -1, None, False)
         out, ended, were = [], None, done
-        for number, at, line in pd.concat(list(rows)).sort_values("line_no")[["line_no", "at", "line"]].itertuples(index=False):
+        for number, at, line in () if done else in_order(rows, "at", "line"):
             deadline = at + self.timeout if deadline is None else deadline
             if done:
                 break
@@ -136,7 +136,7 @@ class Capture(StatefulProcessor):
                 done, ended = True, "marker"
         self.current.update((deadline, left, last, done))
         if not self.live:
-            yield pd.DataFrame(out, columns=self.columns)
+            yield from frames(out, self.columns)
             return
         out = [(*x, None) for x in out]
         if done and not were:
@@ -147,7 +147,7 @@ class Capture(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             # Lines that came before a turn began are handled before its timers; SLACK_SECONDS are for those that came as it did.
             self.handle.registerTimer(max(now + 1, int(1000 * ((last + self.gap if left >= 0 else deadline) + self.slack))))
-        yield pd.DataFrame(out, columns=self.columns)
+        yield from frames(out, self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         deadline, left, last, done = self.current.get()

@@ -3,6 +3,7 @@
 from collections import Counter
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,3 +63,46 @@ def test_no_lines(spark, tmp_path):
     assert Path(tmp_path / "lines").exists()
     taken, found = turns(spark, device.detections(device.read_lines(spark, f"{tmp_path}/lines"), 0.3, 2), tmp_path)
     assert sum(taken) == 0 and found.count() == 0
+
+
+class Handle:
+    """A value state by itself."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("made", [lambda: device.Capture(4.0), lambda: device.FileFollower()])
+def test_nothing_is_held_of_what_comes_after_the_end(made):
+    one, handle = made(), Handle()
+    one.init(handle)
+    texts = ["a", f"  {telemetry.MARKER}", *"bcdefgh"]
+    first = pd.DataFrame({"device": "d", "line_no": range(9), "at": [i / 10 for i in range(9)], "line": texts})
+    given = pd.concat(list(one.handleInputRows(("d",), iter([first.iloc[5:], first.iloc[:5]]), None)))
+    assert list(given.get("line_no", [])) in ([], list(range(7)))
+    later = iter([first, first])
+    assert sum(len(x) for x in one.handleInputRows(("d",), later, None)) == 0
+    assert len(list(later)) == 2
+
+
+def test_a_capture_goes_on_over_bounded_turns(spark, tmp_path, small):
+    marked = F.when((F.col("device") == "d0") & (F.col("line_no") == 1000), telemetry.MARKER).otherwise(F.col("line"))
+    lines = printed(spark, 3000).select("device", "line_no", (F.col("line_no") / 100).alias("at"), marked.alias("line"))
+    device.write_lines(lines, f"{tmp_path}/lines")
+    taken, found = turns(spark, device.captured(device.read_lines(spark, f"{tmp_path}/lines", schema=device.TIMED_LINES), 15.0), tmp_path)
+    assert sum(taken) == 3000 and max(taken) <= 400
+    shown = lambda df: sorted((r["device"], r["line_no"], r["at"], r["line"]) for r in df.collect())
+    assert shown(found) == shown(telemetry.captured(lines, 15.0))
+    assert found.where("device = 'd0'").count() == 1006
