@@ -52,17 +52,30 @@ def with_files(lines: DataFrame) -> DataFrame:
 
 def captured(lines: DataFrame, timeout: float) -> DataFrame:
     """The lines (device, line_no, at in seconds, line) of each device's run: from its first line until `timeout` seconds later or the
-    line with the marker, whichever comes first, and at most AFTER_MARKER lines after the marker, up to the first gap of more than GAP_SECONDS."""
-    starts = lines.groupBy("device").agg((F.min("at") + timeout).alias("__deadline"))
-    timed = lines.join(starts, "device")
-    marks = timed.where((F.col("at") < F.col("__deadline")) & F.contains("line", F.lit(MARKER))).groupBy("device").agg(F.min("line_no").alias("__mark"))
-    order = Window.partitionBy("device").orderBy("line_no")
-    after = lines.join(marks, "device").where(F.col("line_no") >= F.col("__mark")).select("device", "line_no", "at")
+    line with the marker, whichever comes first, and at most AFTER_MARKER lines after the marker, up to the first gap of more than GAP_SECONDS.
+
+    As in `with_files`, lines are dealt by device and range of line numbers, never by device alone: what holds for a device is taken
+    from a row a range, and the few lines after its marker from the marker's range and the next that have any.
+    """
+    keys = ["device", "__range"]
+    ranges = Window.partitionBy("device")
+    # A line without a number counts for the deadline and ends with it; it is in no order.
+    cut = lines.withColumn("__range", F.coalesce(F.floor(F.col("line_no") / RANGE_LINES), F.lit(0)))
+    firsts = cut.groupBy(*keys).agg(F.min("at").alias("__first"), F.count("line_no").alias("__n"))
+    spans = firsts.select(*keys, "__n", (F.min("__first").over(ranges) + timeout).alias("__deadline"))
+    marked = cut.join(spans, keys).where((F.col("at") < F.col("__deadline")) & F.contains("line", F.lit(MARKER)))
+    marks = marked.groupBy("device").agg(F.min("line_no").alias("__mark"))
+    past = F.col("__range") - F.floor(F.col("__mark") / RANGE_LINES)
+    between = F.sum(F.when(past > 0, F.col("__n"))).over(ranges.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    near = (past >= 0) & (F.coalesce(between, F.lit(0)) < AFTER_MARKER)
+    tails = spans.join(marks, "device", "left").select(*keys, F.when(near, F.col("__mark")).alias("__mark"))
+    order = Window.partitionBy("device").orderBy("line_no")  # over two full ranges at most
+    after = cut.join(tails, keys).where(F.col("line_no") >= F.col("__mark")).select("device", "line_no", "at")
     few = after.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= AFTER_MARKER + 1)  # the marker's line is the first
     gap = F.coalesce(F.col("at") - F.lag("at").over(order), F.lit(0.0)) > GAP_SECONDS
     going = F.max(gap).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ends = few.withColumn("__over", going).where(~F.col("__over")).groupBy("device").agg(F.max("line_no").alias("__last"))
-    kept = timed.join(ends, "device", "left")
+    kept = cut.join(spans.join(ends, "device", "left"), keys)
     until = F.coalesce(F.col("line_no") <= F.col("__last"), F.col("at") < F.col("__deadline"))
     return kept.where(until).select(*lines.columns)
 
