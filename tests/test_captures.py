@@ -1,15 +1,19 @@
 """Captures of devices with many lines: dealt by ranges of line numbers, the same at every cut."""
 
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from corvane import session
 from corvane.operators import telemetry
+from corvane.plans import telemetry as plans
 from corvane.streaming import device
 
 TIMEOUT = 6.0
+SMALL = Path("/root/testdata/sf0.001")
 
 
 def plain(rows):
@@ -56,3 +60,20 @@ def test_lines_of_one_device_are_in_many_tasks(spark, monkeypatch):
         found = telemetry.captured(df, 60.0).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in found) == 3956
     assert max(r["count"] for r in found) < 2000
+
+
+def exchanged(plan):
+    """Rows through each exchange by a device alone in a plan that has run."""
+    found = [int(plan.metrics().apply("shuffleRecordsWritten").value())] if re.match(r"Exchange hashpartitioning\(device#\d+L?, \d+\)", plan.simpleString(1000)) else []
+    return found + [n for i in range(plan.children().size()) for n in exchanged(plan.children().apply(i))]
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no tables")
+def test_lines_of_the_query_are_not_dealt_by_device_alone(spark, monkeypatch):
+    monkeypatch.setattr(telemetry, "RANGE_LINES", 20)
+    events = spark.read.parquet(f"{SMALL}/events.parquet").count()
+    with session.settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        df = plans.s19_serial_capture(spark, str(SMALL))
+        assert df.collect()
+        rows = exchanged(df._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= events  # those that are numbered: there are four lines of each
