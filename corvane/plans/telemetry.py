@@ -156,9 +156,9 @@ def s19_serial_capture(spark, sf_dir):
 def r1_serial_capture(spark, sf_dir):
     """The same as a stream, stopped after half the lines and started again on its checkpoint."""
     folder = _scratch(spark)
-    rows = timed_lines(spark, sf_dir)
+    rows = device.staged_lines(timed_lines(spark, sf_dir))
     for those in ("line_no < 150", "line_no >= 150"):
-        device.write_lines(rows.where(those), f"{folder}/lines")
+        device.write_staged(rows.where(those), f"{folder}/lines")
         stream = device.captured(device.read_lines(spark, f"{folder}/lines", schema=device.TIMED_LINES), 4.0)
         with device.stateful(spark):
             stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/captured").awaitTermination()

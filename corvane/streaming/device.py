@@ -7,8 +7,10 @@ import sys
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +34,32 @@ RANGE_LINES = 200_000
 BATCH_BYTES = 128 << 20
 #: Rows that a task gives on together.
 GIVEN_ROWS = 10_000
+#: Partitions of a stream's state, on clusters with fewer cores: of so many, few devices share one.
+STATE_PARTITIONS = 16
 
 
-def write_lines(rows: DataFrame, folder: str) -> None:
-    """Rows of lines as JSON files that a stream may read in any cut: each device's lines are in order, within files and from file to
-    file. `rows` are worked out once, into a table by range, of which each range is read once."""
+def staged_lines(rows: DataFrame) -> DataFrame:
+    """Rows of lines, worked out once into a table by range of line numbers."""
     staged = f"{shared_dir(rows.sparkSession)}/lines-{uuid.uuid4().hex}"
     cut = rows.withColumn("__range", F.floor(F.col("line_no") / RANGE_LINES))
     cut.hint("rebalance", "__range", "device").write.partitionBy("__range").parquet(staged)
-    kept = rows.sparkSession.read.schema(cut.schema).parquet(staged)
-    parts = sorted(r[0] for r in kept.where(F.col("__range").isNotNull()).select("__range").distinct().collect())
-    for part in parts or [0]:
-        own = kept.where(F.col("__range") == part).drop("__range")
+    return rows.sparkSession.read.schema(cut.schema).parquet(staged)
+
+
+def write_staged(staged: DataFrame, folder: str) -> None:
+    """Rows of a table by range as JSON files that a stream may read in any cut: each device's lines are in order, within files and from
+    file to file. Each range is read once."""
+    ranges = sorted(r[0] for r in staged.where(F.col("__range").isNotNull()).select("__range").distinct().collect())
+    for part in ranges or [0]:
+        own = staged.where(F.col("__range") == part).drop("__range")
         own.repartition("device").sortWithinPartitions("device", "line_no").write.mode("append").json(folder)
 
 
+def write_lines(rows: DataFrame, folder: str) -> None:
+    """Rows of lines as files that a stream may read: see `write_staged`."""
+    write_staged(staged_lines(rows), folder)
+
+
 def read_lines(spark: SparkSession, folder: str, bytes_per_batch: int | None = None, schema: str = LINES) -> DataFrame:
     """JSON rows of LINES from files that appear in a folder, about BATCH_BYTES a turn unless told otherwise."""
     return spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch or BATCH_BYTES).json(folder)
@@ -57,10 +70,28 @@ def read_lines(spark: SparkSession, folder: str, bytes_per_batch: int | None = N
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def in_order(rows: Iterator[pd.DataFrame], *columns: str) -> Iterator[tuple]:
-    """These columns of a device's rows of one turn, by line number."""
-    held = pd.concat([x[["line_no", *columns]] for x in rows]).sort_values("line_no")
-    return held.itertuples(index=False, name=None)
+def pieces(lines: DataFrame) -> DataFrame:
+    """`lines` with a row for each device and Arrow batch: device, and an array of each other column, by line number. Python takes the
+    rows of a stateful operator one at a time, but an array as it is."""
+    names = [c for c in lines.columns if c != "device"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch, [("device", "ascending"), ("line_no", "ascending")]))
+            runs = pc.run_end_encode(batch.column("device"))
+            offsets = pa.array([0, *runs.run_ends.to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([runs.values, *(pa.ListArray.from_arrays(offsets, batch.column(c)) for c in names)], ["device", *names])
+
+    return lines.mapInArrow(pack, T.StructType([lines.schema["device"], *(T.StructField(c, T.ArrayType(lines.schema[c].dataType)) for c in names)]))
+
+
+def in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
+    """These columns of a device's rows of one turn, lines or pieces of them, by line number."""
+    names = ["line_no", *columns]
+    held = pd.concat([x[names] for x in rows])
+    if held["line_no"].dtype == object:
+        held = pd.DataFrame({c: np.concatenate(held[c].to_numpy()) for c in names})
+    return held.sort_values("line_no", kind="stable", ignore_index=True)
 
 
 def frames(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
@@ -83,7 +114,7 @@ class FileFollower(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         number, name, found, done = self.current.get() if self.current.exists() else (None, None, 0, False)
         out = []
-        for _, line in () if done else in_order(rows, "line"):
+        for _, line in () if done else in_order(rows, "line").itertuples(index=False, name=None):
             if done:
                 break
             if head := re.match(self.file_line, line):
@@ -119,7 +150,7 @@ class Capture(StatefulProcessor):
         known = self.current.exists()
         deadline, left, last, done = self.current.get() if known else (None, -1, None, False)
         out, ended, were = [], None, done
-        for number, at, line in () if done else in_order(rows, "at", "line"):
+        for number, at, line in () if done else in_order(rows, "at", "line").itertuples(index=False, name=None):
             deadline = at + self.timeout if deadline is None else deadline
             if done:
                 break
@@ -162,13 +193,13 @@ class Capture(StatefulProcessor):
 def captured(lines: DataFrame, timeout: float) -> DataFrame:
     """TIMED_LINES of a stream of them that belong to each device's run, by the lines' own times: see `telemetry.captured`. A query
     that is started again on its checkpoint goes on where a lost connection left it. Needs the RocksDB state store."""
-    return lines.groupBy("device").transformWithStateInPandas(Capture(timeout), outputStructType=TIMED_LINES, outputMode="Append", timeMode="none")
+    return pieces(lines).groupBy("device").transformWithStateInPandas(Capture(timeout), outputStructType=TIMED_LINES, outputMode="Append", timeMode="none")
 
 
 def live_captures(lines: DataFrame, timeout: float) -> DataFrame:
     """CAPTURES of a stream of lines as they arrive (`at` is the clock): the lines of each device's run, and a row that says how it
     ended, by the clock also where no further line comes. Needs the RocksDB state store."""
-    return lines.groupBy("device").transformWithStateInPandas(Capture(timeout, True), outputStructType=CAPTURES, outputMode="Append", timeMode="ProcessingTime")
+    return pieces(lines).groupBy("device").transformWithStateInPandas(Capture(timeout, True), outputStructType=CAPTURES, outputMode="Append", timeMode="ProcessingTime")
 
 
 def detections(lines: DataFrame, threshold: float = 0.01, k: int = 5) -> DataFrame:
@@ -183,8 +214,14 @@ def windowed_scores(events: DataFrame, time: str, value: str, by: str, width: st
 
 
 def stateful(spark: SparkSession):
-    """The RocksDB state store for the streams started inside."""
-    return settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The RocksDB state store for the streams started inside, in no more partitions than work at once: each starts Python and commits a
+    store at every turn, also where it has no lines. A stream that goes on from a checkpoint keeps the number that it began with."""
+    most = max(STATE_PARTITIONS, spark.sparkContext.defaultParallelism)
+    return settings(
+        spark,
+        spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        spark__sql__shuffle__partitions=str(min(most, int(spark.conf.get("spark.sql.shuffle.partitions")))),
+    )
 
 
 def drained(stream: DataFrame, folder: str) -> DataFrame:
