@@ -70,13 +70,15 @@ def read_lines(spark: SparkSession, folder: str, bytes_per_batch: int | None = N
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def pieces(lines: DataFrame) -> DataFrame:
-    """`lines` with a row for each device and Arrow batch: device, and an array of each other column, by line number. Python takes the
-    rows of a stateful operator one at a time, but an array as it is."""
+def pieces(lines: DataFrame, pattern: str = "") -> DataFrame:
+    """`lines` with a row for each device and Arrow batch: device, and an array of each other column, by line number; with `pattern`, of
+    lines that match it. Python takes the rows of a stateful operator one at a time, but an array as it is."""
     names = [c for c in lines.columns if c != "device"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if pattern:
+                batch = batch.filter(pc.match_substring_regex(batch.column("line"), pattern))
             batch = batch.take(pc.sort_indices(batch, [("device", "ascending"), ("line_no", "ascending")]))
             runs = pc.run_end_encode(batch.column("device"))
             offsets = pa.array([0, *runs.run_ends.to_pylist()], pa.int32())
@@ -94,6 +96,11 @@ def in_order(rows: Iterator[pd.DataFrame], *columns: str) -> pd.DataFrame:
     return held.sort_values("line_no", kind="stable", ignore_index=True)
 
 
+def groups(pattern: str, lines: pa.Array) -> list[pa.Array]:
+    """What the groups of `pattern` hold in each line; null where it does not match."""
+    return pc.extract_regex(lines, re.sub(r"(?<!\\)\(", lambda m: f"(?P<g{m.start()}>", pattern)).flatten()
+
+
 def frames(rows: list[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
     """`rows` in frames of GIVEN_ROWS, one at least."""
     for i in range(0, max(1, len(rows)), GIVEN_ROWS):
@@ -113,20 +120,32 @@ class FileFollower(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         number, name, found, done = self.current.get() if self.current.exists() else (None, None, 0, False)
-        out = []
-        for _, line in () if done else in_order(rows, "line").itertuples(index=False, name=None):
-            if done:
-                break
-            if head := re.match(self.file_line, line):
-                number, name, found = int(head[1]), head[3], 0
-            elif name is not None and (hit := re.match(self.detection_line, line)):
-                score = float(hit[3]) / 100
-                if score >= self.threshold and found < self.k:
-                    found += 1
-                    out.append((key[0], number, name, found, hit[2], score))
-            done = self.marker in line
+        out = pd.DataFrame(columns=self.columns)
+        if not done:
+            lines = pa.array(in_order(rows, "line")["line"], pa.string())
+            end = pc.index(pc.match_substring(lines, self.marker), True).as_py()
+            lines = lines if end < 0 else lines[: end + 1]
+            numbers, _, names = groups(self.file_line, lines)
+            _, labels, scores = groups(self.detection_line, lines)
+            number_like = pc.match_substring_regex(scores, r"^(\d+\.?\d*|\.\d+)$")
+            # At place 0, before the turn's lines, stands what is known of those before: their last file, with `found` detections.
+            scores = np.append(np.nan, pc.if_else(number_like, scores, None).cast(pa.float64()).to_numpy(False) / 100)
+            numbers = pa.concat_arrays([pa.array([number], pa.int32()), numbers.cast(pa.int32())])
+            names = pa.concat_arrays([pa.array([name], pa.string()), names])
+            heads = names.is_valid().to_numpy(False)
+            under = np.maximum.accumulate(np.where(heads, np.arange(len(heads)), 0))
+            hits = (scores >= self.threshold) & ~heads & heads[under]
+            count = np.cumsum(hits)
+            ranks = count - count[under] + np.where(under == 0, found, 0)
+            at = np.flatnonzero(hits & (ranks <= self.k))
+            of = pa.array(under[at])
+            given = (key[0], numbers.take(of).to_numpy(False), names.take(of).to_pandas(), ranks[at], labels.take(pa.array(at - 1)).to_pandas(), scores[at])
+            out = pd.DataFrame(dict(zip(self.columns, given, strict=True)))
+            number, name = numbers[under[-1]].as_py(), names[under[-1]].as_py()
+            found, done = int(min(ranks[-1], self.k)), end >= 0
         self.current.update((number, name, found, done))
-        yield from frames(out, self.columns)
+        for i in range(0, max(1, len(out)), GIVEN_ROWS):
+            yield out[i : i + GIVEN_ROWS]
 
     def close(self) -> None:
         pass
@@ -204,7 +223,7 @@ def live_captures(lines: DataFrame, timeout: float) -> DataFrame:
 
 def detections(lines: DataFrame, threshold: float = 0.01, k: int = 5) -> DataFrame:
     """DETECTIONS of a stream of LINES; a device's lines end with the marker. Needs the RocksDB state store."""
-    return lines.groupBy("device").transformWithStateInPandas(FileFollower(threshold, k), outputStructType=DETECTIONS, outputMode="Append", timeMode="none")
+    return pieces(lines, f"{FILE_LINE}|{DETECTION_LINE}|{re.escape(MARKER)}").groupBy("device").transformWithStateInPandas(FileFollower(threshold, k), outputStructType=DETECTIONS, outputMode="Append", timeMode="none")
 
 
 def windowed_scores(events: DataFrame, time: str, value: str, by: str, width: str = "3 seconds", step: str = "1 second", late: str = "10 seconds") -> DataFrame:
